@@ -1,8 +1,8 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip, and the components of its links.
 
 A document's set holds its different SHINGLE-word shingles as 64-bit hashes; documents with equal sets are one node. Two
-sets with 100 * common >= 85 * union share at least T = ceil(0.85 n) of the n shingles of either, so they meet in an inverted
-list of one of the n - T + 1 rarest. Rarity comes from a count of all shingles in SKETCH buckets, which bounds every list's
+sets with 100 * common >= 85 * union share at least T = ceil(0.85 n) of the n shingles of either, so they meet in SHARED inverted
+lists of the n - T + SHARED rarest; a document that meets others in fewer lists has no link. Rarity comes from a count of all shingles in SKETCH buckets, which bounds every list's
 length from above; its order is the same everywhere, which is all that exactness needs. The rare (short) lists are spread
 over the cluster, and lists of one document vanish.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Forest, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts, word_hashes
@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 19
 CHUNK = 1 << 12
 BLOCK = 256
+#: Shingles that linked sets share at least in their rare parts.
+SHARED = 6
 #: Lists that can't be longer than this by the sketch are found with a window over the list; longer ones by partial sums.
 SHORT_LIST = 20_000
 _C = odd_numbers(SHINGLE, 31)
@@ -61,7 +63,9 @@ def node_of(s: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
+    """Linked sets share SHARED of so many of either's rarest shingles (sets of 6 or fewer only link with equal ones)."""
+    least = (PERCENT * n + 99) // 100
+    return n - least + min(SHARED, least)
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -122,8 +126,8 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, node, most) of each document's n - T + 1 rarest shingles; most bounds the list's length."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("most", pa.int64())])
+    """(token, node, n, most) of each document's n - T + SHARED rarest shingles; n is its set's size, most bounds the list's length."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("most", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))  # SKETCH numbers, whatever the corpus
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +135,18 @@ def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         for b in batches:
             raw = texts(b, "text")
             for i, j in slices(map(len, raw)):
-                parts: list[list] = [[], [], []]
+                parts: list[list] = [[], [], [], []]
                 for r in range(i, j):
                     if len(s := shingles(raw[r])):
                         size = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
                         at = np.lexsort((s, size))[: prefix_length(len(s))]
-                        for p, v in zip(parts, (s[at], np.full(len(at), node_of(s)), size[at]), strict=True):
+                        for p, v in zip(parts, (s[at], np.full(len(at), node_of(s)), np.full(len(at), len(s), np.int32), size[at]), strict=True):
                             p.append(v)
                 if parts[0]:
-                    token, node, most = map(np.concatenate, parts)
-                    yield batch_of(schema, [token.view(np.int64), node, most.astype(np.int64)])
+                    token, node, n, most = map(np.concatenate, parts)
+                    yield batch_of(schema, [token.view(np.int64), node, n, most.astype(np.int64)])
 
-    return need(docs, "text").mapInArrow(run, "token long, node long, most long")
+    return need(docs, "text").mapInArrow(run, "token long, node long, n int, most long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -218,17 +222,31 @@ def search_blocks(met: DataFrame) -> DataFrame:
     return met.select(*names).repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(run, "a long, b long")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) for the nodes in wanted (k1, k2, node)."""
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame) -> DataFrame:
+    """(g, block, node, comp, query, member, set): the set of each node in places, sent where it is to be searched.
+
+    firsts (node, id, k1, k2) names one document of each node, so that a text that many documents share is sent once.
+    """
+    to = places.groupBy("node").agg(F.collect_list(F.struct("g", "block", "comp", "query", "member")).alias("places"))  # a few for each of a node's lists
+    to = to.join(firsts, "node").select("id", "k1", "k2", "node", "places")
+    kinds = [("g", pa.int64()), ("block", pa.int64()), ("comp", pa.int64()), ("query", pa.bool_()), ("member", pa.bool_())]
+    schema = pa.schema([*kinds, ("node", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, nodes = texts(b, "text"), b.column("node")
+            raw, nodes, where = texts(b, "text"), b.column("node"), b.column("places").to_pylist()
             for i, j in slices(map(len, raw)):
-                yield batch_of(schema, [nodes[i:j], [pack_set(shingles(x)) for x in raw[i:j]]])
+                packed = pa.array([pack_set(shingles(x)) for x in raw[i:j]], pa.binary())
+                row = pa.array(np.repeat(np.arange(j - i), [len(w) for w in where[i:j]]))
+                yield batch_of(schema, [*([p[k] for w in where[i:j] for p in w] for k, _ in kinds), nodes[i:j].take(row), packed.take(row)])
+
+    joined = docs.withColumn("id", id_key()).join(to.hint("shuffle_hash"), ["id", "k1", "k2"]).select("text", "node", "places")
+    return joined.mapInArrow(run, "g long, block long, comp long, query boolean, member boolean, node long, set binary")
+
 
-    return docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("text", "node").mapInArrow(run, "node long, set binary")
+def id_key() -> Column:
+    """doc_id as a join key: null becomes the smallest long."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
 
 
 def parts(c: str, size: int = BLOCK) -> Column:
@@ -252,30 +270,35 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sketch = sketch_of(sets)
     rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node")
 
-    posted = postings(keyed, sketch)
+    seen = Observation()
+    posted = postings(keyed, sketch).observe(seen, F.count(F.when(F.col("most") > SHORT_LIST, 1)).alias("long"))
     short = posted.where(F.col("most") <= SHORT_LIST)
-    over = Window.partitionBy("token")
+    # Sets of a list that differ too much in size can't link: the list, ordered by size, is cut where the next is too large.
+    rising = Window.partitionBy("token").orderBy("n", "node")
+    cut = F.coalesce(100 * F.lag("n").over(rising) < PERCENT * F.col("n"), F.lit(False)).cast("int")
+    short = short.withColumn("cut", cut).withColumn("run", F.sum("cut").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    over = Window.partitionBy("token", "run")
     short = short.select("token", "node", F.min("node").over(over).alias("low"), F.max("node").over(over).alias("high")).where("low <> high").select("token", "node", "low")
-    if int(sketch.max(initial=0)) > SHORT_LIST:
-        long = posted.where(F.col("most") > SHORT_LIST).select("token", "node")
+    shared = scratch.keep(short, "shared")
+    if seen.get["long"]:
+        long = postings(keyed, sketch).where(F.col("most") > SHORT_LIST).select("token", "node")
         ends = long.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "low")
-        short = short.union(long.join(ends, "token").select("token", "node", "low"))
+        ends = scratch.keep(ends, "long")  # joins of two written tables can split hot keys
+        shared = scratch.keep(shared.union(long.join(ends, "token").select("token", "node", "low")), "shared")
+    often = scratch.keep(shared.select("token", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("node"), "often")
     # Lists with the same smallest node make one group: its nodes meet once, not once for each list they share.
-    lists = scratch.keep(short.select(F.col("low").alias("g"), "node").distinct(), "lists")
-    scratch.drop()
-
-    # One text for each node that shares a list; its set is shipped for the searches.
-    wanted = lists.select("node").distinct().join(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")), "node").select("k.k1", "k.k2", "node")
-    # Equal texts share a key: one row of them is enough.
-    shipped = scratch.keep(candidate_sets(keyed, wanted).groupBy("node").agg(F.any_value("set").alias("set")), "candidates")
-    scratch.drop()
+    lists = scratch.keep(shared.select(F.col("low").alias("g"), "node").distinct().join(often, "node"), "lists")
+    firsts = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(id_key().alias("id"), "k1", "k2")).alias("k")).join(often, "node").select("node", "k.*")
+    firsts = scratch.keep(firsts, "firsts")
+    scratch.drop("shared")
 
     low = scratch.keep(lists.groupBy("node").agg(F.min("g").alias("g")), "low")
-    groups = low.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    groups = scratch.keep(low.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "groups")
     blocked = low.join(groups, "g").select("g", part_of(parts("m")).alias("block"), "node")
     heads = groups.select("g", each(parts("m")).alias("block"), F.col("g").alias("node"))
-    met = blocked.union(heads).join(shipped.hint("shuffle_hash"), "node").withColumns({"comp": F.col("node"), "query": F.lit(True), "member": F.lit(True)})
-    edges = scratch.keep(search_blocks(met), "edges-1")
+    places = blocked.union(heads).select("g", F.col("block").cast("long"), "node", F.col("node").alias("comp"), F.lit(True).alias("query"), F.lit(True).alias("member"))
+    edges = scratch.keep(search_blocks(routed(keyed, firsts, places)), "edges-1")
+    scratch.drop()
     comps = components(edges, scratch, "cc-1")
 
     held = lists.join(comps, "node", "left").select("g", "node", F.coalesce("root", "node").alias("comp"))
@@ -284,16 +307,17 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = scratch.keep(mixed.groupBy("m", "s", "t").agg(F.min("g").alias("g")).select("g", "m"), "mixed")  # groups of the same nodes once
     sizes = held.join(mixed, "g").groupBy("g", "comp", "m").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("g", "m").agg(F.max(F.struct("size", "comp")).alias("top")).select("g", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.size")).alias("u"))
+    largest = scratch.keep(largest, "largest")
     inside = held.join(largest, "g").withColumns({"mb": parts("m"), "ub": parts("u", 4 * BLOCK)})
     members = inside.select("g", "node", "comp", "ub", part_of(F.col("mb")).alias("b"), each(F.col("ub")).alias("k")).withColumns({"query": F.lit(False), "member": F.lit(True)})
     asking = inside.where("comp <> main").select("g", "node", "comp", "ub", each(F.col("mb")).alias("b"), part_of(F.col("ub"), 1).alias("k")).withColumns({"query": F.lit(True), "member": F.lit(False)})
-    met = members.union(asking).withColumn("block", F.col("b") * F.col("ub") + F.col("k")).join(shipped.hint("shuffle_hash"), "node")
-    more = scratch.keep(search_blocks(met), "edges-2")
-    scratch.drop("low", "held", "mixed", "candidates", "lists")
+    places = members.union(asking).select("g", (F.col("b") * F.col("ub") + F.col("k")).cast("long").alias("block"), "node", "comp", "query", "member")
+    more = scratch.keep(search_blocks(routed(keyed, firsts, places)), "edges-2")
+    scratch.drop("low", "held", "mixed", "largest", "groups", "lists", "often")
     if not more.isEmpty():
         comps = components(edges.union(more), scratch, "cc-2")
 
     named = rows.join(comps, "node", "left").select("doc_id", "k1", "k2", "n", "node", F.coalesce("root", "node").alias("comp"))
     named = scratch.keep(named, "named")
-    ids = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    ids = scratch.keep(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "ids")
     return named.join(ids, "comp", "left").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
