@@ -28,20 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, Scratch, batch_of, mix, need, odd_numbers, slices, texts
+from .common import U64, Scratch, batch_of, mix, need, odd_numbers, slices, texts, word_hashes
 
 LEADING, ALIKE, LEAST_DOCS, KINDS = 3, 0.7, 8, 2
 _B = int(odd_numbers(1, 23)[0])
-_FIELD = xxhash.xxh3_64_intdigest(b"<*>")
+_FIELD = U64(xxhash.xxh3_64_intdigest(b"<*>"))
 _DIGITS = b"0123456789"
 
 
-def token_hash(token: bytes) -> int:
-    """A variable field's hash for every token with a digit."""
-    return xxhash.xxh3_64_intdigest(token) if token.translate(None, _DIGITS) == token else _FIELD
-
-
-_TOKENS = Memo(token_hash)
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    """One hash for every variable field, that is, for tokens with a digit."""
+    h = word_hashes(tokens)
+    h[[t.translate(None, _DIGITS) != t for t in tokens]] = _FIELD
+    return h
 
 
 def parse(raw: bytes) -> tuple[np.ndarray, ...]:
@@ -49,7 +48,8 @@ def parse(raw: bytes) -> tuple[np.ndarray, ...]:
     leading hashes and all of their token hashes in turn."""
     lines = [(i, t) for i, line in enumerate(raw.split(b"\n")) if len(t := line.split()) >= LEADING]
     n = np.array([len(t) for _, t in lines], np.int64)
-    h = np.fromiter((x for _, t in lines for x in map(_TOKENS.__getitem__, t)), U64, int(n.sum()))
+    tokens = [x for _, t in lines for x in t]
+    h = word_hashes(tokens) if raw.translate(None, _DIGITS) == raw else token_hashes(tokens)
     start = np.cumsum(n) - n
     place = np.arange(len(h)) - np.repeat(start, n)
     powers = np.full(int(n.max(initial=0)) + 1, _B, U64)
@@ -112,6 +112,7 @@ def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -
     lines = scratch.keep(lines_of(need(docs, "doc_id", "text").select(k1.alias("k1"), k2.alias("k2"), "text")), "lines")
     # The least count first: a leaf of few documents can't recur.
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs)
+    leaves = scratch.keep(leaves, "leaves")  # joins of two written tables can split hot keys
     lines = scratch.keep(lines.join(leaves, "leaf"), "candidates")
     exact = lines.groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("docs"), F.any_value("lines").alias("lines"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
     mixed = scratch.keep(exact.where("docs < lines"), "mixed")
@@ -125,6 +126,7 @@ def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -
     counted = kinds.select("leaf", own, "kind", "docs").groupBy("leaf", "own", "kind").agg(F.sum("docs").alias("docs")).groupBy("leaf", "own").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds"))
     gone = scratch.keep(counted.where((F.col("docs") >= least_docs) & (F.col("kinds") * KINDS >= F.col("docs"))).select("leaf", "own"), "gone")
     drop = gone.where("own is not null").select("leaf", F.col("own").alias("exact")).union(general.join(gone.where("own is null").select("leaf"), "leaf").select("leaf", "exact"))
+    drop = scratch.keep(drop, "exact")
     found = lines.select("k1", "k2", "leaf", "exact").join(drop, ["leaf", "exact"]).groupBy("k1", "k2").agg(F.collect_set("exact").alias("exact"))
     found = scratch.keep(found, "drop")
     scratch.drop("lines", "candidates", "mixed", "general", "gone")
