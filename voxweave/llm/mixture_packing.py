@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, need, slices
-from .pieces import is_latin, split_words
+from .pieces import END, is_latin, split_words
 
 SEQUENCE = 2048
 END_ID = 1
@@ -38,7 +38,9 @@ SHARE_BITS = 20
 MOST_QUEUES = 4096
 #: Rows of the table of offsets that may be broadcast (about 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
-MEMO = 400_000
+MEMO = 1_000_000
+#: New words are encoded together, joined by spaces; each word's last id is one that ends a word.
+TOGETHER = 2000
 
 
 class Tokens:
@@ -54,6 +56,19 @@ class Tokens:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.memo: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(END)
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            stop = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
+            if len(stop) != len(part):
+                raise ValueError("a word isn't encoded as one word")
+            raw = ids.tobytes()
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """16-bit ids of each text. Words of plain texts are independent of each other; other texts go in whole."""
@@ -61,9 +76,7 @@ class Tokens:
         words = [split_words(t) if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list(set().union(*words).difference(self.memo))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u2").tobytes()
+        self.learn(list(set().union(*words).difference(self.memo)))
         return [b"".join(map(self.memo.__getitem__, w)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t, w, p in zip(texts, words, plain, strict=True)]
 
 
