@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, need, slices
@@ -35,7 +35,7 @@ from .pieces import END, letters, split_words
 #: Words of the lexicon: a fixed bound on what is shipped.
 LEXICON_WORDS = 65_536
 #: Words whose results a Python worker keeps; when there are more, it forgets them.
-MEMO = 300_000
+MEMO = 600_000
 
 
 class Vocabulary:
@@ -58,14 +58,18 @@ class Vocabulary:
         parts = list(letters(word))
         parts[-1] += END
         ranks, n = self.ranks, len(parts)
-        if n <= 24:
-            while n > 1:
-                at = min(range(n - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), 1 << 60))
-                if (parts[at], parts[at + 1]) not in ranks:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                n -= 1
-        elif n > 1:
+        if n <= 64:
+            none = len(ranks)
+            rank = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+            while rank and (least := min(rank)) < none:
+                i = rank.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del rank[i]
+                if i < len(rank):
+                    rank[i] = ranks.get((parts[i], parts[i + 1]), none)
+                if i:
+                    rank[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+        else:
             after, before = [*range(1, n), -1], list(range(-1, n - 1))
             heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
             heapq.heapify(heap)
@@ -231,7 +235,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for t in b.column("text").to_pylist():
                 counts.update(c.split(t or ""))
-            if len(counts) > 2 * MEMO:
+            if len(counts) > MEMO:
                 yield batch_of(schema, [list(counts), list(counts.values())])
                 counts.clear()
         for w in v.special:
@@ -241,10 +245,16 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     return need(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
+def lexicon(docs: DataFrame, path: str, scratch: Scratch, size: int = LEXICON_WORDS) -> bytes:
     """The transducer of the `size` most frequent words, of a bounded size whatever the corpus."""
     v = Vocabulary(path)
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(size).select("word").toLocalIterator()
+    counts = scratch.keep(word_counts(docs, path), "words")
+    # How many words there are of each count tells from which count on a word can be among them: few rows are sorted.
+    of_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    least = of_count.withColumn("above", F.coalesce(F.sum("words").over(above), F.lit(0))).where(F.col("above") < size).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= (least or 0)).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    scratch.drop("words")
     return to_bytes(build({r["word"].encode(): v.merge(r["word"]) for r in top if r["word"] not in v.special}))
 
 
@@ -265,7 +275,7 @@ def coder(path: str, file: str) -> Coder:
 
 def encode(docs: DataFrame, path: str, scratch: Scratch, size: int = LEXICON_WORDS) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, all of the whole text."""
-    data = lexicon(docs, path, size)
+    data = lexicon(docs, path, scratch, size)
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}"
     scratch.ship(name, data)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
