@@ -13,7 +13,8 @@ are powers of two, so nothing is padded.
 
 Null text counts as empty (it still holds the end id); null sources share one queue; repeated rows and ids are packed each;
 ties cannot occur, since a queue's order is that of partitions and rows; an empty table gives no pieces; other columns are
-ignored. Beyond `most_queues` sources, queues are hashes of sources.
+ignored. Beyond `most_queues` sources (at most half a window's tokens), queues are hashes of sources. A source whose share is less
+than one token of a window gives one token a window until it is dry.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .pieces import END, is_latin, split_words
 SEQUENCE = 2048
 END_ID = 1
 SHARE_BITS = 20
-MOST_QUEUES = 4096
+MOST_QUEUES = 1024
 #: Rows of the table of offsets that may be broadcast (about 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 MEMO = 1_000_000
@@ -92,13 +93,20 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
-def shares(left: dict[int, int], targets: dict[int, float] | None) -> dict[int, int]:
-    """Integer shares, at least 1 each, of 2**SHARE_BITS over the queues that have tokens left."""
+def shares(left: dict[int, int], targets: dict[int, float] | None, length: int = SEQUENCE) -> dict[int, int]:
+    """Integer shares of 2**SHARE_BITS over the queues that have tokens left: at least one token of a window each, so that
+    no queue's running total ever falls, and else in proportion."""
     want = {s: max(0.0, float(targets.get(s, 0.0))) if targets else float(n) for s, n in left.items()}
     if not sum(want.values()):
         want = {s: float(n) for s, n in left.items()}
-    total, whole = sum(want.values()), 1 << SHARE_BITS
-    out = {s: max(1, int(w / total * whole)) for s, w in want.items()}
+    whole, least = 1 << SHARE_BITS, -(-(1 << SHARE_BITS) // length)
+    if len(left) * least > whole:
+        raise ValueError("more queues than tokens in a window")
+    out: dict[int, int] = {}
+    while small := [s for s in want if s not in out and want[s] * (whole - least * len(out)) < least * sum(w for k, w in want.items() if k not in out)]:
+        out |= dict.fromkeys(small, least)
+    rest, total = whole - least * len(out), sum(w for s, w in want.items() if s not in out)
+    out |= {s: int(w / total * rest) for s, w in want.items() if s not in out}
     largest = max(out, key=lambda s: (out[s], -s))
     out[largest] += whole - sum(out.values())
     return out
@@ -110,7 +118,7 @@ def schedule(totals: list[int], length: int = SEQUENCE, targets: dict[int, float
     given, n, phases, window = [0] * len(totals), len(totals), [], 0
     while sum(totals) - sum(given) >= length:
         left = {s: totals[s] - given[s] for s in range(n) if totals[s] > given[s]}
-        q = shares(left, targets)
+        q = shares(left, targets, length)
         before, acc = [0] * n, 0
         for s in range(n):
             before[s] = acc
@@ -148,11 +156,11 @@ class Packer:
 
     def __init__(self, phases: list[tuple], length: int = SEQUENCE):
         self.phases, self.length = phases, length
-        self.given = np.array([p[2] for p in phases], np.int64).reshape(len(phases), -1)
+        self.given = np.array([p[2] for p in phases], np.int64).reshape(len(phases), len(phases[0][2]) if phases else 0)
 
     def pieces(self, queue: int, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of tokens start..end of a queue: arrays of (start, length, sequence, offset)."""
-        k = int(np.searchsorted(self.given[:, queue], start, side="right")) - 1
+        k = int(np.searchsorted(self.given[:, queue], start, side="right")) - 1 if start < end else 0
         while start < end:
             window, m, given, before, share = self.phases[k]
             stop = end if k + 1 == len(self.phases) else min(end, int(self.given[k + 1, queue]))
@@ -163,8 +171,9 @@ class Packer:
                     bits = (self.length & -self.length).bit_length() - 1
                     unit, shift = self.length >> bits, SHARE_BITS - bits
                     below = lambda j, x, unit=unit, shift=shift: (j * (unit * x)) >> shift if shift >= 0 else (j * (unit * x)) << -shift
-                    j0 = max(0, (a << SHARE_BITS) // (self.length * q) - 2)
-                    j1 = min(m, (b << SHARE_BITS) // (self.length * q) + 3)
+                    # Given tokens differ from a queue's share by less than one, which can be many windows of a small queue.
+                    j0 = max(0, (a - 1 << SHARE_BITS) // (self.length * q) - 1)
+                    j1 = min(m, (b + 1 << SHARE_BITS) // (self.length * q) + 2)
                     j = np.arange(j0, j1 + 1, dtype=np.int64)
                     low = below(j, lo)
                     at = below(j, lo + q) - low
@@ -212,7 +221,7 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = SEQUENCE, t
 
     targets: source -> weight of the mixture; without it, each source's own part of all tokens.
     """
-    tokens = scratch.keep(tokenize(docs, path), "tokens")
+    tokens = scratch.keep(tokenize(docs, path, min(MOST_QUEUES, length // 2)), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("sum"))
     # One row for each partition and queue: small whatever a queue's part of the rows.
     base = F.sum("sum").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

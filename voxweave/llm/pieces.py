@@ -8,12 +8,33 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import regex
-
 END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WHITE = r"\t-\r \u0085   -     　"
-SPLIT = regex.compile(rf"{CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000").union(map(chr, range(0x2000, 0x200B)))
+# Letters and numbers of Unicode 16 that version 15.1 hasn't, and their lower case.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+
+
+class Kinds(dict):
+    """Character -> a letter that stands for its kind; those of contractions stand for themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind == "Cn":
+            kind = next((k for k, r in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)) if any(a <= code <= b for a, b in r)), kind)
+        self[code] = x = c if c in "'strevmld" else " " if c in WHITE else "L" if kind[0] == "L" else "0" if kind[0] == "N" else "!"
+        return x
+
+
+KINDS = Kinds()
+SPLIT = re.compile(rf"{CONTRACTIONS}|[Lstrevmld]+|0|['!]+")
 
 
 def _ranges(kind: str) -> str:
@@ -48,7 +69,8 @@ def split_words(text: str) -> list[str]:
     if is_latin(text):
         return SPLIT_LATIN.findall(text.lower())
     # Lower-casing goes character by character: no final form of sigma.
-    return SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(NEW_LOWER)
+    return [text[m.start() : m.end()] for m in SPLIT.finditer(text.translate(KINDS))]
 
 
 def letters(word: str) -> str:
