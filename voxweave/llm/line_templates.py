@@ -7,7 +7,8 @@ line belongs to it if at least ALIKE of its places agree with kept tokens. Other
 
 A template recurs if at least `least_docs` documents hold it and they are different documents: documents whose other
 lines begin alike (equal smallest hash of their leading tokens; one value if there is no other line) count as one kind,
-and there must be at least half as many kinds as documents. So boilerplate goes, while copies of whole documents are left to the near-duplicate operators.
+and there must be at least half as many kinds as documents, in one of ORDERS orders of hashes at least (in a single one,
+another recurring line might come first everywhere). So boilerplate goes, while copies of whole documents are left to the near-duplicate operators.
 Lines of recurring templates are dropped from every document, with their line feed.
 
 All of this is counted with partial sums over rows of one line each; no leaf, template or document list is gathered. What
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, batch_of, mix, need, odd_numbers, slices, texts, word_hashes
 
-LEADING, ALIKE, LEAST_DOCS, KINDS = 3, 0.7, 8, 2
+LEADING, ALIKE, LEAST_DOCS, KINDS, ORDERS = 3, 0.7, 8, 2, 3
 _B = int(odd_numbers(1, 23)[0])
+_ORDERS = odd_numbers(ORDERS, 41)
 _FIELD = U64(xxhash.xxh3_64_intdigest(b"<*>"))
 _DIGITS = b"0123456789"
 
@@ -62,9 +64,9 @@ def parse(raw: bytes) -> tuple[np.ndarray, ...]:
     return np.array([i for i, _ in lines], np.int64), n, leaf, mix(exact + n.astype(U64)), lead, h
 
 
-def kinds(lead: np.ndarray) -> np.ndarray:
-    """For each line the smallest of the other lines' leading hashes, 0 if there is none."""
-    lead = mix(lead)
+def kinds(lead: np.ndarray, order: int) -> np.ndarray:
+    """For each line the smallest of the other lines' leading hashes in some order, 0 if there is none."""
+    lead = mix(lead ^ _ORDERS[order])
     out = np.full(len(lead), lead.min(), U64)
     at = int(lead.argmin())
     out[at] = np.delete(lead, at).min() if len(lead) > 1 else 0
@@ -72,14 +74,14 @@ def kinds(lead: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row for each different line of a document: (k1, k2, leaf, exact, kind, n, tokens)."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("leaf", pa.int64()), ("exact", pa.int64()), ("kind", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int16()))])
+    """One row for each different line of a document: (k1, k2, leaf, exact, kind0 and on, n, tokens)."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("leaf", pa.int64()), ("exact", pa.int64()), *((f"kind{o}", pa.int64()) for o in range(ORDERS)), ("n", pa.int32()), ("tokens", pa.list_(pa.int16()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, k1, k2 = texts(b, "text"), b.column("k1"), b.column("k2")
             for i, j in slices(map(len, raw)):
-                rows, parts, sizes, tokens = [], [[], [], []], [], []
+                rows, parts, sizes, tokens = [], [[] for _ in range(2 + ORDERS)], [], []
                 for r in range(i, j):
                     _, n, leaf, exact, lead, h = parse(raw[r])
                     if not len(n):
@@ -88,7 +90,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     keep = np.zeros(len(n), bool)
                     keep[first] = True
                     rows.append(np.full(len(first), r))
-                    for p, v in zip(parts, (leaf[keep], exact[keep], kinds(lead)[keep]), strict=True):
+                    for p, v in zip(parts, (leaf[keep], exact[keep], *(kinds(lead, o)[keep] for o in range(ORDERS))), strict=True):
                         p.append(v.view(np.int64))
                     sizes.append(n[keep])
                     tokens.append((h[np.repeat(keep, n)] >> U64(48)).astype(np.uint16).view(np.int16))
@@ -97,7 +99,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(tokens)))
                     yield batch_of(schema, [k1.take(row), k2.take(row), *map(np.concatenate, parts), n.astype(np.int32), listed])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, exact long, kind long, n int, tokens array<smallint>")
+    return docs.mapInArrow(run, ", ".join(["k1 long, k2 long, leaf long, exact long", *(f"kind{o} long" for o in range(ORDERS)), "n int, tokens array<smallint>"]))
 
 
 def row_key(docs: DataFrame) -> list:
@@ -121,10 +123,11 @@ def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -
     agree = F.size(F.filter("kept", lambda k: F.get("tokens", k["place"]) == k["token"]))
     general = mixed.join(template, "leaf").where(agree >= ALIKE * F.col("n")).select("leaf", "exact", F.lit(True).alias("general"))
     general = scratch.keep(general, "general")
-    kinds = lines.groupBy("leaf", "exact", "kind").agg(F.count(F.lit(1)).alias("docs")).join(general, ["leaf", "exact"], "left")
     own = F.when(F.col("general"), F.lit(None)).otherwise(F.col("exact")).alias("own")  # null: the leaf's template
-    counted = kinds.select("leaf", own, "kind", "docs").groupBy("leaf", "own", "kind").agg(F.sum("docs").alias("docs")).groupBy("leaf", "own").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds"))
-    gone = scratch.keep(counted.where((F.col("docs") >= least_docs) & (F.col("kinds") * KINDS >= F.col("docs"))).select("leaf", "own"), "gone")
+    placed = lines.join(general, ["leaf", "exact"], "left").select("leaf", own, *(f"kind{o}" for o in range(ORDERS)))
+    counted = placed.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("docs"), *(F.count_distinct(f"kind{o}").alias(f"kinds{o}") for o in range(ORDERS)))
+    most = F.greatest(*(f"kinds{o}" for o in range(ORDERS)))
+    gone = scratch.keep(counted.where((F.col("docs") >= least_docs) & (most * KINDS >= F.col("docs"))).select("leaf", "own"), "gone")
     drop = gone.where("own is not null").select("leaf", F.col("own").alias("exact")).union(general.join(gone.where("own is null").select("leaf"), "leaf").select("leaf", "exact"))
     drop = scratch.keep(drop, "exact")
     found = lines.select("k1", "k2", "leaf", "exact").join(drop, ["leaf", "exact"]).groupBy("k1", "k2").agg(F.collect_set("exact").alias("exact"))
