@@ -266,6 +266,8 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Per document: doc_id, k1, k2 (text key), n_shingles, component_id."""
     k1, k2 = text_key(F.col("text"))
     keyed = need(docs, "doc_id", "text").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
+    if keyed.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long")
     sets = scratch.keep(sets_of(keyed), "sets")
     sketch = sketch_of(sets)
     rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node")
