@@ -134,17 +134,20 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = WINDOW) -> DataFrame
     keyed = need(docs, "text").select(k1.alias("k1"), k2.alias("k2"), "text")
     every = scratch.keep(spans(keyed, least), "spans")
     twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    twice = scratch.keep(twice, "twice")  # joins of two written tables can split hot keys
     seeds = scratch.keep(every.join(twice, "anchor"), "seeds")
     scratch.drop("spans")
 
     whole = seeds.groupBy("anchor", "sig").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "lo", "n")).alias("at"))
     whole = scratch.keep(whole, "whole")
     differing = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    differing = scratch.keep(differing, "differing")
     # One occurrence of each kind of span is extended; a kind that occurs more than once counts twice.
     extend = whole.join(differing, "anchor").select("at.*", F.least("times", F.lit(2)).cast("int").alias("weight"))
     extend = extend.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "weight")).alias("spans"))
     at = scratch.keep(windows(keyed.join(extend.hint("shuffle_hash"), ["k1", "k2"]), least), "windows")
     again = at.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times > 1").select("w1", "w2")
+    again = scratch.keep(again, "again")
     single = at.where("weight = 1").join(again, ["w1", "w2"]).select("k1", "k2", "lo", F.lit(1).alias("n"))
     full = seeds.join(whole.where("times > 1").select("anchor", "sig"), ["anchor", "sig"]).select("k1", "k2", "lo", "n")
     found = scratch.keep(full.union(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("repeats")), "repeats")
