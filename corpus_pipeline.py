@@ -29,11 +29,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without words all stay."""
+    """Of each group of near copies the document with the smallest id stays (null ids come last, then the smallest text
+    key); groups are those of the links, whatever ids they hold. Documents without words all stay."""
     scratch = Scratch(spark)
     found = scratch.keep(ngram_join.join_components(docs, scratch).withColumnsRenamed({"doc_id": "_vw_id", "k1": "_vw_k1", "k2": "_vw_k2"}), "components")
-    first = found.where("n_shingles > 0").where(F.col("_vw_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("_vw_k1", "_vw_k2")).alias("k"), F.count(F.lit(1)).alias("times"))
-    stay = first.select(F.col("component_id").alias("_vw_id"), "k.*")
+    rows = found.where("comp is not null").groupBy("comp", "_vw_id", "_vw_k1", "_vw_k2").agg(F.count(F.lit(1)).alias("times"))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("_vw_id").isNull().alias("none"), "_vw_id", "_vw_k1", "_vw_k2", "times")).alias("k"))
+    first = scratch.keep(first.select("k._vw_id", "k._vw_k1", "k._vw_k2", "k.times"), "first")
+    stay = first.drop("times")
     k1, k2 = text_key(F.col("text"))
     keyed = docs.withColumns({"_vw_k1": k1, "_vw_k2": k2})
     none = F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0

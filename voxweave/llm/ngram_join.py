@@ -263,11 +263,11 @@ def each(c: Column) -> Column:
 
 
 def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per document: doc_id, k1, k2 (text key), n_shingles, component_id."""
+    """Per document: doc_id, k1, k2 (text key), n_shingles, component_id, and comp, the component itself whatever its ids (null without shingles)."""
     k1, k2 = text_key(F.col("text"))
     keyed = need(docs, "doc_id", "text").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     if keyed.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long, comp long")
     sets = scratch.keep(sets_of(keyed), "sets")
     sketch = sketch_of(sets)
     rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node")
@@ -322,4 +322,4 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     named = rows.join(comps, "node", "left").select("doc_id", "k1", "k2", "n", "node", F.coalesce("root", "node").alias("comp"))
     named = scratch.keep(named, "named")
     ids = scratch.keep(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "ids")
-    return named.join(ids, "comp", "left").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.join(ids, "comp", "left").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
