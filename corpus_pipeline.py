@@ -9,6 +9,9 @@ from voxweave.llm import line_templates, mixture_packing, ngram_join, quality_tr
 from voxweave.llm.common import Scratch, text_key
 from voxweave.llm.queries import table, vocabulary_path
 
+#: Near copies: words of a shingle, and the least similarity in percent.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of docs; n_chars follows the new text."""
@@ -29,10 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (null ids come last, then the smallest text
+    """Near copies share 80 % of their five-word shingles. Of each group of them the document with the smallest id stays (null ids come last, then the smallest text
     key); groups are those of the links, whatever ids they hold. Documents without words all stay."""
     scratch = Scratch(spark)
-    found = scratch.keep(ngram_join.join_components(docs, scratch).withColumnsRenamed({"doc_id": "_vw_id", "k1": "_vw_k1", "k2": "_vw_k2"}), "components")
+    found = scratch.keep(ngram_join.join_components(docs, scratch, NEAR_SHINGLE, NEAR_PERCENT).withColumnsRenamed({"doc_id": "_vw_id", "k1": "_vw_k1", "k2": "_vw_k2"}), "components")
     rows = found.where("comp is not null").groupBy("comp", "_vw_id", "_vw_k1", "_vw_k2").agg(F.count(F.lit(1)).alias("times"))
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("_vw_id").isNull().alias("none"), "_vw_id", "_vw_k1", "_vw_k2", "times")).alias("k"))
     first = scratch.keep(first.select("k._vw_id", "k._vw_k1", "k._vw_k2", "k.times"), "first")

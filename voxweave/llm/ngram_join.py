@@ -1,8 +1,8 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip, and the components of its links.
 
-A document's set holds its different SHINGLE-word shingles as 64-bit hashes; documents with equal sets are one node. Two
-sets with 100 * common >= 85 * union share at least T = ceil(0.85 n) of the n shingles of either, so they meet in SHARED inverted
-lists of the n - T + SHARED rarest; a document that meets others in fewer lists has no link. Rarity comes from a count of all shingles in SKETCH buckets, which bounds every list's
+A document's set holds its different shingles of `shingle` words as 64-bit hashes; documents with equal sets are one node. Two
+sets with 100 * common >= percent * union share at least T = ceil(percent / 100 * n) of the n shingles of either, so they meet in
+S = shared_lists(percent) inverted lists of the n - T + S rarest; a document that meets others in fewer lists has no link. Rarity comes from a count of all shingles in SKETCH buckets, which bounds every list's
 length from above; its order is the same everywhere, which is all that exactness needs. The rare (short) lists are spread
 over the cluster, and lists of one document vanish.
 
@@ -14,7 +14,7 @@ left; in those every node outside the group's largest component is searched amon
 are never emitted: a block yields a spanning forest of its links. So copies cost time in proportion to their number, and no
 link between different components is lost.
 
-Null texts, and texts without words, have no shingles and no links (component: their own id); fewer than SHINGLE words make
+Null texts, and texts without words, have no shingles and no links (component: their own id); fewer than `shingle` words make
 one shingle; very long texts are whole; repeated rows are equal sets; null ids take part in links but never are a component's
 id, unless all of its ids are null; an empty table gives an empty result. Other columns are ignored. Nodes are known by 64
 bits of hash: at n documents the chance of any wrong merge is about n**2 / 2**65.
@@ -22,6 +22,7 @@ bits of hash: at n documents the chance of any wrong merge is about n**2 / 2**65
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,29 +32,34 @@ from pyspark.sql import functions as F
 
 from .common import U64, Forest, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts, word_hashes
 
+#: Words of a shingle and least similarity, where a caller names no others.
 SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 19
 CHUNK = 1 << 12
 BLOCK = 256
-#: Shingles that linked sets share at least in their rare parts.
+#: Shingles that linked sets share at least in their rare parts, where sets that differ can't share fewer altogether.
 SHARED = 6
 #: Lists that can't be longer than this by the sketch are found with a window over the list; longer ones by partial sums.
 SHORT_LIST = 20_000
-_C = odd_numbers(SHINGLE, 31)
 #: Bytes of a shingle's hash that are shipped for comparing two sets.
 WIDTH = 6
 
 
-def shingles(raw: bytes) -> np.ndarray:
+@functools.cache
+def factors(shingle: int) -> np.ndarray:
+    return odd_numbers(shingle, 31)
+
+
+def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted different shingle hashes of one whole text."""
     words = raw.lower().split()
     if not words:
         return np.zeros(0, U64)
     wh = word_hashes(words)
-    k = min(SHINGLE, len(words))
+    k, c = min(shingle, len(words)), factors(shingle)
     h = np.full(len(wh) - k + 1, k, U64)
     for i in range(k):
-        h += wh[i : i + len(h)] * _C[i]
+        h += wh[i : i + len(h)] * c[i]
     return np.unique(mix(h))
 
 
@@ -62,10 +68,15 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
 
 
-def prefix_length(n: int) -> int:
-    """Linked sets share SHARED of so many of either's rarest shingles (sets of 6 or fewer only link with equal ones)."""
-    least = (PERCENT * n + 99) // 100
-    return n - least + min(SHARED, least)
+def shared_lists(percent: int) -> int:
+    """At most SHARED; sets that differ and link have a union above their common part, so 100 c >= percent (c + 1)."""
+    return min(SHARED, -(-percent // (100 - percent))) if percent < 100 else SHARED
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Linked sets that differ share shared_lists(percent) of so many of either's rarest shingles."""
+    least = (percent * n + 99) // 100
+    return n - least + min(shared_lists(percent), least)
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -78,7 +89,7 @@ def unpack_set(b: bytes) -> np.ndarray:
     return np.sort(out.view("<u8").ravel())
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per document (doc_id, k1, k2, n, node), node null without shingles; and, in rows of their own, chunk, places and
     counts of the sketch that a task has gathered."""
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
@@ -88,7 +99,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for b in batches:
             n, nodes = [], []
             for raw in texts(b, "text"):
-                s = shingles(raw)
+                s = shingles(raw, shingle)
                 n.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 np.add.at(sketch, (s & U64(SKETCH - 1)).astype(np.int64), 1)
@@ -125,8 +136,8 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, node, n, most) of each document's n - T + SHARED rarest shingles; n is its set's size, most bounds the list's length."""
+def postings(docs: DataFrame, sketch: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(token, node, n, most) of each document's prefix_length rarest shingles; n is its set's size, most bounds the list's length."""
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("most", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))  # SKETCH numbers, whatever the corpus
 
@@ -137,9 +148,9 @@ def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for i, j in slices(map(len, raw)):
                 parts: list[list] = [[], [], [], []]
                 for r in range(i, j):
-                    if len(s := shingles(raw[r])):
+                    if len(s := shingles(raw[r], shingle)):
                         size = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
-                        at = np.lexsort((s, size))[: prefix_length(len(s))]
+                        at = np.lexsort((s, size))[: prefix_length(len(s), percent)]
                         for p, v in zip(parts, (s[at], np.full(len(at), node_of(s)), np.full(len(at), len(s), np.int32), size[at]), strict=True):
                             p.append(v)
                 if parts[0]:
@@ -149,22 +160,22 @@ def postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return need(docs, "text").mapInArrow(run, "token long, node long, n int, most long")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def search(sets: list[np.ndarray], queries: list[int], members: list[int], group: list[int]) -> Iterator[tuple[int, int]]:
+def search(sets: list[np.ndarray], queries: list[int], members: list[int], group: list[int], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links of queries with members, on top of group (equal numbers are connected already).
 
-    T-occurrence over the members' inverted lists: for a query of n shingles, T = ceil(0.85 n); its L longest lists are put
+    T-occurrence over the members' inverted lists: for a query of n shingles, T = ceil(percent / 100 * n); its L longest lists are put
     aside, the others merged and counted, and members counted T - L times or more are looked up in the long lists.
     """
     first, forest = {}, Forest(len(sets))
     for i, g in enumerate(group):
         forest.join(i, first.setdefault(g, i))
     if len(sets) == 2:
-        if forest.find(0) != forest.find(1) and linked(*sets):
+        if forest.find(0) != forest.find(1) and linked(*sets, percent):
             yield 0, 1
         return
     sizes = np.array([len(sets[i]) for i in members])
@@ -172,7 +183,7 @@ def search(sets: list[np.ndarray], queries: list[int], members: list[int], group
     lists, bounds = np.repeat(np.arange(len(members)), sizes)[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(every)))])
     for q in queries:
         n = len(sets[q])
-        least = (PERCENT * n + 99) // 100
+        least = (percent * n + 99) // 100
         own = np.searchsorted(every, sets[q])
         own = own[every[np.minimum(own, len(every) - 1)] == sets[q]]
         if len(own) < least:
@@ -182,7 +193,7 @@ def search(sets: list[np.ndarray], queries: list[int], members: list[int], group
         put = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)))
         short, long = own[: len(own) - put], own[len(own) - put :]
         count = np.bincount(np.concatenate([lists[bounds[t] : bounds[t + 1]] for t in short]), minlength=len(members))
-        found = np.flatnonzero((count >= least - put) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
+        found = np.flatnonzero((count >= least - put) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
         root = forest.find(q)
         found = found[[forest.find(members[i]) != root for i in found.tolist()]] if len(found) else found
         count = count[found]
@@ -195,11 +206,11 @@ def search(sets: list[np.ndarray], queries: list[int], members: list[int], group
                 alive = count + (put - done) >= least
                 found, count = found[alive], count[alive]
         for i, c in zip(found.tolist(), count.tolist(), strict=True):
-            if 100 * c >= PERCENT * (n + int(sizes[i]) - c) and forest.join(q, members[i]):
+            if 100 * c >= percent * (n + int(sizes[i]) - c) and forest.join(q, members[i]):
                 yield q, members[i]
 
 
-def search_blocks(met: DataFrame) -> DataFrame:
+def search_blocks(met: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) within blocks. met: (g, block, node, set, comp, query, member): queries are searched among members."""
     names = ["g", "block", "node", "set", "comp", "query", "member"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -215,14 +226,14 @@ def search_blocks(met: DataFrame) -> DataFrame:
                 x[3] |= member
             nodes = list(seen)
             which = [[i for i, x in enumerate(nodes) if seen[x][k]] for k in (2, 3)]
-            edges = list(search([unpack_set(seen[x][0]) for x in nodes], *which, [seen[x][1] for x in nodes])) if all(which) else []
+            edges = list(search([unpack_set(seen[x][0]) for x in nodes], *which, [seen[x][1] for x in nodes], percent)) if all(which) else []
             if edges:
                 yield batch_of(schema, [[nodes[i] for i, _ in edges], [nodes[j] for _, j in edges]])
 
     return met.select(*names).repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(run, "a long, b long")
 
 
-def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame) -> DataFrame:
+def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(g, block, node, comp, query, member, set): the set of each node in places, sent where it is to be searched.
 
     firsts (node, id, k1, k2) names one document of each node, so that a text that many documents share is sent once.
@@ -236,7 +247,7 @@ def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame) -> DataFrame:
         for b in batches:
             raw, nodes, where = texts(b, "text"), b.column("node"), b.column("places").to_pylist()
             for i, j in slices(map(len, raw)):
-                packed = pa.array([pack_set(shingles(x)) for x in raw[i:j]], pa.binary())
+                packed = pa.array([pack_set(shingles(x, shingle)) for x in raw[i:j]], pa.binary())
                 row = pa.array(np.repeat(np.arange(j - i), [len(w) for w in where[i:j]]))
                 yield batch_of(schema, [*([p[k] for w in where[i:j] for p in w] for k, _ in kinds), nodes[i:j].take(row), packed.take(row)])
 
@@ -262,32 +273,32 @@ def each(c: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), c - 1))
 
 
-def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def join_components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, k1, k2 (text key), n_shingles, component_id, and comp, the component itself whatever its ids (null without shingles)."""
     k1, k2 = text_key(F.col("text"))
     keyed = need(docs, "doc_id", "text").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     if keyed.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long, comp long")
-    sets = scratch.keep(sets_of(keyed), "sets")
+    sets = scratch.keep(sets_of(keyed, shingle), "sets")
     sketch = sketch_of(sets)
     rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node")
 
     seen = Observation()
-    posted = postings(keyed, sketch).observe(seen, F.count(F.when(F.col("most") > SHORT_LIST, 1)).alias("long"))
+    posted = postings(keyed, sketch, shingle, percent).observe(seen, F.count(F.when(F.col("most") > SHORT_LIST, 1)).alias("long"))
     short = posted.where(F.col("most") <= SHORT_LIST)
     # Sets of a list that differ too much in size can't link: the list, ordered by size, is cut where the next is too large.
     rising = Window.partitionBy("token").orderBy("n", "node")
-    cut = F.coalesce(100 * F.lag("n").over(rising) < PERCENT * F.col("n"), F.lit(False)).cast("int")
+    cut = F.coalesce(100 * F.lag("n").over(rising) < percent * F.col("n"), F.lit(False)).cast("int")
     short = short.withColumn("cut", cut).withColumn("run", F.sum("cut").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
     over = Window.partitionBy("token", "run")
     short = short.select("token", "node", F.min("node").over(over).alias("low"), F.max("node").over(over).alias("high")).where("low <> high").select("token", "node", "low")
     shared = scratch.keep(short, "shared")
     if seen.get["long"]:
-        long = postings(keyed, sketch).where(F.col("most") > SHORT_LIST).select("token", "node")
+        long = postings(keyed, sketch, shingle, percent).where(F.col("most") > SHORT_LIST).select("token", "node")
         ends = long.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "low")
         ends = scratch.keep(ends, "long")  # joins of two written tables can split hot keys
         shared = scratch.keep(shared.union(long.join(ends, "token").select("token", "node", "low")), "shared")
-    often = scratch.keep(shared.select("token", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("node"), "often")
+    often = scratch.keep(shared.select("token", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= shared_lists(percent)).select("node"), "often")
     # Lists with the same smallest node make one group: its nodes meet once, not once for each list they share.
     lists = scratch.keep(shared.select(F.col("low").alias("g"), "node").distinct().join(often, "node"), "lists")
     firsts = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(id_key().alias("id"), "k1", "k2")).alias("k")).join(often, "node").select("node", "k.*")
@@ -299,7 +310,7 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     blocked = low.join(groups, "g").select("g", part_of(parts("m")).alias("block"), "node")
     heads = groups.select("g", each(parts("m")).alias("block"), F.col("g").alias("node"))
     places = blocked.union(heads).select("g", F.col("block").cast("long"), "node", F.col("node").alias("comp"), F.lit(True).alias("query"), F.lit(True).alias("member"))
-    edges = scratch.keep(search_blocks(routed(keyed, firsts, places)), "edges-1")
+    edges = scratch.keep(search_blocks(routed(keyed, firsts, places, shingle), percent), "edges-1")
     scratch.drop()
     comps = components(edges, scratch, "cc-1")
 
@@ -314,7 +325,7 @@ def join_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = inside.select("g", "node", "comp", "ub", part_of(F.col("mb")).alias("b"), each(F.col("ub")).alias("k")).withColumns({"query": F.lit(False), "member": F.lit(True)})
     asking = inside.where("comp <> main").select("g", "node", "comp", "ub", each(F.col("mb")).alias("b"), part_of(F.col("ub"), 1).alias("k")).withColumns({"query": F.lit(True), "member": F.lit(False)})
     places = members.union(asking).select("g", (F.col("b") * F.col("ub") + F.col("k")).cast("long").alias("block"), "node", "comp", "query", "member")
-    more = scratch.keep(search_blocks(routed(keyed, firsts, places)), "edges-2")
+    more = scratch.keep(search_blocks(routed(keyed, firsts, places, shingle), percent), "edges-2")
     scratch.drop("low", "held", "mixed", "largest", "groups", "lists", "often")
     if not more.isEmpty():
         comps = components(edges.union(more), scratch, "cc-2")

@@ -61,7 +61,7 @@ def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), Scratch(spark), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
