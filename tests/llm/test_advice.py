@@ -52,3 +52,13 @@ def test_near_copies_links_from_four_fifths_of_five_word_shingles(spark):
     assert want != brute_links(rows, 4, 85)
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert {r["doc_id"] for r in got} == {min(g) for g in want}
+
+
+def test_html_goes_on_after_stray_quotes():
+    from voxweave.llm import html_blocks
+
+    page = """<article><p class=it's>One.</p><p title="a"">Two.</p><p "x>Three.</p><a href='u'' b=">">Four.</a><p data-x=a"b id = main>Five.</p><p =">Six.</p><p title=>Seven.</p></article>"""
+    got = html_blocks.blocks_of(page)
+    assert [t for _, t, _ in got] == ["One.", "Two.", "Three.", "Four.", "Five.", "Six.", "Seven."]
+    assert [p[-1][1] for p, t, _ in got if t in ("One.", "Five.")] == [("it", "s"), ("main",)]
+    assert html_blocks.blocks_of('<p>One.</p><p title="never closed>Two.</p>')[0][1] == "One."

@@ -1,7 +1,8 @@
 """HTML extraction: a recurrent block labeller.
 
 A page becomes the sequence of its text blocks: leaf text between block-level tags. Each block has a vector of its hashed tag
-path (tags, and the words of class, id and role attributes), of its hashed words, and of lengths and link density. A
+path (tags, and the words of class, id and role attributes), of some of its hashed words, and of lengths and link density
+(words have a weight so small, and are random in training, that structure and lengths decide). A
 bidirectional LSTM in numpy reads the page's whole sequence, so each block is classified with the rest of the page in view;
 blocks labelled as main text are joined. The network is trained on made-up pages whose labels are known (see made_pages),
 always the same ones, so its weights are the same everywhere.
@@ -33,8 +34,11 @@ RAW = frozenset("script style template noscript iframe svg math canvas object".s
 #: An opening tag of these ends an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div main aside nav footer header form".split())
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Name and value as HTML reads them: a quote opens a value only right after "=", anywhere else it is a character like others.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
+_ATTRIBUTE = re.sub(r"\((?!\?)", "(?:", ATTRIBUTE.pattern)
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(>|\Z)", re.S)
+NAMES = frozenset(("class", "id", "role"))
 WORDS = re.compile(r"[A-Za-z][a-z]*")
 
 PATH, TEXT, NUMBERS, HIDDEN = 160, 24, 8, 20
@@ -63,7 +67,7 @@ def _path_vector(path: tuple) -> np.ndarray:
 
 @functools.lru_cache(1 << 12)
 def _attributes(text: str) -> tuple[str, ...]:
-    found = [x for m in ATTRIBUTE.finditer(text) for x in WORDS.findall(m[1] or m[2] or m[3] or "")]
+    found = [x for m in ATTRIBUTE.finditer(text) if m[1].lower() in NAMES for x in WORDS.findall(m[2] or m[3] or m[4] or "")]
     return tuple(dict.fromkeys(w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in map(str.lower, found)))
 
 
