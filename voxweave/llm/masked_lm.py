@@ -1,32 +1,49 @@
 """LM scoring: masked pseudo-likelihood of whole documents.
 
-Every token is predicted from its neighbours on both sides: P(token | left, right) = P(class | left class, right class) times
-P(word | class). The first factor is a window network (embeddings of both neighbours, a tanh layer, softmax over CLASSES)
-trained in numpy; the second comes from word counts. Both learn from the whole corpus: executors count words (in BUCKETS)
-and (left, middle, right) classes over every text, partial sums are shuffled, and what the driver holds has a fixed size.
-The network is trained on all windows at once, each weighted by its count, so training time doesn't depend on the corpus.
+Every token is predicted from its neighbours on both sides, with counts of the exact words and of the exact pairs of neighbours
+in the whole corpus, and a window network for what the counts don't know:
 
-The most frequent buckets are classes of their own; other words belong to one of 32 shapes. A document's score is the sum of
-its tokens' conditional log-probabilities; the ends of a text count as a class of their own.
+    P(w | l, r) = (c(l w) - 1 + c(w r) - 1 + PRIOR * P0) / (c(l) - 1 + c(r) - 1 + PRIOR)
+    P0 = P(class of w | classes of l and r) * (c(w) + 1) / (count of the class + different words + 1)
 
-Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole; ties in counts go to the smaller
-bucket; repeated rows get equal scores and count each; an empty table gives an empty result; other columns are ignored.
+The token itself is left out of the counts of its neighbours, so a pair that occurs once says nothing. P(class | ...) is the
+window network (embeddings of both neighbours, a tanh layer, softmax over CLASSES), trained in numpy on all windows at once,
+each weighted by its count; classes are the most frequent words (ties go to the smaller hash), 32 shapes, and the ends.
+
+Counts are distributed tables that grow with the corpus. Documents are cut into chunks of about CHUNK bytes; a chunk sends its
+different words and pairs, sorted 64-bit hashes, to ranges of hashes, of which there is one for RANGE bytes of text.
+Each range sums its counts and answers every chunk in the chunk's own order; then chunks are scored with their answers. What a
+task holds is a chunk or a range, what the driver holds are the classes' counts and the most frequent words of each range. At n
+different words and pairs the chance of any wrong count is about n**2 / 2**64.
+
+train and score are the same network over words in BUCKETS and without pairs, for scoring a table with a model of fixed size
+from another one.
+
+Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole; repeated rows get equal scores and
+count each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, need, slices, texts
+from .common import U64, Memo, Scratch, batch_of, groups_of, mix, need, slices, texts, word_hashes
 
 CLASSES, FREQUENT, BUCKETS = 64, 31, 1 << 18
 EMBEDDING, HIDDEN, STEPS, STEP = 8, 32, 300, 0.02
+#: How many occurrences of the neighbours the network's opinion is worth.
+PRIOR = 32.0
+#: Bytes of text in a chunk, and for each range of hashes.
+CHUNK, RANGE = 4 << 20, 8 << 20
+_END, _PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def shape(word: bytes) -> int:
@@ -61,7 +78,7 @@ def cells(c: np.ndarray) -> np.ndarray:
 
 
 def _counts(docs: DataFrame, size: int, keys) -> np.ndarray:
-    """Occurrences of keys(raw) in 0..size over all texts: one row a key and task is shuffled, `size` sums are collected."""
+    """Occurrences of keys(texts) in 0..size over all texts: one row a key and task is shuffled, `size` sums are collected."""
     schema = pa.schema([("key", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +86,7 @@ def _counts(docs: DataFrame, size: int, keys) -> np.ndarray:
         for b in batches:
             raw = texts(b, "text")
             for i, j in slices(map(len, raw)):
-                total += np.bincount(np.concatenate([keys(x) for x in raw[i:j]]), minlength=size)
+                total += np.bincount(keys(raw[i:j]), minlength=size)
         at = np.flatnonzero(total)
         yield batch_of(schema, [at.astype(np.int32), total[at]])
 
@@ -135,12 +152,12 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    words = _counts(docs, BUCKETS, lambda raw: codes(raw) >> 5)
+    words = _counts(docs, BUCKETS, lambda raw: np.concatenate([codes(x) >> 5 for x in raw]))
     own = np.zeros(BUCKETS, np.int64)
     top = np.lexsort((np.arange(BUCKETS), -words))[:FREQUENT]
     top = top[words[top] > 0]
     own[top] = np.arange(1, len(top) + 1)
-    triples = _counts(docs, CLASSES**3, lambda raw: cells(classes_of(codes(raw), own))).reshape(CLASSES, CLASSES, CLASSES)
+    triples = _counts(docs, CLASSES**3, lambda raw: np.concatenate([cells(classes_of(codes(x), own)) for x in raw])).reshape(CLASSES, CLASSES, CLASSES)
     net = WindowNetwork()
     net.train(triples.transpose(0, 2, 1).reshape(CLASSES * CLASSES, CLASSES).astype(np.float64))
     kinds = np.count_nonzero(words)
@@ -158,3 +175,168 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield batch_of(schema, [b.column("doc_id"), [n for n, _ in found], [x for _, x in found], [x / n if n else None for n, x in found]])
 
     return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+
+
+_SHAPES = Memo(shape)
+
+
+def sequence(raw: list[bytes], shaped: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: the hashes of their words in turn, _END before, between and behind texts with words; the words'
+    shapes (0 if not shaped), -1 at ends; the numbers of words."""
+    words, n = [], []
+    for x in raw:
+        w = x.split()
+        n.append(len(w))
+        words += w
+    size = np.array(n, np.int64)
+    some = size[size > 0]
+    at = np.arange(len(words)) + np.repeat(np.arange(1, len(some) + 1), some)
+    seq, shapes = np.full(len(words) + len(some) + 1, _END, U64), np.full(len(words) + len(some) + 1, -1, np.int64)
+    seq[at] = word_hashes(words)
+    shapes[at] = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words)) if shaped else 0
+    return seq, shapes, size
+
+
+def pack_keys(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys of a range that begins at base, as gaps of as many bytes as the largest one needs."""
+    gaps = np.diff(keys, prepend=U64(base))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(b: bytes, base: int) -> np.ndarray:
+    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    return np.cumsum(out.view("<u8").ravel(), dtype=U64) + U64(base)
+
+
+def keys_of(seq: np.ndarray) -> np.ndarray:
+    """Words (odd numbers), then pairs with the next word (even ones), of all places but the last; an end counts as a word."""
+    return np.concatenate([seq[:-1] | U64(1), mix(seq[:-1] * _PAIR + seq[1:]) & ~U64(1)])
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Their number, one byte for each (255 for those of 255 or more), then those of 255 or more in 64 bits."""
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, "<i8", offset=8 + n)
+    return out
+
+
+def chunks_of(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, doc_id, text): neighbouring documents make chunks of about so many bytes."""
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            raw, numbers = texts(b, "text"), []
+            for x in raw:
+                if size and size + len(x) > chunk:
+                    number, size = number + 1, 0
+                size += len(x)
+                numbers.append(number)
+            yield batch_of(schema, [numbers, b.column("doc_id"), raw])
+
+    return need(docs, "doc_id", "text").mapInArrow(run, "chunk long, doc_id long, text binary")
+
+
+def keyed(chunks: DataFrame, bits: int) -> DataFrame:
+    """(range, chunk, keys: packed, counts: 32 bits each) of each chunk, of each part of one if Spark reads it in parts."""
+    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    borders = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (number,), rows in groups_of(batches, 1, ["chunk", "text"]):
+            keys, counts = np.unique(keys_of(sequence([x for _, x in rows], False)[0]), return_counts=True)
+            cut = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
+            full = [(k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            yield batch_of(schema, [[k for k, _, _ in full], [number] * len(full), [pack_keys(keys[a:b], k << 64 - bits) for k, a, b in full], [counts[a:b].astype("<u4").tobytes() for _, a, b in full]])
+
+    return chunks.select("chunk", "text").mapInArrow(run, "range int, chunk long, keys binary, counts binary")
+
+
+def totals_of(keys: DataFrame, bits: int) -> DataFrame:
+    """(chunk, range, counts: the corpus's counts of the chunk's sorted keys in that range, packed); and in rows with
+    chunk -1 the most frequent words of the range: keys, counts and how many different words it has."""
+    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (number,), rows in groups_of(batches, 1, ["range", "chunk", "keys", "counts"]):
+            parts = [unpack_keys(r[2], number << 64 - bits) for r in rows]
+            every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, inverse, np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
+            word = np.flatnonzero((every & U64(1) == 1) & (every != _END | U64(1)))
+            top = word[np.lexsort((every[word], -total[word]))[:FREQUENT]]
+            yield batch_of(schema, [[-1], [number], [every[top].tobytes()], [total[top].tobytes()], [len(word)]])
+            ends = np.cumsum([0, *map(len, parts)]).tolist()
+            for chunk, of in itertools.groupby(range(len(rows)), key=lambda k: rows[k][1]):
+                of = list(of)
+                own = inverse[ends[of[0]] : ends[of[-1] + 1]]
+                yield batch_of(schema, [[chunk], [number], [None], [pack_counts(total[own if len(of) == 1 else np.unique(own)])], [None]])
+
+    return keys.repartition("range").sortWithinPartitions("range", "chunk").mapInArrow(run, "chunk long, range int, keys binary, counts binary, words long")
+
+
+def classes_in(seq: np.ndarray, shapes: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """0 at ends; top: sorted keys of the words that are classes of their own, number: those classes."""
+    c = np.where(shapes < 0, 0, FREQUENT + 1 + shapes)
+    if len(top):
+        at = np.minimum(np.searchsorted(top, seq | U64(1)), len(top) - 1)
+        c = np.where((top[at] == seq | U64(1)) & (shapes >= 0), number[at], c)
+    return c
+
+
+def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob of documents in the model of exactly these documents."""
+    length = need(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, (length // size).bit_length())
+    chunks = scratch.keep(chunks_of(docs, chunk), "chunks")
+    answers = scratch.keep(totals_of(keyed(chunks, bits), bits), "answers")
+    scratch.drop()
+    found = answers.where("chunk < 0").select("keys", "counts", "words").collect()  # FREQUENT words a range
+    kinds = sum(r["words"] for r in found)
+    keys, counts = (np.concatenate([np.frombuffer(r[k], t) for r in found] or [np.zeros(0, t)]) for k, t in (("keys", "<u8"), ("counts", "<i8")))
+    first = np.lexsort((keys, -counts))[:FREQUENT]
+    order = np.argsort(keys[first])
+    top, number = keys[first][order], order + 1
+
+    def windows(raw: list[bytes]) -> np.ndarray:
+        seq, shapes, _ = sequence(raw)
+        c, t = classes_in(seq, shapes, top, number), np.flatnonzero(shapes >= 0)
+        return (c[t - 1] * CLASSES + c[t]) * CLASSES + c[t + 1]
+
+    triples = _counts(chunks.select("text"), CLASSES**3, windows).reshape(CLASSES, CLASSES, CLASSES)
+    net = WindowNetwork()
+    net.train(triples.transpose(0, 2, 1).reshape(CLASSES * CLASSES, CLASSES).astype(np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast((net.table(), np.log(triples.sum((0, 2)) + kinds + 1.0)))  # of classes
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, totals = shared.value
+        for _, rows in groups_of(batches, 1, ["chunk", "range", "doc_id", "text", "counts"]):
+            ids, raw = [r[2] for r in rows if r[1] < 0], [r[3] or b"" for r in rows if r[1] < 0]
+            seq, shapes, n = sequence(raw)
+            known = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(r[4]) for r in rows if r[1] >= 0)])
+            every, inverse = np.unique(keys_of(seq), return_inverse=True)
+            if len(every) != len(known):
+                raise ValueError("counts of a chunk are missing")
+            m = len(seq) - 1
+            own, pair = np.append(known[inverse[:m]], known[inverse[0]] if m else 0), known[inverse[m:]]
+            t = np.flatnonzero(shapes >= 0)
+            c = classes_in(seq, shapes, top, number)
+            base = np.exp(table[(c[t - 1] * CLASSES + c[t]) * CLASSES + c[t + 1]] + np.log(own[t] + 1.0) - totals[c[t]])
+            one = np.log(pair[t - 1] + pair[t] - 2 + PRIOR * base) - np.log(own[t - 1] + own[t + 1] - 2 + PRIOR)
+            sums = np.zeros(len(n))
+            if len(t):
+                sums[n > 0] = np.add.reduceat(one, (np.cumsum(n) - n)[n > 0])
+            yield batch_of(schema, [ids, n, sums, [x / k if k else None for x, k in zip(sums.tolist(), n.tolist(), strict=True)]])
+
+    both = chunks.select("chunk", F.lit(-1).alias("range"), "doc_id", "text", F.lit(None).cast("binary").alias("counts"))
+    both = both.union(answers.where("chunk >= 0").select("chunk", "range", F.lit(None).cast("long"), F.lit(None).cast("binary"), "counts"))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "range").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

@@ -35,9 +35,7 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    Scratch(spark)
-    return masked_lm.score(docs, masked_lm.train(docs))
+    return masked_lm.score_corpus(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
