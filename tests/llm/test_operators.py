@@ -205,26 +205,85 @@ def test_packing(spark, docs, empty):
     assert mixture_packing.pack(empty, vocabulary_path(), Scratch(spark)).count() == 0
 
 
-@given(st.lists(st.integers(0, 700), min_size=1, max_size=6), st.sampled_from([None, {0: 3.0, 1: 1.0}]))
-@settings(max_examples=100, deadline=None)
-def test_schedule(totals, targets):
-    packer = mixture_packing.Packer(mixture_packing.schedule(totals, 32, targets), 32)
-    seen = collections.defaultdict(list)
-    for q, total in enumerate(totals):
-        at = 0
-        for s, n, w, o in (p for arrays in packer.pieces(q, 0, total) for p in zip(*(a.tolist() for a in arrays))):
-            assert s == at
-            at += n
-            seen[w].append((o, n))
-        assert at == total
-    full = sum(totals) // 32
+def dealt(totals, weights, length, x):
+    """What every queue holds of the first x tokens, by walking down the tree with plain numbers."""
+    tree = mixture_packing.Packer(totals, length, weights).tree
+    out = []
+    for q in range(len(totals)):
+        v = x
+        for node, side in zip(tree.node[q].tolist(), tree.side[q].tolist()):
+            if node >= 0:
+                left = min(int(tree.left[node]), max(v * int(tree.ratio[node]) >> mixture_packing.BITS, v - int(tree.right[node])))
+                v = v - left if side else left
+        out.append(v)
+    return out
+
+
+@given(st.lists(st.integers(1, 700), min_size=1, max_size=40), st.sampled_from([None, [3.0, 1.0], [0.0, 5.0, 0.001]]), st.integers(1, 64))
+@settings(max_examples=150, deadline=None)
+def test_mixture(totals, few, length):
+    weights = (few * len(totals))[: len(totals)] if few else None
+    packer = mixture_packing.Packer(totals, length, weights)
+    seen, n = collections.defaultdict(list), len(totals)
+    row, start, size, window, offset = packer.pieces(np.arange(n), np.zeros(n, np.int64), np.array(totals))
+    for q in range(n):  # each token lies in exactly one piece
+        assert start[row == q].tolist() == [0, *np.cumsum(size[row == q]).tolist()[:-1]] and size[row == q].sum() == totals[q]
+    for w, o, k in zip(window.tolist(), offset.tolist(), size.tolist()):
+        seen[w].append((o, k))
+    full = sum(totals) // length
     for w, parts in seen.items():
         at = 0
-        for o, n in sorted(parts):
+        for o, k in sorted(parts):
             assert o == at
-            at += n
-        assert at == 32 if w < full else bin(at).count("1") == 1
-    assert len(seen) == full + bin(sum(totals) % 32).count("1")
+            at += k
+        assert at == length if w < full else bin(at).count("1") == 1
+    assert len(seen) == full + bin(sum(totals) % length).count("1")
+    for w in {0, full // 2, full}:
+        want = dealt(totals, weights, length, w * length)
+        assert [int(size[(row == q) & (window < w)].sum()) for q in range(n)] == want and sum(want) == w * length
+    # Parts of documents give the same pieces as whole queues, cut where the parts end.
+    cut = np.array([t // 3 for t in totals])
+    some = cut > 0
+    r2, s2, n2, w2, o2 = packer.pieces(np.arange(n)[some], np.zeros(some.sum(), np.int64), cut[some])
+    whole = {(q, t): (w, o + t - s) for q, s, k, w, o in zip(row.tolist(), start.tolist(), size.tolist(), window.tolist(), offset.tolist()) for t in range(s, s + k)}
+    names = np.flatnonzero(some)
+    assert all(whole[int(names[q]), t] == (w, o + t - s) for q, s, k, w, o in zip(r2.tolist(), s2.tolist(), n2.tolist(), w2.tolist(), o2.tolist()) for t in range(s, s + k))
+
+
+def test_mixture_keeps_target_proportions_with_many_queues():
+    r = np.random.default_rng(4)
+    totals = r.integers(1, 3000, 5000).tolist()  # more queues than a window has tokens
+    packer = mixture_packing.Packer(totals, 2048)
+    depth, total, q = packer.tree.node.shape[1], sum(totals), np.arange(len(totals))
+    last = np.zeros(len(totals), np.int64)
+    for w in range(0, packer.windows + 1, 97):
+        got = packer.upto(q, np.full(len(q), w))
+        assert got.sum() == w * 2048 and (got >= last).all() and np.abs(got - np.array(totals) * (w * 2048 / total)).max() <= depth
+        last = got
+    targets = [5.0, 3.0, 2.0, 0.5]
+    packer = mixture_packing.Packer([10_000, 40_000, 30_000, 9_000], 100, targets)
+    for w in range(1, 200):  # all queues live
+        got = packer.upto(np.arange(4), np.full(4, w))
+        assert np.abs(got - np.array(targets) / 10.5 * w * 100).max() <= 3
+    a, b = (packer.upto(np.arange(4), np.full(4, w)) for w in (300, 500))  # the first has run dry: the others keep their proportions
+    assert a[0] == 10_000 and np.abs((b - a)[1:] - np.array([3.0, 2.0, 0.5]) / 5.5 * 20_000).max() <= 4
+
+
+def test_packing_names_sources_and_pieces(spark, docs, monkeypatch):
+    t = library()
+    rows = [(i, body(i, 5 + i % 40), f"site{i % 150}") for i in range(400)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixture_packing.pack(many, vocabulary_path(), Scratch(spark), 64, {"site3": 2.0, "site4": 1.0, "nowhere": 9.0}).toPandas()
+    ids = {i: np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for i, x, _ in rows}
+    for p in got.itertuples():
+        assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids[p.doc_id]) and p.source == f"site{p.doc_id % 150}"
+    assert got.length.sum() == sum(map(len, ids.values()))
+    assert set(got[got.sequence_id < 2].source) <= {"site3", "site4"}
+    first = got[got.sequence_id == 0].groupby("source").length.sum()
+    assert abs(first["site3"] - 64 * 2 / 3) <= 1
+    monkeypatch.setattr(mixture_packing, "MOST_QUEUES", 100)
+    with pytest.raises(ValueError, match="different sources"):
+        mixture_packing.pack(many, vocabulary_path(), Scratch(spark), 64)
 
 
 def test_line_templates(spark, empty):

@@ -1,11 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every window takes from each queue its share of the target mixture; what rounding leaves over is the queue's deficit, which
-the next window pays out. With integer shares q of 2**SHARE_BITS the tokens that the queues up to some queue have given by
-window j are floor(j * L * Q / 2**SHARE_BITS), Q their summed shares: each queue's deficit stays below one token for ever,
-windows are always full, and the state after any window is known without running through those before. Queues that run dry
-leave in an uneven window, and the rest go on with renewed shares; the schedule lists those phases, of which there are
-about as many as queues. So every partition packs its own documents, from the same running deficits, without a shuffle.
+later windows pay out. The round-robin is in closed form: queues are the leaves of a binary tree whose nodes deal their
+tokens to two sides (Tree), so what a queue has given by any window is known without running through those before, and stays
+within one token a level of its share. A queue may have less than one token in a window. Queues that run dry leave their
+share to the others. So every partition packs its own documents, from the same running deficits, without a shuffle.
 
 Texts are tokenized once into a scratch table of 16-bit ids with each row's position in its queue; only sums per partition
 and queue are gathered. Documents are cut freely at window borders. Tokens after the last full window make sequences that
@@ -13,12 +12,14 @@ are powers of two, so nothing is padded.
 
 Null text counts as empty (it still holds the end id); null sources share one queue; repeated rows and ids are packed each;
 ties cannot occur, since a queue's order is that of partitions and rows; an empty table gives no pieces; other columns are
-ignored. Beyond `most_queues` sources (at most half a window's tokens), queues are hashes of sources. A source whose share is less
-than one token of a window gives one token a window until it is dry.
+ignored. All sources keep queues of their own; more than MOST_QUEUES different ones raise an error, as the tree, about 100
+bytes a source, is held by the driver and every worker.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import os
 import re
 import zlib
@@ -35,8 +36,13 @@ from .pieces import END, is_latin, split_words
 
 SEQUENCE = 2048
 END_ID = 1
-SHARE_BITS = 20
-MOST_QUEUES = 1024
+#: Shares are parts of ONE.
+BITS = 30
+ONE = 1 << BITS
+#: Classes of the time at which queues run dry, for each doubling.
+CLASS = 8
+#: Different sources that the driver and each worker hold a tree of.
+MOST_QUEUES = 1 << 17
 #: Rows of the table of offsets that may be broadcast (about 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 MEMO = 1_000_000
@@ -93,111 +99,135 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
-def shares(left: dict[int, int], targets: dict[int, float] | None, length: int = SEQUENCE) -> dict[int, int]:
-    """Integer shares of 2**SHARE_BITS over the queues that have tokens left: at least one token of a window each, so that
-    no queue's running total ever falls, and else in proportion."""
-    want = {s: max(0.0, float(targets.get(s, 0.0))) if targets else float(n) for s, n in left.items()}
-    if not sum(want.values()):
-        want = {s: float(n) for s, n in left.items()}
-    whole, least = 1 << SHARE_BITS, -(-(1 << SHARE_BITS) // length)
-    if len(left) * least > whole:
-        raise ValueError("more queues than tokens in a window")
-    out: dict[int, int] = {}
-    while small := [s for s in want if s not in out and want[s] * (whole - least * len(out)) < least * sum(w for k, w in want.items() if k not in out)]:
-        out |= dict.fromkeys(small, least)
-    rest, total = whole - least * len(out), sum(w for s, w in want.items() if s not in out)
-    out |= {s: int(w / total * rest) for s, w in want.items() if s not in out}
-    largest = max(out, key=lambda s: (out[s], -s))
-    out[largest] += whole - sum(out.values())
-    return out
-
-
-def schedule(totals: list[int], length: int = SEQUENCE, targets: dict[int, float] | None = None) -> list[tuple]:
-    """Phases (first window, windows, tokens that each queue gave before, cumulative shares before each queue, shares);
-    a phase of uneven windows has one window and counts of tokens instead of shares (windows = 0 marks it)."""
-    given, n, phases, window = [0] * len(totals), len(totals), [], 0
-    while sum(totals) - sum(given) >= length:
-        left = {s: totals[s] - given[s] for s in range(n) if totals[s] > given[s]}
-        q = shares(left, targets, length)
-        before, acc = [0] * n, 0
-        for s in range(n):
-            before[s] = acc
-            acc += q.get(s, 0)
-        # A queue gives at most one token more than its share by any window.
-        m = min((left[s] - 1) * (1 << SHARE_BITS) // (length * q[s]) for s in left)
-        take = lambda s, j, before=before, q=q: (j * length * (before[s] + q.get(s, 0)) >> SHARE_BITS) - (j * length * before[s] >> SHARE_BITS)
-        while m and any(take(s, m) > left[s] for s in left):
-            m -= 1
-        if m:
-            phases.append((window, m, tuple(given), tuple(before), tuple(q.get(s, 0) for s in range(n))))
-            for s in left:
-                given[s] += take(s, m)
-            window += m
-        else:
-            counts, room = [0] * n, length
-            for s in left:
-                counts[s] = min(left[s], take(s, 1))
-                room -= counts[s]
-            for s in left:
-                more = min(room, left[s] - counts[s])
-                counts[s] += more
-                room -= more
-            phases.append((window, 0, tuple(given), tuple(np.cumsum([0, *counts[:-1]]).tolist()), tuple(counts)))
-            given = [g + c for g, c in zip(given, counts, strict=True)]
-            window += 1
-    rest = [t - g for t, g in zip(totals, given, strict=True)]
-    if sum(rest):
-        phases.append((window, -1, tuple(given), tuple(np.cumsum([0, *rest[:-1]]).tolist()), tuple(rest)))
-    return phases
+class Tree:
+    """Who gets which tokens: queues are the leaves of a binary tree, and each node deals its tokens to its two sides.
+
+    Of the first x tokens of a node with the tokens left and right below its sides, the left side gets
+    min(left, max(floor(x * r), x - right)), r being its part of the node's weight: its share, or what the other side can't
+    give any more. Both sides' sums never fall, so every queue's running total follows its share within one token for each
+    level, for ever and at any number of queues. What rounding leaves over at a level is the deficit that later windows pay.
+    Queues stand by the time at which they run dry (in classes of a CLASS part of a doubling): those that run dry first
+    split off nearest the root, so what they leave goes to all others in proportion.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float]):
+        n = len(totals)
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.ratio: list[int] = []
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        dry = [math.floor(CLASS * math.log2(max(t, 1) / w)) if w > 0 else 1 << 20 for t, w in zip(totals, weights, strict=True)]
+        order = sorted(range(n), key=lambda s: (dry[s], s))
+        weight, total = [0.0], [0]
+        for s in order:
+            weight.append(weight[-1] + weights[s])
+            total.append(total[-1] + totals[s])
+
+        def split(a: int, m: int, b: int) -> int:
+            """The number of the node that deals to order[a:m] and order[m:b]."""
+            whole, part = weight[b] - weight[a], weight[m] - weight[a]
+            if whole <= 0:  # queues that are to be used only when all others are dry
+                whole, part = float(total[b] - total[a]), float(total[m] - total[a])
+            self.left.append(total[m] - total[a])
+            self.right.append(total[b] - total[m])
+            self.ratio.append(min(ONE, round(part / whole * ONE)))
+            return len(self.ratio) - 1
+
+        classes = [0, *(k for k in range(1, n) if dry[order[k]] != dry[order[k - 1]]), n]
+        stack, spine = [], []
+        for a, b in itertools.pairwise(classes if n else []):
+            above = list(spine)
+            if b < n:
+                node = split(a, b, n)
+                above.append((node, 0))
+                spine.append((node, 1))
+            stack.append((a, b, above))
+        while stack:
+            a, b, above = stack.pop()
+            if b - a == 1:
+                paths[order[a]] = above
+                continue
+            m = (a + b) // 2
+            node = split(a, m, b)
+            stack += [(a, m, [*above, (node, 0)]), (m, b, [*above, (node, 1)])]
+        self.left, self.right, self.ratio = (np.array(x, np.int64) for x in (self.left, self.right, self.ratio))
+        depth = max(map(len, paths), default=0)
+        self.node, self.side = np.full((n, depth), -1, np.int32), np.zeros((n, depth), np.int8)
+        for s, path in enumerate(paths):
+            for k, (node, side) in enumerate(path):
+                self.node[s, k], self.side[s, k] = node, side
+
+    def given(self, queue: np.ndarray, *x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """What the queues hold of the first x tokens, for each x; and how many of those from the first to the last x stand
+        before theirs."""
+        x, before = [np.array(v, np.int64) for v in x], np.zeros(len(queue), np.int64)
+        for k in range(self.node.shape[1]):
+            at = np.flatnonzero(self.node[queue, k] >= 0)
+            node, right = self.node[queue[at], k], self.side[queue[at], k] > 0
+            own = [v[at] for v in x]
+            # x * ratio >> BITS in 64 bits, as x is cut in two
+            left = [np.minimum(self.left[node], np.maximum((v >> BITS) * self.ratio[node] + ((v & ONE - 1) * self.ratio[node] >> BITS), v - self.right[node])) for v in own]
+            before[at] += np.where(right, left[-1] - left[0], 0)
+            for v, o, g in zip(x, own, left, strict=True):
+                v[at] = np.where(right, o - g, g)
+        return x, before
 
 
 class Packer:
-    """Where a queue's tokens go."""
-
-    def __init__(self, phases: list[tuple], length: int = SEQUENCE):
-        self.phases, self.length = phases, length
-        self.given = np.array([p[2] for p in phases], np.int64).reshape(len(phases), len(phases[0][2]) if phases else 0)
-
-    def pieces(self, queue: int, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of tokens start..end of a queue: arrays of (start, length, sequence, offset)."""
-        k = int(np.searchsorted(self.given[:, queue], start, side="right")) - 1 if start < end else 0
-        while start < end:
-            window, m, given, before, share = self.phases[k]
-            stop = end if k + 1 == len(self.phases) else min(end, int(self.given[k + 1, queue]))
-            if stop > start:
-                a, b, lo, q = start - given[queue], stop - given[queue], before[queue], share[queue]
-                if m > 0:
-                    # length * share >> SHARE_BITS in 64 bits: the common factor of two powers is taken out first.
-                    bits = (self.length & -self.length).bit_length() - 1
-                    unit, shift = self.length >> bits, SHARE_BITS - bits
-                    below = lambda j, x, unit=unit, shift=shift: (j * (unit * x)) >> shift if shift >= 0 else (j * (unit * x)) << -shift
-                    # Given tokens differ from a queue's share by less than one, which can be many windows of a small queue.
-                    j0 = max(0, (a - 1 << SHARE_BITS) // (self.length * q) - 1)
-                    j1 = min(m, (b + 1 << SHARE_BITS) // (self.length * q) + 2)
-                    j = np.arange(j0, j1 + 1, dtype=np.int64)
-                    low = below(j, lo)
-                    at = below(j, lo + q) - low
-                    s, e = np.maximum(at[:-1], a), np.minimum(at[1:], b)
-                    ok = e > s
-                    yield s[ok] + given[queue], (e - s)[ok], (window + j[:-1])[ok], ((low[1:] - low[:-1]) + s - at[:-1])[ok]
-                elif m == 0:
-                    yield tuple(np.array([x], np.int64) for x in (start, stop - start, window, lo + a))
-                else:  # the rest: sequences of descending powers of two
-                    total, at, i = before[-1] + share[-1], 0, 0
-                    for bit in range(total.bit_length() - 1, -1, -1):
-                        if size := total & 1 << bit:
-                            s, e = max(at, lo + a), min(at + size, lo + b)
-                            if e > s:
-                                yield tuple(np.array([x], np.int64) for x in (s - lo + given[queue], e - s, window + i, s - at))
-                            at, i = at + size, i + 1
-            start, k = max(start, stop), k + 1
-
-
-def tokenize(docs: DataFrame, path: str, most_queues: int = MOST_QUEUES) -> DataFrame:
+    """Where the queues' tokens go: windows of `length` tokens, and at the end sequences that are powers of two."""
+
+    def __init__(self, totals: list[int], length: int = SEQUENCE, weights: list[float] | None = None):
+        self.tree, self.length, self.total = Tree(totals, weights or [float(t) for t in totals]), length, sum(totals)
+        self.windows, rest = divmod(self.total, length)
+        self.cuts = np.array([0, *itertools.accumulate(1 << bit for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1)], np.int64)
+
+    def upto(self, queue: np.ndarray, window: np.ndarray) -> np.ndarray:
+        return self.tree.given(queue, np.minimum(window * self.length, self.total))[0][0]
+
+    def window_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The window in which the token at each place of its queue stands, by bisection."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.windows + 1, np.int64)
+        while (high - low > 1).any():
+            middle = low + high >> 1
+            over = self.upto(queue, middle) > at
+            low, high = np.where(over, low, middle), np.where(over, middle, high)
+        return low
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of tokens start..start+size of each queue: (number of the row, start, length, sequence, offset) in order."""
+        first, last = self.window_of(queue, start), self.window_of(queue, start + size - 1)
+        count = last - first + 1
+        rare = count > 4 * size  # a queue that gives less than one token a window: ask for each token's window instead
+        row = np.repeat(np.arange(len(queue)), np.where(rare, 0, count))
+        window = first[row] + np.arange(len(row)) - (np.cumsum(np.where(rare, 0, count)) - np.where(rare, 0, count))[row]
+        if rare.any():
+            r = np.repeat(np.arange(len(queue)), np.where(rare, size, 0))
+            t = start[r] + np.arange(len(r)) - (np.cumsum(np.where(rare, size, 0)) - np.where(rare, size, 0))[r]
+            w = self.window_of(queue[r], t)
+            new = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))
+            row, window = np.concatenate([row, r[new]]), np.concatenate([window, w[new]])
+            order = np.lexsort((window, row))
+            row, window = row[order], window[order]
+        (begin, end), before = self.tree.given(queue[row], window * self.length, np.minimum((window + 1) * self.length, self.total))
+        s, e = np.maximum(begin, start[row]), np.minimum(end, (start + size)[row])
+        ok = e > s
+        row, s, e, window, offset = row[ok], s[ok], e[ok], window[ok], (before + s - begin)[ok]
+        if len(self.cuts) < 2 or not (late := window == self.windows).any():
+            return row, s, e - s, window, offset
+        # The rest: a piece is cut at the borders of the descending powers of two.
+        k0 = np.where(late, np.searchsorted(self.cuts, offset, side="right") - 1, 0)
+        k1 = np.where(late, np.searchsorted(self.cuts, offset + (e - s), side="left") - 1, 0)
+        at = np.repeat(np.arange(len(row)), k1 - k0 + 1)
+        k = k0[at] + np.arange(len(at)) - (np.cumsum(k1 - k0 + 1) - (k1 - k0 + 1))[at]
+        late, low, high = late[at], self.cuts[k], self.cuts[np.minimum(k + 1, len(self.cuts) - 1)]
+        a = np.where(late, np.maximum(offset[at], low), offset[at])
+        b = np.where(late, np.minimum((offset + e - s)[at], high), (offset + e - s)[at])
+        return row[at], s[at] + a - offset[at], b - a, window[at] + np.where(late, k, 0), np.where(late, a - low, a)
+
+
+def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """(part, doc_id, queue, before: tokens of its queue earlier in its partition, n, ids: 16 bits each)."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if docs.select(source.alias("s")).distinct().limit(most_queues + 1).count() > most_queues:
-        source = F.pmod(F.xxhash64(source), F.lit(most_queues)).cast("string")
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("queue", pa.string()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     end = np.array([END_ID], "<u2").tobytes()
 
@@ -219,16 +249,21 @@ def tokenize(docs: DataFrame, path: str, most_queues: int = MOST_QUEUES) -> Data
 def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = SEQUENCE, targets: dict[str, float] | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    targets: source -> weight of the mixture; without it, each source's own part of all tokens.
+    targets: source -> weight of the mixture (sources without one come when all others are dry); without it, each source's
+    own part of all tokens.
     """
-    tokens = scratch.keep(tokenize(docs, path, min(MOST_QUEUES, length // 2)), "tokens")
+    tokens = scratch.keep(tokenize(docs, path), "tokens")
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("sum"))
     # One row for each partition and queue: small whatever a queue's part of the rows.
     base = F.sum("sum").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = scratch.keep(sums.select("part", "queue", "sum", F.coalesce(base, F.lit(0)).alias("base")), "offsets")
-    totals = sorted((r["queue"], r["total"]) for r in offsets.groupBy("queue").agg(F.sum("sum").alias("total")).collect())  # at most most_queues rows
+    found = offsets.groupBy("queue").agg(F.sum("sum").alias("total")).limit(MOST_QUEUES + 1).collect()
+    if len(found) > MOST_QUEUES:
+        raise ValueError(f"more than {MOST_QUEUES} different sources: give documents a coarser source to mix by")
+    totals = sorted((r["queue"], r["total"]) for r in found)
     number = {q: i for i, (q, _) in enumerate(totals)}
-    packer = Packer(schedule([t for _, t in totals], length, {number[q]: w for q, w in targets.items() if q in number} if targets else None), length)
+    weights = [max(0.0, float(targets.get(q, 0.0))) for q, _ in totals] if targets else None
+    shared = docs.sparkSession.sparkContext.broadcast((Packer([t for _, t in totals], length, weights), number))  # grows with the sources, not with the rows
     offsets = offsets.select("part", "queue", "base")
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
@@ -236,24 +271,18 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = SEQUENCE, t
     schema = pa.schema([*((n, pa.int64()) for n in names), ("source", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, number = shared.value
         for b in batches:
-            doc, queue, ids = b.column("doc_id").to_pylist(), b.column("queue").to_pylist(), b.column("ids").to_pylist()
-            first = (b.column("before").to_numpy() + b.column("base").to_numpy()).tolist()
+            doc, source, ids = b.column("doc_id"), b.column("queue"), b.column("ids").to_pylist()
+            queue = np.array([number[q] for q in source.to_pylist()], np.int64)
+            first = b.column("before").to_numpy() + b.column("base").to_numpy()
             for i, j in slices(map(len, ids)):
-                which, per, crc, cols = [], [], [], [[], [], [], []]
-                for r in range(i, j):
-                    wide = memoryview(np.frombuffer(ids[r], "<u2").astype("<u4").tobytes())
-                    n, made = len(ids[r]) // 2, 0
-                    for piece in packer.pieces(number[queue[r]], first[r], first[r] + n):
-                        piece = (piece[0] - first[r], *piece[1:])
-                        for c, v in zip(cols, piece, strict=True):
-                            c.append(v)
-                        made += len(piece[0])
-                        crc += [zlib.crc32(wide[4 * s : 4 * (s + m)]) for s, m in zip(piece[0].tolist(), piece[1].tolist(), strict=True)]
-                    which.append(made)
-                    per.append(n)
-                start, size, sequence, offset = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-                at = np.repeat(np.arange(i, j), which)
-                yield batch_of(schema, [pa.array(doc, pa.int64()).take(pa.array(at)), start, size, np.array(crc, np.int64), np.repeat(per, which).astype(np.int64), sequence, offset, pa.array(queue, pa.string()).take(pa.array(at))])
+                wide = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids[i:j]]
+                n = np.array([len(x) // 4 for x in wide], np.int64)
+                row, start, size, sequence, offset = packer.pieces(queue[i:j], first[i:j], n)
+                start = start - first[i:j][row]
+                crc = [zlib.crc32(wide[r][4 * s : 4 * (s + m)]) for r, s, m in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
+                at = pa.array(row + i)
+                yield batch_of(schema, [doc.take(at), start, size, np.array(crc, np.int64), n[row], sequence, offset, source.take(at)])
 
     return tokens.join(offsets, ["part", "queue"]).select("doc_id", "queue", "before", "base", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", source string")
