@@ -62,37 +62,3 @@ def test_html_goes_on_after_stray_quotes():
     assert [t for _, t, _ in got] == ["One.", "Two.", "Three.", "Four.", "Five.", "Six.", "Seven."]
     assert [p[-1][1] for p, t, _ in got if t in ("One.", "Five.")] == [("it", "s"), ("main",)]
     assert html_blocks.blocks_of('<p>One.</p><p title="never closed>Two.</p>')[0][1] == "One."
-
-
-def test_masked_lm_counts_exact_words_and_pairs_of_the_whole_corpus(spark):
-    import math
-
-    from voxweave.llm import masked_lm
-    from voxweave.llm.common import Scratch
-
-    texts = [body(i, 40) for i in range(30)] + ["", None, " \n", "one", body(3, 40), "a a a a Big, 12"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in masked_lm.score_corpus(docs, Scratch(spark), 700, 600).collect()}
-    words = [[None, *w, None] if (w := (t or "").split()) else [] for t in texts]
-    count = collections.Counter(w for d in words for w in d[:-1])
-    pair = collections.Counter(p for d in words for p in zip(d, d[1:]))
-    key = lambda w: int(masked_lm.word_hashes([w.encode()])[0]) | 1
-    frequent = sorted((w for w in count if w is not None), key=lambda w: (-count[w], key(w)))[: masked_lm.FREQUENT]
-    number = {w: i + 1 for i, w in enumerate(frequent)} | {None: 0}
-    of = lambda w: number.get(w, masked_lm.FREQUENT + 1 + (masked_lm.shape(w.encode()) if w else 0))
-    triples = np.zeros((64, 64, 64))
-    for d in words:
-        for x, y, z in zip(d, d[1:], d[2:]):
-            triples[of(x), of(y), of(z)] += 1
-    net = masked_lm.WindowNetwork()
-    net.train(triples.transpose(0, 2, 1).reshape(4096, 64))
-    table, kinds = np.exp(net.table().reshape(64, 64, 64)), len(count) - 1
-    for i, d in enumerate(words):
-        want = 0.0
-        for x, y, z in zip(d, d[1:], d[2:]):
-            base = table[of(x), of(y), of(z)] * (count[y] + 1) / (triples[:, of(y)].sum() + kinds + 1)
-            want += math.log((pair[x, y] + pair[y, z] - 2 + 32 * base) / (count[x] + count[z] - 2 + 32))
-        assert got[i]["n_tokens"] == max(0, len(d) - 2) and abs(got[i]["log_prob"] - want) < 1e-6 * (1 + abs(want))
-    once = [got[i]["mean_log_prob"] for i in range(30) if i != 3]
-    assert got[3]["mean_log_prob"] == got[34]["mean_log_prob"] > max(once)  # a text that occurs twice is known
-    assert masked_lm.score_corpus(docs.limit(0), Scratch(spark)).count() == 0

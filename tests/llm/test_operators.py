@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import re
 import zlib
 
@@ -11,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxweave.llm import hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
+from voxweave.llm import hamming_search, html_blocks, lexicon_bpe, line_templates, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
 from voxweave.llm.common import Scratch, components
 from voxweave.llm.queries import vocabulary_path
 
@@ -310,19 +309,6 @@ def test_quality_trees(spark, docs, empty):
     assert quality_trees.score(empty, model).count() == 0
 
 
-def test_masked_lm(spark, docs, empty):
-    model = masked_lm.train(docs)
-    got = masked_lm.score(docs, model).collect()
-    table = np.exp(model.table.reshape(64, 64, 64))
-    assert np.allclose(table.sum(1), 1)
-    for r, d in zip(got, docs.collect()):
-        raw = (d["text"] or "").encode().split()
-        c = [0, *(int(model.own[masked_lm.word_code(w) >> 5]) or 32 + masked_lm.shape(w) for w in raw), 0]
-        want = sum(math.log(table[c[i], c[i + 1], c[i + 2]]) + model.words[masked_lm.word_code(w) >> 5] - model.totals[c[i + 1]] for i, w in enumerate(raw))
-        assert r["doc_id"] == d["doc_id"] and r["n_tokens"] == len(raw) and r["log_prob"] == pytest.approx(want, rel=1e-9, abs=1e-9)
-    assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
-
-
 def test_hamming_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=24)]) for i in range(0, 900, 3)] + [(5000 + i, [1.0] * 24) for i in range(40)] + [(7, None), (None, [1.0] * 24)]

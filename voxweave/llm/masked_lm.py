@@ -3,21 +3,21 @@
 Every token is predicted from its neighbours on both sides, with counts of the exact words and of the exact pairs of neighbours
 in the whole corpus, and a window network for what the counts don't know:
 
-    P(w | l, r) = (c(l w) - 1 + c(w r) - 1 + PRIOR * P0) / (c(l) - 1 + c(r) - 1 + PRIOR)
-    P0 = P(class of w | classes of l and r) * (c(w) + 1) / (count of the class + different words + 1)
+    P(w | context) = (c(l w) - 1 + c(w r) - 1 + PRIOR * P0) / (c(l) - 1 + c(r) - 1 + PRIOR)
+    P0 = P(class of w | WINDOW words to either side) * c(w) / (occurrences of all words of the class)
 
-The token itself is left out of the counts of its neighbours, so a pair that occurs once says nothing. P(class | ...) is the
-window network (embeddings of both neighbours, a tanh layer, softmax over CLASSES), trained in numpy on all windows at once,
-each weighted by its count; classes are the most frequent words (ties go to the smaller hash), 32 shapes, and the ends.
+l and r are the next words. The token itself is left out of the counts of its neighbours, so a pair that occurs once says
+nothing; over all words of the corpus, and the end by its pairs, the probabilities of a place sum to 1. P(class | ...) is the window network in numpy:
+embeddings of the context's words (one for a word's class, one of HASHED for its hash), a tanh layer, softmax over CLASSES. Classes part
+the words: the most frequent ones (ties go to the smaller hash) stand alone, all others go by 32 shapes; class 0 is the end.
+The network is trained on every window of the corpus: each task runs Adam over its own documents, from the same start, and the
+tasks' weights are averaged by their tokens, in two steps. So weights, unlike counts, depend on how rows lie in partitions.
 
 Counts are distributed tables that grow with the corpus. Documents are cut into chunks of about CHUNK bytes; a chunk sends its
-different words and pairs, sorted 64-bit hashes, to ranges of hashes, of which there is one for RANGE bytes of text.
-Each range sums its counts and answers every chunk in the chunk's own order; then chunks are scored with their answers. What a
-task holds is a chunk or a range, what the driver holds are the classes' counts and the most frequent words of each range. At n
-different words and pairs the chance of any wrong count is about n**2 / 2**64.
-
-train and score are the same network over words in BUCKETS and without pairs, for scoring a table with a model of fixed size
-from another one.
+different words and pairs, sorted hashes, to ranges of hashes, of which there is one for RANGE bytes of text. Each range sums
+its counts and answers every chunk in the chunk's own order; then chunks are scored with their answers. What a task holds is a
+chunk or a range, what the driver holds are the network and FREQUENT words. Hashes have KEY_BITS more bits than the length of
+the corpus (64 at most), so the chance that a given count is wrong stays below 2**-KEY_BITS while they have room.
 
 Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole; repeated rows get equal scores and
 count each; an empty table gives an empty result; other columns are ignored.
@@ -30,19 +30,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Memo, Scratch, batch_of, groups_of, mix, need, slices, texts, word_hashes
 
-CLASSES, FREQUENT, BUCKETS = 64, 31, 1 << 18
-EMBEDDING, HIDDEN, STEPS, STEP = 8, 32, 300, 0.02
+CLASSES, FREQUENT = 64, 31
+WINDOW, HASHED, EMBEDDING, HIDDEN = 2, 1 << 12, 8, 24
+BATCH, RATE, SLOWER = 4096, 0.01, 400
 #: How many occurrences of the neighbours the network's opinion is worth.
 PRIOR = 32.0
 #: Bytes of text in a chunk, and for each range of hashes.
 CHUNK, RANGE = 4 << 20, 8 << 20
+KEY_BITS = 24
+#: Weights of tasks are averaged in groups, then again.
+GROUPS = (256, 8)
 _END, _PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -52,149 +55,126 @@ def shape(word: bytes) -> int:
     return (65 <= word[0] <= 90) * 16 + (len(core) < len(word)) * 8 + (not (core.isascii() and core.isalpha())) * 4 + (len(word) > 3) + (len(word) > 6) + (len(word) > 10)
 
 
-def word_code(word: bytes) -> int:
-    """bucket * 32 + shape."""
-    return (xxhash.xxh3_64_intdigest(word, 3) % BUCKETS) * 32 + shape(word)
-
-
-_CODES = Memo(word_code)
-
-
-def codes(raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(_CODES.__getitem__, words), np.int64, len(words))
-
-
-def classes_of(code: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """own: BUCKETS numbers, the class of frequent buckets, else 0. Class 0 is the end of a text."""
-    c = own[code >> 5]
-    return np.where(c > 0, c, FREQUENT + 1 + (code & 31))
-
-
-def cells(c: np.ndarray) -> np.ndarray:
-    """(left, middle, right) of every token as one number."""
-    side = np.concatenate([[0], c, [0]])
-    return (side[:-2] * CLASSES + c) * CLASSES + side[2:]
+_SHAPES = Memo(shape)
 
 
-def _counts(docs: DataFrame, size: int, keys) -> np.ndarray:
-    """Occurrences of keys(texts) in 0..size over all texts: one row a key and task is shuffled, `size` sums are collected."""
-    schema = pa.schema([("key", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            raw = texts(b, "text")
-            for i, j in slices(map(len, raw)):
-                total += np.bincount(keys(raw[i:j]), minlength=size)
-        at = np.flatnonzero(total)
-        yield batch_of(schema, [at.astype(np.int32), total[at]])
-
-    out = np.zeros(size, np.int64)
-    found = need(docs, "text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out[found["key"].to_numpy()] = found["n"].to_numpy()
-    return out
+class Words:
+    """Of several texts: their words' hashes and shapes in turn, and the numbers of words."""
+
+    def __init__(self, raw: list[bytes], shaped: bool = True):
+        words, n = [], []
+        for x in raw:
+            w = x.split()
+            n.append(len(w))
+            words += w
+        self.n, self.hashes = np.array(n, np.int64), word_hashes(words)
+        self.shapes = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words)) if shaped else None
+
+    def places(self, ends: int) -> tuple[np.ndarray, int]:
+        """Where words stand if so many ends come before, between and behind the texts with words; and how long that is."""
+        some = self.n[self.n > 0]
+        return np.arange(len(self.hashes)) + np.repeat(np.arange(1, len(some) + 1) * ends, some), len(self.hashes) + (len(some) + 1) * ends
+
+    def keys(self, bits: int) -> np.ndarray:
+        """Words (odd numbers), then pairs with the next word (even ones), of all places but the last; an end counts as a word."""
+        at, size = self.places(1)
+        seq = np.full(size, _END, U64)
+        seq[at] = self.hashes
+        cut = U64(64 - bits)
+        return np.concatenate([seq[:-1] >> cut | U64(1), mix(seq[:-1] * _PAIR + seq[1:]) >> cut & ~U64(1)])
+
+    def inputs(self, top: np.ndarray, number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Class and hashed embedding of every place, WINDOW ends before, between and behind. top: sorted keys of the words
+        that are classes of their own, number: those classes."""
+        at, size = self.places(WINDOW)
+        own, wide = FREQUENT + 1 + self.shapes, np.full(size, CLASSES + HASHED, np.int64)
+        if len(top):
+            key = self.hashes >> U64(64 - bits) | U64(1)
+            k = np.minimum(np.searchsorted(top, key), len(top) - 1)
+            own = np.where(top[k] == key, number[k], own)
+        classes = np.zeros(size, np.int64)
+        classes[at] = own
+        wide[at] = CLASSES + (self.hashes >> U64(20) & U64(HASHED - 1)).astype(np.int64)
+        return classes, wide
 
 
 class WindowNetwork:
-    """P(class | left class, right class)."""
+    """P(class | words to either side)."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         self.p = {
-            "left": r.normal(0, 0.3, (CLASSES, EMBEDDING)), "right": r.normal(0, 0.3, (CLASSES, EMBEDDING)),
-            "w": r.normal(0, 0.3, (2 * EMBEDDING, HIDDEN)), "b": np.zeros(HIDDEN), "v": r.normal(0, 0.1, (HIDDEN, CLASSES)), "c": np.zeros(CLASSES),
+            "e": r.normal(0, 0.3, (CLASSES + HASHED + 1, EMBEDDING)), "w": r.normal(0, 0.3, (2 * WINDOW, EMBEDDING, HIDDEN)), "b": np.zeros(HIDDEN),
+            "v": r.normal(0, 0.1, (HIDDEN, CLASSES)), "c": np.zeros(CLASSES),
         }
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+        self.m, self.s, self.t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+
+    OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
-    def forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all CLASSES**2 windows: inputs, hidden layer, log-probabilities."""
-        p = self.p
-        l, r = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
-        x = np.concatenate([p["left"][l], p["right"][r]], 1)
-        h = np.tanh(x @ p["w"] + p["b"])
+    def forward(self, classes: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of all places; hidden layer and log-probabilities of all but the WINDOW first and last ones."""
+        p, n = self.p, len(classes) - 2 * WINDOW
+        x = p["e"][classes] + p["e"][wide]
+        h = np.tanh(sum((x[WINDOW + o : WINDOW + o + n] @ p["w"][k] for k, o in enumerate(self.OFFSETS)), p["b"]))
         z = h @ p["v"] + p["c"]
         z -= z.max(1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def train(self, counts: np.ndarray) -> None:
-        """counts: (window, class). Adam on the mean negative log-likelihood of all tokens."""
-        total, p = max(1, counts.sum()), self.p
-        want, of_window = counts / total, counts.sum(1, keepdims=True) / total
-        l, r = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        s = {k: np.zeros_like(v) for k, v in p.items()}
-        for t in range(1, STEPS + 1):
-            x, h, logp = self.forward()
-            dz = np.exp(logp) * of_window - want
-            dh = (dz @ p["v"].T) * (1 - h * h)
-            dx = dh @ p["w"].T
-            g = {"v": h.T @ dz, "c": dz.sum(0), "w": x.T @ dh, "b": dh.sum(0), "left": dx[:, :EMBEDDING].reshape(CLASSES, CLASSES, -1).sum(1), "right": dx[:, EMBEDDING:].reshape(CLASSES, CLASSES, -1).sum(0)}
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-                p[k] = p[k] - STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-9)
-
-    def table(self) -> np.ndarray:
-        """Log-probabilities in the order of cells()."""
-        return self.forward()[2].reshape(CLASSES, CLASSES, CLASSES).transpose(0, 2, 1).ravel()
-
-
-class Model:
-    """own: class of frequent buckets; table: of cells; words: of buckets, log count; totals: of classes, log count."""
-
-    def __init__(self, own: np.ndarray, table: np.ndarray, words: np.ndarray, totals: np.ndarray):
-        self.own, self.table, self.words, self.totals = own, table, words, totals
-
-    def log_prob(self, raw: bytes) -> tuple[int, float]:
-        code = codes(raw)
-        c = classes_of(code, self.own)
-        return len(c), float(self.table[cells(c)].sum() + (self.words[code >> 5] - self.totals[c]).sum())
-
-
-def train(docs: DataFrame) -> Model:
-    words = _counts(docs, BUCKETS, lambda raw: np.concatenate([codes(x) >> 5 for x in raw]))
-    own = np.zeros(BUCKETS, np.int64)
-    top = np.lexsort((np.arange(BUCKETS), -words))[:FREQUENT]
-    top = top[words[top] > 0]
-    own[top] = np.arange(1, len(top) + 1)
-    triples = _counts(docs, CLASSES**3, lambda raw: np.concatenate([cells(classes_of(codes(x), own)) for x in raw])).reshape(CLASSES, CLASSES, CLASSES)
-    net = WindowNetwork()
-    net.train(triples.transpose(0, 2, 1).reshape(CLASSES * CLASSES, CLASSES).astype(np.float64))
-    kinds = np.count_nonzero(words)
-    return Model(own, net.table(), np.log(words + 1.0), np.log(triples.sum((0, 2)) + kinds + 1.0))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum), mean_log_prob."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + CLASSES**3 numbers, whatever the corpus
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shared.value.log_prob(raw) for raw in texts(b, "text")]
-            yield batch_of(schema, [b.column("doc_id"), [n for n, _ in found], [x for _, x in found], [x / n if n else None for n, x in found]])
-
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
-
-
-_SHAPES = Memo(shape)
-
-
-def sequence(raw: list[bytes], shaped: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts: the hashes of their words in turn, _END before, between and behind texts with words; the words'
-    shapes (0 if not shaped), -1 at ends; the numbers of words."""
-    words, n = [], []
-    for x in raw:
-        w = x.split()
-        n.append(len(w))
-        words += w
-    size = np.array(n, np.int64)
-    some = size[size > 0]
-    at = np.arange(len(words)) + np.repeat(np.arange(1, len(some) + 1), some)
-    seq, shapes = np.full(len(words) + len(some) + 1, _END, U64), np.full(len(words) + len(some) + 1, -1, np.int64)
-    seq[at] = word_hashes(words)
-    shapes[at] = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words)) if shaped else 0
-    return seq, shapes, size
+    def log_probs(self, classes: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Of every word in turn, the log-probability of its class."""
+        out = []
+        for i in range(0, len(classes) - 2 * WINDOW, BATCH):
+            c, w = classes[i : i + BATCH + 2 * WINDOW], wide[i : i + BATCH + 2 * WINDOW]
+            want = c[WINDOW:-WINDOW]
+            at = np.flatnonzero(want)
+            out.append(self.forward(c, w)[2][at, want[at]].astype(np.float64))
+        return np.concatenate([np.zeros(0), *out])
+
+    def learn(self, classes: np.ndarray, wide: np.ndarray) -> None:
+        """Steps of Adam over BATCH places each."""
+        for i in range(0, len(classes) - 2 * WINDOW, BATCH):
+            self.step(classes[i : i + BATCH + 2 * WINDOW], wide[i : i + BATCH + 2 * WINDOW])
+
+    def step(self, classes: np.ndarray, wide: np.ndarray) -> float:
+        """One step on the mean negative log-likelihood of the words, which it returns."""
+        p, n = self.p, len(classes) - 2 * WINDOW
+        x, h, logp = self.forward(classes, wide)
+        want = classes[WINDOW:-WINDOW]
+        at = np.flatnonzero(want)
+        if not len(at):
+            return 0.0
+        dz = np.zeros_like(logp)
+        dz[at] = np.exp(logp[at])
+        dz[at, want[at]] -= 1
+        dz /= len(at)
+        dh = (dz @ p["v"].T) * (1 - h * h)
+        dx, dw = np.zeros_like(x), np.zeros_like(p["w"])
+        for k, o in enumerate(self.OFFSETS):
+            part = slice(WINDOW + o, WINDOW + o + n)
+            dw[k] = x[part].T @ dh
+            dx[part] += dh @ p["w"][k].T
+        size = len(p["e"])
+        de = np.stack([np.bincount(classes, d, size) + np.bincount(wide, d, size) for d in dx.T], 1).astype(np.float32)
+        self.t += 1
+        rate = RATE / (1 + self.t / SLOWER) ** 0.5
+        for name, g in (("e", de), ("w", dw), ("b", dh.sum(0)), ("v", h.T @ dz), ("c", dz.sum(0))):
+            m, s = self.m[name], self.s[name]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            p[name] = p[name] - rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-7)
+        return float(-logp[at, want[at]].mean())
+
+    def to_bytes(self) -> bytes:
+        return b"".join(x.astype("<f4").tobytes() for x in self.p.values())
+
+    @classmethod
+    def of(cls, weights: np.ndarray) -> WindowNetwork:
+        net, at = cls(), 0
+        for k, x in net.p.items():
+            net.p[k] = weights[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+        return net
 
 
 def pack_keys(keys: np.ndarray, base: int) -> bytes:
@@ -210,11 +190,6 @@ def unpack_keys(b: bytes, base: int) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=U64) + U64(base)
 
 
-def keys_of(seq: np.ndarray) -> np.ndarray:
-    """Words (odd numbers), then pairs with the next word (even ones), of all places but the last; an end counts as a word."""
-    return np.concatenate([seq[:-1] | U64(1), mix(seq[:-1] * _PAIR + seq[1:]) & ~U64(1)])
-
-
 def pack_counts(counts: np.ndarray) -> bytes:
     """Their number, one byte for each (255 for those of 255 or more), then those of 255 or more in 64 bits."""
     return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
@@ -245,92 +220,127 @@ def chunks_of(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return need(docs, "doc_id", "text").mapInArrow(run, "chunk long, doc_id long, text binary")
 
 
-def keyed(chunks: DataFrame, bits: int) -> DataFrame:
-    """(range, chunk, keys: packed, counts: 32 bits each) of each chunk, of each part of one if Spark reads it in parts."""
+def keyed(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """(range, chunk, keys, counts: both packed) of each chunk, of each part of one if Spark reads it in parts; there are
+    2**ranges ranges of keys of so many bits."""
     schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    borders = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
+    borders = np.arange(1, 1 << ranges, dtype=U64) << U64(bits - ranges)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups_of(batches, 1, ["chunk", "text"]):
-            keys, counts = np.unique(keys_of(sequence([x for _, x in rows], False)[0]), return_counts=True)
+            keys, counts = np.unique(Words([x for _, x in rows], False).keys(bits), return_counts=True)
             cut = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
-            full = [(k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            yield batch_of(schema, [[k for k, _, _ in full], [number] * len(full), [pack_keys(keys[a:b], k << 64 - bits) for k, a, b in full], [counts[a:b].astype("<u4").tobytes() for _, a, b in full]])
+            full = [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(cut)) if b > a]
+            yield batch_of(schema, [[k for k, _, _ in full], [number] * len(full), [pack_keys(keys[a:b], k << bits - ranges) for k, a, b in full], [pack_counts(counts[a:b]) for _, a, b in full]])
 
     return chunks.select("chunk", "text").mapInArrow(run, "range int, chunk long, keys binary, counts binary")
 
 
-def totals_of(keys: DataFrame, bits: int) -> DataFrame:
+def totals_of(keys: DataFrame, ranges: int, bits: int) -> DataFrame:
     """(chunk, range, counts: the corpus's counts of the chunk's sorted keys in that range, packed); and in rows with
-    chunk -1 the most frequent words of the range: keys, counts and how many different words it has."""
-    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
+    chunk -1 the most frequent words of the range: key and times."""
+    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("times", pa.int64())])
+    end = int(_END >> U64(64 - bits)) | 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups_of(batches, 1, ["range", "chunk", "keys", "counts"]):
-            parts = [unpack_keys(r[2], number << 64 - bits) for r in rows]
+            parts = [unpack_keys(r[2], number << bits - ranges) for r in rows]
             every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.zeros(len(every), np.int64)
-            np.add.at(total, inverse, np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]).astype(np.int64))
-            word = np.flatnonzero((every & U64(1) == 1) & (every != _END | U64(1)))
+            np.add.at(total, inverse, np.concatenate([unpack_counts(r[3]) for r in rows]))
+            word = np.flatnonzero((every & U64(1) == 1) & (every != U64(end)))
             top = word[np.lexsort((every[word], -total[word]))[:FREQUENT]]
-            yield batch_of(schema, [[-1], [number], [every[top].tobytes()], [total[top].tobytes()], [len(word)]])
+            none = [None] * len(top)
+            yield batch_of(schema, [[-1] * len(top), [number] * len(top), none, every[top].view(np.int64), total[top]])
             ends = np.cumsum([0, *map(len, parts)]).tolist()
             for chunk, of in itertools.groupby(range(len(rows)), key=lambda k: rows[k][1]):
                 of = list(of)
                 own = inverse[ends[of[0]] : ends[of[-1] + 1]]
-                yield batch_of(schema, [[chunk], [number], [None], [pack_counts(total[own if len(of) == 1 else np.unique(own)])], [None]])
+                yield batch_of(schema, [[chunk], [number], [pack_counts(total[own if len(of) == 1 else np.unique(own)])], [None], [None]])
+
+    return keys.repartition("range").sortWithinPartitions("range", "chunk").mapInArrow(run, "chunk long, range int, counts binary, key long, times long")
+
+
+def trained(chunks: DataFrame, top: np.ndarray, number: np.ndarray, bits: int) -> tuple[WindowNetwork, np.ndarray]:
+    """The network, and the occurrences of each class."""
+    schema = pa.schema([("part", pa.int32()), ("tokens", pa.float64()), ("weights", pa.binary()), ("classes", pa.binary())])
+    names = "part int, tokens double, weights binary, classes binary"
 
-    return keys.repartition("range").sortWithinPartitions("range", "chunk").mapInArrow(run, "chunk long, range int, keys binary, counts binary, words long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, seen = WindowNetwork(), np.zeros(CLASSES, np.int64)
+        for b in batches:
+            raw = texts(b, "text")
+            for i, j in slices(map(len, raw), 1 << 20):
+                classes, wide = Words(raw[i:j]).inputs(top, number, bits)
+                seen += np.bincount(classes[classes > 0], minlength=CLASSES)
+                net.learn(classes, wide)
+        if seen.any():
+            yield batch_of(schema, [[TaskContext.get().partitionId()], [float(seen.sum())], [net.to_bytes()], [seen.tobytes()]])
+
+    def mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part,), rows in itertools.groupby((r for b in batches for r in zip(*(b.column(n).to_pylist() for n in schema.names), strict=True)), key=lambda r: r[:1]):
+            tokens, weights, classes = 0.0, 0.0, 0
+            for _, n, w, c in rows:
+                tokens, weights, classes = tokens + n, weights + n * np.frombuffer(w, "<f4").astype(np.float64), classes + np.frombuffer(c, np.int64)
+            yield batch_of(schema, [[part], [tokens], [(weights / tokens).astype("<f4").tobytes()], [classes.tobytes()]])
+
+    rows = chunks.select("text").mapInArrow(run, names)
+    for groups in GROUPS:
+        rows = rows.withColumn("part", F.pmod("part", F.lit(groups))).repartition("part").sortWithinPartitions("part").mapInArrow(mean, names)
+    tokens, weights, classes = 0.0, 0.0, np.zeros(CLASSES, np.int64)
+    for r in sorted(rows.collect()):  # at most the last number of GROUPS
+        tokens, weights, classes = tokens + r["tokens"], weights + r["tokens"] * np.frombuffer(r["weights"], "<f4").astype(np.float64), classes + np.frombuffer(r["classes"], np.int64)
+    net = WindowNetwork.of(weights / tokens) if tokens else WindowNetwork()
+    net.p["c"][classes == 0] = -1e9  # no word has these classes
+    return net, classes
 
 
-def classes_in(seq: np.ndarray, shapes: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """0 at ends; top: sorted keys of the words that are classes of their own, number: those classes."""
-    c = np.where(shapes < 0, 0, FREQUENT + 1 + shapes)
-    if len(top):
-        at = np.minimum(np.searchsorted(top, seq | U64(1)), len(top) - 1)
-        c = np.where((top[at] == seq | U64(1)) & (shapes >= 0), number[at], c)
-    return c
+class Model:
+    """What scoring needs besides the tables of counts."""
 
+    def __init__(self, net: WindowNetwork, classes: np.ndarray, top: np.ndarray, number: np.ndarray, ranges: int, bits: int):
+        self.net, self.classes, self.top, self.number, self.ranges, self.bits = net, classes, top, number, ranges, bits
 
-def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of documents in the model of exactly these documents."""
+
+def fit(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of these documents, their chunks, and the counts of each chunk's words and pairs."""
     length = need(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(3, (length // size).bit_length())
+    ranges, bits = max(3, (length // size).bit_length()), min(64, length.bit_length() + KEY_BITS)
     chunks = scratch.keep(chunks_of(docs, chunk), "chunks")
-    answers = scratch.keep(totals_of(keyed(chunks, bits), bits), "answers")
+    answers = scratch.keep(totals_of(keyed(chunks, ranges, bits), ranges, bits), "answers")
     scratch.drop()
-    found = answers.where("chunk < 0").select("keys", "counts", "words").collect()  # FREQUENT words a range
-    kinds = sum(r["words"] for r in found)
-    keys, counts = (np.concatenate([np.frombuffer(r[k], t) for r in found] or [np.zeros(0, t)]) for k, t in (("keys", "<u8"), ("counts", "<i8")))
-    first = np.lexsort((keys, -counts))[:FREQUENT]
-    order = np.argsort(keys[first])
-    top, number = keys[first][order], order + 1
-
-    def windows(raw: list[bytes]) -> np.ndarray:
-        seq, shapes, _ = sequence(raw)
-        c, t = classes_in(seq, shapes, top, number), np.flatnonzero(shapes >= 0)
-        return (c[t - 1] * CLASSES + c[t]) * CLASSES + c[t + 1]
-
-    triples = _counts(chunks.select("text"), CLASSES**3, windows).reshape(CLASSES, CLASSES, CLASSES)
-    net = WindowNetwork()
-    net.train(triples.transpose(0, 2, 1).reshape(CLASSES * CLASSES, CLASSES).astype(np.float64))
-    shared = docs.sparkSession.sparkContext.broadcast((net.table(), np.log(triples.sum((0, 2)) + kinds + 1.0)))  # of classes
+    found = answers.where("chunk < 0").orderBy(F.desc("times"), "key").limit(FREQUENT).collect()
+    top = np.array([r["key"] for r in found], np.int64).view(U64)
+    order = np.argsort(top)
+    top, number = top[order], order + 1
+    return Model(*trained(chunks, top, number, bits), top, number, ranges, bits), chunks, answers
+
+
+def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob of documents in the model of exactly these documents."""
+    return score(*fit(docs, scratch, chunk, size))
+
+
+def score(model: Model, chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(model)  # its size is fixed
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, totals = shared.value
+        model = shared.value
         for _, rows in groups_of(batches, 1, ["chunk", "range", "doc_id", "text", "counts"]):
             ids, raw = [r[2] for r in rows if r[1] < 0], [r[3] or b"" for r in rows if r[1] < 0]
-            seq, shapes, n = sequence(raw)
+            words = Words(raw)
             known = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(r[4]) for r in rows if r[1] >= 0)])
-            every, inverse = np.unique(keys_of(seq), return_inverse=True)
+            keys = words.keys(model.bits)
+            every, inverse = np.unique(keys, return_inverse=True)
             if len(every) != len(known):
                 raise ValueError("counts of a chunk are missing")
-            m = len(seq) - 1
+            m, n = len(keys) // 2, words.n
             own, pair = np.append(known[inverse[:m]], known[inverse[0]] if m else 0), known[inverse[m:]]
-            t = np.flatnonzero(shapes >= 0)
-            c = classes_in(seq, shapes, top, number)
-            base = np.exp(table[(c[t - 1] * CLASSES + c[t]) * CLASSES + c[t + 1]] + np.log(own[t] + 1.0) - totals[c[t]])
+            t, _ = words.places(1)
+            classes, wide = words.inputs(model.top, model.number, model.bits)
+            of = model.classes[classes[classes > 0]]
+            base = np.exp(model.net.log_probs(classes, wide)) * own[t] / of
             one = np.log(pair[t - 1] + pair[t] - 2 + PRIOR * base) - np.log(own[t - 1] + own[t + 1] - 2 + PRIOR)
             sums = np.zeros(len(n))
             if len(t):
