@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxweave.llm import hamming_search, html_blocks, lexicon_bpe, line_templates, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
+from voxweave.llm import hamming_search, html_blocks, lexicon_bpe, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
 from voxweave.llm.common import Scratch, components
 from voxweave.llm.queries import vocabulary_path
 
@@ -285,19 +285,6 @@ def test_packing_names_sources_and_pieces(spark, docs, monkeypatch):
         mixture_packing.pack(many, vocabulary_path(), Scratch(spark), 64)
 
 
-def test_line_templates(spark, empty):
-    rows = [(i, f"first {body(i, 9)}\nall rights reserved by nobody at all\nPage {i} of the long list here\n{body(100 + i, 12)}\nno") for i in range(12)]
-    rows += [(50 + i, body(500, 30) + "\n" + body(501, 30)) for i in range(12)] + [(90, None), (91, ""), (None, "\n\n")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, leaf int")
-    got = {r["doc_id"]: r for r in line_templates.drop_recurring(docs, Scratch(spark)).collect()}
-    for i, t in rows[:12]:
-        lines = t.split("\n")
-        assert got[i]["text"] == "\n".join([lines[0], lines[3], lines[4]]) and got[i]["_vw_dropped"] == 2 and got[i]["leaf"] == 1
-    for i, t in rows[12:]:  # copies of whole documents are left alone
-        assert got[i]["text"] == t and got[i]["_vw_dropped"] == 0
-    assert line_templates.drop_recurring(empty, Scratch(spark)).count() == 0
-
-
 def test_quality_trees(spark, docs, empty):
     d, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_trees.score(d, quality_trees.train(d, labels)).join(labels, "doc_id").toPandas()

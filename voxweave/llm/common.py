@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import itertools
 import tempfile
@@ -110,8 +111,67 @@ class Memo(dict):
         return x
 
 
+#: Bytes that are hashed together, and the longest word that is hashed with others.
+PIECE, LONG_WORD = 1 << 20, 4096
+_SPACES = b" \t\n\v\f\r"
+_SPACE = np.isin(np.arange(256), list(_SPACES))
+_BASE = int(odd_numbers(1, 91)[0])
+_BYTES = {lower: mix(np.frombuffer(x, np.uint8).astype(U64) + U64(1000)) for lower, x in ((False, bytes(range(256))), (True, bytes(range(256)).lower()))}
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2**64."""
+    up, down = np.full(PIECE + 1, _BASE, U64), np.full(PIECE + 1, pow(_BASE, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+class HashedWords:
+    """The words of a buffer of UTF-8, what ASCII white space separates: 64-bit hashes, first byte and end of each.
+
+    A word's hash is a polynomial of random numbers for its bytes, taken from differences of running sums, so no word becomes
+    an object; words of more than LONG_WORD bytes are hashed by xxhash. lower: A-Z count as a-z.
+    """
+
+    def __init__(self, raw: bytes, lower: bool = False):
+        hashes, starts, ends, at = [], [], [], 0
+        up, down = _powers()
+        while at < len(raw):
+            piece = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
+            space = _SPACE[piece]
+            if at + len(piece) < len(raw):  # cut behind the last white space
+                last = len(piece) - int(space[::-1].argmax()) if space.any() else 0
+                if not last:  # a word that is longer than a piece
+                    stop = min((k for c in _SPACES if (k := raw.find(c, at)) >= 0), default=len(raw))
+                    starts.append([at])
+                    ends.append([stop])
+                    hashes.append(self._long([raw[at:stop]], lower))
+                    at = stop
+                    continue
+                piece, space = piece[:last], space[:last]
+            edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+            start, end = edge[::2], edge[1::2]
+            sums = np.zeros(len(piece) + 1, U64)
+            np.cumsum(_BYTES[lower][piece] * up[: len(piece)], out=sums[1:])
+            h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+            if len(long := np.flatnonzero(end - start > LONG_WORD)):
+                h[long] = self._long([raw[at + a : at + b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], lower)
+            hashes.append(h)
+            starts.append(start + at)
+            ends.append(end + at)
+            at += len(piece)
+        self.hashes = np.concatenate([np.zeros(0, U64), *hashes])
+        self.start, self.end = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (starts, ends))
+
+    @staticmethod
+    def _long(words: list[bytes], lower: bool) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(w.lower() if lower else w, 1) for w in words], U64)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))  # faster than a lookup of known words
+    """Hashes of words that hold no white space."""
+    return HashedWords(b" ".join(words)).hashes
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -1,26 +1,29 @@
 """Line dedup: a log-template tree of fixed depth.
 
 A line is a run of text between line feeds, its tokens what white space separates; a token with a digit is a variable
-field. The tree's levels are the number of tokens and the LEADING leading tokens; below them stands a leaf. A leaf's
-template keeps each token that at least half of the leaf's lines have at its place and generalises the other places; a
-line belongs to it if at least ALIKE of its places agree with kept tokens. Other lines are templates of their own.
-
-A template recurs if at least `least_docs` documents hold it and they are different documents: documents whose other
-lines begin alike (equal smallest hash of their leading tokens; one value if there is no other line) count as one kind,
-and there must be at least half as many kinds as documents, in one of ORDERS orders of hashes at least (in a single one,
-another recurring line might come first everywhere). So boilerplate goes, while copies of whole documents are left to the near-duplicate operators.
-Lines of recurring templates are dropped from every document, with their line feed.
-
-All of this is counted with partial sums over rows of one line each; no leaf, template or document list is gathered. What
-grows with a leaf is its lines, each seen as 16-bit hashes of its tokens when places are compared.
-
-Null text counts as empty and stays null; lines of fewer than LEADING tokens, empty ones too, always stay; very long texts
-and lines are whole; a repeated row counts as a further document of the same kind; a half counts as at least half;
-an empty table gives an empty result. Columns of the input are kept and may have any name but those that begin with _vw_.
+field. The tree's levels are the number of tokens and the LEADING leading tokens (lines of fewer tokens have all of theirs);
+below them stands a leaf, which holds any number of templates. The places behind the leading tokens make PARTS neighbouring
+parts (fewer where there are fewer places), and a template fixes all of them but LEFT_OUT, which are variable (but one of two
+or three parts, none of a single one). So a line belongs to the templates of its leaf that it has all fixed tokens of, and to
+the one that fixes everything.
+
+A template is a candidate if at least `least_docs` lines of different documents belong to it. It recurs if those documents
+are different apart from what recurs: a document is named by its own lines, that is, lines that belong to no candidate and
+aren't near a line that does (with an equal smallest hash of their SHINGLE-word shingles, in one of ORDERS orders). There must be
+`least_docs` names at least, and one for every TEXTS different texts. So boilerplate goes, whatever part of a document it is,
+while copies of whole documents, and near copies, whose changed lines are near the others' lines, are left to the near-duplicate
+operators. Lines of recurring templates are dropped from every document, with their line feed.
+
+All of this is counted with partial sums over rows of one line each; no leaf, template or document list is gathered.
+
+Null text counts as empty and stays null; lines without tokens always stay; very long texts and lines are whole; repeated rows
+and copies count as one document; an empty table gives an empty result. Columns of the input are kept and may have any name
+but those that begin with _vw_.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,117 +32,133 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, batch_of, mix, need, odd_numbers, slices, texts, word_hashes
+from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts
 
-LEADING, ALIKE, LEAST_DOCS, KINDS, ORDERS = 3, 0.7, 8, 2, 3
+LEADING, PARTS, LEFT_OUT, LEAST_DOCS = 3, 5, 2, 8
+SHINGLE, ORDERS, TEXTS = 4, 3, 8
 _B = int(odd_numbers(1, 23)[0])
 _ORDERS = odd_numbers(ORDERS, 41)
+_SHINGLE = odd_numbers(SHINGLE, 57)
 _FIELD = U64(xxhash.xxh3_64_intdigest(b"<*>"))
 _DIGITS = b"0123456789"
-
-
-def token_hashes(tokens: list[bytes]) -> np.ndarray:
-    """One hash for every variable field, that is, for tokens with a digit."""
-    h = word_hashes(tokens)
-    h[[t.translate(None, _DIGITS) != t for t in tokens]] = _FIELD
-    return h
-
-
-def parse(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Of one text: the numbers of its lines of LEADING tokens or more, their tokens' counts, leaves, exact hashes,
-    leading hashes and all of their token hashes in turn."""
-    lines = [(i, t) for i, line in enumerate(raw.split(b"\n")) if len(t := line.split()) >= LEADING]
-    n = np.array([len(t) for _, t in lines], np.int64)
-    tokens = [x for _, t in lines for x in t]
-    h = word_hashes(tokens) if raw.translate(None, _DIGITS) == raw else token_hashes(tokens)
-    start = np.cumsum(n) - n
-    place = np.arange(len(h)) - np.repeat(start, n)
-    powers = np.full(int(n.max(initial=0)) + 1, _B, U64)
-    np.cumprod(powers, out=powers)
-    exact = np.add.reduceat(h * powers[place], start) if len(h) else h
-    lead = np.zeros(len(n), U64)
-    for i in range(LEADING):
-        lead = mix(lead + h[start + i] * powers[i]) if len(n) else lead
-    leaf = mix(lead + n.astype(U64))
-    return np.array([i for i, _ in lines], np.int64), n, leaf, mix(exact + n.astype(U64)), lead, h
-
-
-def kinds(lead: np.ndarray, order: int) -> np.ndarray:
-    """For each line the smallest of the other lines' leading hashes in some order, 0 if there is none."""
-    lead = mix(lead ^ _ORDERS[order])
-    out = np.full(len(lead), lead.min(), U64)
-    at = int(lead.argmin())
-    out[at] = np.delete(lead, at).min() if len(lead) > 1 else 0
-    return out
+_DIGIT = np.isin(np.arange(256), list(_DIGITS))
+_MOST = U64((1 << 64) - 1)
+
+
+def left_out(parts: int) -> list[tuple[int, ...]]:
+    """Which of so many parts a template leaves out."""
+    return list(itertools.combinations(range(1, parts + 1), LEFT_OUT if parts > 3 else 1)) if parts > 1 else []
+
+
+class Lines:
+    """Of several texts: for each of their lines with tokens the number of its text, its number there, and hashes."""
+
+    def __init__(self, raw: list[bytes]):
+        joined = b"\n".join(raw)
+        words, feeds = HashedWords(joined), np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        size = np.array([len(x) + 1 for x in raw], np.int64)
+        begins = np.cumsum(size) - size
+        line, first, n = np.unique(np.searchsorted(feeds, words.start), return_index=True, return_counts=True)  # of the lines with tokens
+        self.n = n.astype(np.int64)
+        self.text = np.searchsorted(begins, words.start[first], side="right") - 1
+        self.number = line - np.searchsorted(feeds, begins)[self.text]
+        self.h = words.hashes
+        if joined.translate(None, _DIGITS) != joined:
+            digit = np.searchsorted(words.start, np.flatnonzero(_DIGIT[np.frombuffer(joined, np.uint8)]), side="right") - 1
+            self.h[digit] = _FIELD
+        self.start = np.cumsum(self.n) - self.n
+        if not len(self.n):
+            self.leaf = self.exact = np.zeros(0, U64)
+            return
+        n, line = self.n, np.repeat(np.arange(len(self.n)), self.n)
+        place = np.arange(len(self.h)) - self.start[line]
+        powers = np.full(int(n.max()) + 1, _B, U64)
+        np.cumprod(powers, out=powers)
+        free = np.maximum(0, n - LEADING)
+        self.parts = np.minimum(PARTS, free)
+        part = np.where(place < LEADING, 0, (place - LEADING) * self.parts[line] // np.maximum(1, free[line]) + 1)
+        group = line * (PARTS + 1) + part
+        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        self.sums = np.zeros(len(n) * (PARTS + 1), U64)
+        self.sums[group[at]] = np.add.reduceat(self.h * powers[place], at)
+        self.sums = self.sums.reshape(-1, PARTS + 1)
+        self.leaf = mix(mix(self.sums[:, 0]) + n.astype(U64))
+        self.exact = mix(self.leaf + self.sums.sum(1, dtype=U64))
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(templates of all lines in turn, how many each has): those that leave parts out."""
+        every = self.sums.sum(1, dtype=U64)
+        out, has = np.zeros((len(self.n), len(left_out(PARTS))), U64), np.zeros((len(self.n), len(left_out(PARTS))), bool)
+        for parts in range(2, PARTS + 1):
+            rows = np.flatnonzero(self.parts == parts)
+            for k, gone in enumerate(left_out(parts)):
+                kept = every[rows] - self.sums[rows][:, list(gone)].sum(1, dtype=U64)
+                out[rows, k] = mix(mix(self.leaf[rows] + U64(k + 1)) + kept)
+                has[rows, k] = True
+        return out[has], has.sum(1)
+
+    def near(self) -> list[np.ndarray]:
+        """For each order the smallest hash of each line's shingles; lines of fewer words have one, of all of them."""
+        end = np.repeat(self.start + self.n, self.n)
+        s = np.zeros(len(self.h), U64)
+        s[: len(s) - SHINGLE + 1] = sum((self.h[k : len(s) - SHINGLE + 1 + k] * _SHINGLE[k] for k in range(1, SHINGLE)), self.h[: max(0, len(s) - SHINGLE + 1)] * _SHINGLE[0]) if len(s) >= SHINGLE else 0
+        inside = np.arange(len(s)) + SHINGLE <= end
+        return [np.where(self.n < SHINGLE, mix(self.exact ^ o), np.minimum.reduceat(np.where(inside, mix(s ^ o), _MOST), self.start)) for o in _ORDERS]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row for each different line of a document: (k1, k2, leaf, exact, kind0 and on, n, tokens)."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("leaf", pa.int64()), ("exact", pa.int64()), *((f"kind{o}", pa.int64()) for o in range(ORDERS)), ("n", pa.int32()), ("tokens", pa.list_(pa.int16()))])
+    """One row for each different line of a document: (k1, k2, leaf, exact, templates, near0 and on)."""
+    near = [f"near{o}" for o in range(ORDERS)]
+    schema = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "leaf", "exact")), ("templates", pa.list_(pa.int64())), *((c, pa.int64()) for c in near)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, k1, k2 = texts(b, "text"), b.column("k1"), b.column("k2")
-            for i, j in slices(map(len, raw)):
-                rows, parts, sizes, tokens = [], [[] for _ in range(2 + ORDERS)], [], []
-                for r in range(i, j):
-                    _, n, leaf, exact, lead, h = parse(raw[r])
-                    if not len(n):
-                        continue
-                    _, first = np.unique(exact, return_index=True)
-                    keep = np.zeros(len(n), bool)
-                    keep[first] = True
-                    rows.append(np.full(len(first), r))
-                    for p, v in zip(parts, (leaf[keep], exact[keep], *(kinds(lead, o)[keep] for o in range(ORDERS))), strict=True):
-                        p.append(v.view(np.int64))
-                    sizes.append(n[keep])
-                    tokens.append((h[np.repeat(keep, n)] >> U64(48)).astype(np.uint16).view(np.int16))
-                if rows:
-                    row, n = pa.array(np.concatenate(rows)), np.concatenate(sizes)
-                    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(tokens)))
-                    yield batch_of(schema, [k1.take(row), k2.take(row), *map(np.concatenate, parts), n.astype(np.int32), listed])
-
-    return docs.mapInArrow(run, ", ".join(["k1 long, k2 long, leaf long, exact long", *(f"kind{o} long" for o in range(ORDERS)), "n int, tokens array<smallint>"]))
-
-
-def row_key(docs: DataFrame) -> list:
-    """128 bits of doc_id and text: rows equal in both are one document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.xxhash64("doc_id", text), F.xxhash64(F.lit(7), F.col("doc_id"), text)]
+            for i, j in slices(map(len, raw), 1 << 20):
+                x = Lines(raw[i:j])
+                if not len(x.n):
+                    continue
+                order = np.lexsort((x.exact, x.text))
+                keep = np.sort(order[np.append(True, (x.text[order][1:] != x.text[order][:-1]) | (x.exact[order][1:] != x.exact[order][:-1]))])
+                templates, count = x.templates()
+                templates = templates[np.isin(np.repeat(np.arange(len(x.n)), count), keep)] if len(keep) < len(x.n) else templates
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[keep])).astype(np.int32)), pa.array(templates.view(np.int64)))
+                row = pa.array(x.text[keep] + i)
+                yield batch_of(schema, [k1.take(row), k2.take(row), x.leaf[keep].view(np.int64), x.exact[keep].view(np.int64), listed, *(v[keep].view(np.int64) for v in x.near())])
+
+    return docs.mapInArrow(run, ", ".join(["k1 long, k2 long, leaf long, exact long, templates array<long>", *(f"{c} long" for c in near)]))
 
 
 def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(k1, k2, exact: array of the exact hashes of lines to drop) of each document that has some."""
-    k1, k2 = row_key(docs)
-    lines = scratch.keep(lines_of(need(docs, "doc_id", "text").select(k1.alias("k1"), k2.alias("k2"), "text")), "lines")
-    # The least count first: a leaf of few documents can't recur.
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs)
-    leaves = scratch.keep(leaves, "leaves")  # joins of two written tables can split hot keys
-    lines = scratch.keep(lines.join(leaves, "leaf"), "candidates")
-    exact = lines.groupBy("leaf", "exact").agg(F.count(F.lit(1)).alias("docs"), F.any_value("lines").alias("lines"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
-    mixed = scratch.keep(exact.where("docs < lines"), "mixed")
-    places = mixed.select("leaf", "docs", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.any_value("lines").alias("lines"))
-    template = places.where("2 * docs >= lines").groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("kept"))
-    agree = F.size(F.filter("kept", lambda k: F.get("tokens", k["place"]) == k["token"]))
-    general = mixed.join(template, "leaf").where(agree >= ALIKE * F.col("n")).select("leaf", "exact", F.lit(True).alias("general"))
-    general = scratch.keep(general, "general")
-    own = F.when(F.col("general"), F.lit(None)).otherwise(F.col("exact")).alias("own")  # null: the leaf's template
-    placed = lines.join(general, ["leaf", "exact"], "left").select("leaf", own, *(f"kind{o}" for o in range(ORDERS)))
-    counted = placed.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("docs"), *(F.count_distinct(f"kind{o}").alias(f"kinds{o}") for o in range(ORDERS)))
-    most = F.greatest(*(f"kinds{o}" for o in range(ORDERS)))
-    gone = scratch.keep(counted.where((F.col("docs") >= least_docs) & (most * KINDS >= F.col("docs"))).select("leaf", "own"), "gone")
-    drop = gone.where("own is not null").select("leaf", F.col("own").alias("exact")).union(general.join(gone.where("own is null").select("leaf"), "leaf").select("leaf", "exact"))
-    drop = scratch.keep(drop, "exact")
-    found = lines.select("k1", "k2", "leaf", "exact").join(drop, ["leaf", "exact"]).groupBy("k1", "k2").agg(F.collect_set("exact").alias("exact"))
-    found = scratch.keep(found, "drop")
-    scratch.drop("lines", "candidates", "mixed", "general", "gone")
+    """(k1, k2: a text's key, exact: array of the exact hashes of lines to drop) of each text that has some."""
+    k1, k2 = text_key(F.col("text"))
+    near = [f"near{o}" for o in range(ORDERS)]
+    lines = scratch.keep(lines_of(need(docs, "text").select(k1.alias("k1"), k2.alias("k2"), "text")), "lines")
+    # The least count first: a leaf of few lines can't have candidates. Joins of two written tables can split hot keys.
+    leaves = scratch.keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs).select("leaf"), "leaves")
+    filed = scratch.keep(lines.join(leaves, "leaf").select("k1", "k2", "exact", F.explode(F.concat(F.array("exact"), "templates")).alias("t")), "filed")
+    common = scratch.keep(filed.groupBy("t").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs).select("t"), "common")
+    held = scratch.keep(filed.join(common, "t").distinct(), "held")  # copies of a text are one from here on
+    scratch.drop("filed", "leaves")
+    candidates = held.select("k1", "k2", "exact").distinct()
+    candidates = scratch.keep(lines.join(candidates.withColumn("candidate", F.lit(True)), ["k1", "k2", "exact"], "left").select("k1", "k2", "exact", "candidate", *near), "candidates")
+    own = candidates.where("candidate is null")
+    for c in near:  # each is one join of lines with the different hashes of candidates, in that order
+        own = own.join(candidates.where("candidate").select(c).distinct(), c, "left_anti")
+    names = own.select("k1", "k2", "exact").distinct().groupBy("k1", "k2").agg(F.bit_xor(F.xxhash64("exact")).alias("name"))
+    names = scratch.keep(held.select("k1", "k2").distinct().join(names, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("name", F.lit(0)).alias("name")), "names")
+    placed = held.select("t", "k1", "k2").distinct().join(names, ["k1", "k2"])
+    kinds = placed.groupBy("t", "name").agg(F.count(F.lit(1)).alias("texts")).groupBy("t").agg(F.count(F.lit(1)).alias("names"), F.sum("texts").alias("texts"))
+    gone = scratch.keep(kinds.where((F.col("names") >= least_docs) & (F.col("names") * TEXTS >= F.col("texts"))).select("t"), "gone")
+    found = scratch.keep(held.join(gone, "t").groupBy("k1", "k2").agg(F.collect_set("exact").alias("exact")), "drop")
+    scratch.drop("lines", "common", "held", "candidates", "names", "gone")
     return found
 
 
 def drop_recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs with text without its recurring lines, and _vw_lines, _vw_dropped (counts)."""
     found = recurring(docs, scratch, least_docs).select(F.col("k1").alias("_vw_k1"), F.col("k2").alias("_vw_k2"), F.col("exact").alias("_vw_exact"))
-    k1, k2 = row_key(docs)
+    k1, k2 = text_key(F.col("text"))
     joined = docs.withColumns({"_vw_k1": k1, "_vw_k2": k2}).join(found.hint("shuffle_hash"), ["_vw_k1", "_vw_k2"], "left").select(*docs.columns, "_vw_exact")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +167,8 @@ def drop_recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DO
             for r, (raw, listed) in enumerate(zip(texts(b, "text"), b.column("_vw_exact").to_pylist(), strict=True)):
                 lines, dropped = raw.split(b"\n"), 0
                 if listed:
-                    number, _, _, exact, _, _ = parse(raw)
-                    out = set(number[np.isin(exact.view(np.int64), np.array(listed, np.int64))].tolist())
+                    x = Lines([raw])
+                    out = set(x.number[np.isin(x.exact.view(np.int64), np.array(listed, np.int64))].tolist())
                     dropped = len(out)
                     kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in out).decode())
                 else:
