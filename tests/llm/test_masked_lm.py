@@ -6,7 +6,7 @@ import math
 import numpy as np
 
 from voxweave.llm import masked_lm
-from voxweave.llm.common import Scratch
+from voxweave.llm.common import Scratch, word_hashes
 
 WORDS = [f"{a}{b}x" for a in "abcdefghijklmnopqrst" for b in "uvwxyz"]
 
@@ -15,6 +15,18 @@ def body(seed, n):
     return " ".join(WORDS[i] for i in np.random.default_rng(seed).integers(0, len(WORDS), n))
 
 
+def shape(word):
+    core = word[:-1] if not word[-1:].isalnum() and word[-1] < 128 else word
+    return (65 <= word[0] <= 90) * 16 + (len(core) < len(word)) * 8 + (not (core.isascii() and core.isalpha())) * 4 + (len(word) > 3) + (len(word) > 6) + (len(word) > 10)
+
+
+def test_shapes():
+    words = ["a", "B", "Bc.", ".", "é", "Éa,", "don't", "x1", "1", "1.", "ABCDEFGHIJKL!", "abcé", "日本語"]
+    raw = " ".join(words).encode()
+    x = masked_lm.Words([raw, b"", b" \n", raw])
+    assert x.shapes.tolist() == [shape(w.encode()) for w in words * 2] and x.n.tolist() == [len(words), 0, 0, len(words)]
+
+
 def softmax_by_hand(net, classes, wide, t):
     """P(class) at place t of a sequence with two ends about it, number by number."""
     p = {k: x.astype(float) for k, x in net.p.items()}
@@ -33,11 +45,11 @@ def test_scores_are_those_of_plain_counting_and_sum_to_one(spark):
     words = [[None, *w, None] if (w := (t or "").split()) else [] for t in texts]
     count = collections.Counter(w for d in words for w in d[:-1])
     pair = collections.Counter(p for d in words for p in zip(d, d[1:]))
-    hashed = lambda w: int(masked_lm.word_hashes([w.encode()])[0])
+    hashed = lambda w: int(word_hashes([w.encode()])[0])
     key = lambda w: hashed(w) >> 64 - model.bits | 1
     frequent = sorted((w for w in count if w is not None), key=lambda w: (-count[w], key(w)))[: masked_lm.FREQUENT]
     number = {w: i + 1 for i, w in enumerate(frequent)}
-    of = {w: number.get(w, masked_lm.FREQUENT + 1 + masked_lm.shape(w.encode())) for w in count if w is not None}
+    of = {w: number.get(w, masked_lm.FREQUENT + 1 + shape(w.encode())) for w in count if w is not None}
     wide = {w: masked_lm.CLASSES + (hashed(w) >> 20) % masked_lm.HASHED for w in of}
     sizes = collections.Counter()
     for w, c in of.items():
@@ -70,7 +82,7 @@ def test_network_beats_class_frequencies_on_unseen_text():
         return " ".join(WORDS[i] for i in w).encode()
 
     train, held = [text(400) for _ in range(150)], [text(400) for _ in range(10)]
-    keys = np.sort(masked_lm.word_hashes([w.encode() for w in WORDS[:29]]) | np.uint64(1))
+    keys = np.sort(word_hashes([w.encode() for w in WORDS[:29]]) | np.uint64(1))
     number = np.arange(1, 30)
     net = masked_lm.WindowNetwork()
     for _ in range(3):

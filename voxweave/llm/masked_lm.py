@@ -26,6 +26,7 @@ count each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, Scratch, batch_of, groups_of, mix, need, slices, texts, word_hashes
+from .common import U64, HashedWords, Scratch, batch_of, groups_of, mix, need, slices, texts
 
 CLASSES, FREQUENT = 64, 31
 WINDOW, HASHED, EMBEDDING, HIDDEN = 2, 1 << 12, 8, 24
@@ -46,29 +47,30 @@ CHUNK, RANGE = 4 << 20, 8 << 20
 KEY_BITS = 24
 #: Weights of tasks are averaged in groups, then again.
 GROUPS = (256, 8)
+_LETTER, _DIGIT = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.digits))
 _END, _PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
-def shape(word: bytes) -> int:
-    """0..31: capital first, sign last, something else than ASCII letters inside, and four lengths."""
-    core = word[:-1] if not word[-1:].isalnum() and word[-1] < 128 else word
-    return (65 <= word[0] <= 90) * 16 + (len(core) < len(word)) * 8 + (not (core.isascii() and core.isalpha())) * 4 + (len(word) > 3) + (len(word) > 6) + (len(word) > 10)
-
-
-_SHAPES = Memo(shape)
+def shapes_of(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """0..31 of each word: capital first, sign last, something else than ASCII letters inside, and four lengths."""
+    x = np.frombuffer(raw, np.uint8)
+    other = np.append(0, np.cumsum(~_LETTER[x]))
+    n, last = end - start, x[end - 1]
+    sign = (last < 128) & ~_LETTER[last] & ~_DIGIT[last]
+    inside = end - sign
+    odd = (other[inside] > other[start]) | (inside == start)
+    return ((x[start] >= 65) & (x[start] <= 90)) * 16 + sign * 8 + odd * 4 + (n > 3) + (n > 6) + (n > 10).astype(np.int64)
 
 
 class Words:
     """Of several texts: their words' hashes and shapes in turn, and the numbers of words."""
 
     def __init__(self, raw: list[bytes], shaped: bool = True):
-        words, n = [], []
-        for x in raw:
-            w = x.split()
-            n.append(len(w))
-            words += w
-        self.n, self.hashes = np.array(n, np.int64), word_hashes(words)
-        self.shapes = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words)) if shaped else None
+        joined = b" ".join(raw)
+        words = HashedWords(joined)
+        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        self.n, self.hashes = np.diff(np.searchsorted(words.start, begins)), words.hashes
+        self.shapes = shapes_of(joined, words.start, words.end) if shaped and len(words.start) else np.zeros(len(words.start), np.int64)
 
     def places(self, ends: int) -> tuple[np.ndarray, int]:
         """Where words stand if so many ends come before, between and behind the texts with words; and how long that is."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Forest, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts, word_hashes
+from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts
 
 #: Words of a shingle and least similarity, where a caller names no others.
 SHINGLE, PERCENT = 4, 85
@@ -52,11 +52,10 @@ def factors(shingle: int) -> np.ndarray:
 
 def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted different shingle hashes of one whole text."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, U64)
-    wh = word_hashes(words)
-    k, c = min(shingle, len(words)), factors(shingle)
+    wh = HashedWords(raw, lower=True).hashes
+    if not len(wh):
+        return wh
+    k, c = min(shingle, len(wh)), factors(shingle)
     h = np.full(len(wh) - k + 1, k, U64)
     for i in range(k):
         h += wh[i : i + len(h)] * c[i]

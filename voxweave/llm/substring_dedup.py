@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts, word_hashes
+from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts
 
 WINDOW, ANCHOR = 35, 12
 #: Windows of one block; bounds the positions that break ties.
@@ -94,12 +94,11 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
         for b in batches:
             raw, k1, k2 = texts(b, "text"), b.column("k1"), b.column("k2")
             for i, j in slices(map(len, raw)):
-                words = [x.split() for x in raw[i:j]]
-                ends = np.cumsum([len(w) for w in words])
-                wh = np.concatenate([word_hashes(w) for w in words])
-                start, n, anchor, sig = spans_of(wh, ends, least)
+                words = HashedWords(b" ".join(raw[i:j]))
+                ends = np.searchsorted(words.start, np.cumsum([len(x) + 1 for x in raw[i:j]]))
+                start, n, anchor, sig = spans_of(words.hashes, ends, least)
                 text = np.searchsorted(ends, start, side="right")
-                lo = start - (ends - np.array([len(w) for w in words]))[text]
+                lo = start - np.append(0, ends)[text]
                 rows = pa.array(text + i)
                 yield batch_of(schema, [k1.take(rows), k2.take(rows), lo.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), sig.view(np.int64)])
 
@@ -116,7 +115,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
             for i, j in slices(map(len, raw)):
                 parts: list[list[np.ndarray]] = [[] for _ in range(5)]
                 for r in range(i, j):
-                    wh = word_hashes(raw[r].split())
+                    wh = HashedWords(raw[r]).hashes
                     lo = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in listed[r]])
                     weight = np.repeat([s["weight"] for s in listed[r]], [s["n"] for s in listed[r]])
                     for p, v in zip(parts, (Rolling(wh, _B1).of(lo, lo + least), Rolling(wh, _B2).of(lo, lo + least), np.full(len(lo), r), lo, weight), strict=True):
