@@ -2,32 +2,35 @@
 
 A document's set holds its different shingles of `shingle` words as 64-bit hashes; documents with equal sets are one node. Two
 sets with 100 * common >= percent * union share at least T = ceil(percent / 100 * n) of the n shingles of either, so they meet in
-S = shared_lists(percent) inverted lists of the n - T + S rarest; a document that meets others in fewer lists has no link. Rarity comes from a count of all shingles in SKETCH buckets, which bounds every list's
-length from above; its order is the same everywhere, which is all that exactness needs. The rare (short) lists are spread
-over the cluster, and lists of one document vanish.
+S = shared_lists(percent) inverted lists of the n - T + S rarest; a document that meets others in fewer lists has no link. Rarity
+comes from a count of all shingles in SKETCH buckets, which bounds every list's length from above; its order is the same
+everywhere, which is all that exactness needs. The rare (short) lists are spread over the cluster, and lists of one document
+vanish.
 
 Lists with the same smallest node make one group. First each node is searched in one of its groups; groups are cut into
-blocks of BLOCK nodes. In a block
-the T-occurrence search runs on the block's own lists: the short ones are merged and counted, and what reaches T - L is
-probed in the L long ones by binary search. Links give components. Then only groups that still hold several components are
-left; in those every node outside the group's largest component is searched among all its nodes, block by block. Pairs
-are never emitted: a block yields a spanning forest of its links. So copies cost time in proportion to their number, and no
-link between different components is lost.
+blocks of about BLOCK nodes and BLOCK_SHINGLES shingles. In a block the T-occurrence search runs on the block's own lists:
+the short ones are merged by a heap that skips what can't reach T - L any more, and what reaches it is probed in the L long
+ones by binary search. Links give components. Then only groups that still hold several components are left; in those every
+node outside the group's largest component is searched among all its nodes, block by block. Pairs are never emitted: a block
+yields a spanning forest of its links. So copies cost time in proportion to their number, and no link between different
+components is lost. What grows faster is a group of many nodes that share rare shingles but don't link.
 
 Null texts, and texts without words, have no shingles and no links (component: their own id); fewer than `shingle` words make
 one shingle; very long texts are whole; repeated rows are equal sets; null ids take part in links but never are a component's
-id, unless all of its ids are null; an empty table gives an empty result. Other columns are ignored. Nodes are known by 64
-bits of hash: at n documents the chance of any wrong merge is about n**2 / 2**65.
+id, unless all of its ids are null; an empty table gives an empty result. Other columns are ignored. Nodes are known by 128
+bits of hash: 64 are a node's name, and of nodes whose names agree while the other 64 bits differ all but one get new names.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts
@@ -36,14 +39,15 @@ from .common import U64, Forest, HashedWords, Scratch, batch_of, components, gro
 SHINGLE, PERCENT = 4, 85
 SKETCH = 1 << 19
 CHUNK = 1 << 12
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Blocks to which one row sends a set, and bytes of sets in one Arrow batch.
+SENT, SENT_BYTES = 1 << 12, 32 << 20
+#: Nodes of equal names that are renamed; at n documents about n**2 / 2**65 are expected.
+MOST_RENAMED = 100_000
 #: Shingles that linked sets share at least in their rare parts, where sets that differ can't share fewer altogether.
 SHARED = 6
 #: Lists that can't be longer than this by the sketch are found with a window over the list; longer ones by partial sums.
 SHORT_LIST = 20_000
-#: Bytes of a shingle's hash that are shipped for comparing two sets.
-WIDTH = 6
-
 
 @functools.cache
 def factors(shingle: int) -> np.ndarray:
@@ -62,9 +66,11 @@ def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A set's 64-bit name: independent of order, so of how it is stored."""
-    return int(mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
+def node_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, independent of order; the first, of which so many bits are used, is its name."""
+    sums = np.array([mix(s).sum(dtype=U64), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)], U64)
+    name, other = mix(sums + U64(len(s))).view(np.int64).tolist()
+    return name >> 64 - bits, other
 
 
 def shared_lists(percent: int) -> int:
@@ -78,20 +84,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - least + min(shared_lists(percent), least)
 
 
-def pack_set(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
-
-
-def unpack_set(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(b, np.uint8).reshape(-1, WIDTH)
-    return np.sort(out.view("<u8").ravel())
-
-
-def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per document (doc_id, k1, k2, n, node), node null without shingles; and, in rows of their own, chunk, places and
-    counts of the sketch that a task has gathered."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+def sets_of(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
+    """Per document (doc_id, k1, k2, n, node, other: see node_of), node null without shingles; and, in rows of their own,
+    chunk, places and counts of the sketch that a task has gathered."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
@@ -100,17 +96,17 @@ def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for raw in texts(b, "text"):
                 s = shingles(raw, shingle)
                 n.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
+                nodes.append(node_of(s, bits) if len(s) else (None, None))
                 np.add.at(sketch, (s & U64(SKETCH - 1)).astype(np.int64), 1)
             empty = pa.nulls(len(n), pa.binary())
-            yield batch_of(schema, [b.column("doc_id"), b.column("k1"), b.column("k2"), n, nodes, pa.nulls(len(n), pa.int32()), empty, empty])
+            yield batch_of(schema, [b.column("doc_id"), b.column("k1"), b.column("k2"), n, [x for x, _ in nodes], [y for _, y in nodes], pa.nulls(len(n), pa.int32()), empty, empty])
         chunks = sketch.reshape(-1, CHUNK)
         at = np.flatnonzero(chunks.any(1))
         places = [np.flatnonzero(chunks[c]).astype("<u2") for c in at]
         none = pa.nulls(len(at), pa.int64())
-        yield batch_of(schema, [none, none, none, none, none, at.astype(np.int32), [p.tobytes() for p in places], [chunks[c][p].astype("<u4").tobytes() for c, p in zip(at, places, strict=True)]])
+        yield batch_of(schema, [none, none, none, none, none, none, at.astype(np.int32), [p.tobytes() for p in places], [chunks[c][p].astype("<u4").tobytes() for c, p in zip(at, places, strict=True)]])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, node long, chunk int, places binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, node long, other long, chunk int, places binary, counts binary")
 
 
 def sketch_of(sets: DataFrame) -> np.ndarray:
@@ -135,13 +131,23 @@ def sketch_of(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n, most) of each document's prefix_length rarest shingles; n is its set's size, most bounds the list's length."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("most", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))  # SKETCH numbers, whatever the corpus
+def renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of nodes whose name another node has too."""
+    twice = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("node", F.col("x").alias("first"))
+    found = rows.join(twice, "node").where("other <> first").select("node", "other").distinct().limit(MOST_RENAMED + 1).collect()
+    if len(found) > MOST_RENAMED:
+        raise ValueError(f"more than {MOST_RENAMED} different sets share 64-bit hashes")
+    return {(r["node"], r["other"]): int(mix(np.array([r["node"], r["other"]], np.int64).view(U64)).sum(dtype=U64).view(np.int64)) for r in found}
+
+
+def postings(docs: DataFrame, sketch: np.ndarray, names: dict[tuple[int, int], int], shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """(token, node, n, long) of each document's prefix_length rarest shingles; n is its set's size, and the list can be
+    longer than SHORT_LIST only if long."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("long", pa.bool_())])
+    shared = docs.sparkSession.sparkContext.broadcast((np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), names))  # SKETCH numbers, whatever the corpus, and MOST_RENAMED names at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, names = shared.value
         for b in batches:
             raw = texts(b, "text")
             for i, j in slices(map(len, raw)):
@@ -150,37 +156,61 @@ def postings(docs: DataFrame, sketch: np.ndarray, shingle: int = SHINGLE, percen
                     if len(s := shingles(raw[r], shingle)):
                         size = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
                         at = np.lexsort((s, size))[: prefix_length(len(s), percent)]
-                        for p, v in zip(parts, (s[at], np.full(len(at), node_of(s)), np.full(len(at), len(s), np.int32), size[at]), strict=True):
+                        name = node_of(s, bits)
+                        for p, v in zip(parts, (s[at], np.full(len(at), names.get(name, name[0])), np.full(len(at), len(s), np.int32), size[at] > SHORT_LIST), strict=True):
                             p.append(v)
                 if parts[0]:
-                    token, node, n, most = map(np.concatenate, parts)
-                    yield batch_of(schema, [token.view(np.int64), node, n, most.astype(np.int64)])
+                    token, node, n, long = map(np.concatenate, parts)
+                    yield batch_of(schema, [token.view(np.int64), node, n, long])
 
-    return need(docs, "text").mapInArrow(run, "token long, node long, n int, most long")
+    return need(docs, "text").mapInArrow(run, "token long, node long, n int, long boolean")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(member, times) of those that stand in `least` of the sorted lists or more, by a heap of the lists' heads.
+
+    What is popped fewer times than that is passed over: the heads of `least` - 1 lists go together, and their lists skip to
+    the next head, as nothing before it can be in enough lists.
+    """
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= least:
+        value, popped = heap[0][0], []
+        while heap and heap[0][0] == value:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            yield value, len(popped)
+            for k in popped:
+                at[k] += 1
+        else:
+            while len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            for k in popped:
+                at[k] = bisect.bisect_left(lists[k], heap[0][0], at[k])
+        for k in popped:
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
 
 
 def search(sets: list[np.ndarray], queries: list[int], members: list[int], group: list[int], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links of queries with members, on top of group (equal numbers are connected already).
 
-    T-occurrence over the members' inverted lists: for a query of n shingles, T = ceil(percent / 100 * n); its L longest lists are put
-    aside, the others merged and counted, and members counted T - L times or more are looked up in the long lists.
+    T-occurrence over the members' inverted lists: for a query of n shingles, T = ceil(percent / 100 * n); its L longest
+    lists are put aside, the others merged, and members met T - L times or more are looked up in the long lists.
     """
     first, forest = {}, Forest(len(sets))
     for i, g in enumerate(group):
         forest.join(i, first.setdefault(g, i))
-    if len(sets) == 2:
-        if forest.find(0) != forest.find(1) and linked(*sets, percent):
-            yield 0, 1
-        return
+    apart = len(first)
     sizes = np.array([len(sets[i]) for i in members])
     every, token = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
     lists, bounds = np.repeat(np.arange(len(members)), sizes)[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(every)))])
     for q in queries:
+        if apart == 1:
+            return
         n = len(sets[q])
         least = (percent * n + 99) // 100
         own = np.searchsorted(every, sets[q])
@@ -191,11 +221,12 @@ def search(sets: list[np.ndarray], queries: list[int], members: list[int], group
         own = own[np.argsort(length, kind="stable")]
         put = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)))
         short, long = own[: len(own) - put], own[len(own) - put :]
-        count = np.bincount(np.concatenate([lists[bounds[t] : bounds[t + 1]] for t in short]), minlength=len(members))
-        found = np.flatnonzero((count >= least - put) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+        met = list(merge_skip([lists[a:b].tolist() for a, b in zip(bounds[short].tolist(), bounds[short + 1].tolist(), strict=True)], least - put))
         root = forest.find(q)
-        found = found[[forest.find(members[i]) != root for i in found.tolist()]] if len(found) else found
-        count = count[found]
+        met = [(i, c) for i, c in met if forest.find(members[i]) != root]
+        found, count = (np.array([x[k] for x in met], np.int64) for k in (0, 1))
+        alike = 100 * np.minimum(sizes[found], n) >= percent * np.maximum(sizes[found], n)
+        found, count = found[alike], count[alike]
         for done, t in enumerate(long, 1):
             if not len(found):
                 break
@@ -206,6 +237,7 @@ def search(sets: list[np.ndarray], queries: list[int], members: list[int], group
                 found, count = found[alive], count[alive]
         for i, c in zip(found.tolist(), count.tolist(), strict=True):
             if 100 * c >= percent * (n + int(sizes[i]) - c) and forest.join(q, members[i]):
+                apart -= 1
                 yield q, members[i]
 
 
@@ -225,7 +257,7 @@ def search_blocks(met: DataFrame, percent: int = PERCENT) -> DataFrame:
                 x[3] |= member
             nodes = list(seen)
             which = [[i for i, x in enumerate(nodes) if seen[x][k]] for k in (2, 3)]
-            edges = list(search([unpack_set(seen[x][0]) for x in nodes], *which, [seen[x][1] for x in nodes], percent)) if all(which) else []
+            edges = list(search([np.frombuffer(seen[x][0], U64) for x in nodes], *which, [seen[x][1] for x in nodes], percent)) if all(which) else []
             if edges:
                 yield batch_of(schema, [[nodes[i] for i, _ in edges], [nodes[j] for _, j in edges]])
 
@@ -237,7 +269,8 @@ def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame, shingle: int =
 
     firsts (node, id, k1, k2) names one document of each node, so that a text that many documents share is sent once.
     """
-    to = places.groupBy("node").agg(F.collect_list(F.struct("g", "block", "comp", "query", "member")).alias("places"))  # a few for each of a node's lists
+    part = F.floor(F.col("block") / SENT).alias("part")
+    to = places.groupBy("node", part).agg(F.collect_list(F.struct("g", "block", "comp", "query", "member")).alias("places"))  # SENT for each of a node's lists
     to = to.join(firsts, "node").select("id", "k1", "k2", "node", "places")
     kinds = [("g", pa.int64()), ("block", pa.int64()), ("comp", pa.int64()), ("query", pa.bool_()), ("member", pa.bool_())]
     schema = pa.schema([*kinds, ("node", pa.int64()), ("set", pa.binary())])
@@ -246,9 +279,11 @@ def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame, shingle: int =
         for b in batches:
             raw, nodes, where = texts(b, "text"), b.column("node"), b.column("places").to_pylist()
             for i, j in slices(map(len, raw)):
-                packed = pa.array([pack_set(shingles(x, shingle)) for x in raw[i:j]], pa.binary())
-                row = pa.array(np.repeat(np.arange(j - i), [len(w) for w in where[i:j]]))
-                yield batch_of(schema, [*([p[k] for w in where[i:j] for p in w] for k, _ in kinds), nodes[i:j].take(row), packed.take(row)])
+                packed = [shingles(x, shingle).tobytes() for x in raw[i:j]]
+                sent = [(r, p) for r, w in enumerate(where[i:j]) for p in w]
+                for x, y in slices((len(packed[r]) for r, _ in sent), SENT_BYTES):
+                    row = pa.array([r for r, _ in sent[x:y]], pa.int64())
+                    yield batch_of(schema, [*([p[k] for _, p in sent[x:y]] for k, _ in kinds), nodes[i:j].take(row), pa.array(packed, pa.large_binary()).take(row).cast(pa.binary())])
 
     joined = docs.withColumn("id", id_key()).join(to.hint("shuffle_hash"), ["id", "k1", "k2"]).select("text", "node", "places")
     return joined.mapInArrow(run, "g long, block long, comp long, query boolean, member boolean, node long, set binary")
@@ -259,9 +294,9 @@ def id_key() -> Column:
     return F.coalesce("doc_id", F.lit(-(1 << 63)))
 
 
-def parts(c: str, size: int = BLOCK) -> Column:
-    """Into how many parts of about size a group of so many nodes is cut."""
-    return F.ceil(F.col(c) / size).cast("int")
+def parts(nodes: str, shingles: str, times: int = 1) -> Column:
+    """Into how many blocks a group of so many nodes with so many shingles is cut."""
+    return F.ceil(F.greatest(F.col(nodes) / (times * BLOCK), F.col(shingles) / (times * BLOCK_SHINGLES))).cast("int")
 
 
 def part_of(c: Column, salt: int = 0) -> Column:
@@ -272,58 +307,60 @@ def each(c: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), c - 1))
 
 
-def join_components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, k1, k2 (text key), n_shingles, component_id, and comp, the component itself whatever its ids (null without shingles)."""
+def join_components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """Per document: doc_id, k1, k2 (text key), n_shingles, component_id, and comp, the component itself whatever its ids (null
+    without shingles). bits: of a node's name, fewer only to see that equal names do no harm."""
     k1, k2 = text_key(F.col("text"))
     keyed = need(docs, "doc_id", "text").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     if keyed.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long, comp long")
-    sets = scratch.keep(sets_of(keyed, shingle), "sets")
+    sets = scratch.keep(sets_of(keyed, shingle, bits), "sets")
     sketch = sketch_of(sets)
-    rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node")
+    rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node", "other")
+    if names := renamed(rows):
+        new = docs.sparkSession.createDataFrame([(*k, v) for k, v in names.items()], "node long, other long, new long")
+        rows = rows.join(new, ["node", "other"], "left").withColumn("node", F.coalesce("new", "node"))
+    rows = rows.select("doc_id", "k1", "k2", "n", "node")
 
-    seen = Observation()
-    posted = postings(keyed, sketch, shingle, percent).observe(seen, F.count(F.when(F.col("most") > SHORT_LIST, 1)).alias("long"))
-    short = posted.where(F.col("most") <= SHORT_LIST)
+    posted = scratch.keep(postings(keyed, sketch, names, shingle, percent, bits), "posted")
     # Sets of a list that differ too much in size can't link: the list, ordered by size, is cut where the next is too large.
     rising = Window.partitionBy("token").orderBy("n", "node")
     cut = F.coalesce(100 * F.lag("n").over(rising) < percent * F.col("n"), F.lit(False)).cast("int")
-    short = short.withColumn("cut", cut).withColumn("run", F.sum("cut").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    short = posted.where("not long").select("token", "node", "n").withColumn("cut", cut).withColumn("run", F.sum("cut").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
     over = Window.partitionBy("token", "run")
-    short = short.select("token", "node", F.min("node").over(over).alias("low"), F.max("node").over(over).alias("high")).where("low <> high").select("token", "node", "low")
-    shared = scratch.keep(short, "shared")
-    if seen.get["long"]:
-        long = postings(keyed, sketch, shingle, percent).where(F.col("most") > SHORT_LIST).select("token", "node")
-        ends = long.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "low")
-        ends = scratch.keep(ends, "long")  # joins of two written tables can split hot keys
-        shared = scratch.keep(shared.union(long.join(ends, "token").select("token", "node", "low")), "shared")
+    short = short.select("node", "n", F.min("node").over(over).alias("low"), F.max("node").over(over).alias("high"), "token").where("low <> high").select("token", "node", "n", "low")
+    long = posted.where("long").select("token", "node", "n")
+    ends = long.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "low")
+    ends = scratch.keep(ends, "long")  # joins of two written tables can split hot keys
+    shared = scratch.keep(short.union(long.join(ends, "token").select("token", "node", "n", "low")), "shared")
     often = scratch.keep(shared.select("token", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= shared_lists(percent)).select("node"), "often")
     # Lists with the same smallest node make one group: its nodes meet once, not once for each list they share.
-    lists = scratch.keep(shared.select(F.col("low").alias("g"), "node").distinct().join(often, "node"), "lists")
+    lists = scratch.keep(shared.select(F.col("low").alias("g"), "node", "n").distinct().join(often, "node"), "lists")
     firsts = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(id_key().alias("id"), "k1", "k2")).alias("k")).join(often, "node").select("node", "k.*")
     firsts = scratch.keep(firsts, "firsts")
-    scratch.drop("shared")
+    scratch.drop("shared", "posted")
 
-    low = scratch.keep(lists.groupBy("node").agg(F.min("g").alias("g")), "low")
-    groups = scratch.keep(low.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "groups")
-    blocked = low.join(groups, "g").select("g", part_of(parts("m")).alias("block"), "node")
-    heads = groups.select("g", each(parts("m")).alias("block"), F.col("g").alias("node"))
+    low = scratch.keep(lists.groupBy("node", "n").agg(F.min("g").alias("g")), "low")
+    groups = scratch.keep(low.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "groups")
+    blocked = low.join(groups, "g").select("g", part_of(parts("m", "w")).alias("block"), "node")
+    heads = groups.select("g", each(parts("m", "w")).alias("block"), F.col("g").alias("node"))
     places = blocked.union(heads).select("g", F.col("block").cast("long"), "node", F.col("node").alias("comp"), F.lit(True).alias("query"), F.lit(True).alias("member"))
     edges = scratch.keep(search_blocks(routed(keyed, firsts, places, shingle), percent), "edges-1")
     scratch.drop()
     comps = components(edges, scratch, "cc-1")
 
-    held = lists.join(comps, "node", "left").select("g", "node", F.coalesce("root", "node").alias("comp"))
+    held = lists.join(comps, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("comp"))
     held = scratch.keep(held, "held")
-    mixed = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("t")).where("x <> y")
-    mixed = scratch.keep(mixed.groupBy("m", "s", "t").agg(F.min("g").alias("g")).select("g", "m"), "mixed")  # groups of the same nodes once
-    sizes = held.join(mixed, "g").groupBy("g", "comp", "m").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("g", "m").agg(F.max(F.struct("size", "comp")).alias("top")).select("g", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.size")).alias("u"))
+    mixed = held.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("t")).where("x <> y")
+    mixed = scratch.keep(mixed.groupBy("m", "w", "s", "t").agg(F.min("g").alias("g")).select("g", "m", "w"), "mixed")  # groups of the same nodes once
+    sizes = held.join(mixed, "g").groupBy("g", "comp", "m", "w").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("sum"))
+    largest = sizes.groupBy("g", "m", "w").agg(F.max(F.struct("size", "sum", "comp")).alias("top"))
+    largest = largest.select("g", "m", "w", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.size")).alias("u"), (F.col("w") - F.col("top.sum")).alias("v"))
     largest = scratch.keep(largest, "largest")
-    inside = held.join(largest, "g").withColumns({"mb": parts("m"), "ub": parts("u", 4 * BLOCK)})
+    inside = held.join(largest, "g").withColumns({"mb": parts("m", "w"), "ub": parts("u", "v", 4)})
     members = inside.select("g", "node", "comp", "ub", part_of(F.col("mb")).alias("b"), each(F.col("ub")).alias("k")).withColumns({"query": F.lit(False), "member": F.lit(True)})
     asking = inside.where("comp <> main").select("g", "node", "comp", "ub", each(F.col("mb")).alias("b"), part_of(F.col("ub"), 1).alias("k")).withColumns({"query": F.lit(True), "member": F.lit(False)})
-    places = members.union(asking).select("g", (F.col("b") * F.col("ub") + F.col("k")).cast("long").alias("block"), "node", "comp", "query", "member")
+    places = members.union(asking).select("g", (F.col("b").cast("long") * F.col("ub") + F.col("k")).alias("block"), "node", "comp", "query", "member")
     more = scratch.keep(search_blocks(routed(keyed, firsts, places, shingle), percent), "edges-2")
     scratch.drop("low", "held", "mixed", "largest", "groups", "lists", "often")
     if not more.isEmpty():
