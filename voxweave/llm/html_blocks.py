@@ -1,11 +1,14 @@
 """HTML extraction: a recurrent block labeller.
 
 A page becomes the sequence of its text blocks: leaf text between block-level tags. Each block has a vector of its hashed tag
-path (tags, and the words of class, id and role attributes), of some of its hashed words, and of lengths and link density
-(words have a weight so small, and are random in training, that structure and lengths decide). A
-bidirectional LSTM in numpy reads the page's whole sequence, so each block is classified with the rest of the page in view;
-blocks labelled as main text are joined. The network is trained on made-up pages whose labels are known (see made_pages),
-always the same ones, so its weights are the same everywhere.
+path (tags, and the words of class, id and role attributes), of all its hashed words (logarithms of counts, of length 1 together), and of lengths and link
+density. A bidirectional LSTM in numpy reads the page's whole sequence, so each block is classified with the rest of the page in
+view; blocks labelled as main text are joined. The network is trained on made-up pages whose labels are known (see
+made_pages), always the same ones, so its weights are the same everywhere; one task trains it, once for each driver.
+
+Tags are read as HTML does, but lose less: a quote opens a value only right after "=" and if the closing one ends the value,
+anywhere else it is a character like others; "<" within a tag's name or attribute names begins no tag; scripts and styles that
+are never closed end at the next block, other elements of RAW that are never closed hide nothing.
 
 Null html counts as empty and gives an empty text; pages that end anywhere (inside a tag, comment or script too) are read as
 far as they go; very long pages are whole; ties at 0.5 are main text; repeated rows give equal texts; an empty table gives
@@ -22,26 +25,28 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, need, slices
+from .common import HashedWords, batch_of, need, slices
 
 #: Elements that don't break the line; every other tag ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 RAW = frozenset("script style template noscript iframe svg math canvas object".split())
+#: Where a script or style ends that is never closed.
+NEXT_BLOCK = re.compile(r"<(?:/?(?:body|div|section|article|main|table|ul|ol)|p|h[1-6]|nav|aside|header|footer|form)(?=[\s/>])", re.I)
 #: An opening tag of these ends an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div main aside nav footer header form".split())
 #: Name and value as HTML reads them: a quote opens a value only right after "=", anywhere else it is a character like others.
-ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
+ATTRIBUTE = re.compile(r"([^\s/><][^\s/>=<]*+)(?>\s*+=\s*+(?>\"([^\"]*+)\"(?=[\s/>]|\Z)|'([^']*+)'(?=[\s/>]|\Z)|([^\s>][^\s>]*+))?+)?+")
 _ATTRIBUTE = re.sub(r"\((?!\?)", "(?:", ATTRIBUTE.pattern)
-TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(>|\Z)", re.S)
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(>|\Z)", re.S)
 NAMES = frozenset(("class", "id", "role"))
 WORDS = re.compile(r"[A-Za-z][a-z]*")
 
-PATH, TEXT, NUMBERS, HIDDEN = 160, 24, 8, 20
+PATH, TEXT, NUMBERS, HIDDEN = 160, 256, 8, 20
 INPUTS = PATH + TEXT + NUMBERS
 
 
@@ -74,6 +79,7 @@ def _attributes(text: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     """(path, text, share of its characters inside links) of every block with text, in page order."""
     out, stack, pieces, linked, at, end = [], [], [], 0, 0, len(page)
+    closes: dict[str, re.Pattern | None] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -99,17 +105,15 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             break
         m = TOKEN.match(page, start)
         if not m:  # a sign that begins no tag
-            if not page[start + 1 : start + 2].isalpha() and page[start + 1 : start + 2] != "/":
-                if not pieces:
-                    path = list(stack)
-                pieces.append("<")
-                at = start + 1
-                continue
             if page[start + 1 : start + 2] == "/" and page[start + 2 : start + 3] and not page[start + 2].isalpha():  # a bogus comment
                 close = page.find(">", start)
                 at = end if close < 0 else close + 1
                 continue
-            break  # cut off inside a tag
+            if not pieces:
+                path = list(stack)
+            pieces.append("<")
+            at = start + 1
+            continue
         at = m.end()
         if not m[2]:
             continue
@@ -117,12 +121,19 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
         if not m[4]:
             break  # cut off inside a tag
         if not closing and tag in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = end if not close else close.start()
-            flush()
+            if tag not in closes:  # searched for once if there is none
+                closes[tag] = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
+            close = closes[tag] and closes[tag].search(page, at)
             if close:
-                gt = page.find(">", at)
+                flush()
+                gt = page.find(">", close.start())
                 at = end if gt < 0 else gt + 1
+                continue
+            closes[tag] = None
+            if tag in ("script", "style"):
+                flush()
+                block = NEXT_BLOCK.search(page, at)
+                at = block.start() if block else end
             continue
         if tag == "br":
             pieces and pieces.append(" ")
@@ -150,16 +161,23 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
 
 
 def vectors(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
+    """All words of every block are hashed, a-z as A-Z; together they have length 1 in a block."""
     x = np.zeros((len(blocks), INPUTS), np.float32)
+    if not blocks:
+        return x
+    raw = [text.encode("utf-8", "replace") for _, text, _ in blocks]
+    found = HashedWords(b" ".join(raw), lower=True)
+    block = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), found.start, side="right")
+    place = block * TEXT + (found.hashes >> np.uint64(8) & np.uint64(TEXT - 1)).astype(np.int64)
+    words = np.bincount(place, np.where(found.hashes & np.uint64(1), 1.0, -1.0), len(blocks) * TEXT).reshape(-1, TEXT)
+    words = np.sign(words) * np.log1p(np.abs(words))
+    x[:, PATH : PATH + TEXT] = words / np.maximum(1e-9, np.sqrt((words * words).sum(1, keepdims=True)))
+    count = np.bincount(block, minlength=len(blocks)).tolist()
     for i, (path, text, links) in enumerate(blocks):
         x[i, :PATH] = _path_vector(path)
-        words = text.split()
-        for w in words[:: max(1, len(words) // 24)]:  # words evenly over the whole block; all of them count in the lengths
-            k, s = _slot(w.lower(), TEXT)
-            x[i, PATH + k] += 0.03 * s
         n = len(text)
-        x[i, PATH + TEXT :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, links, n < 40, text[-1] in ".!?\"'", len(path) / 8, i == 0, i == len(blocks) - 1)
-    x[:, PATH : PATH + TEXT] = np.clip(x[:, PATH : PATH + TEXT], -1, 1)
+        x[i, PATH + TEXT :] = (np.log1p(n) / 6, np.log1p(count[i]) / 4, links, n < 40, text[-1] in ".!?\"'", len(path) / 8, i == 0, i == len(blocks) - 1)
+    x[:, :PATH] = np.clip(x[:, :PATH], -1, 1)
     return x
 
 
@@ -252,98 +270,137 @@ REST_NAMES = {
 }
 
 
+#: Words that other parts often hold, as sites commonly use them.
+REST_WORDS = {
+    "nav": "home about contact news products services login menu blog search sign in start kontakt inicio accueil".split(),
+    "header": "welcome official site your daily source menu".split(),
+    "footer": "copyright all rights reserved terms of service privacy policy contact imprint powered by sitemap legal impressum".split(),
+    "aside": "related articles most popular trending recommended read more also like share follow tags latest posts by the author".split(),
+    "ad": "advertisement sponsored ad buy now offer shop discount sale free shipping anzeige publicidad publicité".split(),
+    "notice": "we use cookies accept consent privacy settings our newsletter subscribe sign up agree enable javascript browser".split(),
+    "comments": "reply comments says likes report ago commented thanks guest posted agree with you comment nice".split(),
+    "form": "email password name submit search send message login register your required fields subscribe".split(),
+}
+OPAQUE = "css sc jsx c x col row inner block unit grid flex el box wrap item cell mod".split()
+
+
 def made_pages(n: int, seed: int = 17) -> list[tuple[str, list[int]]]:
-    """Pages of random words with the label of every block: 1 for main text."""
+    """Pages of random words with the label of every block: 1 for main text.
+
+    Other parts stand out by their tags, by names, or only by words that such parts often hold; the article may have names
+    that say nothing, or no element of its own.
+    """
     r = np.random.default_rng(seed)
     letters = np.array(list("aaaabcdeeeefghiiijklmnooopqrstuuvwxyzäéñ"))
     pick = lambda seq: seq[int(r.integers(len(seq)))]
-    word = lambda: "".join(r.choice(letters, int(r.integers(1, 12))))
+    pool = ["".join(letters[r.integers(0, len(letters), int(k))]) for k in r.integers(1, 12, 30_000)]
+    usual: list[str] = []  # a page's frequent words
+    word = lambda: usual[int(len(usual) * r.random() ** 3)] if r.random() < 0.6 else pick(pool)
+    opaque = lambda: f"{pick(OPAQUE)}{pick(['-', '_', ''])}{''.join(r.choice(list('abcdef0123456789'), int(r.integers(1, 7))))}"
 
-    def words(a: int, b: int) -> str:
-        w = [word() for _ in range(int(r.integers(a, b + 1)))]
+    def words(a: int, b: int, kind: str | None = None) -> str:
+        w = [pick(REST_WORDS[kind]) if kind and r.random() < 0.6 else word() for _ in range(int(r.integers(a, b + 1)))]
         w[0] = w[0].capitalize()
         return " ".join(w) + pick(["", ".", ".", ".", "!", "?"])
 
     def named(tag: str, names: list[str] | None) -> str:
         if not names or r.random() < 0.12:
             return f"<{tag}>"
-        value = pick(names) + pick(["", "", "", f"-{pick(names)}", f" {word()}", "-box", "-wrap", "s", f" {pick(names)}"])
+        value = pick(names) + pick(["", "", "", f"-{pick(names)}", f" {word()}", "-box", "-wrap", "s", f" {pick(names)}", f" {opaque()}"])
         return f'<{tag} {pick(["class", "class", "id", "class", "role"])}="{value}">'
 
     def rest(kind: str, labels: list[int]) -> str:
         tag = {"nav": pick(["nav", "nav", "div", "ul", "header"]), "header": pick(["header", "header", "div"]), "footer": pick(["footer", "footer", "div"]), "aside": pick(["aside", "aside", "div", "section"]), "ad": pick(["div", "div", "aside", "section"]), "notice": pick(["div", "div", "section", "aside", "p"]), "comments": pick(["div", "section", "section", "ol", "aside"]), "form": "form"}[kind]
         semantic = tag in ("nav", "footer", "aside", "form") or kind == "header" and tag == "header"
         names = REST_NAMES[kind]
+        told = r.random() < 0.5  # by its words
+        says = kind if told else None
         opening = named(tag, names if not semantic or r.random() < 0.5 else None)
         if not semantic and "=" not in opening:
             opening = f'<{tag} class="{pick(names)}">'
+        if told and not semantic and r.random() < 0.4:
+            opening = pick([f"<{tag}>", f'<{tag} class="{opaque()}">'])
         out = [opening]
         if kind == "nav":
-            items = [words(1, 2) for _ in range(int(r.integers(2, 9)))]
+            items = [words(1, 2, says) for _ in range(int(r.integers(2, 9)))]
             body = "".join(f'<li><a href="/{word()}">{x}</a>{pick(["</li>", "</li>", ""])}' for x in items) if r.random() < 0.8 else "".join(f'<div><a href="#">{x}</a></div>' for x in items)
             labels += [0] * len(items)
             out.append(body if tag == "ul" else f"<ul>{body}</ul>")
         elif kind == "form":
             for _ in range(int(r.integers(1, 4))):
-                out.append(pick([f"<label>{words(1, 3)}</label><br><input><div></div>", f"<p>{words(2, 20)}</p>", f"<button>{words(1, 2)}</button>", f"<select><option>{words(1, 2)}</option></select>", f"<div>{words(1, 30)}</div>"]))
+                out.append(pick([f"<label>{words(1, 3, says)}</label><br><input><div></div>", f"<p>{words(2, 20, says)}</p>", f"<button>{words(1, 2, says)}</button>", f"<select><option>{words(1, 2, says)}</option></select>", f"<div>{words(1, 30, says)}</div>"]))
                 labels.append(0)
         elif kind == "comments":
             for _ in range(int(r.integers(1, 6))):
                 head = r.random() < 0.5
                 labels += [0] * (1 + head)
-                inner = (f"<h4>{words(1, 3)}</h4>" if head else "") + pick([f"<p>{words(3, 60)}</p>", f"<div>{words(3, 60)}</div>"])
+                inner = (f"<h4>{words(1, 3, says)}</h4>" if head else "") + pick([f"<p>{words(3, 60, says)}</p>", f"<div>{words(3, 60, says)}</div>"])
                 out.append(pick([f'<div class="{pick(names)}">{inner}</div>', f"<li>{inner}</li>", inner, f"<article>{inner}</article>", f'<article class="{pick(names)}">{inner}</article>']))
         else:
             bare = r.random() < 0.5
             for _ in range(1 if bare else int(r.integers(1, 4))):
-                t = words(2, pick([6, 12, 30, 60]))
+                t = words(3 if says else 2, pick([6, 12, 30, 60]), says)
                 t = f'<a href="/{word()}">{t}</a>' if r.random() < 0.25 else t
                 out.append(t if bare else f"<{(g := pick(['p', 'p', 'div', 'h3', 'span']))}>{t}</{g}>" + ("<div></div>" if g == "span" else ""))
                 labels.append(0)
         return "".join(out) + f"</{tag}>"
 
     def article(labels: list[int]) -> str:
-        tag = pick(["article", "article", "article", "main", "div", "section"])
-        opening = named(tag, MAIN_NAMES if tag in ("div", "section") or r.random() < 0.4 else None)
+        tag = pick(["article", "article", "article", "main", "div", "section", "div", ""])
+        opening = named(tag, MAIN_NAMES if tag in ("div", "section") or r.random() < 0.4 else None) if tag else ""
         if tag in ("div", "section") and "=" not in opening:
             opening = f'<{tag} class="{pick(MAIN_NAMES)}">'
+        if tag and r.random() < 0.25:
+            opening = f'<{tag} class="{opaque()}">'
         out = [opening]
         if r.random() < 0.8:
             t = words(2, 14)
-            out.append(pick([f"<h1>{t}</h1>", f"<h1>{t}</h1>", f"<header><h1>{t}</h1></header>", f"<h2>{t}</h2>"]))
+            out.append(pick([f"<h1>{t}</h1>", f"<h1>{t}</h1>", f"<header><h1>{t}</h1></header>" if tag else f"<h1>{t}</h1>", f"<h2>{t}</h2>"]))
             labels.append(1)
         inner_rest = 0.25 if r.random() < 0.4 else 0.0
-        for _ in range(int(r.integers(1, pick([6, 14, 14, 70])))):
-            t, kind = words(1, pick([2, 12, 40, 120])), r.random()
+        inner = f'<div class="{opaque()}">' if tag and r.random() < 0.15 else ""
+        out.append(inner)
+        telling = tag in ("article", "main") or "=" in opening
+        for _ in range(int(r.integers(1 if telling else 3, pick([6, 14, 14, 70, 120])))):
+            t, kind = words(1 if telling else 8, pick([2, 12, 40, 120]) if telling else pick([40, 120])), r.random()
             labels.append(1)
-            if kind < 0.6:
+            if kind < 0.56:
                 out.append(f"<p>{t}{pick(['</p>', '</p>', '</p>', ''])}")
-            elif kind < 0.7:
+            elif kind < 0.65:
                 out.append(f"<p><b>{t}<br>")
-            elif kind < 0.76:
+            elif kind < 0.71:
                 out.append(f'<p>{words(1, 5)} <a href="/{word()}">{words(1, 3)}</a> {t}</p>')
-            elif kind < 0.82:
+            elif kind < 0.76:
                 out.append(f"<{(g := pick(['h2', 'h3', 'h4']))}>{t}</{g}>")
-            elif kind < 0.87:
+            elif kind < 0.8:
                 out.append(f"<blockquote>{pick([t, f'<p>{t}</p>'])}</blockquote>")
-            elif kind < 0.94:
+            elif kind < 0.85:
                 k = int(r.integers(0, 4))
                 labels += [1] * k
                 g = pick(["ul", "ol"])
                 out.append(f"<{g}><li>{t}</li>" + "".join(f"<li>{words(1, 20)}</li>" for _ in range(k)) + f"</{g}>")
-            elif kind < 0.97:
+            elif kind < 0.87:
                 out.append(f"<pre>{t}</pre>")
-            else:
+            elif kind < 0.9:
                 labels.append(1)
                 out.append(f"<table><tr><td>{t}</td><td>{words(1, 4)}</td></tr></table>")
+            elif kind < 0.94:
+                out.append(f"<figure><img src=a.jpg><figcaption>{t}</figcaption></figure>")
+            elif kind < 0.97:
+                labels.append(1)
+                out.append(f"<details><summary>{words(1, 8)}</summary>{pick([t, f'<p>{t}</p>'])}</details>")
+            else:
+                labels.append(1)
+                out.append(f"<dl><dt>{words(1, 4)}</dt><dd>{t}</dd></dl>")
             if r.random() < inner_rest:
                 out.append(rest(pick(["ad", "aside", "notice", "form", "nav", "comments"]), labels))
-        return "".join(out) + f"</{tag}>"
+        return "".join(out) + ("</div>" if inner else "") + (f"</{tag}>" if tag else "")
 
     pages = []
     for _ in range(n):
         labels: list[int] = []
         out = []
+        usual[:] = [pool[k] for k in r.integers(0, len(pool), int(r.integers(5, 80)))] + ["of", "and", "in", "with", "by", "our", "we", "you", "all", "more"][: int(r.integers(0, 11))]
         if r.random() < 0.9:
             labels.append(0)
             out.append(f"<html><head><meta charset=utf-8><title>{words(2, 10)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>")
@@ -361,8 +418,7 @@ def made_pages(n: int, seed: int = 17) -> list[tuple[str, list[int]]]:
     return pages
 
 
-@functools.lru_cache(1)
-def trained(pages: int = 1200, epochs: int = 12) -> Labeller:
+def trained(pages: int = 2400, epochs: int = 10) -> Labeller:
     """The labeller, trained on made-up pages with Adam; deterministic."""
     model, data = Labeller(), []
     for page, labels in made_pages(pages):
@@ -375,8 +431,8 @@ def trained(pages: int = 1200, epochs: int = 12) -> Labeller:
     r, t = np.random.default_rng(5), 0
     for epoch in range(epochs):
         order = sorted(range(len(data)), key=lambda i, x=r.random(len(data)): (len(data[i][1]) // 8, x[i]))  # pages of like lengths together
-        for at in r.permutation(range(0, len(order), 40)):
-            part = [data[i] for i in order[at : at + 40]]
+        for at in r.permutation(range(0, len(order), 64)):
+            part = [data[i] for i in order[at : at + 64]]
             x, mask = padded([p for p, _ in part])
             y = np.zeros(mask.shape, np.float32)
             for k, (_, labels) in enumerate(part):
@@ -393,6 +449,25 @@ def trained(pages: int = 1200, epochs: int = 12) -> Labeller:
     return model
 
 
+_WEIGHTS: list[dict[str, np.ndarray]] = []
+
+
+def labeller(spark: SparkSession) -> Labeller:
+    """trained(), by a task of its own the first time; its weights are a fixed few hundred KB."""
+    if not _WEIGHTS:
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                p = trained().p
+                yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([x.tobytes() for x in p.values()])], names=["name", "weights"])
+
+        found = {r["name"]: r["weights"] for r in spark.range(0, 1, 1, 1).mapInArrow(run, "name string, weights binary").collect()}
+        _WEIGHTS.append({k: np.frombuffer(found[k], np.float32).reshape(x.shape) for k, x in Labeller().p.items()})
+    model = Labeller()
+    model.p = dict(_WEIGHTS[0])
+    return model
+
+
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
     """The main text of each page; pages of about the same number of blocks run through the network together."""
     blocks = [blocks_of(p) for p in pages]
@@ -413,13 +488,13 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    model = trained()
+    shared = pages.sparkSession.sparkContext.broadcast(labeller(pages.sparkSession))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, urls, htmls = b.column("page_id"), b.column("url"), [x or "" for x in b.column("html").to_pylist()]
             for i, j in slices(map(len, htmls)):
-                found = main_texts(model, htmls[i:j])
+                found = main_texts(shared.value, htmls[i:j])
                 yield batch_of(schema, [ids[i:j], urls[i:j], found, [len(x) for x in found]])
 
     return need(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
