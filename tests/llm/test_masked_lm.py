@@ -117,4 +117,5 @@ def test_packed_counts_and_keys_come_back():
     counts = r.integers(1, 600, 500)
     assert masked_lm.unpack_counts(masked_lm.pack_counts(counts)).tolist() == counts.tolist()
     keys = np.unique(r.integers(1 << 40, 1 << 41, 300).astype(np.uint64))
-    assert masked_lm.unpack_keys(masked_lm.pack_keys(keys, 1 << 40), 1 << 40).tolist() == keys.tolist()
+    for k in (keys, keys[:1], np.append(keys, np.uint64((1 << 64) - 1)), np.arange(1 << 40, (1 << 40) + 600, dtype=np.uint64)):
+        assert masked_lm.unpack_keys(masked_lm.pack_keys(k, 1 << 40), 1 << 40).tolist() == k.tolist()

@@ -43,11 +43,11 @@ class Scratch:
         self.spark, self.base = spark, f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """df, computed once and read back."""
         schema, path = df.schema, f"{self.base}/{len(self.paths)}-{name}"
         self.paths[f"{len(self.paths)}-{name}"] = self.paths[name] = path
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         del df
         return self.spark.read.schema(schema).parquet(path)
 

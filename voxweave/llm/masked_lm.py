@@ -44,7 +44,7 @@ BATCH, RATE, SLOWER = 4096, 0.01, 400
 PRIOR = 32.0
 #: Bytes of text in a chunk, and for each range of hashes.
 CHUNK, RANGE = 4 << 20, 8 << 20
-KEY_BITS = 24
+KEY_BITS = 20
 #: Weights of tasks are averaged in groups, then again.
 GROUPS = (256, 8)
 _LETTER, _DIGIT = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.digits))
@@ -180,16 +180,23 @@ class WindowNetwork:
 
 
 def pack_keys(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys of a range that begins at base, as gaps of as many bytes as the largest one needs."""
+    """Sorted keys of a range that begins at base, as gaps: their number, the bytes of each (as many as nearly all need; all
+    ones if it needs more), and those of the others in 64 bits."""
     gaps = np.diff(keys, prepend=U64(base))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    most = int(np.partition(gaps, len(gaps) * 49 // 50)[len(gaps) * 49 // 50])
+    width = min(8, max(1, (most.bit_length() + 7) // 8))
+    full = U64((1 << 8 * width) - 1)
+    small = np.minimum(gaps, full).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(keys).to_bytes(8, "little") + bytes([width]) + small.tobytes() + gaps[gaps >= full].astype("<u8").tobytes()
 
 
 def unpack_keys(b: bytes, base: int) -> np.ndarray:
-    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
-    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    return np.cumsum(out.view("<u8").ravel(), dtype=U64) + U64(base)
+    n, width = int.from_bytes(b[:8], "little"), b[8]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8, n * width, 9).reshape(-1, width)
+    gaps = out.view("<u8").ravel()
+    gaps[gaps == U64((1 << 8 * width) - 1)] = np.frombuffer(b, "<u8", offset=9 + n * width)
+    return np.cumsum(gaps, dtype=U64) + U64(base)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -308,7 +315,7 @@ def fit(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE
     """The model of these documents, their chunks, and the counts of each chunk's words and pairs."""
     length = need(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges, bits = max(3, (length // size).bit_length()), min(64, length.bit_length() + KEY_BITS)
-    chunks = scratch.keep(chunks_of(docs, chunk), "chunks")
+    chunks = scratch.keep(chunks_of(docs, chunk), "chunks", "zstd")
     answers = scratch.keep(totals_of(keyed(chunks, ranges, bits), ranges, bits), "answers")
     scratch.drop()
     found = answers.where("chunk < 0").orderBy(F.desc("times"), "key").limit(FREQUENT).collect()
