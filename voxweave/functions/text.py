@@ -105,9 +105,9 @@ def first_argmax(values: Column) -> Column:
 
 
 def chunks(values: Column, size: int) -> Column:
-    """Slices of `size`; none of an empty array."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(values) - 1), F.lit(size))
-    cut = F.transform(starts, lambda i: F.slice(values, i + 1, size))
+    """Slices of `size`; none of an empty array. The values are computed once, not for each slice."""
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1), F.lit(size))
+    cut = F.flatten(F.transform(F.array(values), lambda v: F.transform(starts(v), lambda i: F.slice(v, i + 1, size))))
     return F.filter(cut, lambda c: F.size(c) > 0)
 
 
@@ -151,3 +151,42 @@ def warmup_schedule(step: Column, warmup: int, total: int, kind: str, lowest: fl
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
+
+
+def first_key(present_columns: list[str], keys: str | list[str]) -> Column:
+    """The text under the first of the keys that a table has; none of them is an error before anything runs."""
+    wanted = [keys] if isinstance(keys, str) else list(keys)
+    found = [F.col(k) for k in wanted if k in present_columns]
+    if not found:
+        raise ValueError(f"none of the keys {', '.join(wanted)} is there")
+    return F.coalesce(*found)
+
+
+def digits(*parts: Column) -> Column:
+    """A number in 0..2**32-1 from the MD5 of the parts, for choices that must be the same everywhere."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def epoch_steps(points: Column, steps_per_epoch: int, total: int) -> Column:
+    """Fractions of epochs as steps: rounded up, within 1..total, without repeats, in order of first mention."""
+    return F.array_distinct(F.transform(points, lambda x: F.greatest(F.lit(1), F.least(F.lit(total), F.ceil(x * steps_per_epoch))).cast("long")))
+
+
+def latent_length(frames: Column, height: Column, width: Column, time_scale: int = 4, space_scale: int = 8, patch: int = 2) -> Column:
+    """Tokens of a latent video: (frames - 1) / time_scale + 1 frames of height and width scaled down and cut in patches."""
+    down = lambda x: F.floor(x / (space_scale * patch))
+    return ((F.floor((frames - 1) / time_scale) + 1) * down(height) * down(width)).cast("long")
+
+
+def bracketed(text: Column, mark: str) -> Column:
+    """The list that follows a mark, from its bracket to the one that closes it; null without one. Brackets within
+    double quotes count too, as the literals at hand have none."""
+    at = F.locate(mark, text)
+    rest = F.substr(text, at + F.lit(len(mark) - 1))  # the mark's last character opens the list
+    step = lambda s, c: F.struct(
+        (s["depth"] + F.when(c == "[", 1).when((c == "]") & (s["depth"] > 0), -1).otherwise(0)).cast("int").alias("depth"),
+        (s["n"] + F.when(s["done"], 0).otherwise(1)).cast("int").alias("n"),
+        (s["done"] | ((c == "]") & (s["depth"] == 1))).alias("done"),
+    )
+    end = F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done")), step)
+    return F.when((at > 0) & end["done"], F.left(rest, end["n"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 
 def lookup(rows: DataFrame, labels: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """value of each row's key, the default where there is none; and whether it is missing (equal to the default)."""
@@ -56,14 +58,40 @@ def zip_by_place(places: DataFrame, values: DataFrame, keys: list[str], order: s
     return places.withColumn("nth", nth).join(values.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("index"))).drop("index"), [*keys, "nth"], "left")
 
 
+def through_experts(sent: DataFrame, token: list[str], expert: str, work: Column, weight: str) -> DataFrame:
+    """Rows (a token at one of its experts) dealt by expert and sorted there, worked on, and back as a weighted sum."""
+    worked = sent.repartition(expert).sortWithinPartitions(expert, *token).withColumn("_y", work)
+    return worked.groupBy(*token).agg(F.sum(F.col(weight) * F.col("_y")).alias("mixed"))
+
+
+def with_fallback(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, own: Column) -> DataFrame:
+    """value: that of the row's key in the table if it is there and not empty, else the row's own."""
+    found = table.select(F.col(table_key).alias(key), F.col(value).alias("_first"))
+    return rows.join(found, key, "left").withColumn(value, F.coalesce(F.nullif("_first", F.lit("")), F.nullif(own, F.lit("")), F.lit(""))).drop("_first")
+
+
+def in_order(items: DataFrame, key: str, order: tuple[str, ...], unknown: bool = False) -> DataFrame:
+    """Rank of each row's key in a fixed list; unknown keys go, or come last."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(key))
+    ranked = items.withColumn("rank", F.when(place > 0, place).otherwise(len(order) + 1).cast("long"))
+    return ranked if unknown else ranked.where(F.col("rank") <= len(order))
+
+
 def nearest(rows: DataFrame, value: str, grid: DataFrame, point: str) -> DataFrame:
-    """Each row's closest grid point, the smaller of two: as-of from both sides with windows over the union."""
-    both = rows.select("*", F.lit(None).cast("double").alias("_p"), F.col(value).cast("double").alias("_x")).unionByName(grid.select(F.col(point).cast("double").alias("_p"), F.col(point).cast("double").alias("_x")), allowMissingColumns=True)
-    bucket = F.floor(F.col("_x"))
-    span = Window.partitionBy("_b")
-    near = both.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    low = F.max(F.when(F.col("_p").isNotNull(), F.col("_p"))).over(span.orderBy("_x").rangeBetween(Window.unboundedPreceding, 0))
-    high = F.min(F.when(F.col("_p").isNotNull(), F.col("_p"))).over(span.orderBy("_x").rangeBetween(0, Window.unboundedFollowing))
-    found = near.withColumn("_l", low).withColumn("_h", high).where(F.col("_p").isNull() & (F.col("_b") == bucket))
+    """Each row's closest grid point, the smaller of two, however far it is.
+
+    Points and rows are sorted together by ranges of values; a range takes the last point before it and the first one behind
+    it from the other ranges' ends, of which there is one row each.
+    """
+    both = rows.select("*", F.lit(None).cast("double").alias("_p"), F.col(value).cast("double").alias("_x"))
+    points = grid.select(F.col(point).cast("double").alias("_p"), F.col(point).cast("double").alias("_x")).where("_x is not null")
+    ranged = both.unionByName(points, allowMissingColumns=True).repartitionByRange("_x").withColumn("_part", F.spark_partition_id())
+    ranged = kept(ranged, "nearest")
+    ends = ranged.groupBy("_part").agg(F.min("_p").alias("_min"), F.max("_p").alias("_max"))
+    ends = ends.withColumn("_before", F.max("_max").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_behind", F.min("_min").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)))
+    span = Window.partitionBy("_part").orderBy("_x")
+    low = F.coalesce(F.max("_p").over(span.rangeBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    high = F.coalesce(F.min("_p").over(span.rangeBetween(0, Window.unboundedFollowing)), F.col("_behind"))
+    found = ranged.join(F.broadcast(ends.drop("_min", "_max")), "_part").withColumn("_l", low).withColumn("_h", high).where(F.col("_p").isNull())  # a row for each range
     pick = F.when(F.col("_h").isNull() | (F.col("_x") - F.col("_l") <= F.col("_h") - F.col("_x")), F.col("_l")).otherwise(F.col("_h"))
     return found.withColumn("nearest", pick).select(*rows.columns, "nearest")

@@ -7,6 +7,9 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import digits
+from ..sources.shared import numbered
+
 
 @dataclasses.dataclass(frozen=True)
 class Mixture:
@@ -31,14 +34,14 @@ def interleave(rows: DataFrame, source: str, order: list[str], mix: Mixture) ->
     """Rows of the mixture's sources in proportion to their weights, until the first source is exhausted."""
     weight = F.element_at(F.create_map(*(F.lit(x) for p in zip(mix.names, mix.weights, strict=True) for x in p)), F.col(source))
     index = F.array_position(F.array(*map(F.lit, mix.names)), F.col(source)) - 1
-    tagged = rows.where(F.col(source).isin(*mix.names)).withColumn("ds_idx", index.cast("long")).withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order)) / weight)
+    tagged = numbered(rows.where(F.col(source).isin(*mix.names)), order, source, "turn").withColumn("ds_idx", index.cast("long")).withColumn("turn", F.col("turn") / weight)
     ends = tagged.groupBy(source).agg(F.max("turn").alias("end")).agg(F.min("end").alias("last"))
     return tagged.crossJoin(F.broadcast(ends)).where(F.col("turn") <= F.col("last")).drop("last")  # one row
 
 
 def shuffled_rank(key: Column, seed: int, epoch: int = 0) -> Column:
     """A place in an order drawn anew for each epoch, the same on every cluster."""
-    return F.xxhash64(key, F.lit(seed + epoch))
+    return digits(F.lit(seed + epoch), key)
 
 
 def contiguous_shard(place: Column, total: int, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -63,10 +63,29 @@ def classification(ids: Column, label: Column, most: int) -> tuple[Column, Colum
     return head, F.transform(head, lambda _, i: F.when(i == F.size(head) - 1, label.cast("long")).otherwise(F.lit(IGNORED).cast("long")))
 
 
+def next_fit(sizes: list[int], budget: int) -> list[int]:
+    """Batch of each sample in order; a batch ends where the next sample doesn't fit. -1: over the budget, dropped."""
+    out, batch, used = [], 0, 0
+    for n in sizes:
+        if n > budget:
+            out.append(-1)
+            continue
+        if used + n > budget:
+            batch, used = batch + 1, 0
+        used += n
+        out.append(batch)
+    return out
+
+
 def pack_sequential(rows: DataFrame, shard: str, order: str, size: str, budget: int) -> DataFrame:
-    """batch: which multiple of the budget a sample's first token falls into; samples over the budget go."""
-    w = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.where(F.col(size) <= budget).withColumn("batch", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / budget).cast("long"))
+    """Batches of neighbouring samples, none above the budget; samples over the budget go."""
+    return _packed(rows, shard, order, size, lambda sizes: next_fit(sizes, budget))
+
+
+def warmed_budget(step: Column, budget: int, warmup: int, first: int) -> Column:
+    """Tokens of a batch: from `first` in equal steps to the budget over the warm-up, then the budget."""
+    rising = F.floor((budget - first) * step / F.lit(max(1, warmup))) + first
+    return F.when((F.lit(warmup) > 0) & (step <= warmup), rising).otherwise(budget).cast("long")
 
 
 def first_fit(sizes: list[int], budget: int, buffer: int, force: bool) -> list[int]:
@@ -95,26 +114,98 @@ def first_fit(sizes: list[int], budget: int, buffer: int, force: bool) -> list[i
     return out
 
 
-def pack_first_fit(rows: DataFrame, shard: str, order: str, size: str, budget: int, buffer: int = 8, force: bool = False) -> DataFrame:
-    """Order-dependent packing of each shard; shards bound what a task holds."""
-    schema = f"{shard} long, {order} long, {size} long, batch long"
+def _packed(rows: DataFrame, shard: str, order: str, size: str, assign: Callable[[list[int]], list[int]]) -> DataFrame:
+    """(shard, order, size, batch): only keys and sizes go through Python; shards bound what a task holds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pdf.assign(batch=first_fit(pdf[size].tolist(), budget, buffer, force))[[shard, order, size, "batch"]]
+        return pdf.assign(batch=assign(pdf[size].tolist()))[[shard, order, size, "batch"]]
 
-    packed = rows.select(F.col(shard).cast("long"), F.col(order).cast("long"), F.col(size).cast("long")).groupBy(shard).applyInPandas(run, schema)
+    packed = rows.select(F.col(shard).cast("long"), F.col(order).cast("long"), F.col(size).cast("long")).groupBy(shard).applyInPandas(run, f"{shard} long, {order} long, {size} long, batch long")
     return packed.where("batch >= 0")
 
 
+def pack_first_fit(rows: DataFrame, shard: str, order: str, size: str, budget: int, buffer: int = 8, force: bool = False) -> DataFrame:
+    """Order-dependent packing of each shard, as the token-budget loader packs."""
+    return _packed(rows, shard, order, size, lambda sizes: first_fit(sizes, budget, buffer, force))
+
+
 def collate(rows: DataFrame, keys: list[str], order: str, ids: str) -> DataFrame:
-    """Per batch concatenated ids, positions from 0 in each sample, cumulative lengths and the longest length."""
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, ids))).alias("all"))
-    parts = F.transform("all", lambda x: x[ids])
-    sizes = F.transform(parts, lambda p: F.size(p).cast("long"))
-    ends = lambda s: F.aggregate(s, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    places = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda _, i: i.cast("long"))))
-    return got.select(*keys, F.flatten(parts).alias("input_ids"), places.alias("position_ids"), ends(sizes).alias("cu_seq_lens"), F.array_max(sizes).alias("max_length"))
+    """Per batch concatenated ids, labels (the first token of every sample but the first is ignored), positions from 0 in
+    each sample, cumulative lengths and the longest length."""
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, ids))).alias("all")).select(*keys, F.transform("all", lambda x: x[ids]).alias("_parts"))
+    places = F.flatten(F.transform("_parts", lambda p: F.transform(p, lambda _, i: i.cast("long"))))
+    got = got.select(*keys, F.flatten("_parts").alias("input_ids"), places.alias("position_ids"), F.transform("_parts", lambda p: F.size(p).cast("long")).alias("_sizes"))
+    label = lambda x, i: F.when((F.get("position_ids", i) == 0) & (i > 0), F.lit(IGNORED).cast("long")).otherwise(x)
+    ends = F.transform("_sizes", lambda _, i: F.aggregate(F.slice("_sizes", 1, i + 1), F.lit(0).cast("long"), lambda s, n: s + n))
+    return got.select(*keys, "input_ids", F.transform("input_ids", label).alias("labels"), "position_ids", F.concat(F.array(F.lit(0).cast("long")), ends).alias("cu_seq_lens"), F.array_max("_sizes").alias("max_length"))
+
+
+def padded_to(batches: DataFrame, length: int) -> DataFrame:
+    """Packed batches of a fixed length: ids 0, ignored labels, positions from 0; cumulative lengths and the longest length
+    count the padding as a sample."""
+    short = (F.lit(length) - F.size("input_ids")).cast("int")
+    fill = lambda v: F.array_repeat(F.lit(v).cast("long"), short)
+    more = F.when(short > 0, F.array(F.lit(length).cast("long"))).otherwise(F.array().cast("array<long>"))
+    places = F.when(short > 0, F.transform(F.sequence(F.lit(0), F.greatest(short - 1, F.lit(0))), lambda i: i.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return batches.where(short >= 0).withColumns(
+        {"input_ids": F.concat("input_ids", fill(0)), "labels": F.concat("labels", fill(IGNORED)), "position_ids": F.concat("position_ids", places), "cu_seq_lens": F.concat("cu_seq_lens", more), "max_length": F.greatest("max_length", short.cast("long"))}
+    )
+
+
+def padded(rows: DataFrame, keys: list[str], ids: str) -> DataFrame:
+    """Every row as long as the longest of its batch (keys): input_ids filled with 0, labels with ignored, mask 0."""
+    longest = rows.groupBy(*keys).agg(F.max(F.size(ids)).alias("_most"))
+    short = F.col("_most") - F.size(ids)
+    fill = lambda v: F.array_repeat(F.lit(v).cast("long"), short)
+    ones = F.array_repeat(F.lit(1).cast("long"), F.size(ids))
+    return rows.join(longest, keys).withColumns({"attention_mask": F.concat(ones, fill(0)), "labels": F.concat(F.col(ids), fill(IGNORED)), "input_ids": F.concat(F.col(ids), fill(0))}).drop("_most")
+
+
+def unpacked(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """The samples of packed batches again: (keys, place, input_ids)."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("cu_seq_lens") - 1), lambda i: F.slice("input_ids", (F.get("cu_seq_lens", i - 1) + 1).cast("int"), (F.get("cu_seq_lens", i) - F.get("cu_seq_lens", i - 1)).cast("int")))
+    return batches.select(*keys, F.posexplode(pairs).alias("place", "input_ids"))
+
+
+def loader(rows: DataFrame, place: str, batch: int, micro: int, drop_last: bool = True) -> DataFrame:
+    """step and micro batch of each row by its place (from 0) in the epoch's order; an incomplete last step goes."""
+    made = rows.withColumns({"step": F.floor(F.col(place) / batch), "micro": F.floor(F.col(place) % batch / (batch // micro))})
+    if not drop_last:
+        return made
+    full = rows.agg(F.floor(F.count(F.lit(1)) / batch).alias("_full"))  # one row
+    return made.crossJoin(F.broadcast(full)).where(F.col("step") < F.col("_full")).drop("_full")
+
+
+def stepped(batches: DataFrame, place: str, micro: int, length: int) -> DataFrame:
+    """Batches (places from 0) as micro batches of `length` steps: the batches start again from the first one until all
+    steps are full; those of the second and later rounds are copies and have padding_flag."""
+    total = batches.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    rounds = F.sequence(F.lit(0), F.ceil(F.lit(length * micro) / F.col("_total")).cast("int") - 1)
+    made = batches.crossJoin(F.broadcast(total)).withColumn("_round", F.explode(rounds)).withColumn("_at", F.col("_round") * F.col("_total") + F.col(place))
+    return made.where(F.col("_at") < length * micro).withColumns({"step": F.floor(F.col("_at") / micro), "micro": F.col("_at") % micro, "padding_flag": F.col("_round") > 0}).drop("_round", "_at", "_total")
+
+
+def drop_history_spans(ids: Column, key: Column, start_id: int, end_id: int, percent: int, most: float, skip: int = 0, seed: int = 0) -> Column:
+    """In each span between start_id and end_id, with a chance of `percent`, one run of tokens goes: up to `most` of the
+    span behind its first `skip` tokens, which always stay. All choices come from digests of key, seed and the span's place."""
+    from ..functions.text import digits
+
+    n = F.size(ids)
+    places = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(places, lambda i: F.get(ids, i) == start_id)
+    nothing = F.array().cast("array<struct<a:int,b:int>>")
+
+    def span(i: Column) -> Column:
+        end = F.array_min(F.filter(places, lambda j: (j > i) & (F.get(ids, j) == end_id)))
+        low = F.least(i + 1 + skip, end)
+        cut = F.floor((end - low) * most * (digits(key, F.lit(seed), i, F.lit("size")) % 1000) / 1000 + 0.5).cast("int")
+        cut = F.when(digits(key, F.lit(seed), i, F.lit("drop")) % 100 < percent, F.least(cut, end - low)).otherwise(0)
+        at = (low + digits(key, F.lit(seed), i, F.lit("at")) % (end - low - cut + 1)).cast("int")
+        return F.when(end.isNull() | (cut == 0), F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))).otherwise(F.struct(at.alias("a"), (at + cut).alias("b")))
+
+    spans = F.when(n > 0, F.transform(starts, span)).otherwise(nothing)
+    return F.flatten(F.transform(F.array(spans), lambda s: F.filter(ids, lambda _, i: ~F.exists(s, lambda x: (i >= x["a"]) & (i < x["b"])))))
 
 
 def cu_seq_lens(position_ids: Column) -> Column:
@@ -123,14 +214,22 @@ def cu_seq_lens(position_ids: Column) -> Column:
     return F.concat(starts, F.array(F.size(position_ids).cast("long")))
 
 
-def shard_sequence(rows: DataFrame, ids: str, ranks: int, pad: int = 0) -> DataFrame:
-    """rank, shard_ids, shard_labels: labels shifted by one (the last ignored), both padded to a multiple and cut by rank."""
+def shard_sequence(rows: DataFrame, ids: str, positions: str, ranks: int, pad: int = 0) -> DataFrame:
+    """rank, shard_ids, shard_labels: labels shifted by one (each sample's last is ignored), both padded to a multiple and
+    cut by rank."""
     size = F.ceil(F.size(ids) / ranks).cast("int")
     fill = lambda v: F.array_repeat(F.lit(v).cast("long"), size * ranks - F.size(ids))
-    labels = F.concat(F.slice(ids, 2, F.greatest(F.lit(0), F.size(ids) - 1)), F.array(F.lit(IGNORED).cast("long")), fill(IGNORED))
-    full = F.concat(F.col(ids), fill(pad))
-    at = F.col("rank") * size + 1
-    return rows.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1)))).select("*", F.slice(full, at, size).alias("shard_ids"), F.slice(labels, at, size).alias("shard_labels"))
+    label = lambda _, i: F.when(F.coalesce(F.get(positions, i + 1), F.lit(0)) == 0, F.lit(IGNORED).cast("long")).otherwise(F.get(ids, i + 1))
+    whole = rows.withColumns({"_labels": F.concat(F.transform(ids, label), fill(IGNORED)), "_ids": F.concat(F.col(ids), fill(pad)), "_size": size})
+    at = F.col("rank") * F.col("_size") + 1
+    made = whole.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+    return made.select(*rows.columns, "rank", F.slice("_ids", at, F.col("_size")).alias("shard_ids"), F.slice("_labels", at, F.col("_size")).alias("shard_labels"))
+
+
+def gathered(shards: DataFrame, keys: list[str], size: str, ids: str = "shard_ids") -> DataFrame:
+    """Shards put together again in the order of their ranks, without the padding."""
+    parts = shards.groupBy(*keys, size).agg(F.array_sort(F.collect_list(F.struct("rank", ids))).alias("_all"))
+    return parts.select(*keys, F.slice(F.flatten(F.transform("_all", lambda x: x[ids])), F.lit(1), F.col(size).cast("int")).alias("input_ids"))
 
 
 def balance(rows: DataFrame, group: str, key: str, size: str, bins: int) -> DataFrame:

@@ -6,6 +6,9 @@ shares one exchange.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +62,37 @@ def merge_turns(segments: DataFrame, doc: str, order: list[str], max_gap: float,
 
 
 def fold_short_turns(segments: DataFrame, doc: str, order: list[str], short: float, near: float, long: float, before: float, near_before: float) -> DataFrame:
-    """Turns folded into the one before, which depends on how long that has become: a fold over the sorted document.
+    """Turns folded into the one before, which depends on how long that has become: a pass over the sorted document.
 
     A turn shorter than `short` with the same speaker, a gap under `near` and a predecessor under `long` extends it; so does
     any turn of the same speaker after a predecessor shorter than `before`, within `near_before`.
     """
-    turn = F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker")
-    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["speaker"].alias("speaker")))
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        size, gap = last["end"] - last["start"], t["start"] - last["end"]
-        same = last["speaker"] == t["speaker"]
-        fold = same & (((t["end"] - t["start"] < short) & (gap < near) & (size < long)) | ((size < before) & (gap < near_before)))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], t["end"]).alias("end"), last["speaker"].alias("speaker"))
-        return F.when(F.coalesce(fold, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(longer))).otherwise(F.concat(done, F.array(t)))
-
-    grouped = segments.groupBy(doc).agg(turns.alias("turns"))
-    empty = F.slice(F.col("turns"), 1, 0)
-    return grouped.select(doc, F.posexplode(F.aggregate("turns", empty, step)).alias("place", "turn")).select(doc, F.col("place").cast("long"), "turn.*")
+    rows = segments.select(doc, *order, F.col("start").cast("double").alias("_start"), F.col("end").cast("double").alias("_end"), "speaker")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the open turn is held, however long a document is."""
+        key, place, last, kind = None, 0, None, None
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], pa.int64()), *(pa.array([x[2][k] for x in out], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.string())))], names=[doc, "place", "start", "end", "speaker"])
+
+        for b in batches:
+            out, kind = [], b.column(doc).type
+            for k, start, end, speaker in zip(*(b.column(c).to_pylist() for c in (doc, "_start", "_end", "speaker")), strict=True):
+                if last is not None and k == key:
+                    size, gap = last[1] - last[0], start - last[1]
+                    if speaker == last[2] and ((end - start < short and gap < near and size < long) or (size < before and gap < near_before)):
+                        last = (last[0], max(last[1], end), speaker)
+                        continue
+                if last is not None:
+                    out.append((key, place, last))
+                place = place + 1 if last is not None and k == key else 0
+                key, last = k, (start, end, speaker)
+            yield made(out)
+        if last is not None:
+            yield made([(key, place, last)])
+
+    return rows.repartition(doc).sortWithinPartitions(doc, *order).mapInArrow(run, f"{doc} {segments.schema[doc].dataType.simpleString()}, place long, start double, end double, speaker string")
 
 
 def normalized(rows: DataFrame, doc: Column, place: Column, aliases: dict[str, tuple[str, str]]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from ..operators import joins as J
 from ..operators import mixing as M
 from ..operators import samples as P
 from ..operators import segments as S
+from ..sources.shared import numbered
 from ..streaming import blocks as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +97,13 @@ def merge_close_turns(spark, sf_dir):
     return S.merge_turns(timed(spark, sf_dir), "user_id", ["event_id"], 4 * 3600e6, 500_000)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS speaker, CAST(epoch_us(ts) AS DOUBLE) AS s, CAST(epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS DOUBLE) AS f, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+    w AS (SELECT user_id, i, 0::BIGINT AS place, s, f, speaker FROM e WHERE i = 1
+      UNION ALL SELECT user_id, i, CASE WHEN fold THEN place ELSE place + 1 END, CASE WHEN fold THEN s ELSE s2 END, CASE WHEN fold THEN greatest(f, f2) ELSE f2 END, speaker2
+      FROM (SELECT e.user_id, e.i, w.place, w.s, w.f, e.s AS s2, e.f AS f2, e.speaker AS speaker2,
+          w.speaker = e.speaker AND ((e.f - e.s < 1.5e9 AND e.s - w.f < 3600e6 AND w.f - w.s < 30e9) OR (w.f - w.s < 1.5e9 AND e.s - w.f < 7200e6)) AS fold
+        FROM w JOIN e ON w.user_id = e.user_id AND e.i = w.i + 1))
+    SELECT user_id, place, arg_max(s, i) AS start, arg_max(f, i) AS "end", arg_max(speaker, i) AS speaker FROM w GROUP BY user_id, place""")
 def short_turn_fold(spark, sf_dir):
     return S.fold_short_turns(timed(spark, sf_dir), "user_id", ["start", "event_id"], 1.5e9, 3600e6, 30e9, 1.5e9, 7200e6)
 
@@ -223,7 +229,7 @@ def contiguous_shard(spark, sf_dir):
     return docs.withColumn("shard", M.contiguous_shard(F.col("doc_id"), max(1, total), 7))
 
 
-@query()
+@query("SELECT doc_id, CAST(('0x' || left(md5('42:' || doc_id), 8)) AS BIGINT) AS rank FROM documents")
 def hash_shuffle(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", M.shuffled_rank(F.col("doc_id"), 42).alias("rank")).orderBy("rank", "doc_id")
 
@@ -369,49 +375,132 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Z_SQL = f"z AS (SELECT conv_id % 8 AS shard, conv_id * 1000 + turn AS ord, CAST(len({W_SQL}) AS BIGINT) AS n, {W_SQL} AS ids FROM conversations)"
-Q_SQL = f"{Z_SQL}, q AS (SELECT *, CAST(floor(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 256) AS BIGINT) AS batch FROM z WHERE n <= 256)"
 
 
-@query(f"WITH {Q_SQL} SELECT shard, ord, n, batch FROM q")
+def first_fit_sql(budget: int, buffer: int, force: bool, table: str) -> str:
+    """Rows (shard, ord, n, batch): each step of the recursion takes in a sample or, if enough wait or all are in, a batch."""
+    rows = "STRUCT(ord BIGINT, n BIGINT)[]"
+    fits = f"acc.used + x.n <= {budget}" + (" OR acc.used = 0" if force else "")
+    take = f"""list_reduce(waiting, lambda acc, x: CASE WHEN {fits} THEN {{'used': acc.used + x.n, 'taken': list_append(acc.taken, x), 'rest': acc.rest}}
+        ELSE {{'used': acc.used, 'taken': acc.taken, 'rest': list_append(acc.rest, x)}} END, {{'used': 0::BIGINT, 'taken': []::{rows}, 'rest': []::{rows}}})"""
+    return f"""{table}_a AS (SELECT shard, list({{'ord': ord, 'n': n}} ORDER BY ord) AS items FROM z {'' if force else f'WHERE n <= {budget}'} GROUP BY shard),
+    {table}_s AS (SELECT shard, items, 1::BIGINT AS i, []::{rows} AS waiting, (-1)::BIGINT AS batch, []::{rows} AS taken FROM {table}_a
+      UNION ALL SELECT shard, items, CASE WHEN ready THEN i ELSE i + 1 END, CASE WHEN ready THEN r.rest ELSE list_append(waiting, items[i]) END, CASE WHEN ready THEN batch + 1 ELSE batch END, CASE WHEN ready THEN r.taken ELSE []::{rows} END
+      FROM (SELECT *, i > len(items) OR (len(waiting) >= {buffer} AND coalesce(list_sum(list_transform(waiting, lambda x: x.n)), 0) >= {budget}) AS ready, {take} AS r FROM {table}_s WHERE i <= len(items) OR len(waiting) > 0)),
+    {table} AS (SELECT shard, x.ord AS ord, x.n AS n, batch FROM (SELECT shard, batch, unnest(taken) AS x FROM {table}_s))"""
+
+
+Q_SQL = f"{Z_SQL}, {first_fit_sql(256, 8, False, 'f')}, q AS (SELECT f.*, z.ids FROM f JOIN z ON f.shard = z.shard AND f.ord = z.ord)"
+
+
+@query(f"""WITH RECURSIVE {Z_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ord) AS i FROM z WHERE n <= 256),
+    w AS (SELECT shard, ord, n, i, 0::BIGINT AS batch, n AS used FROM y WHERE i = 1 UNION ALL SELECT y.shard, y.ord, y.n, y.i, CASE WHEN w.used + y.n > 256 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used + y.n > 256 THEN y.n ELSE w.used + y.n END FROM w JOIN y ON w.shard = y.shard AND y.i = w.i + 1)
+    SELECT shard, ord, n, batch FROM w""")
 def pack_sequential(spark, sf_dir):
     return P.pack_sequential(sized(spark, sf_dir), "shard", "ord", "n", 256).select("shard", "ord", "n", "batch")
 
 
-@query()
+@query(f"WITH RECURSIVE {Z_SQL}, {first_fit_sql(256, 8, False, 'f')} SELECT * FROM f")
 def pack_first_fit(spark, sf_dir):
     return P.pack_first_fit(sized(spark, sf_dir), "shard", "ord", "n", 256)
 
 
-@query()
+@query(f"WITH RECURSIVE {Z_SQL}, {first_fit_sql(64, 8, True, 'f')} SELECT * FROM f")
 def pack_force_first(spark, sf_dir):
     return P.pack_first_fit(sized(spark, sf_dir), "shard", "ord", "n", 64, force=True)
 
 
-COLLATED = f"""{Q_SQL}, o AS (SELECT shard, batch, flatten(list(ids ORDER BY ord)) AS input_ids, flatten(list(list_transform(ids, lambda x, i: i - 1) ORDER BY ord)) AS position_ids, max(n) AS max_length FROM q GROUP BY shard, batch),
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-fit batches, collated."""
+    rows = sized(spark, sf_dir)
+    return P.collate(P.pack_first_fit(rows, "shard", "ord", "n", 256).join(rows.select("shard", "ord", "ids"), ["shard", "ord"]), ["shard", "batch"], "ord", "ids")
+
+
+def texts_of(*columns: str) -> list:
+    return [F.array_join(c, " ").alias(c) for c in columns]
+
+
+COLLATED = f"""{Q_SQL}, o AS (SELECT shard, batch, flatten(list(ids ORDER BY ord)) AS input_ids, flatten(list(list_transform(ids, lambda x, i: CASE WHEN i = 1 AND ord <> low THEN -100 ELSE x END) ORDER BY ord)) AS labels,
+        flatten(list(list_transform(ids, lambda x, i: i - 1) ORDER BY ord)) AS position_ids, max(n) AS max_length FROM (SELECT *, min(ord) OVER (PARTITION BY shard, batch) AS low FROM q) GROUP BY shard, batch),
     s AS (SELECT shard, batch, sum(n) OVER (PARTITION BY shard, batch ORDER BY ord) AS e, ord FROM q), u AS (SELECT shard, batch, '0 ' || string_agg(CAST(e AS VARCHAR), ' ' ORDER BY ord) AS cu FROM s GROUP BY 1, 2)"""
 
 
-@query(f"WITH {COLLATED} SELECT o.shard, o.batch, array_to_string(input_ids, ' ') AS input_ids, array_to_string(position_ids, ' ') AS position_ids, cu AS cu_seq_lens, max_length FROM o JOIN u ON o.shard = u.shard AND o.batch = u.batch")
+@query(f"WITH RECURSIVE {COLLATED} SELECT o.shard, o.batch, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels, array_to_string(position_ids, ' ') AS position_ids, cu AS cu_seq_lens, max_length FROM o JOIN u ON o.shard = u.shard AND o.batch = u.batch")
 def pack_collate(spark, sf_dir):
-    made = P.collate(P.pack_sequential(sized(spark, sf_dir), "shard", "ord", "n", 256), ["shard", "batch"], "ord", "ids")
-    return made.select("shard", "batch", *(F.array_join(c, " ").alias(c) for c in ("input_ids", "position_ids", "cu_seq_lens")), "max_length")
+    return packed(spark, sf_dir).select("shard", "batch", *texts_of("input_ids", "labels", "position_ids", "cu_seq_lens"), "max_length")
+
+
+@query(f"""WITH RECURSIVE {COLLATED}, k AS (SELECT *, CAST(300 - len(input_ids) AS BIGINT) AS p FROM o)
+    SELECT k.shard, k.batch, array_to_string(list_concat(input_ids, list_transform(range(0, p), lambda x: CAST(0 AS BIGINT))), ' ') AS input_ids, array_to_string(list_concat(labels, list_transform(range(0, p), lambda x: CAST(-100 AS BIGINT))), ' ') AS labels,
+    array_to_string(list_concat(position_ids, range(0, p)), ' ') AS position_ids, cu || ' 300' AS cu_seq_lens, greatest(max_length, p) AS max_length FROM k JOIN u ON k.shard = u.shard AND k.batch = u.batch""")
+def pack_pad_to_length(spark, sf_dir):
+    return P.padded_to(packed(spark, sf_dir), 300).select("shard", "batch", *texts_of("input_ids", "labels", "position_ids", "cu_seq_lens"), "max_length")
+
 
+@query(f"WITH RECURSIVE {Q_SQL} SELECT shard, batch, row_number() OVER (PARTITION BY shard, batch ORDER BY ord) - 1 AS place, array_to_string(ids, ' ') AS input_ids, n FROM q")
+def pack_unpack(spark, sf_dir):
+    return P.unpacked(packed(spark, sf_dir), ["shard", "batch"]).select("shard", "batch", F.col("place").cast("long").alias("place"), F.array_join("input_ids", " ").alias("input_ids"), F.size("input_ids").cast("long").alias("n"))
 
-@query(f"WITH {COLLATED} SELECT o.shard, o.batch, array_to_string(list_append(list_filter(list_transform(position_ids, lambda p, i: CASE WHEN p = 0 THEN i - 1 END), lambda x: x IS NOT NULL), CAST(len(position_ids) AS BIGINT)), ' ') AS cu_seq_lens FROM o")
+
+@query(f"WITH RECURSIVE {Q_SQL} SELECT shard, batch, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY ord) AS seq_lens, CAST(max(n) AS BIGINT) AS longest FROM q GROUP BY shard, batch")
+def batch_seq_lens(spark, sf_dir):
+    lens = F.zip_with(F.slice("cu_seq_lens", F.lit(2), F.size("cu_seq_lens") - 1), F.slice("cu_seq_lens", F.lit(1), F.size("cu_seq_lens") - 1), lambda b, a: b - a)
+    return packed(spark, sf_dir).select("shard", "batch", lens.alias("lens")).select("shard", "batch", F.array_join("lens", " ").alias("seq_lens"), F.array_max("lens").alias("longest"))
+
+
+@query(f"WITH RECURSIVE {COLLATED} SELECT o.shard, o.batch, array_to_string(list_append(list_filter(list_transform(position_ids, lambda p, i: CASE WHEN p = 0 THEN i - 1 END), lambda x: x IS NOT NULL), CAST(len(position_ids) AS BIGINT)), ' ') AS cu_seq_lens FROM o")
 def cu_seqlens(spark, sf_dir):
-    made = P.collate(P.pack_sequential(sized(spark, sf_dir), "shard", "ord", "n", 256), ["shard", "batch"], "ord", "ids")
-    return made.select("shard", "batch", F.array_join(P.cu_seq_lens(F.col("position_ids")), " ").alias("cu_seq_lens"))
+    return packed(spark, sf_dir).select("shard", "batch", F.array_join(P.cu_seq_lens(F.col("position_ids")), " ").alias("cu_seq_lens"))
 
 
-@query(f"""WITH {COLLATED}, f AS (SELECT shard, batch, input_ids AS x, CAST(ceil(len(input_ids) / 4.0) AS BIGINT) AS k, unnest(range(0, 4)) AS rank FROM o)
+@query(f"""WITH RECURSIVE {COLLATED}, f4 AS (SELECT shard, batch, input_ids AS x, position_ids AS p, CAST(ceil(len(input_ids) / 4.0) AS BIGINT) AS k, unnest(range(0, 4)) AS rank FROM o)
     SELECT shard, batch, rank, array_to_string(list_transform(range(rank * k + 1, rank * k + k + 1), lambda i: coalesce(x[i], 0)), ' ') AS shard_ids,
-    array_to_string(list_transform(range(rank * k + 1, rank * k + k + 1), lambda i: coalesce(x[i + 1], -100)), ' ') AS shard_labels FROM f""")
+    array_to_string(list_transform(range(rank * k + 1, rank * k + k + 1), lambda i: CASE WHEN coalesce(p[i + 1], 0) = 0 THEN -100 ELSE x[i + 1] END), ' ') AS shard_labels FROM f4""")
 def seq_shard(spark, sf_dir):
-    made = P.collate(P.pack_sequential(sized(spark, sf_dir), "shard", "ord", "n", 256), ["shard", "batch"], "ord", "ids")
-    return P.shard_sequence(made, "input_ids", 4).select("shard", "batch", F.col("rank").cast("long"), F.array_join("shard_ids", " ").alias("shard_ids"), F.array_join("shard_labels", " ").alias("shard_labels"))
+    made = P.shard_sequence(packed(spark, sf_dir), "input_ids", "position_ids", 4)
+    return made.select("shard", "batch", F.col("rank").cast("long"), *texts_of("shard_ids", "shard_labels"))
 
 
-@query()
+@query(f"WITH RECURSIVE {COLLATED} SELECT shard, batch, array_to_string(input_ids, ' ') AS input_ids FROM o")
+def seq_gather(spark, sf_dir):
+    """Shards of a sequence, put together again."""
+    made = P.shard_sequence(packed(spark, sf_dir).withColumn("size", F.size("input_ids")), "input_ids", "position_ids", 4)
+    return P.gathered(made, ["shard", "batch"], "size").select("shard", "batch", F.array_join("input_ids", " ").alias("input_ids"))
+
+
+@query(f"""WITH {Z_SQL}, m AS (SELECT *, max(n) OVER (PARTITION BY shard, ord // 2000) AS most FROM z)
+    SELECT shard, ord, array_to_string(list_concat(ids, list_transform(range(0, most - n), lambda x: CAST(0 AS BIGINT))), ' ') AS input_ids, array_to_string(list_concat(ids, list_transform(range(0, most - n), lambda x: CAST(-100 AS BIGINT))), ' ') AS labels,
+    array_to_string(list_transform(range(0, most), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END), ' ') AS attention_mask FROM m""")
+def collate_padded(spark, sf_dir):
+    made = P.padded(sized(spark, sf_dir).withColumn("step", F.floor(F.col("ord") / 2000)), ["shard", "step"], "ids")
+    return made.select("shard", "ord", *texts_of("input_ids", "labels", "attention_mask"))
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(('0x' || left(md5('7:' || doc_id), 8)) AS BIGINT), doc_id) - 1 AS place FROM documents)
+    SELECT doc_id, place // 32 AS step, (place % 32) // 8 AS micro FROM r WHERE place // 32 < (SELECT count(*) // 32 FROM documents)""")
+def map_loader(spark, sf_dir):
+    """Steps and micro batches without packing, in an order drawn for the epoch; the incomplete last step goes."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", M.shuffled_rank(F.col("doc_id"), 7).alias("rank"))
+    return P.loader(numbered(rows, ["rank", "doc_id"], name="place").withColumn("place", F.col("place") - 1), "place", 32, 4).select("doc_id", "step", "micro")
+
+
+@query("""WITH b AS (SELECT doc_id, doc_id AS place, (SELECT count(*) FROM labels) AS t FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM labels)), r AS (SELECT *, unnest(range(0, CAST(ceil(1000.0 / t) AS BIGINT))) AS round FROM b)
+    SELECT place, (round * t + place) // 4 AS step, (round * t + place) % 4 AS micro, round > 0 AS padding_flag FROM r WHERE round * t + place < 1000""")
+def step_loop(spark, sf_dir):
+    """250 steps of 4 batches: the batches start again, and copies are marked."""
+    places = numbered(read(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], name="place").select((F.col("place") - 1).alias("place"))
+    return P.stepped(places, "place", 4, 250).select("place", F.col("step").cast("long"), F.col("micro").cast("long"), "padding_flag")
+
+
+@query("SELECT s AS step, CASE WHEN s <= 50 THEN (2048 - 200) * s // 50 + 200 ELSE 2048 END AS budget FROM range(0, 120) t(s)")
+def warmup_budget(spark, sf_dir):
+    return spark.range(120).select(F.col("id").alias("step"), P.warmed_budget(F.col("id"), 2048, 50, 200).alias("budget"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT doc_id // 200 AS step, list({'d': doc_id, 'n': n_chars} ORDER BY n_chars DESC, doc_id) AS items FROM documents GROUP BY 1),
+    w AS (SELECT step, items, 1::BIGINT AS i, list_transform(range(0, 8), lambda x: CASE WHEN x = 0 THEN items[1].n::HUGEINT * items[1].n ELSE 0::HUGEINT END) AS loads, 0::BIGINT AS bin FROM g
+      UNION ALL SELECT step, items, i + 1, list_transform(loads, lambda x, k: CASE WHEN k = b THEN x + items[i + 1].n::HUGEINT * items[i + 1].n ELSE x END), CAST(b - 1 AS BIGINT) FROM (SELECT *, list_position(loads, list_min(loads)) AS b FROM w WHERE i < len(items)))
+    SELECT step, items[i].d AS doc_id, items[i].n AS n, bin FROM w""")
 def lpt_balance(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 200).alias("step"), "doc_id", F.col("n_chars").alias("n"))
     return P.balance(docs, "step", "doc_id", "n", 8)
@@ -423,13 +512,13 @@ def think_strip_json_block(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", X.json_block(raw).alias("block"))
 
 
-@query()
+@query("SELECT event_id, props AS value FROM events")
 def json_repair(spark, sf_dir):
     raw = F.concat(F.lit("<think>plan</think>```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
     return read(spark, sf_dir, "events").select("event_id", repair_json_udf(raw).alias("value"))
 
 
-@query()
+@query("SELECT event_id, list_sort(list_distinct(list_filter([event_id % 7, 3], lambda x: x > 0 AND x < 10))) AS cuts FROM events")
 def cut_index_parse(spark, sf_dir):
     raw = F.concat(F.lit("cuts: ["), (F.col("event_id") % 7).cast("string"), F.lit(", 3, 3.0, 99] done"))
     return read(spark, sf_dir, "events").select("event_id", cut_indices_udf(raw, F.lit(10)).alias("cuts"))
@@ -473,9 +562,11 @@ def modality_mask(spark, sf_dir):
     return rows.select("vec_id", F.array_join(m["input_ids"], " ").alias("input_ids"), count(m["in_mask"]).alias("images_in"), count(m["out_mask"]).alias("images_out"))
 
 
-@query("SELECT p_partkey, CAST(greatest(28, round_even(p_size * 37 / 28.0, 0) * 28) AS BIGINT) AS h, CAST(greatest(28, round_even((p_partkey % 900 + 30) / 28.0, 0) * 28) AS BIGINT) AS w FROM part")
+@query("""WITH x AS (SELECT p_partkey, p_size * 37 AS a, p_partkey % 900 + 30 AS b FROM part), y AS (SELECT *, greatest(28, round_even(a / 28.0, 0) * 28) AS h, greatest(28, round_even(b / 28.0, 0) * 28) AS w, sqrt(a * b / 400000.0) AS down, sqrt(100000.0 / (a * b)) AS up FROM x)
+    SELECT p_partkey, CAST(CASE WHEN h * w > 400000 THEN greatest(28, floor(a / down / 28) * 28) WHEN h * w < 100000 THEN ceil(a * up / 28) * 28 ELSE h END AS BIGINT) AS h,
+    CAST(CASE WHEN h * w > 400000 THEN greatest(28, floor(b / down / 28) * 28) WHEN h * w < 100000 THEN ceil(b * up / 28) * 28 ELSE w END AS BIGINT) AS w FROM y""")
 def resize_geometry(spark, sf_dir):
-    h, w = X.resized(F.col("p_size") * 37, F.col("p_partkey") % 900 + 30, 28, 1, 1 << 40)
+    h, w = X.resized(F.col("p_size") * 37, F.col("p_partkey") % 900 + 30, 28, 100_000, 400_000)
     return read(spark, sf_dir, "part").select("p_partkey", h.alias("h"), w.alias("w"))
 
 
@@ -492,12 +583,12 @@ def positional_zip(spark, sf_dir):
     return J.zip_by_place(places, values, ["conv_id", "role"], "turn").select("conv_id", "turn", "value")
 
 
-@query("SELECT e.vec_id, CAST(sum(w * v) AS DOUBLE) AS out FROM (SELECT vec_id, unnest([0, 1]) AS k, vec_id % 4 AS x FROM embeddings) e JOIN (SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN 0.75 ELSE 0.25 END AS w, CASE WHEN k = 0 THEN 8 ELSE 16 END AS v FROM range(0, 2) r(k)) t ON e.k = t.k GROUP BY e.vec_id")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, unnest([l_partkey % 8, l_suppkey % 8]) AS expert, unnest([3, 1]) AS w, CAST(l_quantity AS BIGINT) AS x FROM lineitem),
+    o AS (SELECT l_orderkey, l_linenumber, sum(w * (x * (expert + 1) + expert)) AS mixed FROM t GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, CAST(mixed AS DOUBLE) / 4 AS mixed FROM o""")
 def expert_permute(spark, sf_dir):
-    """Each token goes to its experts and comes back as a weighted sum."""
-    sent = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    worked = sent.withColumn("v", F.when(F.col("k") == 0, 8).otherwise(16) * F.when(F.col("k") == 0, 0.75).otherwise(0.25))
-    return worked.groupBy("vec_id").agg(F.sum("v").cast("double").alias("out"))
+    """Each token goes to its two experts, is worked on there in their order, and comes back as a weighted sum."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("x"), F.explode(F.array(F.struct((F.col("l_partkey") % 8).alias("expert"), F.lit(3).alias("w")), F.struct((F.col("l_suppkey") % 8).alias("expert"), F.lit(1).alias("w")))).alias("to"))
+    return J.through_experts(rows.select("l_orderkey", "l_linenumber", "x", "to.*"), ["l_orderkey", "l_linenumber"], "expert", F.col("x") * (F.col("expert") + 1) + F.col("expert"), "w").select("l_orderkey", "l_linenumber", (F.col("mixed").cast("double") / 4).alias("mixed"))
 
 
 # --- streams: everything available now, read as a stream ---
@@ -511,23 +602,32 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    return B.drain(stream, f"s_{uuid.uuid4().hex}", mode)
-
-
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    found = drained(B.tumbling(stream(spark, sf_dir, "events"), "ts", "event_type", "value", "6 hours", "1 day"), "complete")
+    found = B.drain(B.tumbling(stream(spark, sf_dir, "events"), "ts", "event_type", "value", "6 hours", "1 day"), "complete")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours' * k AS start, event_type, count(*) AS n, max(value) AS largest FROM events, range(0, 2) r(k) GROUP BY 1, 2")
 def stream_sliding(spark, sf_dir):
-    found = drained(B.sliding(stream(spark, sf_dir, "events"), "ts", "event_type", "value", "12 hours", "6 hours", "1 day"), "complete")
+    found = B.drain(B.sliding(stream(spark, sf_dir, "events"), "ts", "event_type", "value", "12 hours", "6 hours", "1 day"), "complete")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "largest")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 8 AS shard, event_id AS ord, 1 + event_id % 50 AS n, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
+    w AS (SELECT shard, ord, n, i, 0::BIGINT AS batch, n AS used FROM e WHERE i = 1 UNION ALL SELECT e.shard, e.ord, e.n, e.i, CASE WHEN w.used + e.n > 256 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used + e.n > 256 THEN e.n ELSE w.used + e.n END FROM w JOIN e ON w.shard = e.shard AND e.i = w.i + 1)
+    SELECT shard, batch, ord, n FROM w""")
 def stream_pack(spark, sf_dir):
     rows = stream(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("shard"), F.col("event_id").alias("ord"), (1 + F.col("event_id") % 50).alias("n"))
-    return drained(B.pack(rows, "shard", "ord", "n", 256), "append")
+    return B.drain(B.pack(rows, "shard", "ord", "n", 256), "append")
+
+
+@query("SELECT user_id, count(*) AS n, CAST(min(epoch_us(ts)) AS DOUBLE) AS first, CAST(max(epoch_us(ts) + 1000000) AS DOUBLE) AS last FROM events GROUP BY user_id")
+def stream_accumulate(spark, sf_dir):
+    at = F.unix_micros("ts").cast("double")
+    rows = stream(spark, sf_dir, "events").select("user_id", at.alias("start"), (at + 1000000).alias("end"))
+    found = B.drain(B.accumulate(rows, "user_id", "start", "end"), "update")
+    return found.groupBy("user_id").agg(*(F.max_by(c, "n").alias(c) for c in ("first", "last")), F.max("n").alias("n")).select("user_id", "n", "first", "last")
+
+
+from . import files, records  # noqa: E402, F401  they add their queries

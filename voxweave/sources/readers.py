@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.automata import tolerant_json_udf
+from .shared import kept, numbered
 
 AUDIO = (".wav", ".mp3", ".flac", ".m4a")
 SEGMENT = "struct<segment_id:string,speaker:string,start:string,end:string,text:string,sentence:string,lang:string,language:string>"
@@ -58,24 +59,55 @@ def paths(spark: SparkSession, path: str, order: tuple[str, str] = ("path", "out
     return rows.select(own.alias("id"), at.alias("_path")).where("_path is not null").select(F.coalesce("id", X.stem(F.col("_path"))).alias("id"), full.alias("path"))
 
 
+def file_lines(rows: DataFrame) -> DataFrame:
+    """rows of a file scan with _file, _block and _line, by which they are in the order of their files: Spark packs parts of
+    files into tasks by size, but reads each part in order."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
 def lines_with_optional_header(spark: SparkSession, path: str, header: str = "path") -> DataFrame:
-    """First cells of a table; the first line is dropped if it is the header."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    cell = X.strip(F.split("value", "\t")[0])
-    return lines.select("line", cell.alias("path")).where((F.col("path") != "") & ~((F.col("line") == 0) & (F.lower("path") == header)))
+    """First cells of tables; a file's first line is dropped if it is the header."""
+    lines = file_lines(spark.read.text(path)).withColumn("path", X.strip(F.split("value", "\t")[0]))
+    lines = kept(lines.select("path", "_file", "_block", "_line"), "lines")
+    firsts = lines.groupBy("_file").agg(F.min(F.struct("_block", "_line")).alias("f")).select("_file", "f.*")  # a row for each file
+    heads = firsts.withColumn("_head", F.lit(True))
+    return lines.join(heads, ["_file", "_block", "_line"], "left").where((F.col("path") != "") & ~(F.coalesce("_head", F.lit(False)) & (F.lower("path") == header))).select("path")
 
 
 def keyed_metrics(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each key (segment_id, else eval_id), the last line winning; NaN is null."""
-    key = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("segment_id", "eval_id") if c in rows.columns))
-    last = rows.withColumn("_key", key).where("_key is not null").withColumn("_line", F.monotonically_increasing_id()).groupBy("_key")
-    return last.agg(*(F.max_by(X.parse_float(F.col(c)), "_line").alias(c) for c in columns)).withColumnRenamed("_key", "segment_id")
+    """One row for each key (column segment_id, else eval_id), the last line winning; NaN is null."""
+    key = next((c for c in ("segment_id", "eval_id") if c in rows.columns), None)
+    if key is None:
+        raise ValueError("neither segment_id nor eval_id is there")
+    lines = file_lines(rows).withColumn("_key", X.present(F.col(key))).where("_key is not null")
+    # A null would lose to an earlier line's value: the last line's number is taken with its place.
+    last = lines.groupBy("_key").agg(F.max_by(F.struct(*(X.parse_float(F.col(c)).alias(c) for c in columns)), F.struct("_file", "_block", "_line")).alias("v"))
+    return last.select(F.col("_key").alias("segment_id"), "v.*")
+
+
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of files that hold one array each; anything else in the array is an error. One task reads a file."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def wav_files(spark: SparkSession, folder: str) -> DataFrame:
+    """name and content of WAV files; wav_samples_udf reads them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
+    return files.select(X.stem(F.col("path")).alias("name"), "content")
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """stem and content of each label file; an empty file is `none`."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
-    return files.select(X.stem(F.col("_metadata.file_path")).alias("segment_id"), F.coalesce(X.present(F.col("value")), F.lit("none")).alias("label"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(X.stem(F.col("_metadata.file_path")).alias("segment_id"), F.coalesce(X.present(F.col("value")), F.lit("none")).alias("label"))
+    empty = spark.createDataFrame([(n.rsplit(".", 1)[0], "none") for n in empty_files(spark, folder, "*.txt")], "segment_id string, label string")
+    return files.union(empty)
+
+
+def empty_files(spark: SparkSession, folder: str, glob: str) -> list[str]:
+    """Names of files without content, which Spark's scans leave out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{glob}")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [f.getPath().getName() for f in found or [] if not f.getLen()]
 
 
 def filled(rows: DataFrame) -> DataFrame:
@@ -84,9 +116,11 @@ def filled(rows: DataFrame) -> DataFrame:
 
 
 def good_json_lines(spark: SparkSession, path: str, schema: str, skip: int = 0) -> DataFrame:
-    """Rows of well-formed lines; the first `skip` good ones are left out."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNotNull().alias("ok")).where("ok").select("r.*")
-    return rows.offset(skip) if skip else rows
+    """Rows of well-formed lines; the first `skip` good ones, in the order of files and lines, are left out."""
+    rows = file_lines(spark.read.text(path)).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    if skip:
+        rows = numbered(rows, ["_file", "_block", "_line"], name="_place").where(F.col("_place") > skip)
+    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def dataset(spark: SparkSession, listed: str) -> DataFrame:

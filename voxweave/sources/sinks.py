@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import json
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_filename
+from .shared import numbered
+
 
 def write_parts(rows: DataFrame, path: str, key: str, mode: str = "error", rows_per_file: int = 20_000) -> int:
     """Parquet parts of bounded size. mode: error, overwrite, or resume (rows whose key is there already are left out).
@@ -12,13 +21,49 @@ def write_parts(rows: DataFrame, path: str, key: str, mode: str = "error", rows_
     Returns how many rows were written."""
     spark, seen = rows.sparkSession, Observation()
     if mode == "resume":
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if _exists(spark, path):
             rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").mode("append" if mode == "resume" else mode).parquet(path)
     return seen.get["n"]
 
 
+def write_counted(rows: DataFrame, path: str, order: list[str], mode: str = "error", rows_per_file: int = 20_000, most: int | None = None) -> int:
+    """Parquet parts of rows in order, `most` of them at most. mode resume counts the rows that are there (from the files'
+    footers) and goes on behind them; overwrite wipes them; error fails if there are any. Returns how many rows were written."""
+    spark, seen = rows.sparkSession, Observation()
+    done = spark.read.parquet(path).count() if mode == "resume" and _exists(spark, path) else 0
+    places = numbered(rows, order, name="_place").where(F.col("_place") > done)
+    if most is not None:
+        places = places.where(F.col("_place") <= done + most)
+    out = places.select(*rows.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", rows_per_file).option("compression", "snappy")
+    out.mode("append" if mode == "resume" else mode).parquet(path)
+    return seen.get["n"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_json_files(rows: DataFrame, path: str) -> None:
+    """One file for each row (name, value: JSON text), named after it; each is written aside and then renamed, so a file is
+    whole or not there, and a task that runs again only writes it again."""
+    named = rows.select(safe_filename(F.col("name")).alias("name"), "value")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, value in zip(b.column("name").to_pylist(), b.column("value").to_pylist(), strict=True):
+                aside = f"{base}/.{name}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(aside) as out:
+                    out.write(json.dumps(json.loads(value), ensure_ascii=False, indent=2).encode())
+                store.move(aside, f"{base}/{name}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["n"])
+
+    named.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_tsv(rows: DataFrame, path: str) -> None:
     """Doubles with six decimals, null as nan."""
     number = lambda c: F.coalesce(F.format_string("%.6f", F.col(c)), F.lit("nan"))
