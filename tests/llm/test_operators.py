@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxweave.llm import hamming_search, html_blocks, lexicon_bpe, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
+from voxweave.llm import html_blocks, lexicon_bpe, mixture_packing, ngram_join, quality_trees, substring_dedup
 from voxweave.llm.common import Scratch, components
 from voxweave.llm.queries import vocabulary_path
 
@@ -120,32 +120,6 @@ def test_components(spark):
     assert len({roots[i] for i in range(41)}) == 1 and roots[100] == roots[101] == roots[102] != roots[0]
 
 
-def test_ogg(spark, docs, empty):
-    got = ogg_media.media_digests(ogg_media.to_media(docs, Scratch(spark))).collect()
-    want = collections.Counter()
-    for r in docs.collect():
-        raw = (r["text"] or "").encode()
-        pay = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        want[r["doc_id"], len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:])] += 1
-    assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
-    assert ogg_media.media_digests(ogg_media.to_media(empty, Scratch(spark))).count() == 0
-
-
-def test_ogg_damage():
-    media = bytearray(ogg_media.write_ogg(bytes(range(256)) * 500))
-    payload, info = ogg_media.read_ogg(bytes(media))
-    assert payload == bytes(range(256)) * 500 and info["seconds"] == len(payload) // 2 / 8000 or info["seconds"] > 0
-    media[-5] ^= 1
-    with pytest.raises(ogg_media.Damaged):
-        ogg_media.read_ogg(bytes(media))
-    slow = 0
-    for byte in b"check sum":
-        slow ^= byte << 24
-        for _ in range(8):
-            slow = (slow << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if slow >> 31 else slow << 1
-    assert ogg_media.page_crc(b"check sum") == slow
-
-
 def library():
     from tokenizers import Tokenizer
 
@@ -296,18 +270,6 @@ def test_quality_trees(spark, docs, empty):
     assert quality_trees.score(empty, model).count() == 0
 
 
-def test_hamming_top_k(spark):
-    r = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in r.normal(size=24)]) for i in range(0, 900, 3)] + [(5000 + i, [1.0] * 24) for i in range(40)] + [(7, None), (None, [1.0] * 24)]
-    got = hamming_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Scratch(spark), "vec_id", "embedding", 7, 50).collect()
-    code = {i: tuple(x > 0 for x in v) for i, v in rows if i is not None and v is not None}
-    want = set()
-    for q in (i for i in code if i % 50 == 0):
-        near = sorted((sum(a != b for a, b in zip(code[q], c)), i) for i, c in code.items())[:7]
-        want |= {(q, i, d, k + 1) for k, (d, i) in enumerate(near)}
-    assert {tuple(r) for r in got} == want
-
-
 def test_html(spark):
     page = (
         '<html><head><title>t</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></ul></nav><!-- <p>no</p> -->'

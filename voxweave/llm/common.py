@@ -73,10 +73,14 @@ class Scratch:
 
 
 def need(df: DataFrame, *names: str) -> DataFrame:
-    """Only these columns; whatever else the table has can't clash with an operator's own names."""
+    """Only these columns; whatever else the table has can't clash with an operator's own names. Ids become longs."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    return df.select(*names)
+    kinds = dict(df.dtypes)
+    for n in names:
+        if n in ("doc_id", "page_id") and kinds[n] not in ("bigint", "int", "smallint", "tinyint", "void"):
+            raise ValueError(f"{n} must hold whole numbers, not {kinds[n]}")
+    return df.select(*(F.col(n).cast("long") if n in ("doc_id", "page_id") and kinds[n] != "bigint" else F.col(n) for n in names))
 
 
 def text_key(text: Column) -> list[Column]:

@@ -1,12 +1,14 @@
 """Media columns: Ogg containers of raw 8-bit streams, written to and read back from a binary column.
 
-A payload is cut into packets that alternate between logical streams. Reading verifies every page's checksum, joins
-packets from lacing values (also across pages), separates the streams by serial number and takes each packet's time from
-the granule positions.
+A payload is cut into packets that alternate between logical streams; a stream's granule position counts its own samples.
+Reading verifies every page's checksum, joins packets from lacing values (also across pages), separates the streams by serial
+number, and gives each packet its start and end from the granule positions: a page's position is the end of the last packet
+that ends there, and those before it end where the next one begins. Packets of all streams are put in order by time, then by
+the stream's index.
 
 Null text counts as empty, and an empty payload is padded like any other; equal texts give equal bytes, since serial
 numbers and every header come from constants; repeated rows and ties therefore repeat their values; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored. Media that is null, empty or damaged has nulls and says why in `error`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, batch_of, need, slices, texts
+from .common import batch_of, need, slices, texts
 
 # Fixed values of the container format.
 MAGIC, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
@@ -71,13 +73,14 @@ class Writer:
 def write_ogg(payload: bytes) -> bytes:
     """Packets in turn on STREAMS logical streams; each stream's pages come as its packets fill them."""
     out: list[bytes] = []
-    streams = [Writer(i + 1, out) for i in range(STREAMS)]
+    streams, heard = [Writer(i + 1, out) for i in range(STREAMS)], [0] * STREAMS
     for i, s in enumerate(streams):
         s.packet(IDENT.pack(CODEC, RATE, i, STREAMS), 0)
         s.flush()
     for i, at in enumerate(range(0, len(payload), PACKET)):
         data = payload[at : at + PACKET]
-        streams[i % STREAMS].packet(data, at + len(data))
+        heard[i % STREAMS] += len(data)
+        streams[i % STREAMS].packet(data, heard[i % STREAMS])
     for s in streams:
         s.flush(last=True)
     return b"".join(out)
@@ -89,6 +92,8 @@ class Damaged(ValueError):
 
 def read_pages(media: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
     """(serial, number, flags, granule, lacing values, body) of each page whose checksum holds."""
+    if not media:
+        raise Damaged("no page")
     at = 0
     while at < len(media):
         if at + HEADER.size > len(media):
@@ -108,7 +113,8 @@ def read_pages(media: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]
 
 
 def demultiplex(media: bytes) -> dict[int, dict]:
-    """Per serial number: packets, the granule position known at each packet's end (-1: none), pages, whether it ended."""
+    """Per serial number: packets, and for each the granule position of the page where it ends if it is the last one there
+    (else -1); pages; whether the stream ended."""
     found: dict[int, dict] = {}
     for serial, number, flags, granule, lacing, body in read_pages(media):
         if bool(flags & FIRST) != (serial not in found):
@@ -128,6 +134,8 @@ def demultiplex(media: bytes) -> dict[int, dict]:
         s["part"] = [*part, body[at : at + size]] if lacing and lacing[-1] == 255 else None
         if len(s["packets"]) > whole:
             s["granules"][-1] = granule
+        elif granule != -1:
+            raise Damaged(f"page {number} of stream {serial} ends no packet but has a position")
         s["ended"] = bool(flags & LAST)
     for serial, s in found.items():
         if not s["ended"] or s["part"] is not None:
@@ -135,18 +143,45 @@ def demultiplex(media: bytes) -> dict[int, dict]:
     return found
 
 
-def read_ogg(media: bytes) -> tuple[bytes, dict]:
-    """The payload, and features: streams, pages, packets, seconds, and each stream's last time stamp in seconds."""
-    streams, order = demultiplex(media), {}
+def times(sizes: list[int], granules: list[int]) -> list[tuple[int, int]]:
+    """Start and end of each packet in samples, backwards from the positions of pages; a packet lasts its own samples."""
+    out, end = [], None
+    for size, granule in zip(reversed(sizes), reversed(granules), strict=True):
+        if granule >= 0:
+            if end is not None and end != granule:
+                raise Damaged("granule positions don't fit the packets")
+            end = granule
+        if end is None:
+            raise Damaged("the last packet has no position")
+        out.append((end - size, end))
+        end -= size
+    if end:
+        raise Damaged("granule positions don't begin at 0")
+    return out[::-1]
+
+
+def read_packets(media: bytes) -> tuple[list[tuple[int, int, float, float, bytes]], dict]:
+    """(stream, number in it, start and end in seconds, data) of all packets in order of time; and the counts of streams,
+    pages and packets, and where each stream ends."""
+    streams, packets, ends = demultiplex(media), [], {}
     for s in streams.values():
+        if not s["packets"] or len(s["packets"][0]) != IDENT.size:
+            raise Damaged("identification packet")
         codec, rate, index, count = IDENT.unpack(s["packets"][0])
-        if codec != CODEC or count != len(streams):
+        if codec != CODEC or not rate or count != len(streams) or index in ends:
             raise Damaged("identification packet")
-        order[index] = s | {"rate": rate}
-    most = max(len(s["packets"]) for s in order.values())
-    payload = b"".join(order[i]["packets"][k] for k in range(1, most) for i in range(len(order)) if k < len(order[i]["packets"]))
-    ends = [max(s["granules"]) / s["rate"] for _, s in sorted(order.items())]
-    return payload, {"streams": len(order), "pages": sum(s["pages"] for s in order.values()), "packets": sum(len(s["packets"]) - 1 for s in order.values()), "seconds": max(ends), "ends": ends}
+        data = s["packets"][1:]
+        at = times([len(x) for x in data], s["granules"][1:]) if data else []
+        packets += [(index, k, a / rate, b / rate, x) for k, ((a, b), x) in enumerate(zip(at, data, strict=True))]
+        ends[index] = at[-1][1] / rate if at else 0.0
+    packets.sort(key=lambda p: (p[2], p[0], p[1]))
+    return packets, {"streams": len(streams), "pages": sum(s["pages"] for s in streams.values()), "packets": len(packets), "ends": [e for _, e in sorted(ends.items())]}
+
+
+def read_ogg(media: bytes) -> tuple[bytes, dict]:
+    """The payload, and features: streams, pages, packets, each stream's last time stamp and the longest in seconds."""
+    packets, info = read_packets(media)
+    return b"".join(p[4] for p in packets), info | {"seconds": max(info["ends"])}
 
 
 def feature_of(payload: bytes, info: dict) -> str:
@@ -161,7 +196,7 @@ def pad(raw: bytes) -> bytes:
     return raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
-def to_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as an Ogg file in a binary column."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -174,17 +209,44 @@ def to_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _read(media: bytes | None, of) -> tuple:
+    """What `of` reads, and None; or None and why it can't be read."""
+    if media is None:
+        return None, "null"
+    try:
+        return of(media), None
+    except Damaged as e:
+        return None, str(e)
+
+
 def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: digests of payload and container, and the feature string."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """What the stored bytes hold: digests of payload and container, the feature string, and error."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for m in b.column("media").to_pylist():
-                payload, info = read_ogg(m)
-                for c, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(payload, info)), strict=True):
+                found, error = _read(m, read_ogg)
+                payload = found and (len(found[0]), hashlib.sha256(found[0]).hexdigest(), zlib.crc32(found[0][-64:]))
+                stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                for c, v in zip(out, (*(payload or (None, None, None)), *stored, feature_of(*found) if found else None, error), strict=True):
                     c.append(v)
             yield batch_of(schema, [b.column("doc_id"), b.column("n_bytes"), *out])
 
-    return media.mapInArrow(run, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema))
+
+
+def media_packets(media: DataFrame) -> DataFrame:
+    """(doc_id, stream, packet, start, end, n_bytes, error): the packets of each file in order of time; a file that can't be
+    read has one row with its error."""
+    schema = pa.schema([("doc_id", pa.int64()), ("stream", pa.int64()), ("packet", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("n_bytes", pa.int64()), ("error", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
+                found, error = _read(m, read_packets)
+                rows = [(i, *p[:4], len(p[4]), None) for p in found[0]] if found else [(i, *[None] * 5, error)]
+                yield batch_of(schema, list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in schema])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, stream long, packet long, start double, end double, n_bytes long, error string")

@@ -31,7 +31,8 @@ def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg_media.media_digests(ogg_media.to_media(table(spark, sf_dir, "documents"), Scratch(spark)))
+    Scratch(spark)
+    return ogg_media.media_digests(ogg_media.to_media(table(spark, sf_dir, "documents")))
 
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
