@@ -5,10 +5,11 @@ SEGMENTS; a query probes all segments at radius 0, 1, 2 and so on. After radius
 been met and verified, m being the number of segments, so the search ends when the kth verified distance is that small.
 
 Equal codes share one entry that keeps the k smallest ids (kept per task first, so a code that a third of all rows have is
-never gathered); only those can be among a query's k. The index is dealt over about sqrt(n) / 32 blocks by code, every block
-answers all queries, and each query's answers are merged: a query set against all rows, in blocks.
+never gathered); only those can be among a query's k. The index is dealt over blocks of about BLOCK codes, the queries over
+blocks of about ASKED; every pair of blocks is searched by itself, and each query's answers are merged: a query set against
+all rows, in blocks.
 
-Null vectors and null ids are neither filed nor asked; vectors of other lengths than the first are padded with zero bits;
+Null vectors and null ids are neither filed nor asked; shorter vectors than the longest are padded with zero bits;
 ties are broken by the smaller id; a query is among its own answers, as all rows are searched; repeated rows are answers
 each; with fewer than k rows all are returned; empty tables give empty results. Other columns are ignored.
 """
@@ -21,22 +22,29 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, groups_of, need
 
 K, EVERY = 10, 100
+#: Codes of the index, and queries, in a block.
+BLOCK, ASKED = 1 << 18, 1 << 16
 
 
 def codes_of(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and codes (rows of 64-bit words) of the rows that have both."""
-    rows = [(i, v) for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True) if i is not None and v is not None]
+    batch = batch.filter(pc.and_(pc.is_valid(batch.column("id")), pc.is_valid(batch.column("vector"))))
+    ids, vector = batch.column("id").to_numpy(), batch.column("vector")
+    size = pc.list_value_length(vector).to_numpy().astype(np.int64)
+    on = pc.fill_null(pc.greater(vector.flatten(), 0), False).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(ids)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     words = -(-bits // 64)
-    out = np.zeros((len(rows), words * 64), np.uint8)
-    for r, (_, v) in enumerate(rows):
-        out[r, : len(v)] = np.array([x is not None and x > 0 for x in v[: words * 64]], np.uint8)
-    return np.array([i for i, _ in rows], np.int64), np.packbits(out, 1).view("<u8").reshape(len(rows), words)
+    out = np.zeros((len(ids), words * 64), np.uint8)
+    out[row[on], place[on]] = 1
+    return ids, np.packbits(out, 1).view("<u8").reshape(len(ids), words)
 
 
 def coded(rows: DataFrame, bits: int, k: int | None) -> DataFrame:
@@ -72,10 +80,10 @@ class MultiIndex:
         bits = codes.shape[1] * 64
         self.size = min(16, max(4, int(math.log2(max(2, n)))))
         self.edges = np.linspace(0, bits, -(-bits // self.size) + 1).astype(int)
-        flat = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        flat = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
         self.segments, self.order, self.bounds = [], [], []
         for a, b in itertools.pairwise(self.edges):
-            value = flat[:, a:b] @ (1 << np.arange(b - a))
+            value = flat[:, a:b].astype(np.int64) @ (1 << np.arange(b - a))
             self.segments.append((int(a), int(b - a)))
             self.order.append(np.argsort(value, kind="stable"))
             self.bounds.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << (b - a)))]))
@@ -122,18 +130,20 @@ def top_k(rows: DataFrame, scratch: Scratch, id_column: str, vector_column: str,
     bits = bits if bits and bits > 0 else 64
     entries = coded(rows, bits, k).withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("rank") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = scratch.keep(entries, "entries")
-    blocks = max(1, math.ceil(math.sqrt(entries.count()) / 32))
-    index = entries.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), "code", "ids")
     asked = coded(rows.where(F.col("id") % every == 0), bits, None)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "code", F.lit(None).cast("array<long>").alias("ids"))
+    blocks, parts = (max(1, math.ceil(n / size)) for n, size in ((entries.count(), BLOCK), (rows.where(F.col("id") % every == 0).count(), ASKED)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    index = entries.select(dealt("code", blocks).alias("block"), all_of(parts).alias("part"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), "code", "ids")
+    asked = asked.select(all_of(blocks).alias("block"), dealt("id", parts).alias("part"), F.lit(1).alias("role"), "id", "code", F.lit(None).cast("array<long>").alias("ids"))
     schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids = None, []
-        for (_, role), group in groups_of(batches, 2, ["block", "role", "id", "code", "ids"]):
-            codes = np.frombuffer(b"".join(r[3] for r in group), "<u8").reshape(len(group), -1)
+        for (*_, role), group in groups_of(batches, 3, ["block", "part", "role", "id", "code", "ids"]):
+            codes = np.frombuffer(b"".join(r[4] for r in group), "<u8").reshape(len(group), -1)
             if role == 0:
-                ids = [r[4] for r in group]
+                ids = [r[5] for r in group]
                 index = MultiIndex(codes, np.array([len(i) for i in ids]))
                 continue
             out: list[list[int]] = [[], [], []]
@@ -141,13 +151,13 @@ def top_k(rows: DataFrame, scratch: Scratch, id_column: str, vector_column: str,
                 if index is None:
                     break
                 best = sorted((d, i) for e, d in zip(*(x.tolist() for x in index.search(code, k)), strict=True) for i in ids[e])[:k]
-                out[0] += [r[2]] * len(best)
+                out[0] += [r[3]] * len(best)
                 out[1] += [i for _, i in best]
                 out[2] += [d for d, _ in best]
             yield batch_of(schema, out)
             index = None
 
     # Every block has its entries before its queries.
-    near = index.union(asked).repartition("block").sortWithinPartitions("block", "role").mapInArrow(run, "query_id long, neighbor_id long, distance long")
+    near = index.union(asked).repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInArrow(run, "query_id long, neighbor_id long, distance long")
     over = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return near.withColumn("rank", F.row_number().over(over).cast("long")).where(F.col("rank") <= k)
