@@ -205,6 +205,17 @@ def wav_samples_udf(content):
     return run(content)
 
 
+def split_long_udtf():
+    """split_long as a table function: (place, start, end) of each piece."""
+
+    class SplitLong:
+        def eval(self, start: float, end: float, loud: list[bool], hop: float):
+            for k, (a, b) in enumerate(split_long(start, end, list(loud or []), hop)):
+                yield k, a, b
+
+    return F.udtf(SplitLong, returnType="place long, start double, end double")
+
+
 def cut_indices_udf(raw, size):
     @F.pandas_udf("array<long>")
     def run(raw: pd.Series, size: pd.Series) -> pd.Series:
