@@ -32,7 +32,9 @@ def conversation_marked(spark, sf_dir):
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN turn % 3 = 1 THEN 'image' ELSE 'text:t' || turn END AS part FROM conversations),
     g AS (SELECT *, sum(CASE WHEN role = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'user') AS before FROM c)),
-    r AS (SELECT conv_id, run, role, array_to_string(list(part ORDER BY turn), CASE WHEN role = 'assistant' THEN '|text:' || chr(10) || chr(10) || '|' ELSE '|' END) AS parts FROM g GROUP BY 1, 2, 3),
+    r AS (SELECT conv_id, run, role, CASE WHEN role = 'assistant' THEN string_agg(part, '|text:
+
+|' ORDER BY turn) ELSE string_agg(part, '|' ORDER BY turn) END AS parts FROM g GROUP BY 1, 2, 3),
     z AS (SELECT conv_id, 0 AS run, 'user' AS role, '' AS parts FROM r GROUP BY conv_id HAVING min(run) > 0)
     SELECT conv_id, string_agg(role || '[' || parts || ']', chr(10) ORDER BY run) AS messages FROM (SELECT * FROM r UNION ALL SELECT * FROM z) GROUP BY conv_id""")
 def conversation_runs(spark, sf_dir):
