@@ -25,8 +25,15 @@ BATCH_ROWS = 1000
 U64 = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session names another number than Spark's own."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 class Scratch:
-    """Tables written in the shared folder named in spark.checkpoint.dir, which cut the lineage of a query.
+    """Tables written in the shared folder named in spark.checkpoint.dir, which cut the lineage of a query; they go when the
+    driver ends, as results may still read them.
 
     The folder is read from the session; only where it is unset (local tests) a folder of its own is made.
     """
@@ -38,8 +45,7 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="voxweave-")
             spark.conf.set("spark.checkpoint.dir", base)
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        small_batches(spark)
         self.spark, self.base = spark, f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
@@ -49,6 +55,9 @@ class Scratch:
         self.paths[f"{len(self.paths)}-{name}"] = self.paths[name] = path
         df.write.parquet(path, compression=compression)
         del df
+        if len(self.paths) == 2:  # the first table: its folder is there now
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         return self.spark.read.schema(schema).parquet(path)
 
     def ship(self, name: str, data: bytes) -> None:

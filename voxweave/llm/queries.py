@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
-from .common import Scratch
+from .common import Scratch, small_batches
 
 
 def vocabulary_path() -> str:
@@ -31,7 +31,7 @@ def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Scratch(spark)
+    small_batches(spark)
     return ogg_media.media_digests(ogg_media.to_media(table(spark, sf_dir, "documents")))
 
 
@@ -40,7 +40,7 @@ def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Scratch(spark)
+    small_batches(spark)
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
@@ -65,7 +65,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    Scratch(spark)
+    small_batches(spark)
     out = quality_trees.score(docs, quality_trees.train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.col("_vw_held_out").alias("held_out"), F.col("_vw_score").alias("score"), F.col("_vw_predicted").alias("predicted"))
 
