@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxweave.llm import line_templates, mixture_packing, ngram_join, quality_trees, substring_dedup
-from voxweave.llm.common import Scratch, text_key
+from voxweave.llm.common import Scratch, small_batches, text_key
 from voxweave.llm.queries import table, vocabulary_path
 
 #: Near copies: words of a shingle, and the least similarity in percent.
@@ -22,7 +22,7 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of the documents at hand."""
     model = quality_trees.train(docs, table(spark, sf_dir, "labels"))
-    Scratch(spark)
+    small_batches(spark)
     return quality_trees.score(docs, model).where("_vw_predicted = 1").select(*docs.columns)
 
 

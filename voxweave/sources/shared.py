@@ -24,6 +24,8 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     """rows, computed once: values that depend on how rows lie in partitions stay what they are."""
     path = folder(rows.sparkSession, name)
     rows.write.parquet(path)
+    at = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # when the driver ends
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
