@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_filename
-from .shared import numbered
+from .shared import numbered, write_text
 
 
 def write_parts(rows: DataFrame, path: str, key: str, mode: str = "error", rows_per_file: int = 20_000) -> int:
@@ -91,3 +91,23 @@ def retried(rows: DataFrame, score, valid, fallback) -> DataFrame:
     good = first.where(valid(F.col("answer")))
     again = score(first.where(~F.coalesce(valid(F.col("answer")), F.lit(False))).drop("answer"))
     return good.unionByName(again.withColumn("answer", F.when(valid(F.col("answer")), F.col("answer")).otherwise(fallback)))
+
+
+def write_markers(failed: DataFrame, path: str, key: str, reason: str) -> None:
+    """A marker for each failed key, with the reason; later runs add to them."""
+    failed.select(F.col(key).cast("string").alias("key"), F.lit(reason).alias("error")).write.mode("append").parquet(path)
+
+
+def read_markers(spark: SparkSession, path: str, key: str, kind: str = "string") -> DataFrame:
+    """Keys that have a marker; none if nothing ever failed."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"{key} {kind}")
+    return spark.read.parquet(path).select(F.col("key").cast(kind).alias(key)).distinct()
+
+
+def write_script(rows: DataFrame, path: str, name: str, most: int = 10_000) -> None:
+    """rows as a script that sets window.<name>; a page holds at most `most` items, more are an error."""
+    items = [r["j"] for r in rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).limit(most + 1).collect()]
+    if len(items) > most:
+        raise ValueError(f"more than {most} items for one page")
+    write_text(rows.sparkSession, path, f"window.{name} = {{\"items\":[{','.join(items)}]}};\n")
