@@ -193,6 +193,16 @@ def _on_each(f, kind: str):
     return column
 
 
+def is_json(text: str | None) -> bool:
+    """Whether a text is one JSON value and nothing else."""
+    try:
+        json.loads(text or "")
+    except ValueError:
+        return False
+    return True
+
+
+is_json_udf = _on_each(is_json, "boolean")
 repair_json_udf = _on_each(repair_json, "string")
 tolerant_json_udf = _on_each(tolerant_json, "string")
 

@@ -42,7 +42,7 @@ def source_optional_header(spark, sf_dir):
 def source_good_lines(spark, sf_dir):
     """Bad and blank lines don't count; the first three good ones are left out."""
     rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
-    lines = [x for r in rows for x in (json.dumps({"id": r["n_nationkey"]}), *(["", "{bad"] if r["n_nationkey"] % 5 == 0 else []))]
+    lines = [x for r in rows for x in (json.dumps({"id": r["n_nationkey"]}), *(["", "{bad", '{"id": 99} x'] if r["n_nationkey"] % 5 == 0 else []))]
     path = write_text(spark, f"{folder(spark, 'lines')}/l.jsonl", "\n".join(lines) + "\n")
     return R.good_json_lines(spark, path, "id long", 3)
 
@@ -98,3 +98,34 @@ def source_many_paths(spark, sf_dir):
     read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", "o_custkey").write.parquet(a)
     read(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("o_orderkey"), F.col("n_chars").alias("o_custkey")).write.parquet(b)
     return R.dataset(spark, f"{a}, {b}")
+
+
+def _documents(spark):
+    path = folder(spark, "documents")
+    write_text(spark, f"{path}/a.json", '{"segments": [{"start": "1.5", "end": 2, "text": "hi", "speaker": "s1"}, 7, {"sentence": "there", "language": "en", "segment_id": "own"}], "meta": {"sample_rate": 8000}, "num_speakers": 2, "languages": ["en", "fr"]}')
+    write_text(spark, f"{path}/b.json", '[{"text": "list", "start": "x",}]')  # a comma too many
+    write_text(spark, f"{path}/c.jsonl", '{"text": "one"}\n{"text": "two"},\n')
+    write_text(spark, f"{path}/d.json", '{"segment": [{"text": "first"}]} and more')
+    return R.json_documents(spark, path)
+
+
+@query("""SELECT * FROM (VALUES ('a', 0, 'a_000000', 's1', 1.5, 2.0, 'hi', NULL), ('a', 2, 'own', NULL, NULL, NULL, 'there', 'en'), ('c', 0, 'c_000000', NULL, NULL, NULL, 'one', NULL), ('c', 1, 'c_000001', NULL, NULL, NULL, 'two', NULL), ('d', 0, 'd_000000', NULL, NULL, NULL, 'first', NULL))
+    t(doc, ord, segment_id, speaker, start, "end", text, lang)""")
+def source_segments(spark, sf_dir):
+    """Documents of several shapes, most of them not quite JSON; places count before anything is dropped."""
+    found = R.segments_of(_documents(spark))
+    return found.where("doc <> 'b'").select("doc", F.col("ord").cast("int").alias("ord"), "segment_id", "speaker", "start", "end", "text", "lang")
+
+
+@query("""SELECT * FROM (VALUES ('a', '{"sample_rate":8000}', 2, 'en,fr'), ('d', NULL, NULL, NULL)) t(name, meta, num_speakers, languages)""")
+def source_document_info(spark, sf_dir):
+    found = R.carried(_documents(spark)).where("name IN ('a', 'd')")
+    return found.select("name", "meta", F.col("num_speakers").cast("int").alias("num_speakers"), F.array_join("languages", ",").alias("languages"))
+
+
+@query("SELECT vec_id, CAST(ceil((len(embedding) + 5) / 16.0) AS BIGINT) AS n, CAST(CAST(ceil((len(embedding) + 5) / 16.0) AS BIGINT) * 16 AS BIGINT) AS samples, CAST(0 AS DOUBLE) AS first FROM embeddings")
+def sample_blocks(spark, sf_dir):
+    """Blocks of 16 samples with three zeros before and two behind."""
+    made = R.blocks(F.transform("embedding", lambda x: x.cast("double")), 16, 3, 2)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", made.alias("b"))
+    return rows.select("vec_id", F.size("b").cast("long").alias("n"), F.size(F.flatten("b")).cast("long").alias("samples"), F.col("b")[0][0].alias("first"))

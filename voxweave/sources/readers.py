@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.automata import tolerant_json_udf
+from ..functions.automata import is_json_udf, tolerant_json_udf
 from .shared import kept, numbered
 
 AUDIO = (".wav", ".mp3", ".flac", ".m4a")
@@ -22,9 +22,10 @@ def audio_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
 
 
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """name and value (JSON text) of every .json and .jsonl file; what Spark can't parse goes through the tolerant decoder."""
+    """name and value (JSON text) of every .json and .jsonl file. All go through the tolerant decoder: Spark's own parser
+    takes a text whose first value is followed by others."""
     whole = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json*").select(X.stem(F.col("_metadata.file_path")).alias("name"), "value")
-    return whole.select("name", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(tolerant_json_udf("value")).alias("value"))
+    return whole.select("name", tolerant_json_udf("value").alias("value"))
 
 
 def segments_of(documents: DataFrame) -> DataFrame:
@@ -38,6 +39,12 @@ def segments_of(documents: DataFrame) -> DataFrame:
     return rows.select(F.col("name").alias("doc"), "ord", own.alias("segment_id"), "speaker", X.to_float(F.col("start")).alias("start"), X.to_float(F.col("end")).alias("end"), text.alias("text"), lang.alias("lang"))
 
 
+def carried(documents: DataFrame) -> DataFrame:
+    """name, and of each document its meta (JSON text), num_speakers and languages, null where it has none."""
+    at = lambda path: F.get_json_object("value", path)
+    return documents.select("name", at("$.meta").alias("meta"), at("$.num_speakers").try_cast("long").alias("num_speakers"), F.from_json(at("$.languages"), "array<string>").alias("languages"))
+
+
 def tsv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
     """A headered table of strings; a missing required column is an error before anything runs."""
     rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
@@ -117,7 +124,7 @@ def filled(rows: DataFrame) -> DataFrame:
 
 def good_json_lines(spark: SparkSession, path: str, schema: str, skip: int = 0) -> DataFrame:
     """Rows of well-formed lines; the first `skip` good ones, in the order of files and lines, are left out."""
-    rows = file_lines(spark.read.text(path)).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    rows = file_lines(spark.read.text(path)).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull()).where(is_json_udf("value"))  # the first test is cheap, but takes what follows a value
     if skip:
         rows = numbered(rows, ["_file", "_block", "_line"], name="_place").where(F.col("_place") > skip)
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
@@ -142,10 +149,16 @@ def pcm(samples: Column, bits: int) -> Column:
     return F.transform(samples, lambda s: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s.cast("double") / top)))
 
 
-def blocks(samples: Column, size: int) -> Column:
-    """Fixed blocks of samples, the last padded with zeros."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(samples) - 1), F.lit(size))
-    return F.transform(starts, lambda s: F.concat(F.slice(samples, s + 1, size), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), size - (F.size(samples) - s)))))
+def blocks(samples: Column, size: int, before: int = 0, behind: int = 0) -> Column:
+    """Fixed blocks of samples, with so many zeros before and behind; the last block is filled with zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    padded = F.concat(zeros(F.lit(before)), samples, zeros(F.lit(behind))) if before or behind else samples
+
+    def cut(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - 1), F.lit(size))
+        return F.transform(starts, lambda s: F.concat(F.slice(x, s + 1, size), zeros(F.greatest(F.lit(0), size - (F.size(x) - s)))))
+
+    return F.flatten(F.transform(F.array(padded), cut))
 
 
 RECORD = T.StructType([T.StructField("index", T.StringType()), T.StructField("source_name", T.StringType()), T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("loss_mask", T.LongType())]))), T.StructField("meta", T.StringType())])
