@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts
 
 LEADING, PARTS, LEFT_OUT, LEAST_DOCS = 3, 5, 2, 8
-SHINGLE, ORDERS, TEXTS = 4, 3, 8
+SHINGLE, ORDERS, TEXTS = 4, 3, 4
 _B = int(odd_numbers(1, 23)[0])
 _ORDERS = odd_numbers(ORDERS, 41)
 _SHINGLE = odd_numbers(SHINGLE, 57)
