@@ -52,9 +52,9 @@ def labelled_turns(turns: DataFrame, doc: str, ord: str, role: str, tokens: Colu
     """Per document ids and labels of all turns in order, the last `most` kept; only the assistant's tokens are labels."""
     part = F.struct(F.col(ord).alias("o"), tokens.alias("ids"), F.when(F.col(role) == "assistant", tokens).otherwise(F.transform(tokens, lambda _: F.lit(IGNORED).cast("long"))).alias("labels"))
     joined = turns.groupBy(doc).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    flat = {"ids": F.flatten(F.transform("parts", lambda p: p["ids"])), "labels": F.flatten(F.transform("parts", lambda p: p["labels"]))}
-    tail = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - most + 1), most)
-    return joined.select(doc, tail(flat["ids"]).alias("input_ids"), tail(flat["labels"]).alias("labels"))
+    flat = joined.select(doc, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("_ids"), F.flatten(F.transform("parts", lambda p: p["labels"])).alias("_labels"))
+    tail = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - most + 1), F.lit(most))
+    return flat.select(doc, tail("_ids").alias("input_ids"), tail("_labels").alias("labels"))
 
 
 def classification(ids: Column, label: Column, most: int) -> tuple[Column, Column]:

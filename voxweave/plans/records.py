@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as T
 from ..functions import text as X
 from ..functions.scoring import scored
+from ..functions.tokenizing import ByteEncoder, encoded
 from ..operators import joins as J
 from ..operators import samples as P
 from ..sources.shared import numbered
@@ -231,3 +232,21 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_point(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select("c_custkey", F.round(F.abs("c_acctbal")).alias("v"))
     return J.nearest(rows, "v", _grid(spark, sf_dir), "p").select("c_custkey", "nearest")
+
+
+@query("""WITH t AS (SELECT doc_id, octet_length(encode(text)) + 1 AS n FROM documents), p AS (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 512.0) AS BIGINT))) AS chunk FROM t)
+    SELECT doc_id, chunk, CAST(least(512, n - chunk * 512) AS BIGINT) AS n FROM p""")
+def encoded_chunks(spark, sf_dir):
+    """Texts through an encoder (here the bytes of UTF-8), an end id, pieces of at most 512."""
+    rows = encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", ByteEncoder)
+    return P.token_chunks(rows, F.col("ids"), 512, 0).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("input_ids").cast("long").alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, octet_length(encode('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS n FROM conversations),
+    e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC) - n AS behind FROM t)
+    SELECT conv_id, CAST(least(200, sum(n)) AS BIGINT) AS n, CAST(coalesce(sum(greatest(0, least(n, 200 - behind))) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS labels FROM e GROUP BY conv_id""")
+def encoded_chat(spark, sf_dir):
+    """Turns in a chat template through an encoder, the last 200 ids of each conversation; the assistant's are labels."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", P.TEMPLATES["chatml"](F.col("role"), F.col("text")).alias("text"))
+    made = P.labelled_turns(encoded(turns, "text", ByteEncoder), "conv_id", "turn", "role", F.col("ids"), 200)
+    return made.select("conv_id", F.size("input_ids").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x != P.IGNORED)).cast("long").alias("labels"))
