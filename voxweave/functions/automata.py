@@ -203,6 +203,7 @@ def is_json(text: str | None) -> bool:
 
 
 is_json_udf = _on_each(is_json, "boolean")
+split_point_udf = _on_each(lambda loud: split_point(list(loud)), "long")
 repair_json_udf = _on_each(repair_json, "string")
 tolerant_json_udf = _on_each(tolerant_json, "string")
 
@@ -234,9 +235,9 @@ def cut_indices_udf(raw, size):
     return run(raw, size)
 
 
-def active_spans_udf(samples, frame: int, hop: int, join: int = 0, least: int = 0):
+def active_spans_udf(samples, frame: int, hop: int, join: int = 0, least: int = 0, below_max: float = 40.0):
     @F.pandas_udf("array<struct<start:long,end:long>>")
     def run(samples: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in active_spans(np.asarray(x, np.float64), frame, hop, join=join, least=least)] for x in samples])
+        return pd.Series([[{"start": a, "end": b} for a, b in active_spans(np.asarray(x, np.float64), frame, hop, below_max, join=join, least=least)] for x in samples])
 
     return run(samples)

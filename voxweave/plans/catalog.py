@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -194,9 +195,16 @@ def rms_dbfs(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(20 * F.log10(F.greatest(rms, F.lit(1e-12))), 4).alias("dbfs"), F.round(F.array_max(F.transform(v, lambda x: F.abs(x))), 6).alias("peak"))
 
 
-@query()
+HALF = 20 * math.log10(2)  # dB below the loudest frame
+
+
+@query("""WITH e AS (SELECT vec_id, embedding AS v, len(embedding) AS n, unnest(range(0, (len(embedding) - 8) // 4 + 1)) AS f FROM embeddings),
+    r AS (SELECT vec_id, n, f, sqrt(list_sum(list_transform(v[f * 4 + 1:f * 4 + 8], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / 8) AS rms FROM e), m AS (SELECT *, max(rms) OVER (PARTITION BY vec_id) AS top FROM r),
+    l AS (SELECT vec_id, n, f, lag(f) OVER (PARTITION BY vec_id ORDER BY f) AS p FROM m WHERE rms > greatest(top * 0.5, pow(10, -2.25))),
+    g AS (SELECT *, sum(CASE WHEN p IS NULL OR (f > p + 1 AND f * 4 - least(n, p * 4 + 8) > 1) THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY f) AS island FROM l)
+    SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY island) - 1 AS place, min(f) * 4 AS start, least(n, max(f) * 4 + 8) AS "end" FROM g GROUP BY vec_id, n, island""")
 def vad_segments(spark, sf_dir):
-    spans = active_spans_udf(F.transform("embedding", lambda x: x.cast("double")), 8, 4, 4, 4)
+    spans = active_spans_udf(F.transform("embedding", lambda x: x.cast("double")), 8, 4, 1, 4, HALF)
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(spans).alias("place", "span")).select("vec_id", F.col("place").cast("long"), "span.*")
 
 

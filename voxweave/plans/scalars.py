@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conversations as C
 from ..functions import text as X
-from ..functions.automata import split_long_udtf
+from ..functions.automata import split_long_udtf, split_point_udf
 from ..operators import joins as J
 from .catalog import query, read
 
@@ -95,3 +95,12 @@ def long_audio_pieces(spark, sf_dir):
     spark.udtf.register("split_long", split_long_udtf())
     rows.createOrReplaceTempView("vw_long_audio")
     return spark.sql("SELECT p_partkey, s.place, s.start, s.end FROM vw_long_audio, LATERAL split_long(0D, stop, CAST(ARRAY() AS ARRAY<BOOLEAN>), 0.01D) s")
+
+
+@query("""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0.1) AS loud, len(embedding) AS n FROM embeddings), f AS (SELECT vec_id, loud, n, unnest(range(0, n)) AS i FROM t),
+    k AS (SELECT vec_id, i, least(9, i - 1 - coalesce(list_max(list_filter(range(0, i), lambda j: loud[j + 1])), -1)) + least(10, coalesce(list_min(list_filter(range(i, n), lambda j: loud[j + 1])), n) - i) AS quiet FROM f)
+    SELECT vec_id, CASE WHEN max(quiet) > 0 THEN arg_max(i, quiet * 1000 - i) END AS at FROM k GROUP BY vec_id""")
+def quiet_point(spark, sf_dir):
+    """The frame with most silent frames right around it, the first of equals."""
+    loud = F.transform("embedding", lambda x: x > 0.1)
+    return read(spark, sf_dir, "embeddings").select("vec_id", split_point_udf(loud).alias("at"))
