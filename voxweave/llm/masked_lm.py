@@ -44,7 +44,7 @@ BATCH, RATE, SLOWER = 4096, 0.01, 400
 PRIOR = 32.0
 #: Bytes of text in a chunk, and for each range of hashes.
 CHUNK, RANGE = 4 << 20, 8 << 20
-KEY_BITS = 20
+KEY_BITS = 18
 #: Weights of tasks are averaged in groups, then again.
 GROUPS = (256, 8)
 _LETTER, _DIGIT = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.digits))
@@ -180,11 +180,10 @@ class WindowNetwork:
 
 
 def pack_keys(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys of a range that begins at base, as gaps: their number, the bytes of each (as many as nearly all need; all
-    ones if it needs more), and those of the others in 64 bits."""
+    """Sorted keys of a range that begins at base, as gaps: their number, the bytes of each (all ones if it needs more), and
+    the others in 64 bits; as many bytes as make it shortest."""
     gaps = np.diff(keys, prepend=U64(base))
-    most = int(np.partition(gaps, len(gaps) * 49 // 50)[len(gaps) * 49 // 50])
-    width = min(8, max(1, (most.bit_length() + 7) // 8))
+    width = min(range(1, 9), key=lambda w: len(gaps) * w + 8 * np.count_nonzero(gaps >= U64((1 << 8 * w) - 1)))
     full = U64((1 << 8 * width) - 1)
     small = np.minimum(gaps, full).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return len(keys).to_bytes(8, "little") + bytes([width]) + small.tobytes() + gaps[gaps >= full].astype("<u8").tobytes()
