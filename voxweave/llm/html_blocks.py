@@ -454,6 +454,8 @@ _WEIGHTS: list[dict[str, np.ndarray]] = []
 
 def labeller(spark: SparkSession) -> Labeller:
     """trained(), by a task of its own the first time; its weights are a fixed few hundred KB."""
+    if not _WEIGHTS and trained.cache_info().currsize:
+        _WEIGHTS.append(trained().p)
     if not _WEIGHTS:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
