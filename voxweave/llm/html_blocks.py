@@ -418,6 +418,7 @@ def made_pages(n: int, seed: int = 17) -> list[tuple[str, list[int]]]:
     return pages
 
 
+@functools.cache
 def trained(pages: int = 2400, epochs: int = 10) -> Labeller:
     """The labeller, trained on made-up pages with Adam; deterministic."""
     model, data = Labeller(), []
