@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, quality_trees, substring_dedup
+from . import hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, periodic_runs, quality_trees, string_kernel, substring_dedup
 from .common import Scratch, small_batches
 
 
@@ -70,7 +70,33 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_vw_held_out").alias("held_out"), F.col("_vw_score").alias("score"), F.col("_vw_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_hamming_top_k, op3_ogg_media, op4_masked_lm, op5_html_text, op6_line_templates, op7_mixture_packing, op8_lexicon_bpe, op9_ngram_join, op10_quality_trees)}
+def op12_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    out = string_kernel.predict(docs.select("doc_id", "text"), string_kernel.train(docs))
+    return out.select("doc_id", F.col("_vw_held_out").alias("held_out"), F.col("_vw_lang").alias("lang_pred"), F.col("_vw_lang_score").alias("score"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; texts whose id's checksum is a multiple of 10 go round a period from some word on before."""
+    small_batches(spark)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (h % 10 == 0).alias("round"), F.floor(h / 10).cast("long").alias("g"))
+    docs = docs.withColumn("w", F.when(F.col("round"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    docs = docs.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    turned = F.expr("array_join(transform(sequence(0L, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, turned).otherwise(F.col("text")).alias("text"))
+    runs, best = F.col("_vw_runs"), F.col("best")
+    out = periodic_runs.collapse_runs(docs).withColumn("best", F.array_max(F.transform("_vw_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))))
+    listed = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return out.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), (-best["start"]).alias("start"), best["length"].alias("length"), (-best["period"]).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_hamming_top_k, op3_ogg_media, op4_masked_lm, op5_html_text, op6_line_templates, op7_mixture_packing, op8_lexicon_bpe, op9_ngram_join, op10_quality_trees, op12_string_kernel, op13_periodic_runs)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
