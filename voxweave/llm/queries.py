@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, periodic_runs, quality_trees, string_kernel, substring_dedup
+from . import closed_itemsets, hamming_search, html_blocks, lexicon_bpe, line_templates, masked_lm, mixture_packing, ngram_join, ogg_media, periodic_runs, quality_trees, string_kernel, substring_dedup
 from .common import Scratch, small_batches
 
 
@@ -70,6 +70,16 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_vw_held_out").alias("held_out"), F.col("_vw_score").alias("score"), F.col("_vw_predicted").alias("predicted"))
 
 
+def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = closed_itemsets.closed_itemsets(table(spark, sf_dir, "sale_lines"), Scratch(spark), "sale_id", "item_id")
+    listed = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["item"].cast("string"), r["without"].cast("string"), r["alone"].cast("string"))), ";")
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["without"], r["item"])))
+    return out.select(
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.size("items").cast("long").alias("n_items"), "support", F.size("rules").cast("long").alias("n_rules"),
+        best["item"].alias("best_item"), F.sha2(listed.cast("binary"), 256).alias("rules_sha256"),
+    )
+
+
 def op12_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -96,7 +106,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_hamming_top_k, op3_ogg_media, op4_masked_lm, op5_html_text, op6_line_templates, op7_mixture_packing, op8_lexicon_bpe, op9_ngram_join, op10_quality_trees, op12_string_kernel, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_hamming_top_k, op3_ogg_media, op4_masked_lm, op5_html_text, op6_line_templates, op7_mixture_packing, op8_lexicon_bpe, op9_ngram_join, op10_quality_trees, op11_closed_itemsets, op12_string_kernel, op13_periodic_runs)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -122,4 +132,16 @@ ORACLES = {
         l AS (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * c.common >= 85 * (x.n_shingles + y.n_shingles - c.common)),
         g(a, b) AS (SELECT a, b FROM l UNION SELECT g.a, l.b FROM g JOIN l ON g.b = l.a)
         SELECT n.doc_id, n.n_shingles, least(n.doc_id, coalesce(min(g.b), n.doc_id)) AS component_id FROM n LEFT JOIN g ON n.doc_id = g.a GROUP BY n.doc_id, n.n_shingles""",
+    "op11_closed_itemsets": """
+        WITH RECURSIVE x AS (SELECT DISTINCT sale_id AS b, item_id AS i FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+        t AS (SELECT count(DISTINCT b) AS baskets FROM x),
+        l(items, last, b) AS (SELECT [i], i, b FROM (SELECT *, count(*) OVER (PARTITION BY i) AS n FROM x), t WHERE n >= 5 AND n * 20000 >= baskets
+            UNION ALL SELECT items, last, b FROM (SELECT list_append(l.items, x.i) AS items, x.i AS last, l.b, count(*) OVER (PARTITION BY list_append(l.items, x.i)) AS n FROM l JOIN x ON l.b = x.b AND x.i > l.last), t WHERE n >= 5 AND n * 20000 >= baskets),
+        f AS (SELECT items, count(*) AS support FROM l GROUP BY items),
+        u AS (SELECT items, support, c, list_filter(items, lambda v: v <> c) AS rest FROM (SELECT items, support, unnest(items) AS c FROM f)),
+        p AS (SELECT rest AS items, max(support) AS larger FROM u GROUP BY rest),
+        r AS (SELECT u.items, u.c, a.support AS a, s.support AS s FROM u JOIN f a ON u.rest = a.items JOIN f s ON s.items = [u.c], t WHERE len(u.items) > 1 AND 100 * u.support >= 60 * a.support AND u.support * baskets > a.support * s.support),
+        g AS (SELECT items, count(*) AS n_rules, (array_agg(c ORDER BY a, c))[1] AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS rules FROM r GROUP BY items)
+        SELECT array_to_string(f.items, ',') AS items, CAST(len(f.items) AS BIGINT) AS n_items, f.support, coalesce(g.n_rules, 0) AS n_rules, g.best_item, sha256(coalesce(g.rules, '')) AS rules_sha256
+        FROM f LEFT JOIN p ON f.items = p.items LEFT JOIN g ON f.items = g.items WHERE p.larger IS NULL OR p.larger < f.support""",
 }
