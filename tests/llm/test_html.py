@@ -1,5 +1,7 @@
 """Extraction on pages written by hand, and no text lost between a page and its blocks."""
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,9 +29,20 @@ PAGES = [
     (f"<body>{NAV}<article><h1>The harbour</h1>{P[0]}<dl><dt>Length</dt><dd>{TEXT[1]}</dd></dl><ul><li>{TEXT[2]}<li>{TEXT[3]}</ul></article>{FOOT}", ["The harbour", TEXT[0], "Length", *TEXT[1:4]]),
     (f'<body><div class="cookie-banner"><p>We use cookies to improve our site. Accept all cookies?</p></div>{NAV}<article>{"".join(P[:4])}</article><div id="comments"><h3>Comments</h3><p>Nice article, thanks for sharing it with us!</p></div>{FOOT}', TEXT[:4]),
     (f"<body>{NAV}<article>{''.join(P * 12)}</article><aside><h4>Related articles</h4><ul><li><a href=a>Ten walks</a><li><a href=b>A day out</a></ul></aside><form><label>Email</label><input><button>Subscribe</button></form>{FOOT}", TEXT * 12),
+    (f"<html><body>{NAV}<article>{'<br><br>'.join(TEXT)}</article>{FOOT}", [" ".join(TEXT)]),
+    (f"<html><body>{NAV}<article><h1>The harbour</h1>{'<br>'.join(TEXT[:3])}<h3>Later</h3>{'<br>'.join(TEXT[3:])}</article>{FOOT}", ["The harbour", " ".join(TEXT[:3]), "Later", " ".join(TEXT[3:])]),
+    (f'<html><body>{NAV}<div class="post-content">{"<br><br>".join(TEXT)}</div>{FOOT}', [" ".join(TEXT)]),
+    (f'<html><body>{NAV}<article><h1>The harbour</h1>{P[0]}<p><a href="/w">{TEXT[1]}</a></p>{P[2]}{P[3]}</article>{FOOT}', ["The harbour", *TEXT[:4]]),
 ]
 
 
+def test_every_page_keeps_its_long_texts():
+    model = html_blocks.trained()
+    for page, want in PAGES:
+        got = html_blocks.main_texts(model, [page])[0]
+        assert all(x in got for x in want if len(x) > 60), page
+
+
 def test_pages_written_by_hand():
     model, wrong, total = html_blocks.trained(), [], 0
     for k, (page, want) in enumerate(PAGES):
@@ -81,5 +94,75 @@ def test_vectors_hold_every_word():
     assert html_blocks.vectors([]).shape == (0, html_blocks.INPUTS)
 
 
+def plain_hidden(model, x, d):
+    """One direction of the network, one number at a time."""
+    w, u, b, n = model.p[f"w{d}"], model.p[f"u{d}"], model.p[f"c{d}"], html_blocks.HIDDEN
+    h, c, out = [0.0] * n, [0.0] * n, {}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        a = [float(b[k]) + sum(float(x[t][i]) * float(w[i][k]) for i in np.flatnonzero(x[t])) + sum(h[i] * float(u[i][k]) for i in range(n)) for k in range(4 * n)]
+        c = [sigmoid(a[k]) * c[k] + sigmoid(a[n + k]) * np.tanh(a[3 * n + k]) for k in range(n)]
+        h = [sigmoid(a[2 * n + k]) * np.tanh(c[k]) for k in range(n)]
+        out[t] = h
+    return [out[t] for t in range(len(x))]
+
+
+def test_network_is_that_of_plain_loops_in_slices_too():
+    model = html_blocks.Labeller(8)
+    blocks = html_blocks.blocks_of(PAGES[7][0])[:9]
+    x = html_blocks.vectors(blocks)
+    both = [f + b for f, b in zip(plain_hidden(model, x, "f"), plain_hidden(model, x, "b"), strict=True)]
+    want = [1 / (1 + np.exp(-(sum(h * float(o) for h, o in zip(r, model.p["o"], strict=True)) + float(model.p["z"][0])))) for r in both]
+    padded, mask = html_blocks.padded([x, x[:4]])
+    assert np.allclose(model.scores(padded, mask)[:, 0], want, atol=1e-4)
+    for step in (1, 2, 4, 9, 20):
+        assert np.allclose(model.long_scores(blocks, step), want, atol=1e-4)
+
+
+def test_gradients_are_differences():
+    model = html_blocks.Labeller(4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    pages = [html_blocks.vectors(html_blocks.blocks_of(p))[:6] for p, _ in PAGES[:2]]
+    x, mask = html_blocks.padded([pages[0], pages[1][:3]])
+    x = x.astype(np.float64)
+    y = (np.arange(x.shape[0])[:, None] + np.arange(2) % 2 > 2).astype(np.float64)
+    _, grads = model.step(x, mask, y)
+    r = np.random.default_rng(0)
+    for name, p in model.p.items():
+        at = np.argsort(-np.abs(grads[name]).reshape(-1))[:2].tolist() + r.integers(0, p.size, 2).tolist()
+        for k in at:
+            flat, old = p.reshape(-1), p.reshape(-1)[k]
+            loss = []
+            for e in (1e-4, -1e-4):
+                flat[k] = old + e
+                loss.append(model.step(x, mask, y)[0])
+            flat[k] = old
+            assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(float(grads[name].reshape(-1)[k]), abs=2e-5, rel=2e-2), name
+
+
+def test_very_many_blocks():
+    """Such a page is read in slices of time; what stands in its middle is as it is on a shorter one."""
+    page = f"<body>{NAV}<article>{''.join(P * 5000)}</article>{FOOT}"
+    got = html_blocks.main_texts(html_blocks.trained(), [page, f"<body>{NAV}<article>{P[0]}{P[1]}</article>"])
+    assert got[0] == "\n\n".join(TEXT * 5000) and TEXT[1] in got[1]
+
+
+def test_query_in_a_fresh_driver(spark):
+    from voxweave.llm import queries
+
+    html_blocks._WEIGHTS.clear()
+    html_blocks.trained.cache_clear()
+    got = queries.op5_html_text(spark, "/root/testdata/sf0.001").collect()
+    pages = {r["page_id"]: r for r in queries.table(spark, "/root/testdata/sf0.001", "pages").collect()}
+    assert {r["page_id"] for r in got} == set(pages) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sum(bool(r["text"]) for r in got) > 0.9 * len(got)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", PAGES[0][0], 5, "x"), (None, None, None, None, None)]
+    got = html_blocks.extract(spark.createDataFrame(rows, "page_id int, url string, html string, text int, n_chars string")).collect()
+    assert sorted((r["page_id"] is None, r["text"]) for r in got) == [(False, "\n\n".join(PAGES[0][1])), (True, "")]
+
+
 def test_empty_table(spark):
     assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0

@@ -48,6 +48,8 @@ WORDS = re.compile(r"[A-Za-z][a-z]*")
 
 PATH, TEXT, NUMBERS, HIDDEN = 160, 256, 8, 20
 INPUTS = PATH + TEXT + NUMBERS
+#: Blocks of one slice of time, for pages of more blocks.
+STEP = 10_000
 
 
 @functools.lru_cache(1 << 16)
@@ -160,8 +162,9 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     return out
 
 
-def vectors(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
-    """All words of every block are hashed, a-z as A-Z; together they have length 1 in a block."""
+def vectors(blocks: list[tuple[tuple, str, float]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Of blocks start to stop of a page. All words of every block are hashed, a-z as A-Z; together they have length 1 in a block."""
+    end, blocks = len(blocks), blocks[start:stop]
     x = np.zeros((len(blocks), INPUTS), np.float32)
     if not blocks:
         return x
@@ -176,7 +179,7 @@ def vectors(blocks: list[tuple[tuple, str, float]]) -> np.ndarray:
     for i, (path, text, links) in enumerate(blocks):
         x[i, :PATH] = _path_vector(path)
         n = len(text)
-        x[i, PATH + TEXT :] = (np.log1p(n) / 6, np.log1p(count[i]) / 4, links, n < 40, text[-1] in ".!?\"'", len(path) / 8, i == 0, i == len(blocks) - 1)
+        x[i, PATH + TEXT :] = (np.log1p(n) / 6, np.log1p(count[i]) / 4, links, n < 40, text[-1] in ".!?\"'", len(path) / 8, start + i == 0, start + i == end - 1)
     x[:, :PATH] = np.clip(x[:, :PATH], -1, 1)
     return x
 
@@ -196,12 +199,14 @@ class Labeller:
         self.p |= {"o": r.normal(0, 0.2, 2 * HIDDEN), "z": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """x: (time, page, input). States of padded places stay as they were."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: list | None = None) -> np.ndarray:
+        """x: (time, page, input). States of padded places stay as they were. state: where the direction begins, and then where it ended."""
         w, u, c0 = self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"c{d}"]
         gates_x = x.reshape(-1, INPUTS) @ w + c0
         gates_x = gates_x.reshape(x.shape[0], x.shape[1], -1)
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        if state:
+            h, c = state
         out = np.zeros((x.shape[0], x.shape[1], HIDDEN), np.float32)
         for t in range(x.shape[0]) if d == "f" else range(x.shape[0] - 1, -1, -1):
             a = gates_x[t] + h @ u
@@ -214,6 +219,24 @@ class Labeller:
                 keep.append((t, h, c, f, i, o, g, tc, on))
             h, c = np.where(on, o * tc, h), np.where(on, c_new, c)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
+        return out
+
+    def long_scores(self, blocks: list[tuple[tuple, str, float]], step: int = 0) -> np.ndarray:
+        """Scores of one page of any length, in slices of time with carried states: of each block only HIDDEN numbers are kept."""
+        step = step or STEP
+        behind, out = np.zeros((len(blocks), HIDDEN), np.float32), np.zeros(len(blocks))
+        cut = range(0, len(blocks), step)
+        for d, order in (("b", reversed(cut)), ("f", cut)):
+            state: list = []
+            for at in order:
+                x = vectors(blocks, at, at + step)[:, None]
+                h = self._run(x, np.ones(x.shape[:2], bool), d, None, state)[:, 0]
+                if d == "b":
+                    behind[at : at + step] = h
+                else:
+                    out[at : at + step] = _sigmoid(np.concatenate([h, behind[at : at + step]], 1) @ self.p["o"] + self.p["z"])
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -361,10 +384,24 @@ def made_pages(n: int, seed: int = 17) -> list[tuple[str, list[int]]]:
         inner = f'<div class="{opaque()}">' if tag and r.random() < 0.15 else ""
         out.append(inner)
         telling = tag in ("article", "main") or "=" in opening
+        bare = r.random()
+        if tag and bare < 0.2:  # text right in the element, parted by line breaks only, or by other elements now and then
+            for _ in range(pick([1, 1, 1, 2, 4])):
+                out.append(pick(["<br><br>", "<br>"]).join(words(6, pick([12, 40, 120])) for _ in range(int(r.integers(1, 9)))))
+                labels.append(1)
+                out.append(pick([f"<h3>{words(1, 6)}</h3>", f"<blockquote>{words(4, 30)}</blockquote>", f"<p>{words(4, 60)}</p>"]))
+                labels.append(1)
+            if bare < 0.14:
+                out.pop()
+                labels.pop()
+            return "".join(out) + ("</div>" if inner else "") + f"</{tag}>"
+        linked = 0.3 if telling and r.random() < 0.2 else 0.0
         for _ in range(int(r.integers(1 if telling else 3, pick([6, 14, 14, 70, 120])))):
             t, kind = words(1 if telling else 8, pick([2, 12, 40, 120]) if telling else pick([40, 120])), r.random()
             labels.append(1)
-            if kind < 0.56:
+            if r.random() < linked:
+                out.append(f'<p><a href="/{word()}">{t}</a>{pick(["</p>", "</p>", ""])}')
+            elif kind < 0.56:
                 out.append(f"<p>{t}{pick(['</p>', '</p>', '</p>', ''])}")
             elif kind < 0.65:
                 out.append(f"<p><b>{t}<br>")
@@ -475,7 +512,11 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
     """The main text of each page; pages of about the same number of blocks run through the network together."""
     blocks = [blocks_of(p) for p in pages]
     out = [""] * len(pages)
+    join = lambda i, s: "\n\n".join(text for (_, text, _), v in zip(blocks[i], s, strict=False) if v >= 0.5)
     order = sorted((i for i in range(len(pages)) if blocks[i]), key=lambda i: len(blocks[i]))
+    while order and len(blocks[order[-1]]) > STEP:
+        i = order.pop()
+        out[i] = join(i, model.long_scores(blocks[i]))
     at = 0
     while at < len(order):
         width = max(1, min(128, 20_000 // len(blocks[order[min(at + 127, len(order) - 1)]])))
@@ -483,7 +524,7 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
         x, mask = padded([vectors(blocks[i]) for i in part])
         s = model.scores(x, mask)
         for k, i in enumerate(part):
-            out[i] = "\n\n".join(text for (_, text, _), v in zip(blocks[i], s[:, k], strict=False) if v >= 0.5)
+            out[i] = join(i, s[:, k])
         at += width
     return out
 
