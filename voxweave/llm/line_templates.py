@@ -7,12 +7,16 @@ parts (fewer where there are fewer places), and a template fixes all of them but
 or three parts, none of a single one). So a line belongs to the templates of its leaf that it has all fixed tokens of, and to
 the one that fixes everything.
 
-A template is a candidate if at least `least_docs` lines of different documents belong to it. It recurs if those documents
-are different apart from what recurs: a document is named by its own lines, that is, lines that belong to no candidate and
-aren't near a line that does (with an equal smallest hash of their SHINGLE-word shingles, in one of ORDERS orders). There must be
-`least_docs` names at least, and one for every TEXTS different texts. So boilerplate goes, whatever part of a document it is,
-while copies of whole documents, and near copies, whose changed lines are near the others' lines, are left to the near-duplicate
-operators. Lines of recurring templates are dropped from every document, with their line feed.
+A template is a candidate if at least `least_docs` lines belong to it. It recurs if `least_docs` documents hold it of which none is a
+near copy of another, whatever else they hold: lines of their own, other templates, or nothing. So boilerplate and logs go,
+while what only copies of one document share is left to the near-duplicate operators. Near copies are grouped before the count: each
+document has a sketch, the smallest hash of its SHINGLE-word shingles in each of BINS bins; documents with an equal band of the
+sketch are compared with the smallest of them, and linked if ALIKE of their bins agree; groups are what links connect. So documents that boilerplate
+makes near copies of each other are left to those operators, too. Lines of recurring templates are dropped from every document, with
+their line feed.
+
+The tree's depth is fixed, so lines that vary among their leading tokens, or in more than LEFT_OUT parts of the rest, share no template
+and stay.
 
 All of this is counted with partial sums over rows of one line each; no leaf, template or document list is gathered.
 
@@ -32,17 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts
+from .common import U64, HashedWords, Scratch, batch_of, components, mix, need, odd_numbers, slices, text_key, texts
 
 LEADING, PARTS, LEFT_OUT, LEAST_DOCS = 3, 5, 2, 8
-SHINGLE, ORDERS, TEXTS = 4, 3, 4
+#: Words of a shingle; bins of a sketch, bins of one band, and the share of bins that near copies agree in.
+SHINGLE, BINS, BAND, ALIKE = 4, 64, 4, 0.75
 _B = int(odd_numbers(1, 23)[0])
-_ORDERS = odd_numbers(ORDERS, 41)
+_BAND = odd_numbers(BAND, 41)
 _SHINGLE = odd_numbers(SHINGLE, 57)
 _FIELD = U64(xxhash.xxh3_64_intdigest(b"<*>"))
 _DIGITS = b"0123456789"
 _DIGIT = np.isin(np.arange(256), list(_DIGITS))
-_MOST = U64((1 << 64) - 1)
+_EMPTY = np.uint32((1 << 32) - 1)
 
 
 def left_out(parts: int) -> list[tuple[int, ...]]:
@@ -97,19 +102,20 @@ class Lines:
                 has[rows, k] = True
         return out[has], has.sum(1)
 
-    def near(self) -> list[np.ndarray]:
-        """For each order the smallest hash of each line's shingles; lines of fewer words have one, of all of them."""
-        end = np.repeat(self.start + self.n, self.n)
-        s = np.zeros(len(self.h), U64)
-        s[: len(s) - SHINGLE + 1] = sum((self.h[k : len(s) - SHINGLE + 1 + k] * _SHINGLE[k] for k in range(1, SHINGLE)), self.h[: max(0, len(s) - SHINGLE + 1)] * _SHINGLE[0]) if len(s) >= SHINGLE else 0
-        inside = np.arange(len(s)) + SHINGLE <= end
-        return [np.where(self.n < SHINGLE, mix(self.exact ^ o), np.minimum.reduceat(np.where(inside, mix(s ^ o), _MOST), self.start)) for o in _ORDERS]
+    def sketches(self, texts: int) -> np.ndarray:
+        """(text, bin): the smallest hash of the text's shingles that fall into the bin; texts of fewer words have none."""
+        out = np.full((texts, BINS), _EMPTY, np.uint32)
+        text, last = np.repeat(self.text, self.n), len(self.h) - SHINGLE + 1
+        if last > 0:
+            inside = np.flatnonzero(text[:last] == text[SHINGLE - 1 :])
+            v = mix(sum((self.h[inside + k] * _SHINGLE[k] for k in range(1, SHINGLE)), self.h[inside] * _SHINGLE[0]))
+            np.minimum.at(out.reshape(-1), text[inside] * BINS + (v >> U64(58)).astype(np.int64), (v & U64(0xFFFFFFFF)).astype(np.uint32))
+        return out
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row for each different line of a document: (k1, k2, leaf, exact, templates, near0 and on)."""
-    near = [f"near{o}" for o in range(ORDERS)]
-    schema = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "leaf", "exact")), ("templates", pa.list_(pa.int64())), *((c, pa.int64()) for c in near)])
+    """One row for each different line of a document: (k1, k2, leaf, exact, templates, sketch: only in a document's first row)."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "leaf", "exact")), ("templates", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,16 +129,53 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 templates, count = x.templates()
                 templates = templates[np.isin(np.repeat(np.arange(len(x.n)), count), keep)] if len(keep) < len(x.n) else templates
                 listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[keep])).astype(np.int32)), pa.array(templates.view(np.int64)))
-                row = pa.array(x.text[keep] + i)
-                yield batch_of(schema, [k1.take(row), k2.take(row), x.leaf[keep].view(np.int64), x.exact[keep].view(np.int64), listed, *(v[keep].view(np.int64) for v in x.near())])
+                text = x.text[keep]
+                marks, sketches = x.sketches(j - i), [None] * len(keep)
+                for row in np.flatnonzero(np.append(True, text[1:] != text[:-1])).tolist():
+                    sketches[row] = marks[text[row]].tobytes()
+                row = pa.array(text + i)
+                yield batch_of(schema, [k1.take(row), k2.take(row), x.leaf[keep].view(np.int64), x.exact[keep].view(np.int64), listed, sketches])
+
+    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, exact long, templates array<long>, sketch binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
+
+
+def bands_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, band) of (k1, sketch): hashes of BAND neighbouring bins each, unless all of them are empty."""
+    for b in batches:
+        s = _matrix(b.column("sketch")).reshape(len(b), -1, BAND)
+        key = mix((s.astype(U64) * _BAND).sum(2, dtype=U64) + np.arange(s.shape[1], dtype=U64))
+        row, band = np.nonzero((s != _EMPTY).any(2))
+        yield pa.RecordBatch.from_arrays([b.column("k1").take(pa.array(row)), pa.array(key[row, band].view(np.int64))], names=["k1", "band"])
+
+
+def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) of (a, b, one, other) whose sketches agree in ALIKE of the bins that one of them has."""
+    for b in batches:
+        one, other = _matrix(b.column("one")), _matrix(b.column("other"))
+        some = (one != _EMPTY) | (other != _EMPTY)
+        rows = pa.array(np.flatnonzero(((one == other) & some).sum(1) >= ALIKE * np.maximum(1, some.sum(1))))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows)], names=["a", "b"])
+
 
-    return docs.mapInArrow(run, ", ".join(["k1 long, k2 long, leaf long, exact long, templates array<long>", *(f"{c} long" for c in near)]))
+def near_groups(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of every document (k1) that is linked to another one; sketches: (k1, sketch). A document is compared with one
+    of each of its bands, so work is in proportion to the documents, whatever the size of a group."""
+    bands = scratch.keep(sketches.mapInArrow(bands_of, "k1 long, band long"), "bands")
+    first = bands.groupBy("band").agg(F.min("k1").alias("a"), F.max("k1").alias("last")).where("a <> last").select("band", "a")
+    links = scratch.keep(bands.join(first, "band").where("a <> k1").select("a", F.col("k1").alias("b")).distinct(), "links")
+    both = links.join(sketches.select(F.col("k1").alias("b"), F.col("sketch").alias("other")), "b").join(sketches.select(F.col("k1").alias("a"), F.col("sketch").alias("one")), "a")
+    edges = scratch.keep(both.select("a", "b", "one", "other").mapInArrow(alike, "a long, b long"), "alike")
+    scratch.drop("bands", "links")
+    return components(edges, scratch, "near")
 
 
 def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(k1, k2: a text's key, exact: array of the exact hashes of lines to drop) of each text that has some."""
     k1, k2 = text_key(F.col("text"))
-    near = [f"near{o}" for o in range(ORDERS)]
     lines = scratch.keep(lines_of(need(docs, "text").select(k1.alias("k1"), k2.alias("k2"), "text")), "lines")
     # The least count first: a leaf of few lines can't have candidates. Joins of two written tables can split hot keys.
     leaves = scratch.keep(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs).select("leaf"), "leaves")
@@ -140,18 +183,13 @@ def recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -
     common = scratch.keep(filed.groupBy("t").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least_docs).select("t"), "common")
     held = scratch.keep(filed.join(common, "t").distinct(), "held")  # copies of a text are one from here on
     scratch.drop("filed", "leaves")
-    candidates = held.select("k1", "k2", "exact").distinct()
-    candidates = scratch.keep(lines.join(candidates.withColumn("candidate", F.lit(True)), ["k1", "k2", "exact"], "left").select("k1", "k2", "exact", "candidate", *near), "candidates")
-    own = candidates.where("candidate is null")
-    for c in near:  # each is one join of lines with the different hashes of candidates, in that order
-        own = own.join(candidates.where("candidate").select(c).distinct(), c, "left_anti")
-    names = own.select("k1", "k2", "exact").distinct().groupBy("k1", "k2").agg(F.bit_xor(F.xxhash64("exact")).alias("name"))
-    names = scratch.keep(held.select("k1", "k2").distinct().join(names, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("name", F.lit(0)).alias("name")), "names")
-    placed = held.select("t", "k1", "k2").distinct().join(names, ["k1", "k2"])
-    kinds = placed.groupBy("t", "name").agg(F.count(F.lit(1)).alias("texts")).groupBy("t").agg(F.count(F.lit(1)).alias("names"), F.sum("texts").alias("texts"))
-    gone = scratch.keep(kinds.where((F.col("names") >= least_docs) & (F.col("names") * TEXTS >= F.col("texts"))).select("t"), "gone")
+    # By half of a text's key: two texts with equal halves count as one, which happens to one pair in 2 ** 64.
+    sketches = lines.where("sketch is not null").groupBy("k1").agg(F.min("sketch").alias("sketch")).join(held.select("k1").distinct(), "k1")
+    groups = near_groups(scratch.keep(sketches, "sketches"), scratch).select(F.col("node").alias("k1"), "root")
+    placed = held.select("t", "k1").distinct().join(groups, "k1", "left").groupBy("t", F.coalesce("root", "k1").alias("name")).agg(F.count(F.lit(1)).alias("texts"))
+    gone = scratch.keep(placed.groupBy("t").agg(F.count(F.lit(1)).alias("names")).where(F.col("names") >= least_docs).select("t"), "gone")
     found = scratch.keep(held.join(gone, "t").groupBy("k1", "k2").agg(F.collect_set("exact").alias("exact")), "drop")
-    scratch.drop("lines", "common", "held", "candidates", "names", "gone")
+    scratch.drop("lines", "common", "held", "sketches", "gone")
     return found
 
 
