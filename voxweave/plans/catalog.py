@@ -638,4 +638,4 @@ def stream_accumulate(spark, sf_dir):
     return found.groupBy("user_id").agg(*(F.max_by(c, "n").alias(c) for c in ("first", "last")), F.max("n").alias("n")).select("user_id", "n", "first", "last")
 
 
-from . import files, media, records, scalars  # noqa: E402, F401  they add their queries
+from . import files, media, records, scalars, streams  # noqa: E402, F401  they add their queries

@@ -15,14 +15,6 @@ from ..sources.shared import folder, write_text
 from .catalog import query, read
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
-def source_json_array(spark, sf_dir):
-    """One array of objects, as a single file."""
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
-    path = write_text(spark, f"{folder(spark, 'array')}/all.json", "[\n" + ",\n".join(json.dumps({"id": r[0], "name": r[1]}) for r in rows) + "\n]")
-    return R.json_array(spark, path, "id long, name string")
-
-
 @query("SELECT segment_id, CASE WHEN segment_id = 'a' THEN 2.5 WHEN segment_id = 'b' THEN NULL ELSE 1.0 END AS score FROM (VALUES ('a'), ('b'), ('c')) t(segment_id)")
 def source_keyed_metrics(spark, sf_dir):
     """The last line of a key wins, by its place in the file."""

@@ -92,11 +92,6 @@ def keyed_metrics(rows: DataFrame, columns: list[str]) -> DataFrame:
     return last.select(F.col("_key").alias("segment_id"), "v.*")
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of files that hold one array each; anything else in the array is an error. One task reads a file."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def wav_files(spark: SparkSession, folder: str) -> DataFrame:
     """name and content of WAV files; wav_samples_udf reads them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
