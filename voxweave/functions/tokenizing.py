@@ -34,6 +34,13 @@ class FileEncoder:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def encoded(rows: DataFrame, column: str, make: Callable[[], Encoder], out: str = "ids", batch: int = 256) -> DataFrame:
     """rows with the ids of a text column; a null text has no ids."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -500,9 +500,11 @@ def step_loop(spark, sf_dir):
     return P.stepped(places, "place", 4, 250).select("place", F.col("step").cast("long"), F.col("micro").cast("long"), "padding_flag")
 
 
-@query("SELECT s AS step, CASE WHEN s <= 50 THEN (2048 - 200) * s // 50 + 200 ELSE 2048 END AS budget FROM range(0, 120) t(s)")
+@query("SELECT event_id AS step, CASE WHEN event_id <= 500 THEN (2048 - 200) * event_id // 500 + 200 ELSE 2048 END AS budget FROM events")
 def warmup_budget(spark, sf_dir):
-    return spark.range(120).select(F.col("id").alias("step"), P.warmed_budget(F.col("id"), 2048, 50, 200).alias("budget"))
+    """A step for each event."""
+    step = F.col("event_id")
+    return read(spark, sf_dir, "events").select(step.alias("step"), P.warmed_budget(step, 2048, 500, 200).alias("budget"))
 
 
 @query("""WITH RECURSIVE g AS (SELECT doc_id // 200 AS step, list({'d': doc_id, 'n': n_chars} ORDER BY n_chars DESC, doc_id) AS items FROM documents GROUP BY 1),
@@ -543,11 +545,12 @@ def bad_tag_predicate(spark, sf_dir):
 
 
 @query("""SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0 ELSE 1 END, 9) AS "constant", round(CASE WHEN s < 100 THEN s / 100.0 ELSE 0.1 + 0.9 * (1 - least(1, (s - 100) / 900.0)) END, 9) AS linear,
-    round(CASE WHEN s < 100 THEN s / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * least(1, (s - 100) / 900.0))) END, 9) AS cosine FROM range(0, 1200) t(s)""")
+    round(CASE WHEN s < 100 THEN s / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * least(1, (s - 100) / 900.0))) END, 9) AS cosine FROM (SELECT event_id AS s FROM events)""")
 def lr_schedules(spark, sf_dir):
-    s = F.col("id")
+    """A step for each event; the schedules end at 1000."""
+    s = F.col("event_id")
     made = {k: X.warmup_schedule(s, 100, 1000, k, 0.0 if k == "constant" else 0.1) for k in ("constant", "linear", "cosine")}
-    return spark.range(1200).select(s.alias("step"), *(F.round(c, 9).alias(k) for k, c in made.items()))
+    return read(spark, sf_dir, "events").select(s.alias("step"), *(F.round(c, 9).alias(k) for k, c in made.items()))
 
 
 @query("SELECT CAST(ceil(sum(n_chars) * 1.05 / (32 * 2048 * 0.9)) AS BIGINT) AS steps FROM documents")
@@ -638,4 +641,4 @@ def stream_accumulate(spark, sf_dir):
     return found.groupBy("user_id").agg(*(F.max_by(c, "n").alias(c) for c in ("first", "last")), F.max("n").alias("n")).select("user_id", "n", "first", "last")
 
 
-from . import files, media, records, scalars, streams  # noqa: E402, F401  they add their queries
+from . import files, media, records, scalars, streams, tokens  # noqa: E402, F401  they add their queries

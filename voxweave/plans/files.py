@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import wave
 
 from pyspark.sql import functions as F
 
@@ -12,22 +10,27 @@ from ..functions.automata import wav_samples_udf
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources.shared import folder, write_text
+from ..sources.wav_sink import WavFiles
 from .catalog import query, read
 
 
-@query("SELECT segment_id, CASE WHEN segment_id = 'a' THEN 2.5 WHEN segment_id = 'b' THEN NULL ELSE 1.0 END AS score FROM (VALUES ('a'), ('b'), ('c')) t(segment_id)")
+@query("""SELECT 'u' || user_id AS segment_id, (array_agg(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END ORDER BY event_id DESC))[1] AS score FROM events WHERE event_id % 11 <> 0 GROUP BY user_id""")
 def source_keyed_metrics(spark, sf_dir):
-    """The last line of a key wins, by its place in the file."""
-    path = write_text(spark, f"{folder(spark, 'metrics')}/m.tsv", "segment_id\teval_id\tscore\na\tx\t1.5\nb\tx\t7\nc\ty\t1.0\n\tz\t9\na\t\t2.5\nb\t\tnan\n")
+    """Tables of scores in order; the last line of a key wins, by its place in the files, and lines without a key don't count."""
+    i, path = F.col("event_id"), folder(spark, "metrics")
+    rows = read(spark, sf_dir, "events").orderBy("event_id").select(F.when(i % 11 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(" ").alias("segment_id"), F.lit("x").alias("eval_id"), F.when(i % 7 == 0, "nan").otherwise(F.col("value").cast("string")).alias("score"))
+    rows.write.csv(path, sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return R.keyed_metrics(R.tsv(spark, path, ("segment_id",)), ["score"])
 
 
-@query("SELECT * FROM (VALUES ('a.wav'), ('path2'), ('b.wav')) t(path)")
+@query("SELECT 'c' || c_custkey || '.wav' AS path FROM customer")
 def source_optional_header(spark, sf_dir):
-    path = folder(spark, "header")
-    write_text(spark, f"{path}/one.tsv", "PATH\ttext\na.wav\tx\n\n")
-    write_text(spark, f"{path}/two.tsv", "path2\nb.wav\t1\n")
-    return R.lines_with_optional_header(spark, path)
+    """Lists of paths, one with a header and some without; blank lines don't count."""
+    rows, path = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".wav\ttext")).alias("value")), folder(spark, "header")
+    head = spark.range(1).select(F.lit("PATH\ttext\n").alias("value"))
+    head.union(rows.where("c_custkey % 2 = 0").select("value")).coalesce(1).write.text(f"{path}/with")
+    rows.where("c_custkey % 2 = 1").select("value").write.text(f"{path}/without")
+    return R.lines_with_optional_header(spark, f"{path}/*")
 
 
 @query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey >= 3")
@@ -39,27 +42,24 @@ def source_good_lines(spark, sf_dir):
     return R.good_json_lines(spark, path, "id long", 3)
 
 
-@query("SELECT * FROM (VALUES ('a', 'happy'), ('b', 'none')) t(segment_id, label)")
+@query("SELECT n_name AS segment_id, CASE WHEN n_nationkey % 4 = 0 THEN 'none' ELSE 'region ' || n_regionkey END AS label FROM nation")
 def source_labels(spark, sf_dir):
+    """A label file for each nation; empty files are labels, too."""
     path = folder(spark, "labels")
-    write_text(spark, f"{path}/a.txt", " happy\n")
-    write_text(spark, f"{path}/b.txt", "")
+    for r in read(spark, sf_dir, "nation").collect():  # 25 rows
+        write_text(spark, f"{path}/{r['n_name']}.txt", "" if r["n_nationkey"] % 4 == 0 else f" region {r['n_regionkey']}\n")
     return R.labels(spark, path)
 
 
-@query("""WITH s AS (SELECT range AS i FROM range(0, 200)) SELECT 'tone' AS name, CAST(8000 AS BIGINT) AS rate, count(*) AS n, round(sum(CASE WHEN i % 2 = 0 THEN (i * 100 - 5000) / 32768.0 ELSE 0 END) , 6) AS total FROM s""")
+@query("""WITH s AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings) SELECT 'v' || vec_id AS name, CAST(8000 AS BIGINT) AS rate, count(*) AS n, CAST(sum(greatest(-32768, least(32767, round_even(CAST(v AS DOUBLE) * 32768, 0)))) AS BIGINT) AS total FROM s GROUP BY vec_id""")
 def source_wav(spark, sf_dir):
-    """Two channels of 16-bit samples, averaged."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(2)
-        w.setsampwidth(2)
-        w.setframerate(8000)
-        w.writeframes(b"".join(v.to_bytes(2, "little", signed=True) for i in range(200) for v in ((i * 100 - 5000, i * 100 - 5000) if i % 2 == 0 else (1000, -1000))))
+    """Samples written as WAV files by every task, and read again."""
+    spark.dataSource.register(WavFiles)
     path = folder(spark, "wav")
-    write_text(spark, f"{path}/tone.wav", out.getvalue())
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
+    rows.write.format("wav_files").mode("append").option("path", path).option("rate", "8000").save()
     found = R.wav_files(spark, path).withColumn("s", wav_samples_udf("content"))
-    return found.select("name", F.col("s.rate").alias("rate"), F.size("s.samples").cast("long").alias("n"), F.round(F.aggregate("s.samples", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+    return found.select("name", F.col("s.rate").alias("rate"), F.size("s.samples").cast("long").alias("n"), F.aggregate("s.samples", F.lit(0.0), lambda t, x: t + x * 32768).cast("long").alias("total"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 150")
@@ -92,26 +92,33 @@ def source_many_paths(spark, sf_dir):
     return R.dataset(spark, f"{a}, {b}")
 
 
-def _documents(spark):
+def _documents(spark, sf_dir):
+    """A document for each region, in five shapes, most of them not quite JSON; its segments are the nations, with a number in between."""
+    found = read(spark, sf_dir, "nation").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows
     path = folder(spark, "documents")
-    write_text(spark, f"{path}/a.json", '{"segments": [{"start": "1.5", "end": 2, "text": "hi", "speaker": "s1"}, 7, {"sentence": "there", "language": "en", "segment_id": "own"}], "meta": {"sample_rate": 8000}, "num_speakers": 2, "languages": ["en", "fr"]}')
-    write_text(spark, f"{path}/b.json", '[{"text": "list", "start": "x",}]')  # a comma too many
-    write_text(spark, f"{path}/c.jsonl", '{"text": "one"}\n{"text": "two"},\n')
-    write_text(spark, f"{path}/d.json", '{"segment": [{"text": "first"}]} and more')
+    for k in sorted({r["n_regionkey"] for r in found}):
+        own = [r for r in found if r["n_regionkey"] == k]
+        rows = [json.dumps({"start": str(r["n_nationkey"] / 2), "end": r["n_nationkey"], "sentence" if r["n_nationkey"] % 2 else "text": r["n_name"], "speaker": f"s{k}"}) for r in own]
+        rows.insert(1, "7")
+        listed = ", ".join(rows)
+        carried = f'"meta": {{"sample_rate": {8000 + k}}}, "num_speakers": {len(own)}, "languages": ["en", "l{k}"]'
+        shapes = [f'{{"segments": [{listed}], {carried}}}', f'{{"segment": [{listed}], {carried}}} and more', f"[{listed}]", "\n".join(x for x in rows if x != "7") + ",\n", f'{{"segments": [{listed}]}}']
+        write_text(spark, f"{path}/r{k}.{'jsonl' if k % 5 == 3 else 'json'}", shapes[k % 5])
     return R.json_documents(spark, path)
 
 
-@query("""SELECT * FROM (VALUES ('a', 0, 'a_000000', 's1', 1.5, 2.0, 'hi', NULL), ('a', 2, 'own', NULL, NULL, NULL, 'there', 'en'), ('c', 0, 'c_000000', NULL, NULL, NULL, 'one', NULL), ('c', 1, 'c_000001', NULL, NULL, NULL, 'two', NULL), ('d', 0, 'd_000000', NULL, NULL, NULL, 'first', NULL))
-    t(doc, ord, segment_id, speaker, start, "end", text, lang)""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation), o AS (SELECT *, CAST(CASE WHEN i > 0 AND n_regionkey % 5 <> 3 THEN i + 1 ELSE i END AS INTEGER) AS ord FROM n)
+    SELECT 'r' || n_regionkey AS doc, ord, 'r' || n_regionkey || '_' || lpad(CAST(ord AS VARCHAR), 6, '0') AS segment_id, 's' || n_regionkey AS speaker, n_nationkey / 2.0 AS start, CAST(n_nationkey AS DOUBLE) AS "end", n_name AS text FROM o""")
 def source_segments(spark, sf_dir):
-    """Documents of several shapes, most of them not quite JSON; places count before anything is dropped."""
-    found = R.segments_of(_documents(spark))
-    return found.where("doc <> 'b'").select("doc", F.col("ord").cast("int").alias("ord"), "segment_id", "speaker", "start", "end", "text", "lang")
+    """Places count before anything is dropped."""
+    found = R.segments_of(_documents(spark, sf_dir))
+    return found.select("doc", F.col("ord").cast("int").alias("ord"), "segment_id", "speaker", "start", "end", "text")
 
 
-@query("""SELECT * FROM (VALUES ('a', '{"sample_rate":8000}', 2, 'en,fr'), ('d', NULL, NULL, NULL)) t(name, meta, num_speakers, languages)""")
+@query("""SELECT 'r' || n_regionkey AS name, '{"sample_rate":' || (8000 + n_regionkey) || '}' AS meta, CAST(count(*) AS INTEGER) AS num_speakers, 'en,l' || n_regionkey AS languages FROM nation WHERE n_regionkey % 5 < 2 GROUP BY n_regionkey
+    UNION ALL SELECT DISTINCT 'r' || n_regionkey, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR) FROM nation WHERE n_regionkey % 5 >= 2""")
 def source_document_info(spark, sf_dir):
-    found = R.carried(_documents(spark)).where("name IN ('a', 'd')")
+    found = R.carried(_documents(spark, sf_dir))
     return found.select("name", "meta", F.col("num_speakers").cast("int").alias("num_speakers"), F.array_join("languages", ",").alias("languages"))
 
 

@@ -15,6 +15,10 @@ from ..sources.shared import numbered
 from .catalog import G_TOK, K_SQL, S_TOK, codec, query, read, spoken
 
 
+#: The task that samples with a thought name; any name does.
+TASK = "THOUGHT"
+
+
 @query(f"""WITH {K_SQL}, r AS (SELECT vec_id AS ref, {G_TOK} AS g FROM embeddings)
     SELECT c.conv_id, c.turn, '<bos><task_start>TTS<task_end><history_start><audio_his_start><audio_his_end><history_end><target_start><text_start>' || c.text || '<text_end><audio_ref_start>' || coalesce(r.g, k.g) || '<audio_ref_end><target_end><output_start>' AS user_content,
     '<audio_tar_start>' || k.g || ' ' || k.s || '<audio_tar_end><output_end><eos>' AS assistant_content FROM c JOIN k ON c.utt = k.utt LEFT JOIN r ON r.ref = CASE WHEN c.turn % 2 = 0 THEN c.utt + 1 ELSE c.utt + 100000 END WHERE trim(c.text) <> ''""")
@@ -38,7 +42,7 @@ def sample_asr_tags(spark, sf_dir):
 
 @query(f"""WITH {K_SQL}, h AS (SELECT a.conv_id, a.turn, count(*) AS n, count(k.utt) AS found, string_agg(CASE WHEN b.low = b.turn THEN k.g || ' ' || k.s ELSE k.s END, ' ' ORDER BY b.turn) AS past, string_agg(trim(b.text) || CASE WHEN b.role = 'system' THEN '' ELSE '[' || b.role || ']' END, chr(10) ORDER BY b.turn) FILTER (WHERE trim(b.text) <> '') AS under
         FROM c a JOIN (SELECT b.*, a.turn AS at, min(b.turn) OVER (PARTITION BY b.conv_id, a.turn) AS low FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 4 AND a.turn - 1) b ON a.conv_id = b.conv_id AND a.turn = b.at LEFT JOIN k ON b.utt = k.utt GROUP BY 1, 2)
-    SELECT c.conv_id, c.turn, '<bos><task_start>CoT-TTS<task_end><history_start><audio_his_start>' || h.past || '<audio_his_end><history_end><target_start><text_start>' || c.text || '<text_end><audio_ref_start>' || k.g || '<audio_ref_end><target_end><output_start>' AS user_content,
+    SELECT c.conv_id, c.turn, '<bos><task_start>{TASK}<task_end><history_start><audio_his_start>' || h.past || '<audio_his_end><history_end><target_start><text_start>' || c.text || '<text_end><audio_ref_start>' || k.g || '<audio_ref_end><target_end><output_start>' AS user_content,
     '<under_start>' || coalesce(h.under, '') || '<under_end><cot_start>' || CASE WHEN c.turn % 2 = 0 THEN 'thought ' || c.turn ELSE '<Emotion>: ' || c.role || chr(10) || '<Valid duration | Total duration>: ' || c.turn || ' | ' || c.conv_id || chr(10) || '<Loudness | Expressive Intensity>:  | ' || CASE WHEN c.turn % 3 = 0 THEN chr(10) || '[Summary] short' ELSE '' END END
       || '<cot_end><audio_tar_start>' || k.g || ' ' || k.s || '<audio_tar_end><output_end><eos>' AS assistant_content
     FROM c JOIN h ON c.conv_id = h.conv_id AND c.turn = h.turn AND h.n = h.found JOIN k ON c.utt = k.utt""")
@@ -53,7 +57,7 @@ def sample_thought(spark, sf_dir):
     audio, own = T.target_tokens(F.col("ids"), F.slice("ids", 33, 1000)), X.codec_tokens(F.col("ids"), T.GLOBAL, 32)
     given = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("thought "), F.col("turn").cast("string"))).otherwise(" ")
     thought = T.thought_text(given, F.col("role"), F.col("turn"), F.col("conv_id"), F.lit(None), F.lit(" "), F.when(F.col("turn") % 3 == 0, F.lit(" short ")))
-    user = T.user_content("CoT-TTS", T.tts_target(F.col("text"), own), T.history_tokens(F.col("values")))
+    user = T.user_content(TASK, T.tts_target(F.col("text"), own), T.history_tokens(F.col("values")))
     return rows.select("conv_id", "turn", user.alias("user_content"), T.assistant_content(audio, T.under_text(F.col("h")), thought).alias("assistant_content"))
 
 

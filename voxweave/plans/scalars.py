@@ -92,9 +92,21 @@ def suffix_priority(spark, sf_dir):
 def long_audio_pieces(spark, sf_dir):
     """Pieces of at most 30 seconds of audio that is loud all along, so each cut falls in the middle: a table function."""
     rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 4).cast("double").alias("stop"))
-    spark.udtf.register("split_long", split_long_udtf())
-    rows.createOrReplaceTempView("vw_long_audio")
-    return spark.sql("SELECT p_partkey, s.place, s.start, s.end FROM vw_long_audio, LATERAL split_long(0D, stop, CAST(ARRAY() AS ARRAY<BOOLEAN>), 0.01D) s")
+    pieces = split_long_udtf()(F.lit(0.0), F.col("stop").outer(), F.array().cast("array<boolean>"), F.lit(0.01))
+    return rows.lateralJoin(pieces).select("p_partkey", "place", "start", "end")
+
+
+@query("""WITH RECURSIVE t AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0.1) AS loud, CAST(len(embedding) AS DOUBLE) AS stop FROM embeddings),
+    p AS (SELECT vec_id, loud, stop, 0::DOUBLE AS start, CAST(NULL AS DOUBLE) AS cut, 0 AS place FROM t
+      UNION ALL SELECT vec_id, loud, stop, CASE WHEN cut IS NULL THEN start ELSE cut END, CASE WHEN cut IS NULL AND stop - start > 30 THEN CASE WHEN list_max(q) > 0 THEN greatest(start + 1, floor(start + 15) + list_position(q, list_max(q)) - 1) ELSE start + 15 END END, CASE WHEN cut IS NULL THEN place ELSE place + 1 END
+      FROM (SELECT *, list_transform(range(0, len(w)), lambda i: least(9, i - 1 - coalesce(list_max(list_filter(range(0, i), lambda j: w[j + 1])), -1)) + least(10, coalesce(list_min(list_filter(range(i, len(w)), lambda j: w[j + 1])), len(w)) - i)) AS q
+        FROM (SELECT *, loud[CAST(floor(start + 15) AS BIGINT) + 1 : CAST(floor(start + 30) AS BIGINT)] AS w FROM p WHERE cut IS NOT NULL OR stop - start > 30)))
+    SELECT vec_id, CAST(place AS BIGINT) AS place, start, CASE WHEN cut IS NULL THEN stop ELSE cut END AS "end" FROM p WHERE cut IS NOT NULL OR stop - start <= 30""")
+def long_audio_at_silence(spark, sf_dir):
+    """Pieces of at most 30 seconds, cut where most silent frames are around, a second a frame."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0.1).alias("loud"))
+    pieces = split_long_udtf()(F.lit(0.0), F.size("loud").cast("double").outer(), F.col("loud").outer(), F.lit(1.0))
+    return rows.lateralJoin(pieces).select("vec_id", "place", "start", "end")
 
 
 @query("""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0.1) AS loud, len(embedding) AS n FROM embeddings), f AS (SELECT vec_id, loud, n, unnest(range(0, n)) AS i FROM t),
