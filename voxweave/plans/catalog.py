@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.automata import active_spans_udf, cut_indices_udf, repair_json_udf
 from ..operators import joins as J
 from ..operators import mixing as M
+from ..operators import range_packing
 from ..operators import samples as P
 from ..operators import segments as S
 from ..sources.shared import numbered
@@ -413,6 +414,12 @@ def pack_first_fit(spark, sf_dir):
     return P.pack_first_fit(sized(spark, sf_dir), "shard", "ord", "n", 256)
 
 
+@query(f"WITH RECURSIVE {Z_SQL.replace('conv_id % 8', 'conv_id * 0')}, {first_fit_sql(256, 8, False, 'f')} SELECT * FROM f")
+def pack_hot_shard(spark, sf_dir):
+    """All rows in one shard, packed by ranges."""
+    return range_packing.pack(sized(spark, sf_dir).withColumn("shard", F.lit(0)), "shard", "ord", "n", range_packing.first_fit(256, 8, False)).select("shard", "ord", "n", "batch")
+
+
 @query(f"WITH RECURSIVE {Z_SQL}, {first_fit_sql(64, 8, True, 'f')} SELECT * FROM f")
 def pack_force_first(spark, sf_dir):
     return P.pack_first_fit(sized(spark, sf_dir), "shard", "ord", "n", 64, force=True)
