@@ -1,12 +1,14 @@
-"""Streaming queries with state, sources and sinks of audio, with their SQL."""
+"""Streaming queries with state, and Python sources and sinks of files, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import resampling
 from ..operators import features as V
-from ..sources import json_arrays
+from ..sources import json_arrays, tar_shards
+from ..sources.arrow_files import ArrowFiles
 from ..sources.shared import folder
 from ..sources.wav_sink import WavFiles
 from ..streaming import audio, buffers
@@ -93,3 +95,59 @@ def stream_wav_blocks(spark, sf_dir):
         made = stream.select("name", "block", "start", "last", F.aggregate("samples", F.lit(0.0), lambda t, x: t + x * 32768).cast("long").alias("total"))
         done = B.drain(made, "append", checkpoint, into)
     return done
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders UNION ALL SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def source_arrow_files(spark, sf_dir):
+    """Arrow files that every task has written, in two folders; the first one's schema counts."""
+    spark.dataSource.register(ArrowFiles)
+    paths = []
+    for name, columns in (("orders", ("o_orderkey", "o_custkey", "o_totalprice")), ("customer", ("c_custkey", "c_nationkey", "c_acctbal"))):
+        paths.append(folder(spark, name))
+        rows = read(spark, sf_dir, name).select(*(F.col(c).cast(k).alias(n) for c, n, k in zip(columns, ("o_orderkey", "o_custkey", "o_totalprice"), ("long", "long", "double"), strict=True)))
+        rows.write.format("arrow_files").mode("append").option("path", paths[-1]).save()
+    return spark.read.format("arrow_files").option("path", ", ".join(paths)).option("batches", 2).load()
+
+
+D_SQL = "d AS (SELECT doc_id, text, source, row_number() OVER (ORDER BY 'd/' || lpad(CAST(doc_id AS VARCHAR), 12, '0')) - 1 AS i, count(*) OVER () AS n FROM documents)"
+
+
+@query(f"WITH {D_SQL} SELECT doc_id, source, sha256(coalesce(text, '')) AS digest, CAST(i + r * n AS BIGINT) AS place FROM d, range(0, 3) t(r) WHERE i + r * n < n * 5 // 2")
+def source_tar_shards(spark, sf_dir):
+    """Shards written from documents, two members a sample, cut between samples and read as an epoch of two and a half times their number."""
+    spark.dataSource.register(tar_shards.TarShards)
+    path, docs = folder(spark, "shards"), read(spark, sf_dir, "documents")
+    key = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    text, about = F.coalesce("text", F.lit("")).cast("binary"), F.to_json(F.struct("doc_id", "source")).cast("binary")
+    rows = docs.select(key.alias("key"), F.lit("").alias("shard"), F.create_map(F.lit("txt"), text, F.lit("info.json"), about).alias("members"))
+    rows.write.format("tar_shards").mode("append").option("path", path).option("samples", 150).save()
+    found = spark.read.format("tar_shards").option("path", path).option("bytes", 100_000).load()
+    info = F.from_json(F.col("members")["info.json"].cast("string"), "doc_id long, source string")
+    made = found.select("key", info.alias("i"), F.sha2(F.col("members")["txt"], 256).alias("digest"))
+    made = tar_shards.virtual_epoch(made.select("key", "i.doc_id", "i.source", "digest"), ["key"], docs.count() * 5 // 2)
+    return made.select("doc_id", "source", "digest", F.col("_place").alias("place"))
+
+
+#: The filter from 2 to 3: a sinc of width 3 under a Kaiser window of 5, its Bessel function by its series.
+H_SQL = """i0 AS (SELECT m, CASE WHEN m = 0 THEN 1.0 ELSE sin(pi() * m / 3) / (pi() * m / 3) END * list_sum(list_transform(range(0, 30), lambda k: power(power(2.5 * sqrt(1 - (m / 30.0) * (m / 30.0)), k) / gamma(k + 1), 2))) AS h FROM range(-30, 31) t(m)),
+    h AS (SELECT m, 3 * h / (SELECT sum(h) FROM i0) AS h FROM i0)"""
+
+
+@query(f"""WITH {H_SQL}, x AS (SELECT vec_id, len(embedding) AS n, embedding, unnest(range(0, len(embedding))) AS k FROM embeddings),
+    y AS (SELECT vec_id, (k * 3 + m) // 2 AS place, sum(embedding[k + 1] * h) AS v FROM x JOIN h ON (k * 3 + m) % 2 = 0 AND k * 3 + m >= 0 AND (k * 3 + m) // 2 < ceil(n * 3 / 2.0) GROUP BY 1, 2)
+    SELECT vec_id, CAST(place AS BIGINT) AS place, round(v, 6) AS v FROM y""")
+def resampled(spark, sf_dir):
+    """From rate 2 to rate 3 by a polyphase filter."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    made = resampling.by_length(rows, "x", lambda x: resampling.resample(x, 2, 3))
+    return made.select("vec_id", F.posexplode("made").alias("place", "v")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
+
+
+@query("""WITH f AS (SELECT vec_id, embedding, unnest(range(0, 11)) AS frame FROM embeddings), s AS (SELECT vec_id, frame, unnest(range(0, 32)) AS i, embedding FROM f),
+    x AS (SELECT vec_id, frame, i, CASE WHEN frame * 16 + i - 16 BETWEEN 0 AND 159 THEN embedding[(frame * 16 + i - 16) % len(embedding) + 1] ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS v FROM s)
+    SELECT vec_id, frame, round(log10(greatest(1e-7, sqrt(power(sum(v * cos(2 * pi() * 3 * i / 32)), 2) + power(sum(v * sin(2 * pi() * 3 * i / 32)), 2)))), 5) AS third FROM x GROUP BY vec_id, frame""")
+def fixed_spectrum(spark, sf_dir):
+    """Samples said again up to one length, cut there, and one frequency of their frames."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    made = resampling.by_length(rows, "x", lambda x: resampling.log_spectrum(resampling.fitted(x, 160), 32, 16)[:, :, 3])
+    return made.select("vec_id", F.posexplode("made").alias("frame", "v")).select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("v", 5).alias("third"))
