@@ -1,26 +1,23 @@
 """LM scoring: masked pseudo-likelihood of whole documents.
 
-Every token is predicted from its neighbours on both sides, with counts of the exact words and of the exact pairs of neighbours
-in the whole corpus, and a window network for what the counts don't know:
-
-    P(w | context) = (c(l w) - 1 + c(w r) - 1 + PRIOR * P0) / (c(l) - 1 + c(r) - 1 + PRIOR)
-    P0 = P(class of w | WINDOW words to either side) * c(w) / (occurrences of all words of the class)
-
-l and r are the next words. The token itself is left out of the counts of its neighbours, so a pair that occurs once says
-nothing; over all words of the corpus, and the end by its pairs, the probabilities of a place sum to 1. P(class | ...) is the window network in numpy:
-embeddings of the context's words (one for a word's class, one of HASHED for its hash), a tanh layer, softmax over CLASSES. Classes part
-the words: the most frequent ones (ties go to the smaller hash) stand alone, all others go by 32 shapes; class 0 is the end.
-The network is trained on every window of the corpus: each task runs Adam over its own documents, from the same start, and the
-tasks' weights are averaged by their tokens, in two steps. So weights, unlike counts, depend on how rows lie in partitions.
-
-Counts are distributed tables that grow with the corpus. Documents are cut into chunks of about CHUNK bytes; a chunk sends its
-different words and pairs, sorted hashes, to ranges of hashes, of which there is one for RANGE bytes of text. Each range sums
-its counts and answers every chunk in the chunk's own order; then chunks are scored with their answers. What a task holds is a
-chunk or a range, what the driver holds are the network and FREQUENT words. Hashes have KEY_BITS more bits than the length of
-the corpus (64 at most), so the chance that a given count is wrong stays below 2**-KEY_BITS while they have room.
-
-Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole; repeated rows get equal scores and
-count each; an empty table gives an empty result; other columns are ignored.
+A window network predicts every token from WINDOW words to either side, in two levels:
+
+    P(w | context) = P(class of w | context) * c(w) / (occurrences of all words of the class)
+
+A document's score is the sum of the logarithms. The first level is the network in numpy: embeddings of the context's words (one for a
+word's class, one of HASHED for its hash), a tanh layer, softmax over CLASSES. Classes part the words: the FREQUENT most frequent
+ones (ties go to the smaller hash) stand alone, so the network predicts the word itself; all others go by 32 shapes, and inside a shape the corpus's
+counts decide, exact ones of every word, a table that grows with the corpus. Over all words of the corpus the probabilities of a place sum to
+1. Class 0 is the end, which is context only. The network is trained on every window of the corpus: each task runs Adam over its own documents,
+from the same start, and the tasks' weights are averaged by their tokens, in two steps. So weights, unlike counts, depend on how rows
+lie in partitions.
+
+Documents are cut into chunks of about CHUNK bytes; a chunk's different words are summed over the corpus and joined back, so the work
+grows as the text does. What a task holds is a chunk, what the driver holds are the network and FREQUENT words. Words are known by hashes of
+64 bits.
+
+Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole (a text longer than a chunk is a
+chunk of its own); repeated rows get equal scores and count each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,18 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import U64, HashedWords, Scratch, batch_of, groups_of, mix, need, slices, texts
 
-CLASSES, FREQUENT = 64, 31
+CLASSES, FREQUENT = 128, 95
 WINDOW, HASHED, EMBEDDING, HIDDEN = 2, 1 << 12, 8, 24
 BATCH, RATE, SLOWER = 4096, 0.01, 400
-#: How many occurrences of the neighbours the network's opinion is worth.
-PRIOR = 32.0
-#: Bytes of text in a chunk, and for each range of hashes.
-CHUNK, RANGE = 4 << 20, 8 << 20
-KEY_BITS = 18
+#: Bytes of text in a chunk.
+CHUNK = 4 << 20
 #: Weights of tasks are averaged in groups, then again.
 GROUPS = (256, 8)
 _LETTER, _DIGIT = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.digits))
-_END, _PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def shapes_of(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -77,23 +70,14 @@ class Words:
         some = self.n[self.n > 0]
         return np.arange(len(self.hashes)) + np.repeat(np.arange(1, len(some) + 1) * ends, some), len(self.hashes) + (len(some) + 1) * ends
 
-    def keys(self, bits: int) -> np.ndarray:
-        """Words (odd numbers), then pairs with the next word (even ones), of all places but the last; an end counts as a word."""
-        at, size = self.places(1)
-        seq = np.full(size, _END, U64)
-        seq[at] = self.hashes
-        cut = U64(64 - bits)
-        return np.concatenate([seq[:-1] >> cut | U64(1), mix(seq[:-1] * _PAIR + seq[1:]) >> cut & ~U64(1)])
-
-    def inputs(self, top: np.ndarray, number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Class and hashed embedding of every place, WINDOW ends before, between and behind. top: sorted keys of the words
+    def inputs(self, top: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and hashed embedding of every place, WINDOW ends before, between and behind. top: sorted hashes of the words
         that are classes of their own, number: those classes."""
         at, size = self.places(WINDOW)
         own, wide = FREQUENT + 1 + self.shapes, np.full(size, CLASSES + HASHED, np.int64)
         if len(top):
-            key = self.hashes >> U64(64 - bits) | U64(1)
-            k = np.minimum(np.searchsorted(top, key), len(top) - 1)
-            own = np.where(top[k] == key, number[k], own)
+            k = np.minimum(np.searchsorted(top, self.hashes), len(top) - 1)
+            own = np.where(top[k] == self.hashes, number[k], own)
         classes = np.zeros(size, np.int64)
         classes[at] = own
         wide[at] = CLASSES + (self.hashes >> U64(20) & U64(HASHED - 1)).astype(np.int64)
@@ -179,37 +163,6 @@ class WindowNetwork:
         return net
 
 
-def pack_keys(keys: np.ndarray, base: int) -> bytes:
-    """Sorted keys of a range that begins at base, as gaps: their number, the bytes of each (all ones if it needs more), and
-    the others in 64 bits; as many bytes as make it shortest."""
-    gaps = np.diff(keys, prepend=U64(base))
-    width = min(range(1, 9), key=lambda w: len(gaps) * w + 8 * np.count_nonzero(gaps >= U64((1 << 8 * w) - 1)))
-    full = U64((1 << 8 * width) - 1)
-    small = np.minimum(gaps, full).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return len(keys).to_bytes(8, "little") + bytes([width]) + small.tobytes() + gaps[gaps >= full].astype("<u8").tobytes()
-
-
-def unpack_keys(b: bytes, base: int) -> np.ndarray:
-    n, width = int.from_bytes(b[:8], "little"), b[8]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8, n * width, 9).reshape(-1, width)
-    gaps = out.view("<u8").ravel()
-    gaps[gaps == U64((1 << 8 * width) - 1)] = np.frombuffer(b, "<u8", offset=9 + n * width)
-    return np.cumsum(gaps, dtype=U64) + U64(base)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Their number, one byte for each (255 for those of 255 or more), then those of 255 or more in 64 bits."""
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-
-
-def unpack_counts(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(b, "<i8", offset=8 + n)
-    return out
-
-
 def chunks_of(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(chunk, doc_id, text): neighbouring documents make chunks of about so many bytes."""
     schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
@@ -228,48 +181,19 @@ def chunks_of(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return need(docs, "doc_id", "text").mapInArrow(run, "chunk long, doc_id long, text binary")
 
 
-def keyed(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(range, chunk, keys, counts: both packed) of each chunk, of each part of one if Spark reads it in parts; there are
-    2**ranges ranges of keys of so many bits."""
-    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    borders = np.arange(1, 1 << ranges, dtype=U64) << U64(bits - ranges)
+def words_of(chunks: DataFrame) -> DataFrame:
+    """(chunk, word, times) of the different words of each chunk, of each part of one if Spark reads it in parts."""
+    schema = pa.schema([("chunk", pa.int64()), ("word", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), rows in groups_of(batches, 1, ["chunk", "text"]):
-            keys, counts = np.unique(Words([x for _, x in rows], False).keys(bits), return_counts=True)
-            cut = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
-            full = [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(cut)) if b > a]
-            yield batch_of(schema, [[k for k, _, _ in full], [number] * len(full), [pack_keys(keys[a:b], k << bits - ranges) for k, a, b in full], [pack_counts(counts[a:b]) for _, a, b in full]])
+            word, times = np.unique(Words([x for _, x in rows], False).hashes, return_counts=True)
+            yield batch_of(schema, [np.full(len(word), number), word.view(np.int64), times])
 
-    return chunks.select("chunk", "text").mapInArrow(run, "range int, chunk long, keys binary, counts binary")
+    return chunks.select("chunk", "text").mapInArrow(run, "chunk long, word long, times long")
 
 
-def totals_of(keys: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(chunk, range, counts: the corpus's counts of the chunk's sorted keys in that range, packed); and in rows with
-    chunk -1 the most frequent words of the range: key and times."""
-    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("times", pa.int64())])
-    end = int(_END >> U64(64 - bits)) | 1
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (number,), rows in groups_of(batches, 1, ["range", "chunk", "keys", "counts"]):
-            parts = [unpack_keys(r[2], number << bits - ranges) for r in rows]
-            every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-            total = np.zeros(len(every), np.int64)
-            np.add.at(total, inverse, np.concatenate([unpack_counts(r[3]) for r in rows]))
-            word = np.flatnonzero((every & U64(1) == 1) & (every != U64(end)))
-            top = word[np.lexsort((every[word], -total[word]))[:FREQUENT]]
-            none = [None] * len(top)
-            yield batch_of(schema, [[-1] * len(top), [number] * len(top), none, every[top].view(np.int64), total[top]])
-            ends = np.cumsum([0, *map(len, parts)]).tolist()
-            for chunk, of in itertools.groupby(range(len(rows)), key=lambda k: rows[k][1]):
-                of = list(of)
-                own = inverse[ends[of[0]] : ends[of[-1] + 1]]
-                yield batch_of(schema, [[chunk], [number], [pack_counts(total[own if len(of) == 1 else np.unique(own)])], [None], [None]])
-
-    return keys.repartition("range").sortWithinPartitions("range", "chunk").mapInArrow(run, "chunk long, range int, counts binary, key long, times long")
-
-
-def trained(chunks: DataFrame, top: np.ndarray, number: np.ndarray, bits: int) -> tuple[WindowNetwork, np.ndarray]:
+def trained(chunks: DataFrame, top: np.ndarray, number: np.ndarray) -> tuple[WindowNetwork, np.ndarray]:
     """The network, and the occurrences of each class."""
     schema = pa.schema([("part", pa.int32()), ("tokens", pa.float64()), ("weights", pa.binary()), ("classes", pa.binary())])
     names = "part int, tokens double, weights binary, classes binary"
@@ -279,7 +203,7 @@ def trained(chunks: DataFrame, top: np.ndarray, number: np.ndarray, bits: int) -
         for b in batches:
             raw = texts(b, "text")
             for i, j in slices(map(len, raw), 1 << 20):
-                classes, wide = Words(raw[i:j]).inputs(top, number, bits)
+                classes, wide = Words(raw[i:j]).inputs(top, number)
                 seen += np.bincount(classes[classes > 0], minlength=CLASSES)
                 net.learn(classes, wide)
         if seen.any():
@@ -304,57 +228,68 @@ def trained(chunks: DataFrame, top: np.ndarray, number: np.ndarray, bits: int) -
 
 
 class Model:
-    """What scoring needs besides the tables of counts."""
+    """What scoring needs besides the table of counts."""
 
-    def __init__(self, net: WindowNetwork, classes: np.ndarray, top: np.ndarray, number: np.ndarray, ranges: int, bits: int):
-        self.net, self.classes, self.top, self.number, self.ranges, self.bits = net, classes, top, number, ranges, bits
+    def __init__(self, net: WindowNetwork, classes: np.ndarray, top: np.ndarray, number: np.ndarray):
+        self.net, self.classes, self.top, self.number = net, classes, top, number
 
 
-def fit(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of these documents, their chunks, and the counts of each chunk's words and pairs."""
-    length = need(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges, bits = max(3, (length // size).bit_length()), min(64, length.bit_length() + KEY_BITS)
+def fit(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of these documents, their chunks, and for each chunk the corpus's counts of its words (chunk, counts: array of word, total)."""
     chunks = scratch.keep(chunks_of(docs, chunk), "chunks", "zstd")
-    answers = scratch.keep(totals_of(keyed(chunks, ranges, bits), ranges, bits), "answers")
-    scratch.drop()
-    found = answers.where("chunk < 0").orderBy(F.desc("times"), "key").limit(FREQUENT).collect()
-    top = np.array([r["key"] for r in found], np.int64).view(U64)
+    words = scratch.keep(words_of(chunks), "words")
+    totals = scratch.keep(words.groupBy("word").agg(F.sum("times").alias("total")), "totals")
+    found = totals.orderBy(F.desc("total"), "word").limit(FREQUENT).collect()
+    top = np.array([r["word"] for r in found], np.int64).view(U64)
     order = np.argsort(top)
     top, number = top[order], order + 1
-    return Model(*trained(chunks, top, number, bits), top, number, ranges, bits), chunks, answers
+    counts = words.join(totals, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "total")).alias("counts"))
+    return Model(*trained(chunks, top, number), top, number), chunks, counts
 
 
-def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, size: int = RANGE) -> DataFrame:
+def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob of documents in the model of exactly these documents."""
-    return score(*fit(docs, scratch, chunk, size))
+    return score(*fit(docs, scratch, chunk))
 
 
-def score(model: Model, chunks: DataFrame, answers: DataFrame) -> DataFrame:
+def score(model: Model, chunks: DataFrame, counts: DataFrame) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # its size is fixed
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
 
+    def scored(ids: list, raw: list[bytes], known: list[pa.StructArray]) -> pa.RecordBatch:
+        model, words = shared.value, Words(raw)
+        n = words.n
+        word, total = (np.concatenate([np.zeros(0, np.int64), *(k.field(f).to_numpy() for k in known)]) for f in ("word", "total"))
+        order = np.argsort(word.view(U64))
+        word, total = word.view(U64)[order], total[order]
+        place = np.minimum(np.searchsorted(word, words.hashes), max(0, len(word) - 1))
+        if len(words.hashes) and (not len(word) or (word[place] != words.hashes).any()):
+            raise ValueError("counts of a chunk are missing")
+        classes, wide = words.inputs(model.top, model.number)
+        one = model.net.log_probs(classes, wide) + np.log(total[place] / model.classes[classes[classes > 0]])
+        sums = np.zeros(len(n))
+        if len(one):
+            sums[n > 0] = np.add.reduceat(one, (np.cumsum(n) - n)[n > 0])
+        return batch_of(schema, [ids, n, sums, [x / k if k else None for x, k in zip(sums.tolist(), n.tolist(), strict=True)]])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for _, rows in groups_of(batches, 1, ["chunk", "range", "doc_id", "text", "counts"]):
-            ids, raw = [r[2] for r in rows if r[1] < 0], [r[3] or b"" for r in rows if r[1] < 0]
-            words = Words(raw)
-            known = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(r[4]) for r in rows if r[1] >= 0)])
-            keys = words.keys(model.bits)
-            every, inverse = np.unique(keys, return_inverse=True)
-            if len(every) != len(known):
-                raise ValueError("counts of a chunk are missing")
-            m, n = len(keys) // 2, words.n
-            own, pair = np.append(known[inverse[:m]], known[inverse[0]] if m else 0), known[inverse[m:]]
-            t, _ = words.places(1)
-            classes, wide = words.inputs(model.top, model.number, model.bits)
-            of = model.classes[classes[classes > 0]]
-            base = np.exp(model.net.log_probs(classes, wide)) * own[t] / of
-            one = np.log(pair[t - 1] + pair[t] - 2 + PRIOR * base) - np.log(own[t - 1] + own[t + 1] - 2 + PRIOR)
-            sums = np.zeros(len(n))
-            if len(t):
-                sums[n > 0] = np.add.reduceat(one, (np.cumsum(n) - n)[n > 0])
-            yield batch_of(schema, [ids, n, sums, [x / k if k else None for x, k in zip(sums.tolist(), n.tolist(), strict=True)]])
-
-    both = chunks.select("chunk", F.lit(-1).alias("range"), "doc_id", "text", F.lit(None).cast("binary").alias("counts"))
-    both = both.union(answers.where("chunk >= 0").select("chunk", "range", F.lit(None).cast("long"), F.lit(None).cast("binary"), "counts"))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "range").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+        now, ids, raw, known = None, [], [], []
+        for b in batches:
+            lists = b.column("counts")
+            for r, (chunk, own, doc, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("chunk", "own", "doc_id", "text")), strict=True)):
+                if chunk != now:
+                    if ids:
+                        yield scored(ids, raw, known)
+                    now, ids, raw, known = chunk, [], [], []
+                if own:
+                    known.append(lists[r].values)
+                else:
+                    ids.append(doc)
+                    raw.append(text or b"")
+        if ids:
+            yield scored(ids, raw, known)
+
+    none = F.lit(None)
+    both = chunks.select("chunk", F.lit(False).alias("own"), "doc_id", "text", none.cast("array<struct<word:bigint,total:bigint>>").alias("counts"))
+    both = both.union(counts.select("chunk", F.lit(True), none.cast("long"), none.cast("binary"), "counts"))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "own").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
