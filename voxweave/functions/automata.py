@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", " ": " "})
 
 
+#: What may follow a string's closing quote.
+CLOSES = re.compile(r"\s*(?:[,}\]:]|$)")
+
+
 def close_strings(text: str) -> str:
     """Escape raw line ends inside JSON strings, and quotes that neither open nor close one."""
     out, inside, i = [], False, 0
@@ -25,7 +29,7 @@ def close_strings(text: str) -> str:
             i += 2
             continue
         if c == '"':
-            if inside and not re.match(r'\s*(?:[,}\]:]|$)', text[i + 1 :]):
+            if inside and not CLOSES.match(text, i + 1):
                 out.append('\\"')
                 i += 1
                 continue

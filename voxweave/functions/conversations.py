@@ -72,9 +72,16 @@ def _captioned(caption: Column, ask: str) -> Column:
 
 
 @source("sharegpt4v_pretrain", "sharegpt4v_captioner")
-def image_then_text(raw: Column, key: Column) -> Column:
+def image_then_text(raw: Column, key: Column, generation_ratio: float = 0.0) -> Column:
+    """An image and its text; of that share of samples, drawn by key, the text asks for the image instead."""
     one = lambda m: F.when(m["from"] == "human", message("user", part("image"))).otherwise(message("assistant", part("text", m["value"])))
-    return F.transform(_from_human(_messages(raw)), one)
+    ms = _from_human(_messages(raw))
+    seen = F.transform(ms, one)
+    if not generation_ratio:
+        return seen
+    asked = F.concat(F.lit("Generate an image based on the following caption: "), F.element_at(ms, -1)["value"])
+    made = F.array(message("user", part("text", asked)), message("assistant", part("image")))
+    return F.when(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(generation_ratio * (1 << 30)), made).otherwise(seen)
 
 
 @source("sharegpt4v_captioner_sft", "sharegpt4v_sft")
@@ -102,9 +109,10 @@ def merged_runs(raw: Column, key: Column, most_images: int | None = None) -> Col
     """Neighbouring messages of a role are one; two line feeds part the assistant's. The first role is the user, whoever
     speaks first. With most_images, what follows that many images is left out."""
     ms = _messages(raw)
-    if most_images is not None:
-        upto = lambda m, i: F.size(F.filter(F.slice(ms, F.lit(1), i), lambda x: strip(x["value"]) == MARK)) < most_images
-        ms = F.filter(ms, upto)
+    if most_images is not None:  # only the first message counts as an image with white space around
+        image = lambda m, i: F.when(F.when(i == 0, strip(m["value"])).otherwise(m["value"]) == MARK, i)
+        images = F.filter(F.transform(ms, image), lambda i: i.isNotNull())
+        ms = F.slice(ms, F.lit(1), F.coalesce(F.get(images, F.lit(most_images - 1)) + 1, F.size(ms)) if most_images > 0 else F.lit(1))
     numbered = F.transform(ms, lambda m, i: F.struct(_role(m).alias("role"), F.when(i == 0, strip(m["value"])).otherwise(m["value"]).alias("value")))
     done = F.array().cast(f"array<{MESSAGE}>")
     start = F.struct(done.alias("done"), F.lit("user").alias("role"), F.array().cast(f"array<{PART}>").alias("parts"))

@@ -36,6 +36,24 @@ def role_span_labels(spark, sf_dir):
     return marked(spark, sf_dir).select("vec_id", F.array_join(V.span_labels(F.col("ids"), 901, 902), " ").alias("labels"))
 
 
+@query("""WITH RECURSIVE s AS (SELECT vec_id, i, CASE i WHEN 0 THEN 2 + vec_id % 3 WHEN 2 THEN 1 WHEN 4 THEN vec_id % 4 ELSE 0 END AS n, CASE i WHEN 1 THEN [1, 2, 2 + vec_id % 2] WHEN 3 THEN [3, 1, 2] END AS g FROM embeddings, range(0, 5) t(i)),
+    o AS (SELECT vec_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS base FROM embeddings UNION ALL SELECT o.vec_id, o.i + 1, CAST(o.base + CASE WHEN g IS NULL THEN n ELSE list_max(g) END AS BIGINT) FROM o JOIN s ON o.vec_id = s.vec_id AND o.i = s.i),
+    p AS (SELECT vec_id, i, k AS a, 0 AS b, 0 AS c, base + k AS t, base + k AS h, base + k AS w FROM (SELECT s.vec_id, s.i, base, unnest(range(0, n)) AS k FROM s JOIN o ON s.vec_id = o.vec_id AND s.i = o.i WHERE g IS NULL)
+      UNION ALL SELECT vec_id, i, a, b, c, base + a, base + b, base + c FROM (SELECT *, unnest(range(0, g[3])) AS c FROM (SELECT *, unnest(range(0, g[2])) AS b FROM (SELECT s.vec_id, s.i, base, g, unnest(range(0, g[1])) AS a FROM s JOIN o ON s.vec_id = o.vec_id AND s.i = o.i WHERE g IS NOT NULL))))
+    SELECT p.vec_id, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p.i, a, b, c) AS t, string_agg(CAST(h AS VARCHAR), ' ' ORDER BY p.i, a, b, c) AS h, string_agg(CAST(w AS VARCHAR), ' ' ORDER BY p.i, a, b, c) AS w, max(o.base) AS next FROM p JOIN o ON p.vec_id = o.vec_id AND o.i = 5 GROUP BY p.vec_id""")
+def grid_positions(spark, sf_dir):
+    """Positions in time, height and width of text and of two grids, 2 x 2 patches one id."""
+    i = F.col("vec_id")
+    text = lambda n: F.array_repeat(F.lit(7).cast("long"), n.cast("int"))
+    grids = F.array(F.array(F.lit(1).cast("long"), F.lit(4).cast("long"), 4 + 2 * (i % 2)), F.array(*(F.lit(x).cast("long") for x in (3, 2, 4))))
+    one = F.lit(-200).cast("long")
+    ids = F.concat(text(2 + i % 3), F.array(one), text(F.lit(1)), F.array(one), text(i % 4))
+    counts = F.transform(grids, lambda g: V.grid_tokens(g[0], g[1], g[2]))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", grids.alias("grids"), V.expanded(ids, -200, counts).alias("ids"))
+    made = rows.select("vec_id", V.grid_positions(F.col("ids"), -200, F.col("grids")).alias("p"))
+    return made.select("vec_id", *(F.array_join(f"p.{k}", " ").alias(k) for k in "thw"), F.col("p.next").alias("next"))
+
+
 @query("""WITH s AS (SELECT vec_id // 4 AS step, vec_id, range(0, 1 + vec_id % 5) AS ids, [vec_id, vec_id + 1] AS pixels FROM embeddings), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY step) AS most FROM s)
     SELECT step, string_agg(array_to_string(list_concat(ids, list_transform(range(0, most - len(ids)), lambda x: CAST(0 AS BIGINT))), ' '), '/' ORDER BY vec_id) AS input_ids, string_agg(array_to_string(list_concat(ids, list_transform(range(0, most - len(ids)), lambda x: CAST(-100 AS BIGINT))), ' '), '/' ORDER BY vec_id) AS labels,
     string_agg(array_to_string(pixels, ' '), ' ' ORDER BY vec_id) AS pixels FROM m GROUP BY step""")
