@@ -107,7 +107,7 @@ def test_mixture_is_checked():
         with pytest.raises(ValueError):
             M.Mixture(*bad)
     with pytest.raises(ValueError):
-        M.Mixture(("a",), (1.0,), "changing")
+        M.Mixture(("a",), (1.0,), "other")
 
 
 def test_registry():

@@ -13,7 +13,7 @@ from ..sources.shared import numbered
 
 @dataclasses.dataclass(frozen=True)
 class Mixture:
-    """Sources by name with constant weights."""
+    """Sources by name with weights; weights that change are a schedule that is known, but not yet of use."""
 
     names: tuple[str, ...]
     weights: tuple[float, ...]
@@ -24,14 +24,16 @@ class Mixture:
             raise ValueError("each source needs a weight")
         if len(set(self.names)) != len(self.names):
             raise ValueError("source names repeat")
-        if self.schedule != "const":
-            raise ValueError("only constant weights are implemented")
+        if self.schedule not in ("const", "changing"):
+            raise ValueError(f"no such schedule as {self.schedule}")
         if any(w <= 0 for w in self.weights):
             raise ValueError("weights must be positive")
 
 
 def interleave(rows: DataFrame, source: str, order: list[str], mix: Mixture) -> DataFrame:
     """Rows of the mixture's sources in proportion to their weights, until the first source is exhausted."""
+    if mix.schedule != "const":
+        raise ValueError("only constant weights are implemented")
     weight = F.element_at(F.create_map(*(F.lit(x) for p in zip(mix.names, mix.weights, strict=True) for x in p)), F.col(source))
     index = F.array_position(F.array(*map(F.lit, mix.names)), F.col(source)) - 1
     tagged = numbered(rows.where(F.col(source).isin(*mix.names)), order, source, "turn").withColumn("ds_idx", index.cast("long")).withColumn("turn", F.col("turn") / weight)

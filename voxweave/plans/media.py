@@ -8,6 +8,7 @@ from ..operators import features as V
 from ..operators import joins as J
 from ..operators import mixing as M
 from ..operators import samples as P
+from ..operators.shuffle_buffer import shuffled
 from ..sources import sinks as K
 from ..sources.shared import folder, write_text
 from ..streaming import blocks as B
@@ -110,6 +111,18 @@ def stream_shuffled(spark, sf_dir):
     return B.drain(rows, "append").orderBy("rank", "event_id")
 
 
+@query("""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels), c AS (SELECT doc_id, i // CAST(ceil(n / 3.0) AS BIGINT) AS node, i % CAST(ceil(n / 3.0) AS BIGINT) AS i FROM d),
+    a AS (SELECT node, list(doc_id ORDER BY i) AS items FROM c GROUP BY node),
+    s AS (SELECT node, items, items[1:50] AS held, CAST(NULL AS BIGINT) AS gone, least(50, len(items)) AS i FROM a
+      UNION ALL SELECT node, items, list_concat(list_append(held[1:j], items[i + 1]), held[j + 2:]), held[j + 1], i + 1 FROM (SELECT *, CAST(('0x' || left(md5('14:' || node || ':' || i), 8)) AS BIGINT) % 50 AS j FROM s WHERE i < len(items))),
+    e AS (SELECT node, unnest(held) AS doc_id, unnest(range(0, len(held))) AS j, len(items) - len(held) AS base FROM s WHERE i = len(items))
+    SELECT gone AS doc_id, node, i - 51 AS place FROM s WHERE gone IS NOT NULL
+    UNION ALL SELECT doc_id, node, base + row_number() OVER (PARTITION BY node ORDER BY CAST(('0x' || left(md5('14:' || node || ':end ' || j), 8)) AS BIGINT), j) - 1 FROM e""")
+def shuffle_buffer(spark, sf_dir):
+    """The order in which three nodes hand out their rows through buffers of 50, in the fifth epoch."""
+    return shuffled(read(spark, sf_dir, "labels").select("doc_id"), ["doc_id"], 3, 9, 5, 50)
+
+
 @query("SELECT n_nationkey AS id, n_name AS name, r AS repeat FROM nation, range(0, 3) t(r) WHERE n_nationkey % 2 = 0 AND n_nationkey < 10")
 def source_cached_tensors(spark, sf_dir):
     """Rows of a listing whose tensor file is there, each as often as asked for."""
