@@ -47,7 +47,7 @@ def test_scores_are_the_network_s_own_and_sum_to_one(spark):
     count = collections.Counter(w for d in words for w in d)
     hashed = lambda w: int(word_hashes([w.encode()])[0])
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    frequent = sorted(count, key=lambda w: (-count[w], signed(hashed(w))))[: masked_lm.FREQUENT]
+    frequent = sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], signed(hashed(w))))[: masked_lm.FREQUENT]
     number = {w: i + 1 for i, w in enumerate(frequent)}
     of = {w: number.get(w, masked_lm.FREQUENT + 1 + shape(w.encode())) for w in count}
     wide = {w: masked_lm.CLASSES + (hashed(w) >> 20) % masked_lm.HASHED for w in of}

@@ -6,14 +6,14 @@ A window network predicts every token from WINDOW words to either side, in two l
 
 A document's score is the sum of the logarithms. The first level is the network in numpy: embeddings of the context's words (one for a
 word's class, one of HASHED for its hash), a tanh layer, softmax over CLASSES. Classes part the words: the FREQUENT most frequent
-ones (ties go to the smaller hash) stand alone, so the network predicts the word itself; all others go by 32 shapes, and inside a shape the corpus's
+ones (that occur twice at least; ties go to the smaller hash) stand alone, so the network predicts the word itself; all others go by 32 shapes, and inside a shape the corpus's
 counts decide, exact ones of every word, a table that grows with the corpus. Over all words of the corpus the probabilities of a place sum to
 1. Class 0 is the end, which is context only. The network is trained on every window of the corpus: each task runs Adam over its own documents,
 from the same start, and the tasks' weights are averaged by their tokens, in two steps. So weights, unlike counts, depend on how rows
 lie in partitions.
 
-Documents are cut into chunks of about CHUNK bytes; a chunk's different words are summed over the corpus and joined back, so the work
-grows as the text does. What a task holds is a chunk, what the driver holds are the network and FREQUENT words. Words are known by hashes of
+Documents are cut into chunks of about CHUNK bytes; a chunk's different words are summed over the corpus, and the sums of those
+that other chunks hold, too, are joined back, so the work grows as the text does. What a task holds is a chunk, what the driver holds are the network and FREQUENT words. Words are known by hashes of
 64 bits.
 
 Null text counts as empty: no tokens, sum 0, mean null; very long texts are scored whole (a text longer than a chunk is a
@@ -235,16 +235,18 @@ class Model:
 
 
 def fit(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of these documents, their chunks, and for each chunk the corpus's counts of its words (chunk, counts: array of word, total)."""
+    """The model of these documents, their chunks, and (chunk, word, total): the corpus's counts of those of its words that others hold."""
     chunks = scratch.keep(chunks_of(docs, chunk), "chunks", "zstd")
     words = scratch.keep(words_of(chunks), "words")
-    totals = scratch.keep(words.groupBy("word").agg(F.sum("times").alias("total")), "totals")
+    totals = words.groupBy("word").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("chunks")).where("total > 1")
+    totals = scratch.keep(totals, "totals")
+    scratch.drop()
     found = totals.orderBy(F.desc("total"), "word").limit(FREQUENT).collect()
     top = np.array([r["word"] for r in found], np.int64).view(U64)
     order = np.argsort(top)
     top, number = top[order], order + 1
-    counts = words.join(totals, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "total")).alias("counts"))
-    return Model(*trained(chunks, top, number), top, number), chunks, counts
+    shared = words.select("chunk", "word").join(totals.where("chunks > 1").select("word", "total"), "word").select("chunk", "word", "total")
+    return Model(*trained(chunks, top, number), top, number), chunks, shared
 
 
 def score_corpus(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
@@ -256,15 +258,13 @@ def score(model: Model, chunks: DataFrame, counts: DataFrame) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # its size is fixed
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
 
-    def scored(ids: list, raw: list[bytes], known: list[pa.StructArray]) -> pa.RecordBatch:
+    def scored(ids: list, raw: list[bytes], known: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         model, words = shared.value, Words(raw)
         n = words.n
-        word, total = (np.concatenate([np.zeros(0, np.int64), *(k.field(f).to_numpy() for k in known)]) for f in ("word", "total"))
-        order = np.argsort(word.view(U64))
-        word, total = word.view(U64)[order], total[order]
-        place = np.minimum(np.searchsorted(word, words.hashes), max(0, len(word) - 1))
-        if len(words.hashes) and (not len(word) or (word[place] != words.hashes).any()):
-            raise ValueError("counts of a chunk are missing")
+        own, place, total = np.unique(words.hashes, return_inverse=True, return_counts=True)
+        if known:
+            word, sums = (np.concatenate([k[i] for k in known]) for i in (0, 1))
+            total[np.searchsorted(own, word.view(U64))] = sums
         classes, wide = words.inputs(model.top, model.number)
         one = model.net.log_probs(classes, wide) + np.log(total[place] / model.classes[classes[classes > 0]])
         sums = np.zeros(len(n))
@@ -275,21 +275,26 @@ def score(model: Model, chunks: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, raw, known = None, [], [], []
         for b in batches:
-            lists = b.column("counts")
-            for r, (chunk, own, doc, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("chunk", "own", "doc_id", "text")), strict=True)):
-                if chunk != now:
+            chunk = b.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(b)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if chunk[i] != now:
                     if ids:
                         yield scored(ids, raw, known)
-                    now, ids, raw, known = chunk, [], [], []
-                if own:
-                    known.append(lists[r].values)
-                else:
-                    ids.append(doc)
-                    raw.append(text or b"")
+                    now, ids, raw, known = chunk[i], [], [], []
+                part = b.slice(i, j - i)
+                rows = part.filter(part.column("word").is_valid())
+                if len(rows):
+                    known.append((rows.column("word").to_numpy(), rows.column("total").to_numpy()))
+                rows = part.filter(part.column("word").is_null())
+                ids += rows.column("doc_id").to_pylist()
+                raw += [x or b"" for x in rows.column("text").to_pylist()]
         if ids:
             yield scored(ids, raw, known)
 
     none = F.lit(None)
-    both = chunks.select("chunk", F.lit(False).alias("own"), "doc_id", "text", none.cast("array<struct<word:bigint,total:bigint>>").alias("counts"))
-    both = both.union(counts.select("chunk", F.lit(True), none.cast("long"), none.cast("binary"), "counts"))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "own").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    both = chunks.select("chunk", "doc_id", "text", none.cast("long").alias("word"), none.cast("long").alias("total"))
+    both = both.union(counts.select("chunk", none.cast("long"), none.cast("binary"), "word", "total"))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "word").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
