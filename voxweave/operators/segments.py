@@ -6,6 +6,7 @@ shares one exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.automata import split_long
 
 
 def with_gap(segments: DataFrame, doc: str, order: list[str]) -> DataFrame:
@@ -61,13 +63,15 @@ def merge_turns(segments: DataFrame, doc: str, order: list[str], max_gap: float,
     return runs.groupBy(doc, "island").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), last.alias("end"), F.count(F.lit(1)).alias("turns"))
 
 
-def fold_short_turns(segments: DataFrame, doc: str, order: list[str], short: float, near: float, long: float, before: float, near_before: float) -> DataFrame:
+def fold_short_turns(segments: DataFrame, doc: str, order: list[str], short: float, near: float, long: float, before: float, near_before: float, most: float = math.inf, hop: float = 1.0, loud: Column | None = None) -> DataFrame:
     """Turns folded into the one before, which depends on how long that has become: a pass over the sorted document.
 
     A turn shorter than `short` with the same speaker, a gap under `near` and a predecessor under `long` extends it; so does
-    any turn of the same speaker after a predecessor shorter than `before`, within `near_before`.
+    any turn of the same speaker after a predecessor shorter than `before`, within `near_before`. A turn longer than `most` becomes pieces
+    of at most that (see split_long; loud: of its frames of length hop), none of which extends what is before it.
     """
-    rows = segments.select(doc, *order, F.col("start").cast("double").alias("_start"), F.col("end").cast("double").alias("_end"), "speaker")
+    frames = F.array().cast("array<boolean>") if loud is None else loud
+    rows = segments.select(doc, *order, F.col("start").cast("double").alias("_start"), F.col("end").cast("double").alias("_end"), "speaker", frames.alias("_loud"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the open turn is held, however long a document is."""
@@ -78,16 +82,18 @@ def fold_short_turns(segments: DataFrame, doc: str, order: list[str], short: flo
 
         for b in batches:
             out, kind = [], b.column(doc).type
-            for k, start, end, speaker in zip(*(b.column(c).to_pylist() for c in (doc, "_start", "_end", "speaker")), strict=True):
-                if last is not None and k == key:
+            for k, start, end, speaker, frames in zip(*(b.column(c).to_pylist() for c in (doc, "_start", "_end", "speaker", "_loud")), strict=True):
+                pieces = [(start + x, start + y) for x, y in split_long(0.0, end - start, frames or [], hop, most)] if end - start > most else []
+                if last is not None and k == key and not pieces:
                     size, gap = last[1] - last[0], start - last[1]
                     if speaker == last[2] and ((end - start < short and gap < near and size < long) or (size < before and gap < near_before)):
                         last = (last[0], max(last[1], end), speaker)
                         continue
-                if last is not None:
-                    out.append((key, place, last))
-                place = place + 1 if last is not None and k == key else 0
-                key, last = k, (start, end, speaker)
+                for start, end in pieces or [(start, end)]:
+                    if last is not None:
+                        out.append((key, place, last))
+                    place = place + 1 if last is not None and k == key else 0
+                    key, last = k, (start, end, speaker)
             yield made(out)
         if last is not None:
             yield made([(key, place, last)])

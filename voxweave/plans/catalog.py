@@ -110,6 +110,21 @@ def short_turn_fold(spark, sf_dir):
     return S.fold_short_turns(timed(spark, sf_dir), "user_id", ["start", "event_id"], 1.5e9, 3600e6, 30e9, 1.5e9, 7200e6)
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS speaker, CAST(epoch_us(ts) AS DOUBLE) AS s, CAST(epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS DOUBLE) AS f FROM events),
+    q AS (SELECT *, s AS a, 0 AS k FROM e WHERE f - s > 3e9 UNION ALL SELECT user_id, event_id, speaker, s, f, a + 1.5e9, k + 1 FROM q WHERE f - a > 3e9),
+    r AS (SELECT user_id, event_id, speaker, s AS at_, s, f, 0 AS k, false AS piece FROM e WHERE f - s <= 3e9 UNION ALL SELECT user_id, event_id, speaker, s, a, CASE WHEN f - a > 3e9 THEN a + 1.5e9 ELSE f END, k, true FROM q),
+    x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_, event_id, k) AS i FROM r),
+    w AS (SELECT user_id, i, 0::BIGINT AS place, s, f, speaker FROM x WHERE i = 1
+      UNION ALL SELECT user_id, i, CASE WHEN fold THEN place ELSE place + 1 END, CASE WHEN fold THEN s ELSE s2 END, CASE WHEN fold THEN greatest(f, f2) ELSE f2 END, speaker2
+      FROM (SELECT x.user_id, x.i, w.place, w.s, w.f, x.s AS s2, x.f AS f2, x.speaker AS speaker2,
+          NOT x.piece AND w.speaker = x.speaker AND ((x.f - x.s < 1.5e9 AND x.s - w.f < 3600e6 AND w.f - w.s < 3e9) OR (w.f - w.s < 1.5e9 AND x.s - w.f < 7200e6)) AS fold
+        FROM w JOIN x ON w.user_id = x.user_id AND x.i = w.i + 1))
+    SELECT user_id, place, arg_max(s, i) AS start, arg_max(f, i) AS "end", arg_max(speaker, i) AS speaker FROM w GROUP BY user_id, place""")
+def turn_fold_split(spark, sf_dir):
+    """The fold with turns that are too long cut into pieces, here in the middle as nothing is silent."""
+    return S.fold_short_turns(timed(spark, sf_dir), "user_id", ["start", "event_id"], 1.5e9, 3600e6, 3e9, 1.5e9, 7200e6, 3e9, 1e8)
+
+
 SP = r"[\x09-\x0D\x1C-\x20\x85]+"
 
 
