@@ -38,7 +38,7 @@ CLASSES, FREQUENT = 128, 95
 WINDOW, HASHED, EMBEDDING, HIDDEN = 2, 1 << 12, 8, 24
 BATCH, RATE, SLOWER = 4096, 0.01, 400
 #: Bytes of text in a chunk.
-CHUNK = 4 << 20
+CHUNK = 16 << 20
 #: Weights of tasks are averaged in groups, then again.
 GROUPS = (256, 8)
 _LETTER, _DIGIT = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.digits))
