@@ -3,9 +3,11 @@
 A document's set holds its different shingles of `shingle` words as 64-bit hashes; documents with equal sets are one node. Two
 sets with 100 * common >= percent * union share at least T = ceil(percent / 100 * n) of the n shingles of either, so they meet in
 S = shared_lists(percent) inverted lists of the n - T + S rarest; a document that meets others in fewer lists has no link. Rarity
-comes from a count of all shingles in SKETCH buckets, which bounds every list's length from above; its order is the same
-everywhere, which is all that exactness needs. The rare (short) lists are spread over the cluster, and lists of one document
-vanish.
+comes from a count of all shingles in counters(bytes of text) buckets, which bounds every list's length from above; its order is
+the same everywhere, which is all that exactness needs. The counters grow with the text, so that about as many shingles share
+one at any size, up to MOST_COUNTERS (some 30 GB of text): each is one byte by then, a step of the count's logarithm, so a
+worker holds 64 MB at most. Beyond that size counters fill up and only a shingle's excess over the others' mean tells it apart:
+results stay right, lists grow longer. The rare (short) lists are spread over the cluster, and lists of one document vanish.
 
 Lists with the same smallest node make one group. First each node is searched in one of its groups; groups are cut into
 blocks of about BLOCK nodes and BLOCK_SHINGLES shingles. In a block the T-occurrence search runs on the block's own lists:
@@ -26,6 +28,7 @@ from __future__ import annotations
 import bisect
 import functools
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, slices, text_key, texts
+from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, rows_of, slices, text_key, texts
 
 #: Words of a shingle and least similarity, where a caller names no others.
 SHINGLE, PERCENT = 4, 85
-SKETCH = 1 << 19
-CHUNK = 1 << 12
+#: Bytes of text for each counter, the fewest and the most counters; counters are summed in chunks, from FLUSH shingles at a time.
+COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 384, 1 << 12, 1 << 26
+CHUNK, FLUSH = 1 << 16, 1 << 22
+#: Steps of a counter's byte for each doubling of its count.
+STEPS = 7
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Blocks to which one row sends a set, and bytes of sets in one Arrow batch.
 SENT, SENT_BYTES = 1 << 12, 32 << 20
@@ -84,50 +90,73 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - least + min(shared_lists(percent), least)
 
 
-def sets_of(docs: DataFrame, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
+def counters(size: int) -> int:
+    """How many counters a corpus of so many bytes of text has: a power of two."""
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // COUNTER_BYTES).bit_length()))
+
+
+def steps(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that rise with them: 0 for none and for one, then STEPS for each doubling."""
+    return np.minimum(STEPS * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
+
+
+def sets_of(docs: DataFrame, count: int, shingle: int = SHINGLE, bits: int = 64) -> DataFrame:
     """Per document (doc_id, k1, k2, n, node, other: see node_of), node null without shingles; and, in rows of their own,
-    chunk, places and counts of the sketch that a task has gathered."""
+    chunk, places and counts of the `count` counters that a task has gathered."""
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+    chunk, flush = min(CHUNK, count), FLUSH
+
+    def gathered(found: list[np.ndarray]) -> pa.RecordBatch:
+        at, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
+        edges = np.flatnonzero(np.diff(at // chunk, prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        none = pa.nulls(len(spans), pa.int64())
+        places, times = (at % chunk).astype("<u2"), times.astype("<u4")
+        return batch_of(schema, [none, none, none, none, none, none, [int(at[i]) // chunk for i, _ in spans], [places[i:j].tobytes() for i, j in spans], [times[i:j].tobytes() for i, j in spans]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint32)
+        found, held = [], 0
         for b in batches:
             n, nodes = [], []
             for raw in texts(b, "text"):
                 s = shingles(raw, shingle)
                 n.append(len(s))
                 nodes.append(node_of(s, bits) if len(s) else (None, None))
-                np.add.at(sketch, (s & U64(SKETCH - 1)).astype(np.int64), 1)
+                found.append((s & U64(count - 1)).astype(np.uint32))
+                held += len(s)
+                if held >= flush:
+                    yield gathered(found)
+                    found, held = [], 0
             empty = pa.nulls(len(n), pa.binary())
             yield batch_of(schema, [b.column("doc_id"), b.column("k1"), b.column("k2"), n, [x for x, _ in nodes], [y for _, y in nodes], pa.nulls(len(n), pa.int32()), empty, empty])
-        chunks = sketch.reshape(-1, CHUNK)
-        at = np.flatnonzero(chunks.any(1))
-        places = [np.flatnonzero(chunks[c]).astype("<u2") for c in at]
-        none = pa.nulls(len(at), pa.int64())
-        yield batch_of(schema, [none, none, none, none, none, none, at.astype(np.int32), [p.tobytes() for p in places], [chunks[c][p].astype("<u4").tobytes() for c, p in zip(at, places, strict=True)]])
+        yield gathered(found)
 
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, node long, other long, chunk int, places binary, counts binary")
 
 
-def sketch_of(sets: DataFrame) -> np.ndarray:
-    """The whole corpus's sketch: partial sums in groups of tasks, then one row for each chunk; its size is fixed."""
+def sketch_of(sets: DataFrame, count: int) -> np.ndarray:
+    """The whole corpus's counters as bytes (see steps): partial sums in groups of tasks, then one row for each chunk. At most
+    MOST_COUNTERS bytes come to the driver, whatever the corpus."""
+    size = min(CHUNK, count)
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (chunk, *_), rows in groups_of(batches, 2, ["chunk", "part", "places", "counts"]):
-            total = np.zeros(CHUNK, np.int64)
-            for *_, places, counts in rows:
+    def add(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        for (chunk, _), rows in itertools.groupby(rows_of(batches, ["chunk", "part", "places", "counts"]), key=lambda r: r[:2]):
+            total = np.zeros(size, np.int64)
+            for *_, places, counts in rows:  # one after the other: a corpus has many tasks
                 total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<u4")
             place = np.flatnonzero(total)
-            yield batch_of(schema, [[chunk], [place.astype("<u2").tobytes()], [np.minimum(total[place], (1 << 32) - 1).astype("<u4").tobytes()]])
+            told = steps(total) if last else np.minimum(total[place], (1 << 32) - 1).astype("<u4")
+            yield batch_of(schema, [[chunk], [b"" if last else place.astype("<u2").tobytes()], [told.tobytes()]])
 
     schema = pa.schema([("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
     parts = sets.where("chunk is not null").select("chunk", "places", "counts")
-    for groups in (16, 1):
+    for groups in (64, 1):
         part = F.pmod(F.xxhash64("places"), F.lit(groups)).alias("part")
-        parts = parts.select("chunk", part, "places", "counts").repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(add, "chunk int, places binary, counts binary")
-    out = np.zeros((SKETCH // CHUNK, CHUNK), np.int64)
+        parts = parts.select("chunk", part, "places", "counts").repartition("chunk", "part").sortWithinPartitions("chunk", "part")
+        parts = parts.mapInArrow(lambda b, last=groups == 1: add(b, last), "chunk int, places binary, counts binary")
+    out = np.zeros((count // size, size), np.uint8)
     for r in parts.collect():
-        out[r["chunk"], np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["counts"], "<u4")
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return out.ravel()
 
 
@@ -144,7 +173,8 @@ def postings(docs: DataFrame, sketch: np.ndarray, names: dict[tuple[int, int], i
     """(token, node, n, long) of each document's prefix_length rarest shingles; n is its set's size, and the list can be
     longer than SHORT_LIST only if long."""
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("long", pa.bool_())])
-    shared = docs.sparkSession.sparkContext.broadcast((np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), names))  # SKETCH numbers, whatever the corpus, and MOST_RENAMED names at most
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, names))  # MOST_COUNTERS bytes and MOST_RENAMED names at most
+    long_from = steps(np.array([SHORT_LIST]))[0]  # what has fewer steps has a shorter list
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = shared.value
@@ -154,10 +184,10 @@ def postings(docs: DataFrame, sketch: np.ndarray, names: dict[tuple[int, int], i
                 parts: list[list] = [[], [], [], []]
                 for r in range(i, j):
                     if len(s := shingles(raw[r], shingle)):
-                        size = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
+                        size = counts[(s & U64(len(counts) - 1)).astype(np.int64)]
                         at = np.lexsort((s, size))[: prefix_length(len(s), percent)]
                         name = node_of(s, bits)
-                        for p, v in zip(parts, (s[at], np.full(len(at), names.get(name, name[0])), np.full(len(at), len(s), np.int32), size[at] > SHORT_LIST), strict=True):
+                        for p, v in zip(parts, (s[at], np.full(len(at), names.get(name, name[0])), np.full(len(at), len(s), np.int32), size[at] >= long_from), strict=True):
                             p.append(v)
                 if parts[0]:
                     token, node, n, long = map(np.concatenate, parts)
@@ -312,10 +342,12 @@ def join_components(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, p
     without shingles). bits: of a node's name, fewer only to see that equal names do no harm."""
     k1, k2 = text_key(F.col("text"))
     keyed = need(docs, "doc_id", "text").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
-    if keyed.isEmpty():
+    size = keyed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if not size["rows"]:
         return docs.sparkSession.createDataFrame([], "doc_id long, k1 long, k2 long, n_shingles long, component_id long, comp long")
-    sets = scratch.keep(sets_of(keyed, shingle, bits), "sets")
-    sketch = sketch_of(sets)
+    count = counters(size["bytes"])
+    sets = scratch.keep(sets_of(keyed, count, shingle, bits), "sets")
+    sketch = sketch_of(sets, count)
     rows = sets.where("chunk is null").select("doc_id", "k1", "k2", "n", "node", "other")
     if names := renamed(rows):
         new = docs.sparkSession.createDataFrame([(*k, v) for k, v in names.items()], "node long, other long, new long")
