@@ -165,3 +165,14 @@ def test_stream_state_goes_on(spark, tmp_path):
     q = B.pack(rows(), "shard", "ord", "n", 100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["ord"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_workers_reduce_and_gather(spark):
+    from voxweave.operators import joins
+
+    rows = [(1, 0, 2), (1, 0, 3), (1, 2, 7), (1, 1, None), (2, 1, -4), (None, 0, 1)]
+    got = joins.all_reduced(spark.createDataFrame(rows, "step long, worker long, value long"), "step", "worker", "value").collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted(
+        [(1, 0, 5, 12, 7, 6.0, [5, None, 7]), (1, 1, None, 12, 7, 6.0, [5, None, 7]), (1, 2, 7, 12, 7, 6.0, [5, None, 7]), (2, 1, -4, -4, -4, -4.0, [-4]), (None, 0, 1, 1, 1, 1.0, [1])], key=str
+    )
+    assert joins.all_reduced(spark.createDataFrame([], "step long, worker long, value long"), "step", "worker", "value").isEmpty()

@@ -95,3 +95,17 @@ def nearest(rows: DataFrame, value: str, grid: DataFrame, point: str) -> DataFra
     found = ranged.join(F.broadcast(ends.drop("_min", "_max")), "_part").withColumn("_l", low).withColumn("_h", high).where(F.col("_p").isNull())  # a row for each range
     pick = F.when(F.col("_h").isNull() | (F.col("_x") - F.col("_l") <= F.col("_h") - F.col("_x")), F.col("_l")).otherwise(F.col("_h"))
     return found.withColumn("nearest", pick).select(*rows.columns, "nearest")
+
+
+def all_reduced(df: DataFrame, step: str, worker: str, value: str) -> DataFrame:
+    """(step, worker, own, total, greatest, mean, gathered): each worker's sum of value in a step, and what all workers of the
+    step have together; gathered holds their sums in the order of workers, of which there must be few (one for each process).
+
+    Workers without rows in a step take no part in it. Nulls count in no sum, greatest or mean, and stand in gathered.
+    """
+    own = df.groupBy(step, worker).agg(F.sum(value).alias("own"))  # summed before the shuffle; then one row for each worker
+    together = own.groupBy(step).agg(
+        F.sum("own").alias("total"), F.max("own").alias("greatest"), F.avg("own").alias("mean"), F.array_sort(F.collect_list(F.struct(worker, "own"))).alias("each")
+    )
+    rows = together.withColumn("at", F.explode("each"))
+    return rows.select(step, F.col("at")[worker].alias(worker), F.col("at.own").alias("own"), "total", "greatest", "mean", F.col("each.own").alias("gathered"))

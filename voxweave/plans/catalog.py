@@ -563,6 +563,16 @@ def bad_tag_predicate(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.bad_tag(tag, F.col("text")).alias("bad"))
 
 
+@query("""WITH w AS (SELECT epoch_us(ts) // 86400000000 AS step, user_id % 8 AS worker, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS own FROM events GROUP BY 1, 2),
+    a AS (SELECT step, CAST(sum(own) AS BIGINT) AS total, max(own) AS greatest, sum(own) / count(own) AS mean, list(own ORDER BY worker) AS gathered FROM w GROUP BY step)
+    SELECT step, worker, own, total, greatest, mean, gathered FROM w JOIN a USING (step)""")
+def worker_reduce(spark, sf_dir):
+    """What eight workers reduce and gather for each day."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("step")
+    rows = read(spark, sf_dir, "events").select(day, F.pmod("user_id", F.lit(8)).alias("worker"), F.floor(F.col("value") * 1000).alias("milli"))
+    return J.all_reduced(rows, "step", "worker", "milli")
+
+
 # --- scalars of the data plane ---
 
 
