@@ -185,3 +185,15 @@ def test_wav_blocks_from_offset_to_offset(tmp_path):
     assert [(r[0], r[1], r[3]) for r in seen] == [("a", 0, False), ("a", 1, False), ("a", 2, False), ("a", 3, False), ("a", 4, True), ("b", 0, False), ("b", 1, True), ("c", 0, True)]
     whole = np.concatenate([r[4] for r in seen if r[0] == "a"])
     assert np.allclose(whole, [0] * 3 + [round(k / 100 * 32768) / 32768 for k in range(37)] + [0] * 10) and seen[1][2] == 10 / 8000
+
+
+def test_short_wav_files_share_tasks_and_long_ones_are_cut(tmp_path, monkeypatch):
+    monkeypatch.setattr("voxweave.streaming.audio.TASK_BLOCKS", 40)
+    sink, message = written(tmp_path, [(f"f{k:03}", [k / 200] * (k % 7)) for k in range(100)] + [("long", [0.5] * 950)])
+    sink.commit([message])
+    reader = WavReader({"path": str(tmp_path), "block": "10"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted({r[0] for r in rows}) == [*(f"f{k:03}" for k in range(100) if k % 7), "long"] and len(rows) == len({r[:2] for r in rows})
+    assert [r[1] for r in rows if r[0] == "long"] == list(range(95)) and len(parts) < 20
+    assert max(len(list(reader.read(p))) for p in parts) == 40

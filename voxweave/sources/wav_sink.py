@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import wave
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+#: Files that are renamed at the same time.
+MOVERS = 16
+
 
 @dataclass
 class Written(WriterCommitMessage):
-    listed: str  # JSON: (aside, name) of each file
+    aside: str
+    names: tuple
 
 
 def pcm16(samples: np.ndarray, rate: int) -> bytes:
@@ -49,15 +53,16 @@ class WavWriter(DataSourceArrowWriter):
                     raise ValueError(f"{name!r} names no file")
                 with store.open_output_stream(f"{aside}/{name}.wav") as out:
                     out.write(pcm16(np.array(samples.as_py() or [], np.float64), self.rate))
-                done.append((aside, name))
-        return Written(json.dumps(done))
+                done.append(name)
+        return Written(aside, tuple(done))
 
     def commit(self, messages: list) -> None:
         """Only files of the attempts that Spark counts are moved; those of failed or doubled ones go with the job's folder."""
         store, base = self._store()
-        for m in messages:
-            for aside, name in json.loads(m.listed) if m else ():
-                store.move(f"{aside}/{name}.wav", f"{base}/{name}.wav")
+        moves = ((f"{m.aside}/{name}.wav", f"{base}/{name}.wav") for m in messages if m for name in m.names)
+        with ThreadPoolExecutor(MOVERS) as pool:  # a rename is a call to the store, and there may be many
+            for _ in pool.map(lambda x: store.move(*x), moves):
+                pass
         self._clear(store, base)
 
     def abort(self, messages: list) -> None:

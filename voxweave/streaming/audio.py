@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 BLOCK = "name string, block long, start double, last boolean, samples array<double>"
 CHUNK = "chunk long, start double, length long, samples array<double>"
-#: Blocks that one task reads at most.
+#: Blocks that one task reads at most, of one long file or of many short ones.
 TASK_BLOCKS = 4096
 
 
@@ -24,8 +24,10 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, first: int, end: int):
-        self.path, self.first, self.end = path, first, end
+    """(file, first block, block behind the last one) of each run; without an end the file is whole."""
+
+    def __init__(self, runs: list[tuple[str, int, int | None]]):
+        self.runs = runs
 
 
 class WavReader(DataSourceStreamReader):
@@ -37,43 +39,55 @@ class WavReader(DataSourceStreamReader):
         self.most = int(options.get("files", 1 << 30))
         self.at = ""
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
+        """Path and bytes of each file."""
         store, base = _store(self.folder)
         found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        return sorted(f.path for f in found if f.is_file and f.base_name.lower().endswith(".wav") and not f.base_name.startswith((".", "_")))
+        return sorted((f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(".wav") and not f.base_name.startswith((".", "_")))
 
     def initialOffset(self) -> dict:
         return {"name": ""}
 
     def latestOffset(self) -> dict:
-        names = [n for n in (f.rsplit("/", 1)[-1] for f in self._files()) if n > self.at][: self.most]
+        names = [n for n in (f.rsplit("/", 1)[-1] for f, _ in self._files()) if n > self.at][: self.most]
         self.at = names[-1] if names else self.at
         return {"name": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Files that can't hold more than TASK_BLOCKS blocks share tasks of about so many; only of larger ones the headers are read here."""
         self.at = max(self.at, end["name"])
-        store, out = _store(self.folder)[0], []
-        for path in self._files():
+        store, out, runs, held = _store(self.folder)[0], [], [], 0
+        for path, size in self._files():
             if start["name"] < path.rsplit("/", 1)[-1] <= end["name"]:
-                with store.open_input_file(path) as f, wave.open(f) as w:
-                    n = -(-(self.before + w.getnframes() + self.behind) // self.size)
-                out += [Part(path, i, min(n, i + TASK_BLOCKS)) for i in range(0, n, TASK_BLOCKS)]
-        return out
+                most = -(-(self.before + size // 2 + self.behind) // self.size)  # 16 bits a frame at least
+                if most > TASK_BLOCKS:
+                    with store.open_input_file(path) as f, wave.open(f) as w:
+                        n = -(-(self.before + w.getnframes() + self.behind) // self.size)
+                    out += [Part([(path, i, min(n, i + TASK_BLOCKS))]) for i in range(0, n, TASK_BLOCKS)]
+                    continue
+                if runs and held + most > TASK_BLOCKS:
+                    out.append(Part(runs))
+                    runs, held = [], 0
+                runs.append((path, 0, None))
+                held += most
+        return [*out, Part(runs)] if runs else out
 
     def read(self, part: Part) -> Iterator[tuple]:
-        with _store(self.folder)[0].open_input_file(part.path) as f, wave.open(f) as w:
-            frames, rate, channels, width = w.getnframes(), w.getframerate(), w.getnchannels(), w.getsampwidth()
-            if width != 2:
-                raise ValueError(f"{part.path}: {8 * width} bits, not 16")
-            total = self.before + frames + self.behind
-            for block in range(part.first, part.end):
-                low = block * self.size - self.before  # in frames of the file; what lies outside is silent
-                a, b = max(0, min(frames, low)), max(0, min(frames, low + self.size))
-                samples = np.zeros(self.size)
-                if a < b:
-                    w.setpos(a)
-                    samples[a - low : b - low] = np.frombuffer(w.readframes(b - a), "<i2").reshape(-1, channels).mean(1) / 32768
-                yield part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0], block, block * self.size / rate, (block + 1) * self.size >= total, samples.tolist()
+        store = _store(self.folder)[0]
+        for path, first, stop in part.runs:
+            with store.open_input_file(path) as f, wave.open(f) as w:
+                frames, rate, channels, width = w.getnframes(), w.getframerate(), w.getnchannels(), w.getsampwidth()
+                if width != 2:
+                    raise ValueError(f"{path}: {8 * width} bits, not 16")
+                total = self.before + frames + self.behind
+                for block in range(first, -(-total // self.size) if stop is None else stop):
+                    low = block * self.size - self.before  # in frames of the file; what lies outside is silent
+                    a, b = max(0, min(frames, low)), max(0, min(frames, low + self.size))
+                    samples = np.zeros(self.size)
+                    if a < b:
+                        w.setpos(a)
+                        samples[a - low : b - low] = np.frombuffer(w.readframes(b - a), "<i2").reshape(-1, channels).mean(1) / 32768
+                    yield path.rsplit("/", 1)[-1].rsplit(".", 1)[0], block, block * self.size / rate, (block + 1) * self.size >= total, samples.tolist()
 
     def commit(self, end: dict) -> None:
         pass
