@@ -1,6 +1,7 @@
 """Resampling, fixed spectra, Arrow files and tar shards."""
 
 import io
+import pickle
 import tarfile
 
 import numpy as np
@@ -84,6 +85,18 @@ def test_tar_shards_cut_between_samples(tmp_path):
         assert (len(parts) == 2) == (size > 1 << 20) and all(len(list(reader.read(p))) == 1 for p in parts) is (size == 1)
 
 
+def test_many_small_tar_shards_share_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr("voxweave.sources.tar_shards.TASKS", 5)
+    for k in range(60):
+        shard(tmp_path / f"{k:02}.tar", [f"s{k:02}-{i}.txt" for i in range(8)])
+    reader = TarReader({"path": str(tmp_path), "bytes": "2000"})  # shards of 20,480 bytes are larger, but not larger than a task's share
+    scanned = []
+    monkeypatch.setattr("voxweave.sources.tar_shards.cuts_of", lambda f, size: scanned.append(f))
+    parts = reader.partitions()
+    assert len(parts) == 5 and not scanned and len(pickle.dumps(reader)) < 500
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == [f"s{k:02}-{i}" for k in range(60) for i in range(8)]
+
+
 def test_tar_shards_twice_the_same_member(tmp_path):
     shard(tmp_path / "x.tar", ["a.txt", "a.txt"])
     reader = TarReader({"path": str(tmp_path / "x.tar")})

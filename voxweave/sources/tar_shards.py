@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .arrow_files import files_of, store_of
-from .shared import numbered
+from .shared import kept, numbered
 
 SAMPLE = "key string, shard string, members map<string,binary>"
+#: A task reads about one of so many equal shares of all bytes, but no more than MOST_BYTES where shards can be cut.
+TASKS, MOST_BYTES = 256, 128 << 20
 
 
-class Range(InputPartition):
-    """Samples whose first member's header lies in [start, end) of a shard; start is the place of a sample."""
+class Ranges(InputPartition):
+    """(shard, start, end) of each range: samples whose first member's header lies in [start, end); start is the place of a sample."""
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 def split_name(name: str) -> tuple[str, str]:
@@ -44,42 +46,66 @@ def members(f: object, start: int = 0) -> Iterator[tuple[int, tarfile.TarInfo, t
             tar.members = []  # a long shard's headers aren't kept
 
 
+def cuts_of(f: object, size: int) -> list[int]:
+    """Places of samples, `size` bytes or more apart, from 0; all headers are read."""
+    cuts, key = [0], None
+    for at, m, _ in members(f):
+        own = split_name(m.name)[0]
+        if own != key and at - cuts[-1] >= size:
+            cuts.append(at)
+        key = own
+    return cuts
+
+
 class TarReader(DataSourceReader):
+    """It goes to every task, so it holds no list of shards."""
+
     def __init__(self, options: dict[str, str]):
-        self.files, self.size = files_of(options["path"], (".tar",)), int(options.get("bytes", 128 << 20))
+        self.path, self.size = options["path"], int(options.get("bytes", MOST_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        """Shards of up to `bytes` are one task each; only of larger ones the headers are read, to cut them between samples."""
-        out = []
-        for path in self.files:
+        """Shards are cut between samples, for which their headers are read, only if they are larger than `bytes` and than a task's
+        share; what is smaller than that share goes together."""
+        sized = []
+        for path in files_of(self.path, (".tar",)):
             store, base = store_of(path)
-            total = store.get_file_info(base).size
+            sized.append((path, store.get_file_info(base).size))
+        share = min(MOST_BYTES, sum(n for _, n in sized) // TASKS)
+        size = max(self.size, share)
+        out, held = [], share
+        for path, total in sized:
             cuts = [0]
-            if total > self.size:
+            if total > size:
+                store, base = store_of(path)
                 with store.open_input_file(base) as f:
-                    key = None
-                    for at, m, _ in members(f):
-                        own = split_name(m.name)[0]
-                        if own != key and at - cuts[-1] >= self.size:
-                            cuts.append(at)
-                        key = own
-            out += [Range(path, a, b) for a, b in zip(cuts, [*cuts[1:], total], strict=True)]
+                    cuts = cuts_of(f, size)
+            for a, b in zip(cuts, [*cuts[1:], total], strict=True):
+                if not out or held + b - a > share:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].ranges.append((path, a, b))
+                held += b - a
         return out
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        store, base = store_of(part.path)
+    def read(self, part: Ranges) -> Iterator[tuple]:
+        for path, start, end in part.ranges:
+            yield from self._samples(path, start, end)
+
+    @staticmethod
+    def _samples(path: str, start: int, end: int) -> Iterator[tuple]:
+        store, base = store_of(path)
         with store.open_input_file(base) as f:
             key, found = None, {}
-            for at, m, tar in members(f, part.start):
+            for at, m, tar in members(f, start):
                 own, suffix = split_name(m.name)
                 if own != key:
                     if key is not None:
                         yield key, base.rsplit("/", 1)[-1], found
-                    if at >= part.end:
+                    if at >= end:
                         return
                     key, found = own, {}
                 if suffix in found:
-                    raise ValueError(f"{part.path}: {m.name} is there twice")
+                    raise ValueError(f"{path}: {m.name} is there twice")
                 found[suffix] = tar.extractfile(m).read()
             if key is not None:
                 yield key, base.rsplit("/", 1)[-1], found
@@ -133,8 +159,8 @@ class TarWriter(DataSourceArrowWriter):
 
 
 class TarShards(DataSource):
-    """read and write.format("tar_shards") of (key, shard, members: suffix to content). Options: path, bytes (of one task's part of a shard
-    at least), samples (of a written shard at most)."""
+    """read and write.format("tar_shards") of (key, shard, members: suffix to content). Options: path, bytes (of a part of a shard at least;
+    a task takes several where there are many), samples (of a written shard at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,6 +181,7 @@ class TarShards(DataSource):
 def virtual_epoch(rows: DataFrame, order: list[str], length: int) -> DataFrame:
     """An epoch of `length` samples whatever the rows: `_place` from 0 in order, the rows again from the first one when they are through,
     or only the first `length` of them."""
+    rows = kept(rows, "epoch")  # counted, sampled for ranges and dealt out, but made once
     total = rows.count()
     if not total:
         return rows.withColumn("_place", F.lit(0).cast("long")).limit(0)
