@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from voxweave.operators.samples import first_fit
+from voxweave.plans import catalog, streams  # noqa: F401
 from voxweave.sources.json_arrays import json_array
 from voxweave.sources.wav_sink import WavWriter
 from voxweave.streaming.audio import Chunks, WavReader
@@ -197,3 +198,11 @@ def test_short_wav_files_share_tasks_and_long_ones_are_cut(tmp_path, monkeypatch
     assert sorted({r[0] for r in rows}) == [*(f"f{k:03}" for k in range(100) if k % 7), "long"] and len(rows) == len({r[:2] for r in rows})
     assert [r[1] for r in rows if r[0] == "long"] == list(range(95)) and len(parts) < 20
     assert max(len(list(reader.read(p))) for p in parts) == 40
+
+
+def test_the_array_query_writes_with_many_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(streams.json_arrays, "json_array", lambda s, path, schema: seen.append(path) or json_array(s, path, schema))
+    assert streams.source_json_array(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    files = [r["value"] for r in spark.read.text(seen[0], wholetext=True).collect()]
+    assert len(files) > 8 and all(f.startswith("[") and f.rstrip().endswith("]") for f in files)

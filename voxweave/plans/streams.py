@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,20 +13,25 @@ from ..functions import resampling
 from ..operators import features as V
 from ..sources import json_arrays, tar_shards
 from ..sources.arrow_files import ArrowFiles
-from ..sources.shared import folder
+from ..sources.shared import dealt, folder
 from ..sources.wav_sink import WavFiles
 from ..streaming import audio, buffers
 from ..streaming import blocks as B
 from .catalog import first_fit_sql, query, read
 
 
+def bracketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's items as one array; the comma behind the last one does no harm."""
+    edge = lambda sign: pa.RecordBatch.from_pydict({"value": [sign]})
+    return itertools.chain([edge("[")], batches, [edge("]")])
+
+
 @query("SELECT doc_id AS id, source, n_chars AS n, text FROM documents")
 def source_json_array(spark, sf_dir):
-    """One file that holds one array, read by as many tasks as its size asks for."""
+    """Files that hold one array each, written by every task and read by as many tasks as their size asks for."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.struct("source", F.col("n_chars").alias("n")).alias("meta"), "text")
-    edge = lambda sign: spark.range(1).select(F.lit(sign).alias("value"))
     path = folder(spark, "array")
-    edge("[").union(docs.select(F.concat(F.to_json(F.struct("*")), F.lit(",")))).union(edge("]")).coalesce(1).write.text(path)
+    dealt(docs.select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))).mapInArrow(bracketed, "value string").write.text(path)
     return json_arrays.json_array(spark, path, "id long, meta struct<source:string,n:long>, text string").select("id", "meta.source", "meta.n", "text")
 
 

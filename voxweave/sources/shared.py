@@ -29,6 +29,14 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows spread over the whole cluster by a hash of all columns that have one: a compressed file's part may hold many times its
+    size, and a scan has no more tasks than such parts."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *(f"`{n}`" for n, kind in rows.dtypes if "map<" not in kind and "variant" not in kind))
+
+
 def write_text(spark: SparkSession, path: str, text: str | bytes) -> str:
     """A small file by Hadoop's file system, so on any store."""
     jvm = spark.sparkContext._jvm
