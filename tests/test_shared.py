@@ -1,6 +1,7 @@
 """Places without one task for all, nearest points however far, markers, parts and encoders."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def test_nearest_is_found_however_far(spark):
     assert {r["nearest"] for r in J.nearest(rows.where("x = 0"), "x", grid.limit(0), "p").collect()} == {None}
 
 
+def test_encoding_is_dealt_out_whatever_the_files_are(spark):
+    rows = spark.createDataFrame([(i, "ab" if i % 3 else None, {"k": i}) for i in range(500)], "id long, text string, m map<string,int>").coalesce(1)
+    got = encoded(rows, "text", ByteEncoder)
+    assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert sorted((r["id"], r["ids"], r["m"]["k"]) for r in got.collect()) == [(i, [97, 98] if i % 3 else [], i) for i in range(500)]
+
+
 def test_counted_parts(spark):
     path, rows = folder(spark, "parts"), spark.range(25).toDF("id")
     assert sinks.write_counted(rows, path, ["id"], "error", 10, most=7) == 7
