@@ -33,6 +33,16 @@ def test_nearest_is_found_however_far(spark):
     assert {r["nearest"] for r in J.nearest(rows.where("x = 0"), "x", grid.limit(0), "p").collect()} == {None}
 
 
+def test_a_hot_expert_fills_many_tasks(spark):
+    sent = spark.range(20_000).select("id", F.lit(3).alias("expert"), F.lit(1).alias("w"), F.spark_partition_id().alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = J.through_experts(sent, ["id"], "expert", F.lit(1) * F.pow(F.lit(2), F.spark_partition_id()), "w").select("mixed").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks > 4
+
+
 def test_encoding_is_dealt_out_whatever_the_files_are(spark):
     rows = spark.createDataFrame([(i, "ab" if i % 3 else None, {"k": i}) for i in range(500)], "id long, text string, m map<string,int>").coalesce(1)
     got = encoded(rows, "text", ByteEncoder)

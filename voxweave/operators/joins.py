@@ -59,8 +59,9 @@ def zip_by_place(places: DataFrame, values: DataFrame, keys: list[str], order: s
 
 
 def through_experts(sent: DataFrame, token: list[str], expert: str, work: Column, weight: str) -> DataFrame:
-    """Rows (a token at one of its experts) dealt by expert and sorted there, worked on, and back as a weighted sum."""
-    worked = sent.repartition(expert).sortWithinPartitions(expert, *token).withColumn("_y", work)
+    """Rows (a token at one of its experts) dealt by ranges of expert and token, so that an expert's rows fill as many tasks as they
+    need, sorted there, worked on, and back as a weighted sum."""
+    worked = sent.repartitionByRange(expert, *token).sortWithinPartitions(expert, *token).withColumn("_y", work)
     return worked.groupBy(*token).agg(F.sum(F.col(weight) * F.col("_y")).alias("mixed"))
 
 
