@@ -33,6 +33,16 @@ def test_nearest_is_found_however_far(spark):
     assert {r["nearest"] for r in J.nearest(rows.where("x = 0"), "x", grid.limit(0), "p").collect()} == {None}
 
 
+def test_nearest_sums_no_frame_anew_for_every_row(spark):
+    """60,000 rows among 30,000 points in one range: a frame to the range's end took minutes."""
+    rows, grid = spark.range(60_000).select((F.col("id") / 2).alias("x")), spark.range(30_000).select((F.col("id") + F.lit(0.25)).alias("p"))
+    began = time.monotonic()
+    wrong = J.nearest(rows, "x", grid, "p").where(F.col("nearest") != F.greatest(F.lit(0.25), F.ceil(F.col("x") - F.lit(0.75)) + F.lit(0.25)))
+    assert wrong.count() == 0 and time.monotonic() - began < 60
+    text = J.nearest(rows, "x", grid, "p")._jdf.queryExecution().toString()
+    assert "RangeFrame, currentrow$(), unboundedfollowing" not in text
+
+
 def test_a_hot_expert_fills_many_tasks(spark):
     sent = spark.range(20_000).select("id", F.lit(3).alias("expert"), F.lit(1).alias("w"), F.spark_partition_id().alias("p"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -90,9 +90,9 @@ def nearest(rows: DataFrame, value: str, grid: DataFrame, point: str) -> DataFra
     ranged = kept(ranged, "nearest")
     ends = ranged.groupBy("_part").agg(F.min("_p").alias("_min"), F.max("_p").alias("_max"))
     ends = ends.withColumn("_before", F.max("_max").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_behind", F.min("_min").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)))
-    span = Window.partitionBy("_part").orderBy("_x")
-    low = F.coalesce(F.max("_p").over(span.rangeBetween(Window.unboundedPreceding, 0)), F.col("_before"))
-    high = F.coalesce(F.min("_p").over(span.rangeBetween(0, Window.unboundedFollowing)), F.col("_behind"))
+    # Both frames begin at the range's edge: one that ends there is summed up anew for every row.
+    up, down = (Window.partitionBy("_part").orderBy(c).rangeBetween(Window.unboundedPreceding, 0) for c in ("_x", F.desc("_x")))
+    low, high = F.coalesce(F.max("_p").over(up), F.col("_before")), F.coalesce(F.min("_p").over(down), F.col("_behind"))
     found = ranged.join(F.broadcast(ends.drop("_min", "_max")), "_part").withColumn("_l", low).withColumn("_h", high).where(F.col("_p").isNull())  # a row for each range
     pick = F.when(F.col("_h").isNull() | (F.col("_x") - F.col("_l") <= F.col("_h") - F.col("_x")), F.col("_l")).otherwise(F.col("_h"))
     return found.withColumn("nearest", pick).select(*rows.columns, "nearest")
