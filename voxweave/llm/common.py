@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import itertools
@@ -81,6 +82,28 @@ class Scratch:
         jvm.System.gc()
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return int
+
+
+def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run for mapInArrow; what a task has freed goes back to the system when it ends, as Spark keeps its workers for later tasks."""
+
+    def out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return out
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns; whatever else the table has can't clash with an operator's own names. Ids become longs."""
     if missing := [n for n in names if n not in df.columns]:

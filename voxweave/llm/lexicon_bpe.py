@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, need, slices
+from .common import Scratch, batch_of, need, slices, trimmed
 from .pieces import END, letters, split_words
 
 #: Words of the lexicon: a fixed bound on what is shipped.
@@ -242,7 +242,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
             counts.pop(w, None)
         yield batch_of(schema, [list(counts), list(counts.values())])
 
-    return need(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return need(docs, "text").mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, path: str, scratch: Scratch, size: int = LEXICON_WORDS) -> bytes:
@@ -292,4 +292,4 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, size: int = LEXICON_WOR
                     d.append(hashlib.sha256(y).hexdigest())
                 yield batch_of(schema, [ids[i:j], n, e, d])
 
-    return need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return need(docs, "doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashedWords, Scratch, batch_of, components, mix, need, odd_numbers, slices, text_key, texts
+from .common import U64, HashedWords, Scratch, batch_of, components, mix, need, odd_numbers, slices, text_key, texts, trimmed
 
 LEADING, PARTS, LEFT_OUT, LEAST_DOCS = 3, 5, 2, 8
 #: Words of a shingle; bins of a sketch, bins of one band, and the share of bins that near copies agree in.
@@ -136,7 +136,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 row = pa.array(text + i)
                 yield batch_of(schema, [k1.take(row), k2.take(row), x.leaf[keep].view(np.int64), x.exact[keep].view(np.int64), listed, sketches])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, exact long, templates array<long>, sketch binary")
+    return docs.mapInArrow(trimmed(run), "k1 long, k2 long, leaf long, exact long, templates array<long>, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -164,11 +164,11 @@ def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_groups(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every document (k1) that is linked to another one; sketches: (k1, sketch). A document is compared with one
     of each of its bands, so work is in proportion to the documents, whatever the size of a group."""
-    bands = scratch.keep(sketches.mapInArrow(bands_of, "k1 long, band long"), "bands")
+    bands = scratch.keep(sketches.mapInArrow(trimmed(bands_of), "k1 long, band long"), "bands")
     first = bands.groupBy("band").agg(F.min("k1").alias("a"), F.max("k1").alias("last")).where("a <> last").select("band", "a")
     links = scratch.keep(bands.join(first, "band").where("a <> k1").select("a", F.col("k1").alias("b")).distinct(), "links")
     both = links.join(sketches.select(F.col("k1").alias("b"), F.col("sketch").alias("other")), "b").join(sketches.select(F.col("k1").alias("a"), F.col("sketch").alias("one")), "a")
-    edges = scratch.keep(both.select("a", "b", "one", "other").mapInArrow(alike, "a long, b long"), "alike")
+    edges = scratch.keep(both.select("a", "b", "one", "other").mapInArrow(trimmed(alike), "a long, b long"), "alike")
     scratch.drop("bands", "links")
     return components(edges, scratch, "near")
 
@@ -218,4 +218,4 @@ def drop_recurring(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DO
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "_vw_lines", "_vw_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, _vw_lines long, _vw_dropped long")
+    return joined.mapInArrow(trimmed(run), f"{schema}, _vw_lines long, _vw_dropped long")

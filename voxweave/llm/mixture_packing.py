@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, need, slices
+from .common import Scratch, batch_of, need, slices, trimmed
 from .pieces import END, is_latin, split_words
 
 SEQUENCE = 2048
@@ -243,7 +243,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                     sums[q] = before[-1] + n[-1]
                 yield batch_of(schema, [[part] * (j - i), doc[i:j], queue[i:j], before, n, ids])
 
-    return need(docs, "doc_id", "text", "source").select("doc_id", "text", source.alias("queue")).mapInArrow(run, "part long, doc_id long, queue string, before long, n long, ids binary")
+    return need(docs, "doc_id", "text", "source").select("doc_id", "text", source.alias("queue")).mapInArrow(trimmed(run), "part long, doc_id long, queue string, before long, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = SEQUENCE, targets: dict[str, float] | None = None) -> DataFrame:
@@ -285,4 +285,4 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = SEQUENCE, t
                 at = pa.array(row + i)
                 yield batch_of(schema, [doc.take(at), start, size, np.array(crc, np.int64), n[row], sequence, offset, source.take(at)])
 
-    return tokens.join(offsets, ["part", "queue"]).select("doc_id", "queue", "before", "base", "ids").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", source string")
+    return tokens.join(offsets, ["part", "queue"]).select("doc_id", "queue", "before", "base", "ids").mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names) + ", source string")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, rows_of, slices, text_key, texts
+from .common import U64, Forest, HashedWords, Scratch, batch_of, components, groups_of, mix, need, odd_numbers, rows_of, slices, text_key, texts, trimmed
 
 #: Words of a shingle and least similarity, where a caller names no others.
 SHINGLE, PERCENT = 4, 85
@@ -107,7 +107,12 @@ def sets_of(docs: DataFrame, count: int, shingle: int = SHINGLE, bits: int = 64)
     chunk, flush = min(CHUNK, count), FLUSH
 
     def gathered(found: list[np.ndarray]) -> pa.RecordBatch:
-        at, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
+        every = np.concatenate([np.zeros(0, np.uint32), *found])
+        found.clear()
+        every.sort()  # in place: np.unique takes several times the memory
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+        at, times = every[first], np.diff(first, append=len(every))
+        del every, first
         edges = np.flatnonzero(np.diff(at // chunk, prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         none = pa.nulls(len(spans), pa.int64())
@@ -131,7 +136,7 @@ def sets_of(docs: DataFrame, count: int, shingle: int = SHINGLE, bits: int = 64)
             yield batch_of(schema, [b.column("doc_id"), b.column("k1"), b.column("k2"), n, [x for x, _ in nodes], [y for _, y in nodes], pa.nulls(len(n), pa.int32()), empty, empty])
         yield gathered(found)
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, node long, other long, chunk int, places binary, counts binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, k1 long, k2 long, n long, node long, other long, chunk int, places binary, counts binary")
 
 
 def sketch_of(sets: DataFrame, count: int) -> np.ndarray:
@@ -153,7 +158,7 @@ def sketch_of(sets: DataFrame, count: int) -> np.ndarray:
     for groups in (64, 1):
         part = F.pmod(F.xxhash64("places"), F.lit(groups)).alias("part")
         parts = parts.select("chunk", part, "places", "counts").repartition("chunk", "part").sortWithinPartitions("chunk", "part")
-        parts = parts.mapInArrow(lambda b, last=groups == 1: add(b, last), "chunk int, places binary, counts binary")
+        parts = parts.mapInArrow(trimmed(lambda b, last=groups == 1: add(b, last)), "chunk int, places binary, counts binary")
     out = np.zeros((count // size, size), np.uint8)
     for r in parts.collect():
         out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
@@ -193,7 +198,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, names: dict[tuple[int, int], i
                     token, node, n, long = map(np.concatenate, parts)
                     yield batch_of(schema, [token.view(np.int64), node, n, long])
 
-    return need(docs, "text").mapInArrow(run, "token long, node long, n int, long boolean")
+    return need(docs, "text").mapInArrow(trimmed(run), "token long, node long, n int, long boolean")
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -291,7 +296,7 @@ def search_blocks(met: DataFrame, percent: int = PERCENT) -> DataFrame:
             if edges:
                 yield batch_of(schema, [[nodes[i] for i, _ in edges], [nodes[j] for _, j in edges]])
 
-    return met.select(*names).repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(run, "a long, b long")
+    return met.select(*names).repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(trimmed(run), "a long, b long")
 
 
 def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -316,7 +321,7 @@ def routed(docs: DataFrame, firsts: DataFrame, places: DataFrame, shingle: int =
                     yield batch_of(schema, [*([p[k] for _, p in sent[x:y]] for k, _ in kinds), nodes[i:j].take(row), pa.array(packed, pa.large_binary()).take(row).cast(pa.binary())])
 
     joined = docs.withColumn("id", id_key()).join(to.hint("shuffle_hash"), ["id", "k1", "k2"]).select("text", "node", "places")
-    return joined.mapInArrow(run, "g long, block long, comp long, query boolean, member boolean, node long, set binary")
+    return joined.mapInArrow(trimmed(run), "g long, block long, comp long, query boolean, member boolean, node long, set binary")
 
 
 def id_key() -> Column:

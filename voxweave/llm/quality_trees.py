@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, need, texts
+from .common import batch_of, need, texts, trimmed
 
 #: Labelled rows that are learned from at most: those of the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield batch_of(schema, [b.column("doc_id"), b.column("y"), feature_matrix(texts(b, "text")).tolist()])
 
     # The sample is bounded by sample_rows, so it may be broadcast and its statistics may be collected.
-    rows = need(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").mapInArrow(run, "doc_id long, y double, x array<double>")
+    rows = need(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").mapInArrow(trimmed(run), "doc_id long, y double, x array<double>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).orderBy("doc_id").collect()
     return fit(np.array([r["r"]["x"] for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r["r"]["y"] for r in rows]))
 
@@ -178,4 +178,4 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= KEEP).astype(np.int32))], names=[*b.schema.names, "_vw_score", "_vw_predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_vw_held_out", is_held_out(F.col("doc_id"))).mapInArrow(run, f"{schema}, _vw_held_out boolean, _vw_score double, _vw_predicted int")
+    return docs.withColumn("_vw_held_out", is_held_out(F.col("doc_id"))).mapInArrow(trimmed(run), f"{schema}, _vw_held_out boolean, _vw_score double, _vw_predicted int")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts
+from .common import U64, HashedWords, Scratch, batch_of, mix, need, odd_numbers, slices, text_key, texts, trimmed
 
 WINDOW, ANCHOR = 35, 12
 #: Windows of one block; bounds the positions that break ties.
@@ -102,7 +102,7 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
                 rows = pa.array(text + i)
                 yield batch_of(schema, [k1.take(rows), k2.take(rows), lo.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), sig.view(np.int64)])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, lo int, n int, anchor long, sig long")
+    return docs.mapInArrow(trimmed(run), "k1 long, k2 long, lo int, n int, anchor long, sig long")
 
 
 def windows(docs: DataFrame, least: int) -> DataFrame:
@@ -124,7 +124,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                 row = pa.array(row)
                 yield batch_of(schema, [w1.view(np.int64), w2.view(np.int64), k1.take(row), k2.take(row), lo.astype(np.int32), weight.astype(np.int32)])
 
-    return docs.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, lo int, weight int")
+    return docs.mapInArrow(trimmed(run), "w1 long, w2 long, k1 long, k2 long, lo int, weight int")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, least: int = WINDOW) -> DataFrame:
@@ -185,4 +185,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, least: int = WINDOW) -> Da
             yield pa.RecordBatch.from_arrays(columns, names=[*(f for f in b.schema.names if f != "_vw_repeats"), *(a for a, _ in added)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, _vw_words long, _vw_removed long, _vw_spans array<array<long>>, _vw_kept_sha256 string")
+    return joined.mapInArrow(trimmed(run), f"{schema}, _vw_words long, _vw_removed long, _vw_spans array<array<long>>, _vw_kept_sha256 string")
