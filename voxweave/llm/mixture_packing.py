@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, need, slices, trimmed
-from .pieces import END, is_latin, split_words
+from .common import SLICE_BYTES, Scratch, batch_of, need, slices, trimmed
+from .pieces import is_latin, latin_cuts, latin_words, letters
 
 SEQUENCE = 2048
 END_ID = 1
@@ -46,8 +46,16 @@ MOST_QUEUES = 1 << 17
 #: Rows of the table of offsets that may be broadcast (about 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 MEMO = 1_000_000
-#: New words are encoded together, joined by spaces; each word's last id is one that ends a word.
-TOGETHER = 2000
+#: A text by which a tokenizer is tried: words of every kind, also in capitals and beyond ASCII.
+PROBE = "It's 2024 -- 'TWAS the Café's 3\u00bd\u00a0\u00b5m, they'LL \"don't\" ''re-use\u00df."
+
+
+def parts(values: pa.Array, at: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """The bytes of a whole large_binary array, cut where the values numbered by `at` begin (all of them)."""
+    _, offsets, data = values.buffers()
+    raw = data.to_pybytes() if data else b""
+    stop = np.frombuffer(offsets, np.int64, len(values) + 1)[at].tolist()
+    return [raw[a:b] for a, b in itertools.pairwise(stop)]
 
 
 class Tokens:
@@ -62,29 +70,44 @@ class Tokens:
         self.tokenizer.no_padding()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.memo: dict[str, bytes] = {}
-        self.ends = np.zeros(1 << 16, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(END)
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            stop = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
-            if len(stop) != len(part):
-                raise ValueError("a word isn't encoded as one word")
-            raw = ids.tobytes()
-            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+        self.model = self.tokenizer.model
+        self.memo: dict[bytes, bytes] = {}
+        if self.plain([PROBE]) != [self.whole(PROBE)]:
+            raise ValueError("the tokenizer's words aren't those of pieces.py")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words in Latin-1."""
+        found = list(map(self.memo.get, words))
+        new, ids, stop = [i for i, x in enumerate(found) if x is None], [], [0]
+        for i in new:
+            ids += [t.id for t in self.model.tokenize(letters(words[i].decode("latin-1")))]
+            stop.append(2 * len(ids))
+        raw = np.array(ids, "<u2").tobytes()
+        for i, (a, b) in zip(new, itertools.pairwise(stop), strict=True):
+            self.memo[words[i]] = found[i] = raw[a:b]
+        return found
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of Latin texts without special tokens: each different word is looked up once for all of them."""
+        if not texts:
+            return []
+        start, words = latin_words("\n".join(texts).encode("latin-1"))
+        words = words.dictionary_encode()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        ids = pa.array(self.ids_of(parts(words.dictionary)), pa.large_binary()).take(words.indices)
+        # A text's words are those that start before the next text does.
+        return parts(ids, np.append(0, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """16-bit ids of each text. Words of plain texts are independent of each other; other texts go in whole."""
+        """16-bit ids of each text. Words of plain texts are independent of each other, and long ones are cut between
+        words; other texts go in whole."""
         plain = [is_latin(t) and not self.special.search(t) for t in texts]
-        words = [split_words(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.learn(list(set().union(*words).difference(self.memo)))
-        return [b"".join(map(self.memo.__getitem__, w)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t, w, p in zip(texts, words, plain, strict=True)]
+        ids = iter(self.plain([t for t, p in zip(texts, plain, strict=True) if p and len(t) <= SLICE_BYTES]))
+        return [self.whole(t) if not p else next(ids) if len(t) <= SLICE_BYTES else b"".join(self.plain([x])[0] for x in latin_cuts(t, SLICE_BYTES)) for t, p in zip(texts, plain, strict=True)]
 
 
 _TOKENS: dict[str, Tokens] = {}

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 END = "</w>"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -44,6 +48,12 @@ def _ranges(kind: str) -> str:
 #: The same split for texts whose characters are all below 256: NFC leaves those alone.
 SPLIT_LATIN = re.compile(rf"{CONTRACTIONS}|[{_ranges('L')}]+|[{_ranges('N')}]|[^\t-\r \x85\xa0{_ranges('L')}{_ranges('N')}]+")
 
+#: Characters below 256: their lower case, and kinds as SPLIT_LATIN tells them apart.
+LATIN_LOWER = "".join(chr(i).lower() for i in range(256)).encode("latin-1")
+SPACE, LETTER, NUMBER, OTHER = range(4)
+WHITE_LATIN = re.compile(r"[\t-\r \x85\xa0]")
+_KIND = np.array([SPACE if chr(i) in WHITE else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(256)], np.uint8)
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if printable, else the next unused one from 256 on."""
@@ -73,6 +83,37 @@ def split_words(text: str) -> list[str]:
     return [text[m.start() : m.end()] for m in SPLIT.finditer(text.translate(KINDS))]
 
 
+def latin_words(raw: bytes) -> tuple[np.ndarray, pa.Array]:
+    """split_words of a text in Latin-1: where each word starts, and the words, lower-cased, in Latin-1 too.
+
+    Words end where the kind changes and around each number. An apostrophe that no other sign stands before takes the
+    letters of a contraction along, and what is left of the letters is the next word.
+    """
+    raw = np.frombuffer(raw.translate(LATIN_LOWER) + b"   ", np.uint8)
+    kind = _KIND[raw]
+    edge = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER))
+    at = np.flatnonzero(edge & (raw == ord("'")))
+    for tail in CONTRACTIONS.replace("'", "").split("|"):
+        ok = at
+        for k, c in enumerate(tail.encode(), 1):
+            ok = ok[raw[ok + k] == c]
+        edge[ok + 1] = False
+        edge[ok + len(tail) + 1] = True
+    edge = np.flatnonzero(edge)  # the last one is that of the white space at the end
+    word = np.flatnonzero(kind[edge] != SPACE)
+    offsets = np.append(0, np.cumsum(edge[word + 1] - edge[word]))
+    return edge[word], pa.Array.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(raw[kind != SPACE])])
+
+
+def latin_cuts(text: str, most: int) -> Iterator[str]:
+    """A text in Latin-1, cut at white space into pieces that have `most` characters and what is left of a word."""
+    at = 0
+    while m := WHITE_LATIN.search(text, at + most):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def letters(word: str) -> str:
     """A word's bytes as printable letters."""
     return word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(TO_LETTERS)
